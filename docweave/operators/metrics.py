@@ -26,11 +26,15 @@ def run_summary(plan: DataFrame, prev_state: DataFrame, stale: DataFrame) -> Dat
 
 def file_metrics(fingerprints: DataFrame, triples: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     """Per file: size label, type, splitter used, byte lengths of the three chunks, call time."""
-    t = triples.select("project", "path", F.col("chunks.used").alias("splitter_used"),
-                       F.octet_length("chunks.first").cast("long").alias("chunk1_bytes"),
-                       F.octet_length("chunks.mid").cast("long").alias("chunk2_bytes"),
-                       F.octet_length("chunks.last").cast("long").alias("chunk3_bytes"))
-    out = fingerprints.select("project", "path", "size_label", "file_type", "content_type").join(t, ["project", "path"], "inner")
+    lengths = [F.col("chunks.used").alias("splitter_used"),
+               F.octet_length("chunks.first").cast("long").alias("chunk1_bytes"),
+               F.octet_length("chunks.mid").cast("long").alias("chunk2_bytes"),
+               F.octet_length("chunks.last").cast("long").alias("chunk3_bytes")]
+    meta = ["project", "path", "size_label", "file_type", "content_type"]
+    if triples is fingerprints:  # computed in one projection: no join
+        out = fingerprints.select(*meta, *lengths)
+    else:
+        out = fingerprints.select(*meta).join(triples.select("project", "path", *lengths), ["project", "path"], "inner")
     if answers is not None:
         out = out.join(answers.select("project", "path", "elapsed_ms", "attempts"), ["project", "path"], "left")
     return out
