@@ -111,11 +111,16 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
         max_tokens: int = CH.DEFAULT_MAX_TOKENS, sizer: Callable[[str], int] = CH.approx_tokens,
         context_words: int = TX.CONTEXT_WORDS, run_ts: str | None = None, max_concurrency: int = 8,
         template: dict | None = None, escape_html: bool = True, keep_previous_on_error: bool = False,
-        operating_system: str = "linux", root_prefix: str = "/", sleep=None) -> RunResult:
-    """One incremental documentation run; returns the written plan, answers, state and summary."""
+        operating_system: str = "linux", root_prefix: str = "/", sleep=None,
+        resume_run_id: str | None = None) -> RunResult:
+    """One incremental documentation run; returns the written plan, answers, state and summary.
+
+    ``resume_run_id`` re-enters an interrupted run: its answers without error are kept and only
+    the remaining prompts are sent. A new run asks again for every new or changed file.
+    """
     import time as _time
 
-    run_id = uuid.uuid4().hex[:12]
+    run_id = resume_run_id or uuid.uuid4().hex[:12]
     run_ts = run_ts or _time.strftime("%Y-%m-%d %H:%M:%S", _time.gmtime())
     base = out_dir.rstrip("/")
 
@@ -146,15 +151,18 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
     prompts = spark.read.parquet(prompts_path)
 
     # Enrichment with resume (answers appended; earlier answers for the same key are reused)
-    answers_path = f"{base}/answers"
+    answers_path = f"{base}/answers/run_id={run_id}"
     todo = prompts
     if _exists(spark, answers_path):
-        todo = prompts.join(spark.read.parquet(answers_path).select(*ANSWER_KEY), ANSWER_KEY, "left_anti")
+        done = spark.read.parquet(answers_path).where(F.col("error").isNull()).select(*ANSWER_KEY)
+        todo = prompts.join(done, ANSWER_KEY, "left_anti")
     kw = {} if sleep is None else {"sleep": sleep}
     EN.enrich(todo, client, max_concurrency, **kw).write.mode("append").parquet(answers_path)
     all_answers = spark.read.parquet(answers_path)
-    latest = all_answers.groupBy(*ANSWER_KEY).agg(F.max_by(F.struct("answer", "attempts", "elapsed_ms", "error"),
-                                                            F.col("elapsed_ms")).alias("a"))
+    # an answer without error beats a failed one; among equals the later call wins
+    latest = all_answers.groupBy(*ANSWER_KEY).agg(F.max_by(
+        F.struct("answer", "attempts", "elapsed_ms", "error"),
+        F.struct(F.col("error").isNull(), F.col("elapsed_ms"))).alias("a"))
     answers = prompts.select(*ANSWER_KEY).join(latest, ANSWER_KEY, "inner").select(*ANSWER_KEY, "a.*")
 
     # J8 + J9: records for enriched rows, carried-forward rows, new state
