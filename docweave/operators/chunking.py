@@ -107,15 +107,21 @@ def window_chunks(df: DataFrame, text_col: str, n_words: int = DEFAULT_WINDOW_WO
 
 
 def pick_three_window(text, n_words: int = DEFAULT_WINDOW_WORDS) -> Column:
-    """``struct<first, mid, last, n_chunks>`` by slicing only three word ranges."""
-    w = _words(text)
-    n = F.ceil(F.size(w) / F.lit(n_words)).cast("int")
+    """``struct<first, mid, last, n_chunks>`` by slicing only three word ranges.
 
-    def chunk(i):
-        return F.array_join(F.slice(w, i * n_words + 1, F.lit(n_words)), " ")
+    The word array is computed once and bound with a one-element ``transform`` (a let-binding),
+    so the text is split once per row, not four times.
+    """
+    def pick(w):
+        n = F.ceil(F.size(w) / F.lit(n_words)).cast("int")
 
-    return F.struct(chunk(F.lit(0)).alias("first"), chunk(F.floor(n / 2).cast("int")).alias("mid"),
-                    chunk(n - 1).alias("last"), n.alias("n_chunks"))
+        def chunk(i):
+            return F.array_join(F.slice(w, i * n_words + 1, F.lit(n_words)), " ")
+
+        return F.struct(chunk(F.lit(0)).alias("first"), chunk(F.floor(n / 2).cast("int")).alias("mid"),
+                        chunk(n - 1).alias("last"), n.alias("n_chunks"))
+
+    return F.element_at(F.transform(F.array(_words(text)), pick), 1)
 
 
 # ---------------------------------------------------------------- packed mode (Arrow UDF)
@@ -214,18 +220,27 @@ def chunk_triple(text, is_text, splitter, mode: str = "window", n_words: int = D
                  max_tokens: int = DEFAULT_MAX_TOKENS, sizer: Callable[[str], int] = approx_tokens) -> Column:
     """``struct<first, mid, last, used, n_chunks>`` with the edge cases: binary -> placeholder in
     all three and ``binary``; blank text -> three empty strings and ``empty``; no chunk -> three
-    empty strings and the splitter name."""
+    empty strings and the splitter name.
+
+    The chunking result is bound once (one-element ``transform``) and only computed for text rows,
+    so the text is split once and binary content is never split.
+    """
     t = col_or_lit(text)
-    picked = pick_three_window(t, n_words) if mode == "window" else packed_pick_three_udf(max_tokens, sizer)(t)
+    txt = col_or_lit(is_text)
     blank = TX.is_blank(t)
+    picked = pick_three_window(t, n_words) if mode == "window" else packed_pick_three_udf(max_tokens, sizer)(t)
     ph = F.lit(TX.BINARY_PLACEHOLDER)
-    binary = F.struct(ph.alias("first"), ph.alias("mid"), ph.alias("last"), F.lit("binary").alias("used"),
-                      F.lit(0).alias("n_chunks"))
-    empty = F.struct(F.lit("").alias("first"), F.lit("").alias("mid"), F.lit("").alias("last"),
-                     F.lit("empty").alias("used"), F.lit(0).alias("n_chunks"))
-    normal = F.struct(
-        F.when(picked["n_chunks"] > 0, picked["first"]).otherwise(F.lit("")).alias("first"),
-        F.when(picked["n_chunks"] > 0, picked["mid"]).otherwise(F.lit("")).alias("mid"),
-        F.when(picked["n_chunks"] > 0, picked["last"]).otherwise(F.lit("")).alias("last"),
-        col_or_lit(splitter).alias("used"), picked["n_chunks"].alias("n_chunks"))
-    return F.when(~col_or_lit(is_text), binary).when(blank, empty).otherwise(normal)
+
+    def build(p):
+        has = F.coalesce(p["n_chunks"], F.lit(0)) > 0
+        normal = F.struct(F.when(has, p["first"]).otherwise(F.lit("")).alias("first"),
+                          F.when(has, p["mid"]).otherwise(F.lit("")).alias("mid"),
+                          F.when(has, p["last"]).otherwise(F.lit("")).alias("last"),
+                          col_or_lit(splitter).alias("used"), F.coalesce(p["n_chunks"], F.lit(0)).alias("n_chunks"))
+        binary = F.struct(ph.alias("first"), ph.alias("mid"), ph.alias("last"), F.lit("binary").alias("used"),
+                          F.lit(0).alias("n_chunks"))
+        empty = F.struct(F.lit("").alias("first"), F.lit("").alias("mid"), F.lit("").alias("last"),
+                         F.lit("empty").alias("used"), F.lit(0).alias("n_chunks"))
+        return F.when(~txt, binary).when(blank, empty).otherwise(normal)
+
+    return F.element_at(F.transform(F.array(F.when(txt & ~blank, picked)), build), 1)
