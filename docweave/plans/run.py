@@ -112,11 +112,13 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
         context_words: int = TX.CONTEXT_WORDS, run_ts: str | None = None, max_concurrency: int = 8,
         template: dict | None = None, escape_html: bool = True, keep_previous_on_error: bool = False,
         operating_system: str = "linux", root_prefix: str = "/", sleep=None,
-        resume_run_id: str | None = None) -> RunResult:
+        resume_run_id: str | None = None, partial: bool = False) -> RunResult:
     """One incremental documentation run; returns the written plan, answers, state and summary.
 
     ``resume_run_id`` re-enters an interrupted run: its answers without error are kept and only
     the remaining prompts are sent. A new run asks again for every new or changed file.
+    ``partial``: the corpus holds only some keys (a stream batch); records of other keys are kept
+    instead of being dropped as stale.
     """
     import time as _time
 
@@ -174,13 +176,15 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
             .otherwise(F.col("doc"))).drop("prev_doc")
     reused = ST.carry_forward(plan, prev)
     new_state = ST.replace_state(reused, records)
+    if partial:
+        new_state = ST.as_state(prev).join(inv.select(*KEY), KEY, "left_anti").unionByName(new_state)
     state_path = f"{base}/state/{run_id}"
     new_state.write.mode("overwrite").partitionBy("project").parquet(state_path)
     spark.createDataFrame([(run_id,)], "run_id string").coalesce(1).write.mode("overwrite").text(f"{base}/state/CURRENT")
     state_out = spark.read.parquet(state_path)
 
     # summary
-    stale = ST.stale_keys(prev, inv)
+    stale = ST.stale_keys(prev, inv) if not partial else prev.select(*KEY).limit(0)
     summary = M.run_summary(plan, prev, stale)
     return RunResult(run_id, plan, answers, state_out, summary, state_path)
 
