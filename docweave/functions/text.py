@@ -209,10 +209,11 @@ def sanitize_yaml_text(t) -> Column:
 
 def indent_lines(t, n: int = 2) -> Column:
     """Prefix every line with ``n`` spaces; CRLF becomes LF, one final line ending is dropped,
-    empty stays empty."""
+    empty stays empty. Literal replacements only (no end-of-input regex subtleties)."""
     s = col_or_lit(t)
     pad = " " * n
-    body = F.regexp_replace(F.regexp_replace(s, r"\r?\n$", ""), r"\r\n", "\n")
+    lf = F.replace(s, F.lit("\r\n"), F.lit("\n"))
+    body = F.when(lf.endswith("\n"), lf.substr(F.lit(1), F.length(lf) - 1)).otherwise(lf)
     return F.when(s == "", F.lit("")).otherwise(F.concat(F.lit(pad), F.replace(body, F.lit("\n"), F.lit("\n" + pad))))
 
 

@@ -214,12 +214,12 @@ def sanitize_yaml_text(spark, sf):
 select conv_id, turn, case when t = '' then '' else '  ' || replace(replace(regexp_replace(t, '\\r?\\n$', ''), chr(13) || chr(10), chr(10)),
   chr(10), chr(10) || '  ') end as indented
 from (select conv_id, turn, case when (conv_id + turn) % 3 = 0 then replace(text, '. ', '.' || chr(13) || chr(10)) || chr(10)
-  when (conv_id + turn) % 3 = 1 then replace(text, '. ', '.' || chr(10)) else text end as t from conversations) s""")
+  when (conv_id + turn) % 3 = 1 then replace(text, '. ', '.' || chr(10)) else text || chr(10) || chr(10) end as t from conversations) s""")
 def indent_lines(spark, sf):
     c = FX.table(spark, sf, "conversations")
     k = (F.col("conv_id") + F.col("turn")) % 3
     t = (F.when(k == 0, F.concat(F.replace("text", F.lit(". "), F.lit(".\r\n")), F.lit("\n")))
-         .when(k == 1, F.replace("text", F.lit(". "), F.lit(".\n"))).otherwise(F.col("text")))
+         .when(k == 1, F.replace("text", F.lit(". "), F.lit(".\n"))).otherwise(F.concat("text", F.lit("\n\n"))))
     return c.select("conv_id", "turn", TX.indent_lines(t, 2).alias("indented"))
 
 

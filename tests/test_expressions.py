@@ -59,6 +59,9 @@ def test_first_n_words_and_indent_and_sanitize(spark):
     assert one(spark, TX.first_n_words(F.col("v"), 0), "a b") == ""
     assert one(spark, TX.indent_lines(F.col("v"), 2), "a\r\nb\n") == "  a\n  b"
     assert one(spark, TX.indent_lines(F.col("v"), 2), "") == ""
+    assert one(spark, TX.indent_lines(F.col("v"), 2), "a\n\n") == "  a\n  "      # one final line ending only
+    assert one(spark, TX.indent_lines(F.col("v"), 2), "a\r\r\nb") == "  a\r\n  b"
+    assert one(spark, TX.indent_lines(F.col("v"), 2), "\n") == "  "
     assert one(spark, TX.sanitize_yaml_text(F.col("v")), "a\x07b c\td") == "ab c\td"
 
 
