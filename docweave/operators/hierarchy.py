@@ -14,7 +14,7 @@ from ..session import materialize
 
 KEY = ["project", "path"]
 MAX_EXPORT_CHILDREN = 1_000_000
-MAX_EXPORT_FILES = 5_000_000
+MAX_EXPORT_FILES = 1_000_000   # one project's document is one row: keep it well below 2 GB
 
 
 def derive_nodes(files: DataFrame) -> DataFrame:

@@ -120,18 +120,23 @@ def tree_lines(files: DataFrame, annotations: DataFrame, style: str = "classic",
                          P.path_name("path").alias("name"), P.depth("path").alias("depth"))
     sib = F.struct(F.when(F.col("is_dir"), 0).otherwise(1).alias("k"), F.lower("name").alias("l"), F.col("name").alias("n"))
     nodes = nodes.withColumn("_sib", sib)
+    # per directory: its last child (a partial max) ...
     last = nodes.groupBy("project", "parent_path").agg(F.max("_sib").alias("_max"))
-    nodes = nodes.join(last, ["project", "parent_path"], "inner").withColumn("is_last", F.col("_sib") == F.col("_max")) \
-        .drop("_sib", "_max")
-    # continuation text each directory contributes to lines below it
-    dflag = nodes.where("is_dir").select("project", F.col("path").alias("anc"), "depth",
-                                         F.when(F.col("is_last"), F.lit(st["cont"][1])).otherwise(F.lit(st["cont"][0])).alias("cont"))
+    dirs_last = nodes.where("is_dir").join(last, ["project", "parent_path"], "inner") \
+        .select("project", F.col("path").alias("anc"), "depth", (F.col("_sib") == F.col("_max")).alias("is_last"))
+    # ... and the continuation text it contributes to every line below it
+    dflag = dirs_last.select("project", "anc", "depth", F.when(F.col("is_last"), F.lit(st["cont"][1]))
+                             .otherwise(F.lit(st["cont"][0])).alias("cont"))
     dexp = dirs.select("project", "path", F.explode(P.ancestors("path", include_self=True)).alias("anc"))
     prefixes = dexp.join(dflag, ["project", "anc"], "inner").groupBy("project", "path").agg(
         F.array_sort(F.collect_list(F.struct("depth", "cont"))).alias("c")) \
         .select("project", F.col("path").alias("parent_path"),
                 F.array_join(F.transform("c", lambda x: x["cont"]), "").alias("prefix"))
-    nodes = nodes.join(prefixes, ["project", "parent_path"], "left").withColumn("prefix", F.coalesce("prefix", F.lit("")))
+    # one join of the node set with the per-parent table (last child + prefix); the root has no prefix
+    per_parent = last.join(prefixes, ["project", "parent_path"], "left")
+    nodes = nodes.join(per_parent, ["project", "parent_path"], "inner") \
+        .withColumn("is_last", F.col("_sib") == F.col("_max")).withColumn("prefix", F.coalesce("prefix", F.lit(""))) \
+        .drop("_sib", "_max")
     ann = annotations.select(*KEY, "description")
     nodes = nodes.join(ann, KEY, "left")
     conn = (F.when(F.col("is_dir") & F.col("is_last"), F.lit(st["dir"][1]))

@@ -33,6 +33,7 @@ from ..sources.corpus import fingerprint
 KEY = ["project", "path"]
 ANSWER_KEY = ["project", "path", "content_hash", "prompt_hash"]
 BROADCAST_KEYS_MAX = 2_000_000      # dirty keys broadcast to filter the content scan map-side
+BROADCAST_HASHES_MAX = 20_000_000   # 64-bit key hashes broadcast as the map-side filter
 BROADCAST_CONTEXT_MAX = 20_000      # projects whose README snippets are broadcast
 
 
@@ -46,14 +47,41 @@ def filter_inventory(corpus: DataFrame, show_hidden: bool = False, ignore_dirs:
     return inv
 
 
-def dirty_content(corpus: DataFrame, plan: DataFrame, n_dirty: int | None = None) -> DataFrame:
-    """Content rows of new/changed/forced files.
+def _key_hash():
+    return F.xxhash64("project", "path").alias("_kh")
+
+
+def prompt_inputs_for_dirty(corpus: DataFrame, plan: DataFrame, context: DataFrame, n_dirty: int | None,
+                            chunk_mode: str = "packed", n_words: int = CH.DEFAULT_WINDOW_WORDS,
+                            max_tokens: int = CH.DEFAULT_MAX_TOKENS, sizer: Callable[[str], int] = CH.approx_tokens,
+                            n_projects: int | None = None) -> DataFrame:
+    """Prompt inputs of new/changed/forced files, choosing how content meets the dirty keys by their
+    count (taken on the written plan):
+
+    * up to ``BROADCAST_KEYS_MAX`` keys: broadcast the exact keys; the scan is filtered map-side;
+    * up to ``BROADCAST_HASHES_MAX`` keys: broadcast 64-bit key hashes as a map-side filter, chunk the
+      survivors, then check the exact keys with a join of the small chunk rows;
+    * more: chunk every row map-side (content dropped), then join the small rows with the keys.
 
-    Few dirty keys (counted on the written plan): broadcast them and filter the scan map-side, so
-    no content is shuffled. Many: the caller computes chunks map-side before any exchange, and the
-    key join then moves only the small prompt inputs.
+    In no tier does file content cross a shuffle.
     """
     dirty = plan.where(F.col("action") != "reuse").select(*KEY)
+    n = n_dirty if n_dirty is not None else BROADCAST_HASHES_MAX + 1
+    if n <= BROADCAST_KEYS_MAX:
+        content = corpus.join(F.broadcast(dirty), KEY, "left_semi")
+        return prompt_inputs(content, context, chunk_mode, n_words, max_tokens, sizer, n_projects)
+    if n <= BROADCAST_HASHES_MAX:
+        hashes = F.broadcast(dirty.select(_key_hash()).distinct())
+        content = corpus.withColumn("_kh", F.xxhash64("project", "path")).join(hashes, "_kh", "left_semi").drop("_kh")
+        inputs = prompt_inputs(content, context, chunk_mode, n_words, max_tokens, sizer, n_projects)
+        return inputs.join(dirty, KEY, "left_semi")
+    inputs = prompt_inputs(corpus, context, chunk_mode, n_words, max_tokens, sizer, n_projects)
+    return inputs.join(dirty, KEY, "left_semi")
+
+
+def dirty_content(corpus: DataFrame, plan: DataFrame, n_dirty: int | None = None) -> DataFrame:
+    """Content rows of dirty files for small plans (exact keys broadcast when counted and small)."""
+    dirty = plan.where(F.col("action") != "reuse").select(*KEY)
     if n_dirty is not None and n_dirty <= BROADCAST_KEYS_MAX:
         return corpus.join(F.broadcast(dirty), KEY, "left_semi")
     return corpus.join(dirty, KEY, "left_semi")
@@ -145,8 +173,7 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
     n_projects = context.count()
 
     # J4 + J6: prompts for dirty rows only
-    content = dirty_content(inv, plan, n_dirty)
-    inputs = prompt_inputs(content, context, chunk_mode, n_words, max_tokens, sizer, n_projects)
+    inputs = prompt_inputs_for_dirty(inv, plan, context, n_dirty, chunk_mode, n_words, max_tokens, sizer, n_projects)
     prompts = build_prompts(inputs, template, escape_html, root_prefix, operating_system)
     prompts_path = f"{base}/runs/{run_id}/prompts"
     prompts.write.mode("overwrite").parquet(prompts_path)

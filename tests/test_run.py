@@ -52,3 +52,27 @@ def test_force_and_changed_content(spark):
     r = run(spark, changed, prev, out, DeterministicClient(), chunk_mode="window", force=True)
     acts = {x["action"] for x in r.plan.select("action").distinct().collect()}
     assert acts == {"forced"}
+
+
+def test_dirty_fetch_tiers_agree(spark, monkeypatch):
+    """Exact-key broadcast, hash broadcast and chunk-first give the same prompt inputs."""
+    from docweave.operators import content as CO
+    from docweave.operators import state as ST
+    from docweave.plans import run as RUN
+    cv = FX.corpus_v(spark, SF_SMALL)
+    corpus = corpus_from_table(cv)
+    prev = ST.as_state(FX.prev_v(spark, SF_SMALL, cv))
+    plan = ST.plan_changes(corpus, prev)
+    n_dirty = plan.where("action != 'reuse'").count()
+    ctx = CO.project_context(corpus, corpus.select("project"))
+
+    def collect():
+        df = RUN.prompt_inputs_for_dirty(corpus, plan, ctx, n_dirty, "window", n_projects=100)
+        return sorted((r["project"], r["path"], r["chunks"]["first"], r["snippet"]) for r in df.collect())
+
+    keys = collect()
+    monkeypatch.setattr(RUN, "BROADCAST_KEYS_MAX", 0)
+    hashes = collect()
+    monkeypatch.setattr(RUN, "BROADCAST_HASHES_MAX", 0)
+    chunk_first = collect()
+    assert len(keys) == n_dirty and keys == hashes == chunk_first
