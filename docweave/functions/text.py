@@ -123,16 +123,26 @@ def latin1(head, limit: int) -> Column:
     return F.decode(F.substring(col_or_lit(head), 1, limit), "ISO-8859-1")
 
 
-def is_probably_text(head, limit: int = TEXT_SAMPLE_BYTES) -> Column:
+def is_probably_text(head, limit: int = TEXT_SAMPLE_BYTES, rule: str = "bytes") -> Column:
     """Text test on the first ``min(limit, 8192)`` bytes.
 
-    Empty -> text; any NUL -> binary; else integer ``printable*100/n >= 85`` with printable being
-    LF, CR, TAB and 0x20-0x7E. Bytes >= 0x80 count against, as in the reference.
+    ``rule='bytes'`` (the reference's): empty -> text; any NUL -> binary; else integer
+    ``printable*100/n >= 85`` over bytes, printable being LF, CR, TAB and 0x20-0x7E, so bytes >= 0x80
+    count against and accented prose can be judged binary. ``rule='utf8'``: the same threshold over
+    characters of the lossily decoded sample, where only control characters (other than LF, CR, TAB)
+    and undecodable bytes count against.
     """
-    sample = latin1(head, min(limit, TEXT_SAMPLE_CAP))
+    k = min(limit, TEXT_SAMPLE_CAP)
+    sample = latin1(head, k)
     n = F.length(sample)
+    nul = F.instr(sample, "\u0000") > 0
+    if rule == "utf8":
+        chars = F.make_valid_utf8(F.substring(col_or_lit(head), 1, k).cast("string"))
+        m = F.length(chars)
+        bad = F.length(F.regexp_replace(chars, "[^\\p{Cc}\uFFFD]|[\n\r\t]", ""))
+        return F.when(n == 0, F.lit(True)).when(nul, F.lit(False)).otherwise((m - bad) * 100 >= m * PRINTABLE_PERCENT)
     printable = F.length(F.regexp_replace(sample, "[^\\n\\r\\t\\x20-\\x7E]", ""))
-    return F.when(n == 0, F.lit(True)).when(F.instr(sample, "\u0000") > 0, F.lit(False)) \
+    return F.when(n == 0, F.lit(True)).when(nul, F.lit(False)) \
         .otherwise(printable * 100 >= n * PRINTABLE_PERCENT)
 
 

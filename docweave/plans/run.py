@@ -54,7 +54,7 @@ def _key_hash():
 def prompt_inputs_for_dirty(corpus: DataFrame, plan: DataFrame, context: DataFrame, n_dirty: int | None,
                             chunk_mode: str = "packed", n_words: int = CH.DEFAULT_WINDOW_WORDS,
                             max_tokens: int = CH.DEFAULT_MAX_TOKENS, sizer: Callable[[str], int] = CH.approx_tokens,
-                            n_projects: int | None = None) -> DataFrame:
+                            n_projects: int | None = None, text_rule: str = "bytes") -> DataFrame:
     """Prompt inputs of new/changed/forced files, choosing how content meets the dirty keys by their
     count (taken on the written plan):
 
@@ -69,13 +69,13 @@ def prompt_inputs_for_dirty(corpus: DataFrame, plan: DataFrame, context: DataFra
     n = n_dirty if n_dirty is not None else BROADCAST_HASHES_MAX + 1
     if n <= BROADCAST_KEYS_MAX:
         content = corpus.join(F.broadcast(dirty), KEY, "left_semi")
-        return prompt_inputs(content, context, chunk_mode, n_words, max_tokens, sizer, n_projects)
+        return prompt_inputs(content, context, chunk_mode, n_words, max_tokens, sizer, n_projects, text_rule)
     if n <= BROADCAST_HASHES_MAX:
         hashes = F.broadcast(dirty.select(_key_hash()).distinct())
         content = corpus.withColumn("_kh", F.xxhash64("project", "path")).join(hashes, "_kh", "left_semi").drop("_kh")
-        inputs = prompt_inputs(content, context, chunk_mode, n_words, max_tokens, sizer, n_projects)
+        inputs = prompt_inputs(content, context, chunk_mode, n_words, max_tokens, sizer, n_projects, text_rule)
         return inputs.join(dirty, KEY, "left_semi")
-    inputs = prompt_inputs(corpus, context, chunk_mode, n_words, max_tokens, sizer, n_projects)
+    inputs = prompt_inputs(corpus, context, chunk_mode, n_words, max_tokens, sizer, n_projects, text_rule)
     return inputs.join(dirty, KEY, "left_semi")
 
 
@@ -89,10 +89,11 @@ def dirty_content(corpus: DataFrame, plan: DataFrame, n_dirty: int | None = None
 
 def prompt_inputs(content: DataFrame, context: DataFrame, chunk_mode: str = "packed",
                   n_words: int = CH.DEFAULT_WINDOW_WORDS, max_tokens: int = CH.DEFAULT_MAX_TOKENS,
-                  sizer: Callable[[str], int] = CH.approx_tokens, n_projects: int | None = None) -> DataFrame:
+                  sizer: Callable[[str], int] = CH.approx_tokens, n_projects: int | None = None,
+                  text_rule: str = "bytes") -> DataFrame:
     """Fingerprint and chunk triple in one projection over the content (no join), then the README
     context by project."""
-    fp = fingerprint(content, keep_head=True)
+    fp = fingerprint(content, keep_head=True, text_rule=text_rule)
     text = CH.decode_lossy("head")
     fp = fp.withColumn("chunks", CH.chunk_triple(text, F.col("is_text"), F.col("splitter"), mode=chunk_mode,
                                                  n_words=n_words, max_tokens=max_tokens, sizer=sizer)).drop("head")
@@ -140,7 +141,7 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
         context_words: int = TX.CONTEXT_WORDS, run_ts: str | None = None, max_concurrency: int = 8,
         template: dict | None = None, escape_html: bool = True, keep_previous_on_error: bool = False,
         operating_system: str = "linux", root_prefix: str = "/", sleep=None,
-        resume_run_id: str | None = None, partial: bool = False) -> RunResult:
+        resume_run_id: str | None = None, partial: bool = False, text_rule: str = "bytes") -> RunResult:
     """One incremental documentation run; returns the written plan, answers, state and summary.
 
     ``resume_run_id`` re-enters an interrupted run: its answers without error are kept and only
@@ -173,7 +174,8 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
     n_projects = context.count()
 
     # J4 + J6: prompts for dirty rows only
-    inputs = prompt_inputs_for_dirty(inv, plan, context, n_dirty, chunk_mode, n_words, max_tokens, sizer, n_projects)
+    inputs = prompt_inputs_for_dirty(inv, plan, context, n_dirty, chunk_mode, n_words, max_tokens, sizer, n_projects,
+                                     text_rule)
     prompts = build_prompts(inputs, template, escape_html, root_prefix, operating_system)
     prompts_path = f"{base}/runs/{run_id}/prompts"
     prompts.write.mode("overwrite").parquet(prompts_path)

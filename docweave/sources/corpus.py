@@ -35,7 +35,8 @@ def corpus_from_table(df: DataFrame, project: str = "project", path: str = "path
     )
 
 
-def fingerprint(corpus: DataFrame, text_sample: int = T.TEXT_SAMPLE_BYTES, keep_head: bool = False) -> DataFrame:
+def fingerprint(corpus: DataFrame, text_sample: int = T.TEXT_SAMPLE_BYTES, keep_head: bool = False,
+                text_rule: str = "bytes") -> DataFrame:
     """Per file: name, extension, type labels, text flag, splitter route. Content is dropped here, so
     nothing heavy ever reaches a shuffle."""
     from ..operators.chunking import route_splitter
@@ -47,7 +48,7 @@ def fingerprint(corpus: DataFrame, text_sample: int = T.TEXT_SAMPLE_BYTES, keep_
         "project", "path", "size", "mtime", "content_hash",
         name.alias("name"), ext.alias("extension"), P.file_type(name).alias("file_type"),
         T.human_bytes("size").alias("size_label"), ctype.alias("content_type"),
-        T.is_probably_text("head", text_sample).alias("is_text"),
+        T.is_probably_text("head", text_sample, text_rule).alias("is_text"),
         *(["head"] if keep_head else []),
     ).withColumn("splitter", route_splitter(F.col("content_type"), F.col("extension")).getField("splitter")) \
      .withColumn("language", route_splitter(F.col("content_type"), F.col("extension")).getField("language"))

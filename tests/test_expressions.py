@@ -98,3 +98,45 @@ def test_emoji_presentation(spark):
     got = [r["r"] for r in spark.createDataFrame([("x",), ("ab",), ("",), ("\U0001F418" + vs,)], "v string")
            .select(AN.emoji_presentation("v").alias("r")).collect()]
     assert got == ["x" + vs, "ab", "", "\U0001F418" + vs]
+
+
+def test_text_rule_utf8_counts_accents_as_text(spark):
+    rows = [("é".encode() * 40,), (b"hello\x00",), (b"\x01\x02\x03abc",), (b"",)]
+    df = spark.createDataFrame(rows, "v binary")
+    got = [(r["b"], r["u"]) for r in df.select(TX.is_probably_text("v").alias("b"),
+                                               TX.is_probably_text("v", rule="utf8").alias("u")).collect()]
+    assert got == [(False, True), (False, False), (False, False), (True, True)]
+
+
+def test_backoff_schedule_and_retry():
+    from docweave.operators.enrich import backoff_ms, call_with_retry
+    assert [backoff_ms(a) for a in range(1, 8)] == [300, 600, 1200, 2400, 4800, 8000, 8000]
+    calls, waits = [], []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise RuntimeError("boom")
+        return "ok"
+
+    assert call_with_retry(flaky, sleep=waits.append, jitter=lambda: 0) == ("ok", 3, 900, None)
+    assert waits == [0.3, 0.6]
+    ans, attempts, waited, err = call_with_retry(lambda: (_ for _ in ()).throw(IOError("down")), sleep=lambda s: None)
+    assert (ans, attempts, waited) == ("", 5, 4500) and "down" in err
+
+
+def test_template_unknown_field_fails_at_plan_time(spark):
+    from docweave.operators.prompt import compile_template, render
+    parts = compile_template("a {{filename}} b {{ nope }}")
+    assert parts == [("lit", "a "), ("field", "filename"), ("lit", " b "), ("field", "nope")]
+    with pytest.raises(ValueError):
+        render(parts, ["filename"])
+
+
+def test_render_escapes_html_by_default(spark):
+    from docweave.operators.prompt import compile_template, render
+    df = spark.createDataFrame([("<a href='x'>&</a>",)], "filename string")
+    parts = compile_template("[{{filename}}]")
+    esc = df.select(render(parts, ["filename"]).alias("r")).first()["r"]
+    raw = df.select(render(parts, ["filename"], escape_html=False).alias("r")).first()["r"]
+    assert esc == "[&lt;a href&#x3D;&#x27;x&#x27;&gt;&amp;&lt;/a&gt;]" and raw == "[<a href='x'>&</a>]"
