@@ -141,13 +141,15 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
         context_words: int = TX.CONTEXT_WORDS, run_ts: str | None = None, max_concurrency: int = 8,
         template: dict | None = None, escape_html: bool = True, keep_previous_on_error: bool = False,
         operating_system: str = "linux", root_prefix: str = "/", sleep=None,
-        resume_run_id: str | None = None, partial: bool = False, text_rule: str = "bytes") -> RunResult:
+        resume_run_id: str | None = None, partial: bool = False, text_rule: str = "bytes",
+        wave_rows: int = 50_000) -> RunResult:
     """One incremental documentation run; returns the written plan, answers, state and summary.
 
     ``resume_run_id`` re-enters an interrupted run: its answers without error are kept and only
     the remaining prompts are sent. A new run asks again for every new or changed file.
     ``partial``: the corpus holds only some keys (a stream batch); records of other keys are kept
-    instead of being dropped as stale.
+    instead of being dropped as stale. ``wave_rows``: prompts per enrichment wave; each wave is its
+    own committed append, so a failure loses at most one wave's unanswered calls.
     """
     import time as _time
 
@@ -188,7 +190,13 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
         done = spark.read.parquet(answers_path).where(F.col("error").isNull()).select(*ANSWER_KEY)
         todo = prompts.join(done, ANSWER_KEY, "left_anti")
     kw = {} if sleep is None else {"sleep": sleep}
-    EN.enrich(todo, client, max_concurrency, **kw).write.mode("append").parquet(answers_path)
+    n_todo = todo.count()
+    n_waves = max(1, -(-n_todo // max(1, wave_rows)))
+    wave = F.pmod(F.xxhash64("project", "path"), F.lit(n_waves))
+    for w in range(n_waves if n_todo else 0):
+        EN.enrich(todo.where(wave == w), client, max_concurrency, **kw).write.mode("append").parquet(answers_path)
+    if not n_todo and not _exists(spark, answers_path):
+        spark.createDataFrame([], EN.ANSWER_SCHEMA).write.mode("append").parquet(answers_path)
     all_answers = spark.read.parquet(answers_path)
     # an answer without error beats a failed one; among equals the later call wins
     latest = all_answers.groupBy(*ANSWER_KEY).agg(F.max_by(
