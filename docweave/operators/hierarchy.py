@@ -13,7 +13,7 @@ from ..functions import paths as P
 from ..session import materialize
 
 KEY = ["project", "path"]
-MAX_EXPORT_CHILDREN = 1_000_000
+MAX_EXPORT_CHILDREN = 100_000
 MAX_EXPORT_FILES = 1_000_000   # one project's document is one row: keep it well below 2 GB
 
 

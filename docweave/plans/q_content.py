@@ -152,11 +152,16 @@ def is_probably_text(spark, sf):
 
 @register("decode_limited")
 def decode_limited(spark, sf):
-    """First 1001 bytes decoded lossily (cuts inside characters for non-ASCII text), JVM-side, with
-    the Python decoding beside it; ``agrees`` must be true on every row."""
-    d = FX.table(spark, sf, "documents").select("doc_id", F.substring(F.encode("text", "UTF-8"), 1, 1001).alias("b"))
-    j = decode_lossy("b")
-    return d.select("doc_id", j.alias("text"), (j == decode_lossy_arrow("b")).alias("agrees"))
+    """Whole texts decoded with the real 2,000,000-byte limit, and the same bytes cut one byte short
+    of the end (a split character for texts ending in non-ASCII), JVM-side, with the Python decoding
+    beside it; ``agrees`` must be true on every row."""
+    b = F.encode("text", "UTF-8")
+    d = FX.table(spark, sf, "documents").select(
+        "doc_id", F.substring(b, 1, TX.MAX_TEXT_BYTES).alias("b"),
+        F.expr("substring(encode(text, 'UTF-8'), 1, octet_length(text) - 1)").alias("c"))
+    j, k = decode_lossy("b"), decode_lossy("c")
+    return d.select("doc_id", j.alias("text"), k.alias("text_cut"),
+                    ((j == decode_lossy_arrow("b")) & (k == decode_lossy_arrow("c"))).alias("agrees"))
 
 
 @register("first_n_words", """

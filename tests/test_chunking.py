@@ -35,3 +35,9 @@ def test_edge_cases(spark):
     rows = df.select(CH.chunk_triple(F.col("t"), F.col("x"), F.lit("text")).alias("c")).collect()
     assert [r["c"]["used"] for r in rows] == ["empty", "empty", "binary"]
     assert rows[2]["c"]["first"] == "[[binary content suppressed]]"
+
+
+def test_decode_limited_query_agrees_on_every_row(spark):
+    import __spark_entry__ as E
+    df = E.queries()["decode_limited"](spark, SF_SMALL)
+    assert df.where(~F.col("agrees")).count() == 0
