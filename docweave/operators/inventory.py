@@ -153,3 +153,29 @@ def compile_ignore_patterns(lines: DataFrame) -> DataFrame:
     c = lines.withColumn("_c", compile_ignore_line(F.col("line")))
     return c.where(F.col("_c.regex").isNotNull()).select(
         "project", "rule_dir", "level", "seq", "line", "_c.regex", "_c.negated", "_c.dir_only", "_c.anchored")
+
+
+# Ignore files honoured inside a tree and their precedence level (higher wins):
+# repository exclude file 1, version-control ignore files 2, generic ignore files 3.
+IGNORE_FILE_LEVELS = {".gitignore": 2, ".ignore": 3}
+EXCLUDE_FILE = ".git/info/exclude"
+
+
+def rules_from_inventory(corpus: DataFrame) -> DataFrame:
+    """Rules table from the ignore files found in the inventory itself (needs ``head``).
+
+    Each file's lines become rules of its directory (the exclude file's rules belong to the
+    repository root above ``.git``); lines are numbered so later lines win.
+    """
+    from .chunking import decode_lossy
+
+    name = P.path_name("path")
+    is_excl = (F.col("path") == EXCLUDE_FILE) | F.col("path").endswith("/" + EXCLUDE_FILE)
+    is_ign = name.isin(*IGNORE_FILE_LEVELS)
+    level = F.when(is_excl, F.lit(1))
+    for n, lv in IGNORE_FILE_LEVELS.items():
+        level = level.when(name == n, F.lit(lv))
+    rule_dir = F.when(is_excl, F.regexp_extract("path", r"^(.*?)/?\.git/info/exclude$", 1)).otherwise(P.parent_path("path"))
+    f = corpus.where(is_ign | is_excl).select("project", rule_dir.alias("rule_dir"), level.alias("level"),
+                                              F.posexplode(F.split(decode_lossy("head"), r"\r?\n")).alias("seq", "line"))
+    return compile_ignore_patterns(f.withColumn("seq", F.col("seq").cast("long")))

@@ -38,8 +38,17 @@ BROADCAST_CONTEXT_MAX = 20_000      # projects whose README snippets are broadca
 
 
 def filter_inventory(corpus: DataFrame, show_hidden: bool = False, ignore_dirs: list[str] | None = None,
-                     rules: DataFrame | None = None) -> DataFrame:
-    """J1 filters: hidden entries, pruned directory names, ignore rules."""
+                     rules: DataFrame | str | None = None) -> DataFrame:
+    """J1 filters: hidden entries, pruned directory names, ignore rules.
+
+    ``rules="inventory"`` takes the rules from the ignore files in the corpus itself (directory
+    scans); a DataFrame of rules (e.g. user-global ones, project null) is applied as given.
+    """
+    if isinstance(rules, str):
+        if rules != "inventory":
+            raise ValueError("rules must be a DataFrame, None or 'inventory'")
+        rules = INV.rules_from_inventory(corpus).select("project", "rule_dir", "level", "seq", "regex", "negated",
+                                                        "dir_only")
     inv = INV.drop_hidden(corpus, show_all=show_hidden)
     inv = INV.prune_dirs(inv, list(ignore_dirs or []))
     if rules is not None:

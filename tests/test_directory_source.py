@@ -41,3 +41,20 @@ def test_nested_states_from_scan(spark):
     root, _ = make_tree()
     got = [(r["project"], r["dir"]) for r in find_nested_states(scan_directory(spark, root=root, project="p")).collect()]
     assert got == [("p", "n")]                          # n/deep is below a state root, so not searched
+
+
+def test_ignore_files_in_the_tree(spark):
+    from docweave.plans.run import filter_inventory
+    root, files = make_tree()
+    extra = {".gitignore": b"*.dat\n# comment\nbuild/\n!keep.dat\n", "a/.gitignore": b"x.py\n",
+             "build/out.txt": b"o", "a/b/keep.dat": b"k", "a/y.py": b"y", "c/build": b"file named build"}
+    for p, b in extra.items():
+        full = os.path.join(root, p)
+        os.makedirs(os.path.dirname(full), exist_ok=True)
+        with open(full, "wb") as fh:
+            fh.write(b)
+    corpus = scan_directory(spark, root=root, project="p")
+    kept = sorted(r["path"] for r in filter_inventory(corpus, rules="inventory").collect())
+    # hidden entries dropped; *.dat ignored but keep.dat re-included; build/ is directory-only so the
+    # file c/build stays; a/x.py ignored by the deeper file
+    assert kept == ["_und/z.md", "a/__init__.py", "a/b/empty.txt", "a/b/keep.dat", "a/y.py", "c/build"]
