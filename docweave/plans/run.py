@@ -144,7 +144,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir: str,
         client: Callable[[dict], str], *, force: bool = False, ignore_dirs: list[str] | None = None,
-        rules: DataFrame | None = None, show_hidden: bool = False, nested: DataFrame | None = None,
+        rules: DataFrame | str | None = None, show_hidden: bool = False, nested: DataFrame | str | None = None,
         chunk_mode: str = "packed", n_words: int = CH.DEFAULT_WINDOW_WORDS,
         max_tokens: int = CH.DEFAULT_MAX_TOKENS, sizer: Callable[[str], int] = CH.approx_tokens,
         context_words: int = TX.CONTEXT_WORDS, run_ts: str | None = None, max_concurrency: int = 8,
@@ -171,6 +171,11 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
     if state is None:
         state = spark.createDataFrame([], "project string, path string, name string, content_hash string, "
                                           "hash_algo string, updated_at timestamp, doc " + ST.DOC_SCHEMA)
+    if isinstance(nested, str):
+        if nested != "inventory":
+            raise ValueError("nested must be a DataFrame, None or 'inventory'")
+        from ..sources.state_io import nested_states_from_inventory
+        nested = nested_states_from_inventory(corpus)
     prev = ST.merge_states(state, nested) if nested is not None else state
     plan_path = f"{base}/runs/{run_id}/plan"
     ST.plan_changes(inv, prev, force).write.mode("overwrite").parquet(plan_path)

@@ -5,7 +5,7 @@ inventory needs its own source. Partitions are directories: one per top-level di
 project root plus one for the files directly in the root, so a large tree is walked by many tasks.
 Each task walks its subtree without following symlinks, hashes every regular file in 1 MiB blocks
 (a file larger than a cell still works) and, unless ``with_content=false``, keeps the first
-2,000,000 bytes as ``head``. Unreadable entries are skipped, never a failure.
+2,000,000 bytes as ``head`` (state files, named by ``whole_names``, are kept whole). Unreadable entries are skipped, never a failure.
 
     spark.dataSource.register(CorpusDataSource)
     spark.read.format("corpus").option("root", "/repo").option("project", "repo").load()
@@ -32,9 +32,11 @@ class _Part(InputPartition):
         self.project, self.root, self.rel = project, root, rel  # rel None: files directly in root
 
 
-def _file_row(project: str, root: str, full: str, st: os.stat_result, with_content: bool):
+def _file_row(project: str, root: str, full: str, st: os.stat_result, with_content: bool,
+              whole: frozenset = frozenset()):
     h = hashlib.sha256()
     head = bytearray()
+    cap = None if os.path.basename(full).lower() in whole else MAX_HEAD
     try:
         with open(full, "rb") as fh:
             while True:
@@ -42,8 +44,8 @@ def _file_row(project: str, root: str, full: str, st: os.stat_result, with_conte
                 if not b:
                     break
                 h.update(b)
-                if with_content and len(head) < MAX_HEAD:
-                    head.extend(b[: MAX_HEAD - len(head)])
+                if with_content and (cap is None or len(head) < cap):
+                    head.extend(b if cap is None else b[: cap - len(head)])
     except OSError:
         return None
     rel = os.path.relpath(full, root).replace(os.sep, "/")
@@ -56,6 +58,8 @@ class CorpusReader(DataSourceReader):
         self.options = options
         self.with_content = str(options.get("with_content", "true")).lower() != "false"
         self.prune = {x for x in str(options.get("prune", "")).split(",") if x}
+        # state files are read whole (they are parsed as one document each)
+        self.whole = frozenset(x.lower() for x in str(options.get("whole_names", ".dirdocs.nuon,.dirdocs.nu,.dir.nuon")).split(",") if x)
 
     def _roots(self) -> list[tuple[str, str]]:
         if "parent" in self.options:
@@ -86,7 +90,8 @@ class CorpusReader(DataSourceReader):
             for e in entries:
                 try:
                     if e.is_file(follow_symlinks=False):
-                        row = _file_row(partition.project, root, e.path, e.stat(follow_symlinks=False), self.with_content)
+                        row = _file_row(partition.project, root, e.path, e.stat(follow_symlinks=False), self.with_content,
+                                        self.whole)
                         if row:
                             yield row
                 except OSError:
@@ -108,7 +113,7 @@ class CorpusReader(DataSourceReader):
                     if e.name not in self.prune:
                         stack.append(e.path)
                 elif stat.S_ISREG(st.st_mode):
-                    row = _file_row(partition.project, root, e.path, st, self.with_content)
+                    row = _file_row(partition.project, root, e.path, st, self.with_content, self.whole)
                     if row:
                         yield row
 

@@ -13,14 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.state import DOC_SCHEMA, flatten_state
+from ..operators.state import DOC_SCHEMA
 
 # Doc keys and the older alias keys accepted when reading.
 DOC_KEYS = {"description": ["fileDescription"],
             "joy": ["joyThisFileBrings", "howMuchJoyDoesThisFileBringYou"],
             "emoji": ["personalityEmoji", "emojiThatExpressesThisFilesPersonality"]}
 
-FLAT_SCHEMA = ("project string, path string, name string, content_hash string, updated_at string, "
+FLAT_SCHEMA = ("project string, base string, path string, name string, content_hash string, updated_at string, "
                "description string, joy string, emoji string, ord long, bad_records long")
 
 
@@ -64,7 +64,8 @@ def _walk(nodes, project, rows, counter):
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for project, text in zip(pdf["project"], pdf["json"]):
+        bases = pdf["base"] if "base" in pdf.columns else [""] * len(pdf)
+        for project, base, text in zip(pdf["project"], bases, pdf["json"]):
             try:
                 tree = json.loads(text)
             except (TypeError, ValueError):
@@ -73,21 +74,47 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             rows, bad = [], [0]
             _walk(tree.get("entries"), project, rows, bad)
-            out.extend(r + [bad[0]] for r in rows)
-        yield pd.DataFrame(out, columns=["project", "path", "name", "content_hash", "updated_at", "description", "joy",
-                                         "emoji", "ord", "bad_records"])
+            out.extend([r[0], base] + r[1:] + [bad[0]] for r in rows)
+        yield pd.DataFrame(out, columns=["project", "base", "path", "name", "content_hash", "updated_at", "description",
+                                         "joy", "emoji", "ord", "bad_records"])
 
 
 def read_state_trees(trees: DataFrame) -> DataFrame:
-    """``(project, json)`` nested trees -> flat state rows; a duplicate path within one tree keeps
-    the later record."""
-    flat = trees.select("project", "json").mapInPandas(_parse, FLAT_SCHEMA)
-    s = flatten_state(flat.drop("bad_records"))
-    return s.select("project", "path", "name", "content_hash", F.lit("sha256").alias("hash_algo"),
+    """``(project, json[, base])`` nested trees -> flat state rows (``base`` kept when given); a
+    duplicate path within one tree keeps the later record."""
+    has_base = "base" in trees.columns
+    flat = trees.select("project", "json", *(["base"] if has_base else [])).mapInPandas(_parse, FLAT_SCHEMA)
+    flat = flat.drop("bad_records")
+    keys = ["project", "base"] if has_base else ["project"]
+    if not has_base:
+        flat = flat.drop("base")
+    # last record wins per (tree, path)
+    other = [c for c in flat.columns if c not in keys + ["path", "ord"]]
+    s = flat.groupBy(*keys, "path").agg(F.max_by(F.struct(*other), "ord").alias("r")).select(*keys, "path", "r.*")
+    return s.select(*keys, "path", "name", "content_hash", F.lit("sha256").alias("hash_algo"),
                     F.to_timestamp("updated_at").alias("updated_at"),
                     F.struct("description", "joy", "emoji").cast(DOC_SCHEMA).alias("doc"))
 
 
+def nested_states_from_inventory(corpus: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Nested states found in a scanned tree, ready for ``merge_states``: ``base`` is the nested
+    root's directory. Top-most roots only; per root the first existing name in list order; the
+    files' text comes from the scan (state files are read whole). Fully distributed."""
+    from ..functions import paths as P
+    from ..operators.chunking import decode_lossy
+    from ..operators.state import NESTED_STATE_NAMES, find_nested_states
+
+    names = [n.lower() for n in (names or NESTED_STATE_NAMES)]
+    roots = find_nested_states(corpus.select("project", "path"), names)
+    arr = F.array(*[F.lit(n) for n in names])
+    files = corpus.where(F.lower(P.path_name("path")).isin(*names)).select(
+        "project", P.parent_path("path").alias("dir"), F.array_position(arr, F.lower(P.path_name("path"))).alias("pos"),
+        decode_lossy("head").alias("json"))
+    pick = files.join(roots, ["project", "dir"], "left_semi").groupBy("project", "dir") \
+        .agg(F.min_by("json", "pos").alias("json"))
+    return read_state_trees(pick.select("project", F.col("dir").alias("base"), "json"))
+
+
 def read_state_files(spark, paths: list[str], project_from_path: str = r"([^/]+)/[^/]+$") -> DataFrame:
     """Read nested state files whole (one row per file); the project is taken from the path."""
     t = spark.read.text(paths, wholetext=True).withColumn("file", F.input_file_name())

@@ -58,3 +58,33 @@ def test_ignore_files_in_the_tree(spark):
     # hidden entries dropped; *.dat ignored but keep.dat re-included; build/ is directory-only so the
     # file c/build stays; a/x.py ignored by the deeper file
     assert kept == ["_und/z.md", "a/__init__.py", "a/b/empty.txt", "a/b/keep.dat", "a/y.py", "c/build"]
+
+
+def test_nested_state_in_the_tree_is_merged(spark):
+    import hashlib
+    import json
+
+    from pyspark.sql import functions as F
+
+    from docweave.operators.enrich import DeterministicClient
+    from docweave.plans.run import run
+    root = tempfile.mkdtemp(prefix="dw-nested-")
+    body = b"# nested file\nsome text\n"
+    os.makedirs(os.path.join(root, "n"))
+    with open(os.path.join(root, "n", "x.md"), "wb") as fh:
+        fh.write(body)
+    with open(os.path.join(root, "top.md"), "wb") as fh:
+        fh.write(b"top\n")
+    tree = {"root": "n", "updated_at": "2024-05-01T00:00:00Z", "entries": [
+        {"kind": "file", "name": "x.md", "path": "x.md", "hash": hashlib.sha256(body).hexdigest(),
+         "updated_at": "2024-05-01T00:00:00Z",
+         "doc": {"fileDescription": "Nested doc", "howMuchJoyDoesThisFileBringYou": 5, "personalityEmoji": "e"}}]}
+    with open(os.path.join(root, "n", ".dirdocs.nu"), "w") as fh:
+        json.dump(tree, fh)
+    corpus = scan_directory(spark, root=root, project="p")
+    out = tempfile.mkdtemp(prefix="dw-nested-out-")
+    r = run(spark, corpus, None, out, DeterministicClient(), nested="inventory", chunk_mode="window")
+    acts = {x["path"]: x["action"] for x in r.plan.collect()}
+    assert acts == {"n/x.md": "reuse", "top.md": "new"}
+    got = r.state.where(F.col("path") == "n/x.md").select("doc.description", "doc.joy").first()
+    assert (got[0], got[1]) == ("Nested doc", "5")
