@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as TX
 from ..functions.answer import emoji_presentation
+from ..session import materialize
 
 KEY = ["project", "path"]
 SKEW_CHILDREN = 1_000_000
@@ -106,7 +107,8 @@ def _sort_key(path: Column, is_dir: Column) -> Column:
     return F.array_join(enc, "")
 
 
-def tree_lines(files: DataFrame, annotations: DataFrame, style: str = "classic", root_label: Column | None = None) -> DataFrame:
+def tree_lines(files: DataFrame, annotations: DataFrame, style: str = "classic", root_label: Column | None = None,
+               write_nodes: bool = True) -> DataFrame:
     """Tree view lines ``project, path, depth, sort_key, line`` (root line has path '' and depth 0).
 
     Filters (hidden, pruned names, ignore rules) are applied to ``files`` by the caller; directories
@@ -120,6 +122,9 @@ def tree_lines(files: DataFrame, annotations: DataFrame, style: str = "classic",
                          P.path_name("path").alias("name"), P.depth("path").alias("depth"))
     sib = F.struct(F.when(F.col("is_dir"), 0).otherwise(1).alias("k"), F.lower("name").alias("l"), F.col("name").alias("n"))
     nodes = nodes.withColumn("_sib", sib)
+    if write_nodes:  # used four times below: scan, explode and distinct once, from the shared folder
+        nodes = materialize(nodes, "tree-nodes")
+        dirs = nodes.where("is_dir").select("project", "path")
     # per directory: its last child (a partial max) ...
     last = nodes.groupBy("project", "parent_path").agg(F.max("_sib").alias("_max"))
     dirs_last = nodes.where("is_dir").join(last, ["project", "parent_path"], "inner") \
