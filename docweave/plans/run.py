@@ -168,6 +168,7 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
 
     # J1 + J3: inventory, merged previous state, change plan (narrow), written
     inv = filter_inventory(corpus, show_hidden, ignore_dirs, rules)
+    first_run = state is None and nested is None
     if state is None:
         state = spark.createDataFrame([], "project string, path string, name string, content_hash string, "
                                           "hash_algo string, updated_at timestamp, doc " + ST.DOC_SCHEMA)
@@ -177,11 +178,6 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
         from ..sources.state_io import nested_states_from_inventory
         nested = nested_states_from_inventory(corpus)
     prev = ST.merge_states(state, nested) if nested is not None else state
-    plan_path = f"{base}/runs/{run_id}/plan"
-    ST.plan_changes(inv, prev, force).write.mode("overwrite").parquet(plan_path)
-    plan = spark.read.parquet(plan_path)
-    counts = {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_dirty = sum(v for k, v in counts.items() if k != "reuse")
 
     # Project context (one row per project), written
     ctx_path = f"{base}/runs/{run_id}/context"
@@ -189,13 +185,29 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
     context = spark.read.parquet(ctx_path)
     n_projects = context.count()
 
-    # J4 + J6: prompts for dirty rows only
-    inputs = prompt_inputs_for_dirty(inv, plan, context, n_dirty, chunk_mode, n_words, max_tokens, sizer, n_projects,
-                                     text_rule)
-    prompts = build_prompts(inputs, template, escape_html, root_prefix, operating_system)
+    plan_path = f"{base}/runs/{run_id}/plan"
     prompts_path = f"{base}/runs/{run_id}/prompts"
-    prompts.write.mode("overwrite").parquet(prompts_path)
-    prompts = spark.read.parquet(prompts_path)
+    if first_run:
+        # no previous state: every file is new, so the prompts come straight from the scan (content
+        # read once) and the plan follows from the written prompts
+        inputs = prompt_inputs(inv, context, chunk_mode, n_words, max_tokens, sizer, n_projects, text_rule)
+        build_prompts(inputs, template, escape_html, root_prefix, operating_system) \
+            .write.mode("overwrite").parquet(prompts_path)
+        prompts = spark.read.parquet(prompts_path)
+        prompts.select(*KEY, "content_hash", F.lit("new").alias("action"), F.lit(None).cast("string").alias("prev_hash"),
+                       F.lit(None).cast("string").alias("prev_description")).write.mode("overwrite").parquet(plan_path)
+        plan = spark.read.parquet(plan_path)
+    else:
+        ST.plan_changes(inv, prev, force).write.mode("overwrite").parquet(plan_path)
+        plan = spark.read.parquet(plan_path)
+        counts = {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
+        n_dirty = sum(v for k, v in counts.items() if k != "reuse")
+        # J4 + J6: prompts for dirty rows only
+        inputs = prompt_inputs_for_dirty(inv, plan, context, n_dirty, chunk_mode, n_words, max_tokens, sizer,
+                                         n_projects, text_rule)
+        build_prompts(inputs, template, escape_html, root_prefix, operating_system) \
+            .write.mode("overwrite").parquet(prompts_path)
+        prompts = spark.read.parquet(prompts_path)
 
     # Enrichment with resume (answers appended; earlier answers for the same key are reused)
     answers_path = f"{base}/answers/run_id={run_id}"
