@@ -14,3 +14,12 @@ def col_or_lit(x) -> Column:
 def sql_str(s: str) -> str:
     """Quote a Python string as a SQL string literal."""
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-element ``transform``).
+
+    Spark does not share a subexpression that several CASE branches repeat; binding it here keeps a
+    regex or split over a large text from running once per reference.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

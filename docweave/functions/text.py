@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._util import col_or_lit
+from ._util import col_or_lit, let
 
 # Fixed values that must equal the reference's.
 TEXT_SAMPLE_BYTES = 4096          # caller's sample for the text test
@@ -133,17 +133,21 @@ def is_probably_text(head, limit: int = TEXT_SAMPLE_BYTES, rule: str = "bytes")
     and undecodable bytes count against.
     """
     k = min(limit, TEXT_SAMPLE_CAP)
-    sample = latin1(head, k)
-    n = F.length(sample)
-    nul = F.instr(sample, "\u0000") > 0
     if rule == "utf8":
-        chars = F.make_valid_utf8(F.substring(col_or_lit(head), 1, k).cast("string"))
-        m = F.length(chars)
-        bad = F.length(F.regexp_replace(chars, "[^\\p{Cc}\uFFFD]|[\n\r\t]", ""))
-        return F.when(n == 0, F.lit(True)).when(nul, F.lit(False)).otherwise((m - bad) * 100 >= m * PRINTABLE_PERCENT)
-    printable = F.length(F.regexp_replace(sample, "[^\\n\\r\\t\\x20-\\x7E]", ""))
-    return F.when(n == 0, F.lit(True)).when(nul, F.lit(False)) \
-        .otherwise(printable * 100 >= n * PRINTABLE_PERCENT)
+        def judge_utf8(chars):
+            m = F.length(chars)
+            bad = F.length(F.regexp_replace(chars, "[^\\p{Cc}\uFFFD]|[\n\r\t]", ""))
+            return F.when(m == 0, F.lit(True)).when(F.instr(chars, "\u0000") > 0, F.lit(False)) \
+                .otherwise((m - bad) * 100 >= m * PRINTABLE_PERCENT)
+        return let(F.make_valid_utf8(F.substring(col_or_lit(head), 1, k).cast("string")), judge_utf8)
+
+    def judge(sample):
+        n = F.length(sample)
+        printable = F.length(F.regexp_replace(sample, "[^\\n\\r\\t\\x20-\\x7E]", ""))
+        return F.when(n == 0, F.lit(True)).when(F.instr(sample, "\u0000") > 0, F.lit(False)) \
+            .otherwise(printable * 100 >= n * PRINTABLE_PERCENT)
+
+    return let(latin1(head, k), judge)
 
 
 # Content signatures checked on the first bytes (fixed values; short list, not a full database).
@@ -211,20 +215,33 @@ def preview(t, max_bytes: int = PREVIEW_BYTES) -> Column:
         F.concat(head, F.lit(PREVIEW_ELLIPSIS + " ("), total.cast("string"), F.lit(" bytes total)")))
 
 
+_CONTROL_CLASS = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F\\u2028\\u2029\\uFEFF]"
+
+
 def sanitize_yaml_text(t) -> Column:
-    """Drop control characters other than LF, CR, TAB; U+2028, U+2029, U+FEFF become spaces."""
-    s = F.regexp_replace(col_or_lit(t), r"[\p{Cc}&&[^\n\r\t]]", "")
-    return F.translate(s, "\u2028\u2029\ufeff", "   ")
+    """Drop control characters other than LF, CR, TAB; U+2028, U+2029, U+FEFF become spaces.
+
+    A plain range class finds the (rare) rows that need it; only those run the replacement.
+    """
+    c = col_or_lit(t)
+    fixed = F.translate(F.regexp_replace(c, _CONTROL_CLASS.replace("\\u2028\\u2029\\uFEFF", ""), ""),
+                        "\u2028\u2029\ufeff", "   ")
+    return F.when(c.rlike(_CONTROL_CLASS), fixed).otherwise(c)
 
 
 def indent_lines(t, n: int = 2) -> Column:
     """Prefix every line with ``n`` spaces; CRLF becomes LF, one final line ending is dropped,
-    empty stays empty. Literal replacements only (no end-of-input regex subtleties)."""
-    s = col_or_lit(t)
+    empty stays empty. Literal replacements only (no end-of-input regex subtleties); the input and
+    the LF-normalised text are each computed once."""
     pad = " " * n
-    lf = F.replace(s, F.lit("\r\n"), F.lit("\n"))
-    body = F.when(lf.endswith("\n"), lf.substr(F.lit(1), F.length(lf) - 1)).otherwise(lf)
-    return F.when(s == "", F.lit("")).otherwise(F.concat(F.lit(pad), F.replace(body, F.lit("\n"), F.lit("\n" + pad))))
+
+    def body(s):
+        def with_lf(lf):
+            trimmed = F.when(lf.endswith("\n"), lf.substr(F.lit(1), F.length(lf) - 1)).otherwise(lf)
+            return F.concat(F.lit(pad), F.replace(trimmed, F.lit("\n"), F.lit("\n" + pad)))
+        return F.when(s == "", F.lit("")).otherwise(let(F.replace(s, F.lit("\r\n"), F.lit("\n")), with_lf))
+
+    return let(col_or_lit(t), body)
 
 
 REGEX_META = r"([\\.+*?()|\[\]{}^$#&\-~])"

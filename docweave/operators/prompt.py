@@ -84,15 +84,18 @@ def prompt_fields(df: DataFrame, root_prefix: str = "/", operating_system: str =
 
     name = F.col("name") if "name" in df.columns else P.path_name("path")
     stem = P.stem(name)
+    # the README field has one value per project: use it when the context already carries it prepared
+    doc = F.col("project_documentation") if "project_documentation" in df.columns else prep(F.col("snippet"))
+    keep = [c for c in df.columns if c != "project_documentation"]
     return df.select(
-        "*",
+        *keep,
         F.concat(F.lit(root_prefix), F.col("project"), F.lit("/"), F.col("path")).alias("filename"),
         TX.human_bytes("size").alias("filesize"),
         F.col("file_type").alias("filetype"),
         F.col("content_type").alias("mimetype"),
         F.lit(operating_system).alias("operating_system"),
         F.col("documented").alias("project_is_documented"),
-        prep(F.col("snippet")).alias("project_documentation"),
+        doc.alias("project_documentation"),
         prep(F.col("chunks.first")).alias("chunk_one"),
         prep(F.col("chunks.mid")).alias("chunk_two"),
         prep(F.col("chunks.last")).alias("chunk_three"),

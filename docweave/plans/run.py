@@ -106,10 +106,14 @@ def prompt_inputs(content: DataFrame, context: DataFrame, chunk_mode: str = "pac
     text = CH.decode_lossy("head")
     fp = fp.withColumn("chunks", CH.chunk_triple(text, F.col("is_text"), F.col("splitter"), mode=chunk_mode,
                                                  n_words=n_words, max_tokens=max_tokens, sizer=sizer)).drop("head")
+    # the README field is prepared once per project, not once per file
+    context = context.withColumn("project_documentation",
+                                 TX.indent_lines(TX.sanitize_yaml_text(F.col("snippet")), 2))
     ctx = F.broadcast(context) if n_projects is not None and n_projects <= BROADCAST_CONTEXT_MAX else context
     j = fp.join(ctx, "project", "left")
     return j.withColumn("documented", F.coalesce("documented", F.lit("false"))) \
-        .withColumn("snippet", F.coalesce("snippet", F.lit("")))
+        .withColumn("snippet", F.coalesce("snippet", F.lit(""))) \
+        .withColumn("project_documentation", F.coalesce("project_documentation", F.lit("")))
 
 
 @dataclass
@@ -151,7 +155,7 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
         template: dict | None = None, escape_html: bool = True, keep_previous_on_error: bool = False,
         operating_system: str = "linux", root_prefix: str = "/", sleep=None,
         resume_run_id: str | None = None, partial: bool = False, text_rule: str = "bytes",
-        wave_rows: int = 50_000) -> RunResult:
+        wave_rows: int = 50_000, timings: dict | None = None) -> RunResult:
     """One incremental documentation run; returns the written plan, answers, state and summary.
 
     ``resume_run_id`` re-enters an interrupted run: its answers without error are kept and only
@@ -163,6 +167,13 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
     import time as _time
 
     run_id = resume_run_id or uuid.uuid4().hex[:12]
+    clock = [_time.time()]
+
+    def lap(name: str) -> None:
+        if timings is not None:
+            now = _time.time()
+            timings[name] = round(timings.get(name, 0.0) + now - clock[0], 3)
+            clock[0] = now
     run_ts = run_ts or _time.strftime("%Y-%m-%d %H:%M:%S", _time.gmtime())
     base = out_dir.rstrip("/")
 
@@ -184,6 +195,7 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
     CO.project_context(inv, inv.select("project"), context_words).write.mode("overwrite").parquet(ctx_path)
     context = spark.read.parquet(ctx_path)
     n_projects = context.count()
+    lap("context")
 
     plan_path = f"{base}/runs/{run_id}/plan"
     prompts_path = f"{base}/runs/{run_id}/prompts"
@@ -197,17 +209,20 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
         prompts.select(*KEY, "content_hash", F.lit("new").alias("action"), F.lit(None).cast("string").alias("prev_hash"),
                        F.lit(None).cast("string").alias("prev_description")).write.mode("overwrite").parquet(plan_path)
         plan = spark.read.parquet(plan_path)
+        lap("prompts")
     else:
         ST.plan_changes(inv, prev, force).write.mode("overwrite").parquet(plan_path)
         plan = spark.read.parquet(plan_path)
         counts = {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
         n_dirty = sum(v for k, v in counts.items() if k != "reuse")
+        lap("plan")
         # J4 + J6: prompts for dirty rows only
         inputs = prompt_inputs_for_dirty(inv, plan, context, n_dirty, chunk_mode, n_words, max_tokens, sizer,
                                          n_projects, text_rule)
         build_prompts(inputs, template, escape_html, root_prefix, operating_system) \
             .write.mode("overwrite").parquet(prompts_path)
         prompts = spark.read.parquet(prompts_path)
+        lap("prompts")
 
     # Enrichment with resume (answers appended; earlier answers for the same key are reused)
     answers_path = f"{base}/answers/run_id={run_id}"
@@ -223,6 +238,7 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
         EN.enrich(todo.where(wave == w), client, max_concurrency, **kw).write.mode("append").parquet(answers_path)
     if not n_todo and not _exists(spark, answers_path):
         spark.createDataFrame([], EN.ANSWER_SCHEMA).write.mode("append").parquet(answers_path)
+    lap("enrich")
     all_answers = spark.read.parquet(answers_path)
     # an answer without error beats a failed one; among equals the later call wins
     latest = all_answers.groupBy(*ANSWER_KEY).agg(F.max_by(
@@ -245,6 +261,7 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
     new_state.write.mode("overwrite").partitionBy("project").parquet(state_path)
     spark.createDataFrame([(run_id,)], "run_id string").coalesce(1).write.mode("overwrite").text(f"{base}/state/CURRENT")
     state_out = spark.read.parquet(state_path)
+    lap("state")
 
     # summary
     stale = ST.stale_keys(prev, inv) if not partial else prev.select(*KEY).limit(0)
