@@ -228,7 +228,9 @@ def chunk_triple(text, is_text, splitter, mode: str = "window", n_words: int = D
     t = col_or_lit(text)
     txt = col_or_lit(is_text)
     blank = TX.is_blank(t)
-    picked = pick_three_window(t, n_words) if mode == "window" else packed_pick_three_udf(max_tokens, sizer)(t)
+    # the Arrow UDF runs as its own operator over every row: hand it null for binary and blank rows
+    picked = pick_three_window(t, n_words) if mode == "window" else \
+        packed_pick_three_udf(max_tokens, sizer)(F.when(txt & ~blank, t))
     ph = F.lit(TX.BINARY_PLACEHOLDER)
 
     def build(p):
