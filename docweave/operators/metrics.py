@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 ACTIONS = ["new", "changed", "reuse", "forced"]
 
 
-def run_summary(plan: DataFrame, prev_state: DataFrame, stale: DataFrame) -> DataFrame:
-    """Per project: files walked, previous records, counts per action, stale records.
+def run_summary(plan: DataFrame, prev_state: DataFrame, stale: DataFrame, nested: DataFrame | None = None,
+                new_state: DataFrame | None = None) -> DataFrame:
+    """Per project: files walked, previous records, counts per action, stale records; with
+    ``nested`` the number of nested states and their rows, with ``new_state`` the records written.
 
     Each input is reduced by a partial aggregation before the (small, per-project) joins.
     """
@@ -19,9 +21,29 @@ def run_summary(plan: DataFrame, prev_state: DataFrame, stale: DataFrame) -> Dat
     e = prev_state.groupBy("project").agg(F.count(F.lit(1)).alias("existing"))
     s = stale.groupBy("project").agg(F.count(F.lit(1)).alias("stale"))
     out = w.join(e, "project", "left").join(s, "project", "left")
-    return out.select("project", F.col("walked").cast("long"), F.coalesce("existing", F.lit(0)).cast("long").alias("existing"),
-                      *[F.col(f"n_{a}").cast("long") for a in ACTIONS],
-                      F.coalesce("stale", F.lit(0)).cast("long").alias("stale"))
+    cols = ["project", F.col("walked").cast("long"), F.coalesce("existing", F.lit(0)).cast("long").alias("existing"),
+            *[F.col(f"n_{a}").cast("long") for a in ACTIONS], F.coalesce("stale", F.lit(0)).cast("long").alias("stale")]
+    if nested is not None:
+        n = nested.groupBy("project").agg(F.count_distinct("base").alias("nested_states"),
+                                          F.count(F.lit(1)).alias("nested_rows"))
+        out = out.join(n, "project", "left")
+        cols += [F.coalesce("nested_states", F.lit(0)).cast("long").alias("nested_states"),
+                 F.coalesce("nested_rows", F.lit(0)).cast("long").alias("nested_rows")]
+    if new_state is not None:
+        u = new_state.groupBy("project").agg(F.count(F.lit(1)).alias("updated"))
+        out = out.join(u, "project", "left")
+        cols += [F.coalesce("updated", F.lit(0)).cast("long").alias("updated")]
+    return out.select(*cols)
+
+
+def nested_summary(own: DataFrame, nested: DataFrame, base_col: str = "base") -> DataFrame:
+    """Per nested state: its rows and how many keys it added to the own state (after rebasing)."""
+    reb = nested.select("project", base_col,
+                        F.concat_ws("/", F.nullif(F.col(base_col), F.lit("")), F.col("path")).alias("path"))
+    known = own.select("project", "path").withColumn("_own", F.lit(True))
+    j = reb.join(known, ["project", "path"], "left")
+    return j.groupBy("project", base_col).agg(F.count(F.lit(1)).alias("rows"),
+                                              F.count_if(F.col("_own").isNull()).alias("added"))
 
 
 def file_metrics(fingerprints: DataFrame, triples: DataFrame, answers: DataFrame | None = None) -> DataFrame:

@@ -156,12 +156,25 @@ w as (select project, count(*) as walked, count(*) filter (where action = 'new')
         count(*) filter (where action = 'forced') as n_forced from plan group by project),
 e as (select project, count(*) as existing from prev_v group by project),
 s as (select project, count(*) as stale from prev_v p
-      where not exists (select 1 from corpus_v c where c.project = p.project and c.path = p.path) group by project)
+      where not exists (select 1 from corpus_v c where c.project = p.project and c.path = p.path) group by project),
+n as (select project, count(distinct base) as nested_states, count(*) as nested_rows from nested_v group by project)
 select w.project, w.walked, coalesce(e.existing, 0) as existing, w.n_new, w.n_changed, w.n_reuse, w.n_forced,
-  coalesce(s.stale, 0) as stale
-from w left join e using (project) left join s using (project)""", ("corpus_v", "prev_v"))
+  coalesce(s.stale, 0) as stale, coalesce(n.nested_states, 0) as nested_states, coalesce(n.nested_rows, 0) as nested_rows
+from w left join e using (project) left join s using (project) left join n using (project)""",
+          ("corpus_v", "prev_v", "nested_v"))
 def run_summary(spark, sf):
-    c = corpus_from_table(_corpus(spark, sf))
-    prev = ST.as_state(FX.prev_v(spark, sf))
+    cv = _corpus(spark, sf)
+    c = corpus_from_table(cv)
+    prev = ST.as_state(FX.prev_v(spark, sf, cv))
     plan = ST.plan_changes(c, prev)
-    return M.run_summary(plan, prev, ST.stale_keys(prev, c))
+    return M.run_summary(plan, prev, ST.stale_keys(prev, c), nested=FX.nested_v(spark, sf, cv))
+
+
+@register("nested_summary", """
+select n.project, n.base, count(*) as rows, count(*) filter (where p.path is null) as added
+from (select project, base, concat_ws('/', nullif(base, ''), path) as path from nested_v) n
+left join prev_v p using (project, path)
+group by n.project, n.base""", ("nested_v", "prev_v"))
+def nested_summary(spark, sf):
+    cv = _corpus(spark, sf)
+    return M.nested_summary(FX.prev_v(spark, sf, cv), FX.nested_v(spark, sf, cv))

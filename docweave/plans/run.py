@@ -265,7 +265,8 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
 
     # summary
     stale = ST.stale_keys(prev, inv) if not partial else prev.select(*KEY).limit(0)
-    summary = M.run_summary(plan, prev, stale)
+    summary = M.run_summary(plan, prev, stale, nested=nested if isinstance(nested, DataFrame) else None,
+                            new_state=state_out)
     return RunResult(run_id, plan, answers, state_out, summary, state_path)
 
 
