@@ -34,7 +34,7 @@ KEY = ["project", "path"]
 ANSWER_KEY = ["project", "path", "content_hash", "prompt_hash"]
 BROADCAST_KEYS_MAX = 2_000_000      # dirty keys broadcast to filter the content scan map-side
 BROADCAST_HASHES_MAX = 20_000_000   # 64-bit key hashes broadcast as the map-side filter
-BROADCAST_CONTEXT_MAX = 20_000      # projects whose README snippets are broadcast
+BROADCAST_CONTEXT_MAX = 2_000       # projects whose README fields (~6 KB each) are broadcast
 
 
 def filter_inventory(corpus: DataFrame, show_hidden: bool = False, ignore_dirs: list[str] | None = None,
