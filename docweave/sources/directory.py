@@ -1,8 +1,9 @@
 """Directory scan (S1) as a Python Data Source named ``corpus``.
 
 Spark's ``binaryFile`` source skips names starting with ``_`` or ``.`` and empty files, so the
-inventory needs its own source. Partitions are directories: one per top-level directory of each
-project root plus one for the files directly in the root, so a large tree is walked by many tasks.
+inventory needs its own source. Partitions are directories: the files directly in each directory above
+``split_depth`` form one partition, and each directory at ``split_depth`` is walked as one subtree,
+so a large tree is walked by many tasks.
 Each task walks its subtree without following symlinks, hashes every regular file in 1 MiB blocks
 (a file larger than a cell still works) and, unless ``with_content=false``, keeps the first
 2,000,000 bytes as ``head`` (state files, named by ``whole_names``, are kept whole). Unreadable entries are skipped, never a failure.
@@ -28,8 +29,9 @@ SCHEMA = ("project string, path string, size long, mtime timestamp, head binary,
 
 
 class _Part(InputPartition):
-    def __init__(self, project: str, root: str, rel: str | None):
-        self.project, self.root, self.rel = project, root, rel  # rel None: files directly in root
+    def __init__(self, project: str, root: str, rel: str, files_only: bool):
+        # files_only: the files directly in ``rel``; else the whole subtree below ``rel``
+        self.project, self.root, self.rel, self.files_only = project, root, rel, files_only
 
 
 def _file_row(project: str, root: str, full: str, st: os.stat_result, with_content: bool,
@@ -59,6 +61,7 @@ class CorpusReader(DataSourceReader):
         self.with_content = str(options.get("with_content", "true")).lower() != "false"
         self.prune = {x for x in str(options.get("prune", "")).split(",") if x}
         # state files are read whole (they are parsed as one document each)
+        self.split_depth = max(1, int(options.get("split_depth", "2")))
         self.whole = frozenset(x.lower() for x in str(options.get("whole_names", ".dirdocs.nuon,.dirdocs.nu,.dir.nuon")).split(",") if x)
 
     def _roots(self) -> list[tuple[str, str]]:
@@ -69,35 +72,45 @@ class CorpusReader(DataSourceReader):
         return [(self.options.get("project", os.path.basename(os.path.abspath(root))), root)]
 
     def partitions(self):
+        """Directories down to ``split_depth`` are listed on the driver (metadata only): the files
+        directly in them form one partition each, and every directory at that depth is one subtree
+        partition, so a single huge top-level directory is still walked by many tasks."""
         parts = []
         for project, root in self._roots():
-            parts.append(_Part(project, root, None))
-            try:
-                for e in os.scandir(root):
-                    if e.is_dir(follow_symlinks=False) and e.name not in self.prune:
-                        parts.append(_Part(project, root, e.name))
-            except OSError:
-                continue
+            frontier = [""]
+            for _ in range(self.split_depth):
+                nxt = []
+                for rel in frontier:
+                    parts.append(_Part(project, root, rel, True))
+                    try:
+                        for e in os.scandir(os.path.join(root, rel)):
+                            if e.is_dir(follow_symlinks=False) and e.name not in self.prune:
+                                nxt.append(f"{rel}/{e.name}" if rel else e.name)
+                    except OSError:
+                        continue
+                frontier = nxt
+            parts.extend(_Part(project, root, rel, False) for rel in frontier)
         return parts
 
     def read(self, partition: _Part):
         root = partition.root
-        if partition.rel is None:
+        start = os.path.join(root, partition.rel) if partition.rel else root
+        if partition.files_only:
             try:
-                entries = list(os.scandir(root))
+                entries = list(os.scandir(start))
             except OSError:
                 return
             for e in entries:
                 try:
-                    if e.is_file(follow_symlinks=False):
-                        row = _file_row(partition.project, root, e.path, e.stat(follow_symlinks=False), self.with_content,
-                                        self.whole)
-                        if row:
-                            yield row
+                    st = e.stat(follow_symlinks=False)
                 except OSError:
                     continue
+                if stat.S_ISREG(st.st_mode):
+                    row = _file_row(partition.project, root, e.path, st, self.with_content, self.whole)
+                    if row:
+                        yield row
             return
-        stack = [os.path.join(root, partition.rel)]
+        stack = [start]
         while stack:
             d = stack.pop()
             try:

@@ -88,3 +88,20 @@ def test_nested_state_in_the_tree_is_merged(spark):
     assert acts == {"n/x.md": "reuse", "top.md": "new"}
     got = r.state.where(F.col("path") == "n/x.md").select("doc.description", "doc.joy").first()
     assert (got[0], got[1]) == ("Nested doc", "5")
+
+
+def test_split_depth_does_not_change_the_inventory(spark):
+    root, files = make_tree()
+    deep = {f"big/d{i}/f{j}.txt": b"x" * j for i in range(5) for j in range(3)}
+    for p, b in deep.items():
+        full = os.path.join(root, p)
+        os.makedirs(os.path.dirname(full), exist_ok=True)
+        with open(full, "wb") as fh:
+            fh.write(b)
+    from docweave.sources.directory import CorpusDataSource
+    spark.dataSource.register(CorpusDataSource)
+    got = {}
+    for depth in (1, 2, 3):
+        df = spark.read.format("corpus").option("root", root).option("project", "p").option("split_depth", str(depth)).load()
+        got[depth] = sorted((r["path"], r["content_hash"]) for r in df.collect())
+    assert got[1] == got[2] == got[3] and len(got[1]) == len(files) + len(deep)
