@@ -16,10 +16,11 @@ from ..functions.answer import emoji_presentation, joy_text
 from ..functions.text import trim_ws
 
 KEY = ["project", "path"]
-# File names of nested states searched below a root (ASCII case-insensitive) and
-# the file name that marks a documented root for the list and tree views.
+# Fixed values (file names existing state trees carry): the names of nested states searched below
+# a root (ASCII case-insensitive) and the name that marks a documented root for list and tree views.
 NESTED_STATE_NAMES = [".dirdocs.nu", ".dir.nuon"]
 ROOT_STATE_NAME = ".dirdocs.nuon"
+ALL_STATE_NAMES = [ROOT_STATE_NAME, *NESTED_STATE_NAMES]
 DOC_SCHEMA = "struct<description:string,joy:string,emoji:string>"
 
 

@@ -62,7 +62,9 @@ class CorpusReader(DataSourceReader):
         self.prune = {x for x in str(options.get("prune", "")).split(",") if x}
         # state files are read whole (they are parsed as one document each)
         self.split_depth = max(1, int(options.get("split_depth", "2")))
-        self.whole = frozenset(x.lower() for x in str(options.get("whole_names", ".dirdocs.nuon,.dirdocs.nu,.dir.nuon")).split(",") if x)
+        from ..operators.state import ALL_STATE_NAMES
+        names = options.get("whole_names", ",".join(ALL_STATE_NAMES))
+        self.whole = frozenset(x.lower() for x in str(names).split(",") if x)
 
     def _roots(self) -> list[tuple[str, str]]:
         if "parent" in self.options:
