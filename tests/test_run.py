@@ -96,3 +96,23 @@ def test_waves_and_resume(spark):
     r2 = run(spark, corpus, None, out, Spy(), chunk_mode="window", resume_run_id=r1.run_id, run_ts="2025-01-01 00:00:00")
     assert r2.answers.count() == n and not calls           # every answer of the run is reused
     assert before == sorted(r2.state.select("path", "doc.description").collect())
+
+
+def test_keep_previous_on_error(spark):
+    """A forced rerun whose answer fails keeps the earlier doc only when asked to."""
+    cv = FX.corpus_v(spark, SF_SMALL)
+    corpus = corpus_from_table(cv)
+    good = DeterministicClient()
+
+    class Broken(DeterministicClient):
+        def __call__(self, request):
+            return "not json"
+
+    for keep, expect_docs in ((False, 0), (True, None)):
+        out = tempfile.mkdtemp(prefix="dw-keep-")
+        r1 = run(spark, corpus, None, out, good, chunk_mode="window")
+        documented = r1.state.where(F.col("doc.description") != "").count()
+        r2 = run(spark, corpus, read_current_state(spark, out), out, Broken(), chunk_mode="window", force=True,
+                 keep_previous_on_error=keep)
+        got = r2.state.where(F.col("doc.description") != "").count()
+        assert got == (documented if expect_docs is None else expect_docs)
