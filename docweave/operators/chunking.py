@@ -142,32 +142,40 @@ _LEVELS = [
 ]
 
 
+def _cut_word(word: str, max_tokens: int, sizer: Callable[[str], int]) -> list[str]:
+    """A single piece too large on its own: cut by characters."""
+    out, cur = [], ""
+    for ch in word:
+        if cur and sizer(cur + ch) > max_tokens:
+            out.append(cur)
+            cur = ""
+        cur += ch
+    return out + ([cur] if cur else [])
+
+
 def pack_text(text: str, max_tokens: int, sizer: Callable[[str], int] = approx_tokens, level: int = 0) -> list[str]:
     """Greedy packing: split at the coarsest level, merge neighbours while they fit, descend into any
-    piece that is too large on its own. Every chunk fits, order is kept, no word is lost."""
+    piece that is too large on its own. Every chunk fits, order is kept, no word is lost.
+
+    Pieces are sized once each and sizes are summed (the sizer counts tokens that never span
+    whitespace), so a text is not sized again as a whole.
+    """
     text = text.strip()
     if not text:
         return []
-    if sizer(text) <= max_tokens:
-        return [text]
     if level >= len(_LEVELS):
-        # a single over-long word: cut by characters
-        out, cur = [], ""
-        for ch in text:
-            if cur and sizer(cur + ch) > max_tokens:
-                out.append(cur)
-                cur = ""
-            cur += ch
-        return out + ([cur] if cur else [])
-    pieces = [p for p in _LEVELS[level].split(text) if p.strip()]
+        return [text] if sizer(text) <= max_tokens else _cut_word(text, max_tokens, sizer)
+    pieces = [p.strip() for p in _LEVELS[level].split(text) if p.strip()]
     if len(pieces) <= 1:
         return pack_text(text, max_tokens, sizer, level + 1)
+    sizes = [sizer(p) for p in pieces]
+    if sum(sizes) <= max_tokens:
+        return [text]
     sep = "\n\n" if level == 0 else ("\n" if level == 1 else " ")
     chunks: list[str] = []
     cur: list[str] = []
     cur_size = 0
-    for p in pieces:
-        ps = sizer(p)
+    for p, ps in zip(pieces, sizes):
         if ps > max_tokens:
             if cur:
                 chunks.append(sep.join(cur))
@@ -177,7 +185,7 @@ def pack_text(text: str, max_tokens: int, sizer: Callable[[str], int] = approx_t
         if cur and cur_size + ps > max_tokens:
             chunks.append(sep.join(cur))
             cur, cur_size = [], 0
-        cur.append(p.strip())
+        cur.append(p)
         cur_size += ps
     if cur:
         chunks.append(sep.join(cur))
