@@ -79,7 +79,7 @@ def listing_nodes(files: DataFrame, run_ts) -> DataFrame:
 
 
 def list_rows(nodes: DataFrame, annotations: DataFrame, run_ts, show_all: bool = False, fun: bool = False,
-              directory: str | None = None, index_method: str = "auto") -> DataFrame:
+              directory: str | None = None, index_method: str = "auto", start: str | None = None) -> DataFrame:
     """Listing rows ``project, dir, idx, name, type, size, modified, description[, personality, joy]``.
 
     One directory (``directory``) or every directory at once (``None``: the recursive listing, where
@@ -87,6 +87,8 @@ def list_rows(nodes: DataFrame, annotations: DataFrame, run_ts, show_all: bool =
     case-insensitive name; index from 0.
     """
     n = nodes if directory is None else nodes.where(F.col("parent_path") == directory)
+    if start:  # recursive listing of one subtree: the start directory and every directory below it
+        n = n.where((F.col("parent_path") == start) | F.col("parent_path").startswith(start + "/"))
     if not show_all:
         n = n.where(~P.is_hidden_name(F.col("name")))
     n = annotate(n, annotations)
@@ -108,12 +110,23 @@ def _sort_key(path: Column, is_dir: Column) -> Column:
 
 
 def tree_lines(files: DataFrame, annotations: DataFrame, style: str = "classic", root_label: Column | None = None,
-               write_nodes: bool = True) -> DataFrame:
+               write_nodes: bool = True, start: str | None = None) -> DataFrame:
     """Tree view lines ``project, path, depth, sort_key, line`` (root line has path '' and depth 0).
 
     Filters (hidden, pruned names, ignore rules) are applied to ``files`` by the caller; directories
-    are the prefixes of what remains. Order the output by ``(project, sort_key)``.
+    are the prefixes of what remains. Order the output by ``(project, sort_key)``. With ``start``
+    the tree is the subtree below that directory: paths and depths are relative to it, the root line
+    is its base name, and annotations are still found by the full path.
     """
+    if start:
+        pref = start.rstrip("/") + "/"
+
+        def below(df):
+            return df.where(F.col("path").startswith(pref)).withColumn("path", F.expr(f"substring(path, {len(pref) + 1})"))
+
+        files, annotations = below(files), below(annotations)
+        if root_label is None:
+            root_label = F.lit(start.rstrip("/").split("/")[-1])
     st = STYLES[style]
     fl = files.select("project", "path")
     dirs = fl.select("project", F.explode(P.ancestors("path")).alias("path")).distinct()

@@ -36,3 +36,15 @@ def test_tree_on_hot_directory(spark):
     lines = R.tree_lines(files, ann).where(F.col("project") == "big").orderBy("sort_key").collect()
     assert lines[0]["line"] == "big" and lines[1]["line"] == "└── hot"
     assert all(x["line"].startswith("    ├── ") for x in lines[2:-1]) and lines[-1]["line"].startswith("    └── ")
+
+
+def test_tree_and_listing_from_a_start_directory(spark):
+    files = spark.createDataFrame([("p", "a/b/x.md"), ("p", "a/b/c/y.md"), ("p", "a/z.md"), ("p", "q.md")], "project string, path string")
+    ann = spark.createDataFrame([("p", "a/b/x.md", "Explains x")], "project string, path string, description string")
+    lines = [r["line"] for r in R.tree_lines(files, ann, start="a/b").orderBy("sort_key").collect()]
+    assert lines == ["b", "├── c", "│   └── y.md", "└── x.md — Explains x"]
+    nodes = R.listing_nodes(files.withColumn("size", F.lit(1).cast("long")).withColumn("mtime", F.current_timestamp()),
+                            F.current_timestamp())
+    empty = spark.createDataFrame([], "project string, path string, description string, personality string, joy string")
+    rows = R.list_rows(nodes, empty, F.current_timestamp(), start="a/b", index_method="window").collect()
+    assert sorted((r["dir"], r["idx"], r["name"]) for r in rows) == [("a/b", 0, "x.md"), ("a/b", 1, "c"), ("a/b/c", 0, "y.md")]
