@@ -135,12 +135,15 @@ REQUEST_FIELDS = ["project", "path", "size", "filetype", "filesize", "mimetype"]
 
 
 def enrich(prompts: DataFrame, client: Callable[[dict], str], max_concurrency: int = 8,
-           max_attempts: int = MAX_ATTEMPTS, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+           max_attempts: int = MAX_ATTEMPTS, sleep: Callable[[float], None] = time.sleep,
+           passthrough: tuple[str, ...] = ()) -> DataFrame:
     """One call per prompt row through ``mapInPandas``; returns the answers rows.
 
     ``prompts`` needs ``project, path, content_hash, prompt_hash, system, user`` and the request
-    fields ``size, filetype, filesize, mimetype``.
+    fields ``size, filetype, filesize, mimetype``; ``passthrough`` columns are copied to the answers.
     """
+    extra = list(passthrough)
+    schema = ANSWER_SCHEMA + "".join(f", {c} {prompts.schema[c].dataType.simpleString()}" for c in extra)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -152,12 +155,12 @@ def enrich(prompts: DataFrame, client: Callable[[dict], str], max_concurrency: i
                 t0 = time.monotonic()
                 ans, attempts, waited, err = call_with_retry(lambda: client(req), max_attempts, sleep)
                 out.append((row["project"], row["path"], row["content_hash"], row["prompt_hash"], ans, attempts,
-                            int((time.monotonic() - t0) * 1000), waited, err))
+                            int((time.monotonic() - t0) * 1000), waited, err, *[row[c] for c in extra]))
             yield pd.DataFrame(out, columns=["project", "path", "content_hash", "prompt_hash", "answer", "attempts",
-                                             "elapsed_ms", "backoff_ms", "error"])
+                                             "elapsed_ms", "backoff_ms", "error", *extra])
 
     cols = ["project", "path", "content_hash", "prompt_hash", "system", "user", "size", "filetype", "filesize", "mimetype"]
-    return prompts.select(*cols).repartition(max_concurrency).mapInPandas(run, ANSWER_SCHEMA)
+    return prompts.select(*cols, *extra).repartition(max_concurrency).mapInPandas(run, schema)
 
 
 def finalize_records(answers: DataFrame, run_ts) -> DataFrame:

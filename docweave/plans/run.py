@@ -140,6 +140,22 @@ def build_prompts(inputs: DataFrame, template: dict | None = None, escape_html:
     return out.withColumn("prompt_hash", F.sha2(F.concat_ws("\n", "system", "user"), 256))
 
 
+def _n_waves(n_rows: int, wave_rows: int) -> int:
+    return max(1, -(-int(n_rows) // max(1, wave_rows)))
+
+
+MAX_PROMPT_FILES = 10_000
+
+
+def _write_prompts(prompts: DataFrame, n_waves: int, path: str) -> None:
+    """Prompts with their wave id, range-partitioned and sorted by (wave, key hash): every file holds
+    a contiguous range of waves, so a wave's read skips the other files by their statistics."""
+    kh = F.xxhash64("project", "path")
+    n_parts = max(1, min(MAX_PROMPT_FILES, max(n_waves, int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    p = prompts.withColumn("wave", F.pmod(kh, F.lit(n_waves)).cast("int")).withColumn("waves", F.lit(n_waves))
+    p.repartitionByRange(n_parts, "wave", kh).sortWithinPartitions("wave").write.mode("overwrite").parquet(path)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -202,9 +218,9 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
     if first_run:
         # no previous state: every file is new, so the prompts come straight from the scan (content
         # read once) and the plan follows from the written prompts
+        n_waves = _n_waves(inv.count(), wave_rows)
         inputs = prompt_inputs(inv, context, chunk_mode, n_words, max_tokens, sizer, n_projects, text_rule)
-        build_prompts(inputs, template, escape_html, root_prefix, operating_system) \
-            .write.mode("overwrite").parquet(prompts_path)
+        _write_prompts(build_prompts(inputs, template, escape_html, root_prefix, operating_system), n_waves, prompts_path)
         prompts = spark.read.parquet(prompts_path)
         prompts.select(*KEY, "content_hash", F.lit("new").alias("action"), F.lit(None).cast("string").alias("prev_hash"),
                        F.lit(None).cast("string").alias("prev_description")).write.mode("overwrite").parquet(plan_path)
@@ -217,27 +233,27 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
         n_dirty = sum(v for k, v in counts.items() if k != "reuse")
         lap("plan")
         # J4 + J6: prompts for dirty rows only
+        n_waves = _n_waves(n_dirty, wave_rows)
         inputs = prompt_inputs_for_dirty(inv, plan, context, n_dirty, chunk_mode, n_words, max_tokens, sizer,
                                          n_projects, text_rule)
-        build_prompts(inputs, template, escape_html, root_prefix, operating_system) \
-            .write.mode("overwrite").parquet(prompts_path)
+        _write_prompts(build_prompts(inputs, template, escape_html, root_prefix, operating_system), n_waves, prompts_path)
         prompts = spark.read.parquet(prompts_path)
         lap("prompts")
 
     # Enrichment with resume (answers appended; earlier answers for the same key are reused)
     answers_path = f"{base}/answers/run_id={run_id}"
-    todo = prompts
-    if _exists(spark, answers_path):
-        done = spark.read.parquet(answers_path).where(F.col("error").isNull()).select(*ANSWER_KEY)
-        todo = prompts.join(done, ANSWER_KEY, "left_anti")
     kw = {} if sleep is None else {"sleep": sleep}
-    n_todo = todo.count()
-    n_waves = max(1, -(-n_todo // max(1, wave_rows)))
-    wave = F.pmod(F.xxhash64("project", "path"), F.lit(n_waves))
-    for w in range(n_waves if n_todo else 0):
-        EN.enrich(todo.where(wave == w), client, max_concurrency, **kw).write.mode("append").parquet(answers_path)
-    if not n_todo and not _exists(spark, answers_path):
-        spark.createDataFrame([], EN.ANSWER_SCHEMA).write.mode("append").parquet(answers_path)
+    resuming = _exists(spark, answers_path)
+    for w in range(n_waves):
+        # each wave reads only its own prompt files (min/max statistics on ``wave``) and, on resume,
+        # only its own earlier answers; each wave is one committed append
+        todo = spark.read.parquet(prompts_path).where(F.col("wave") == w)
+        if resuming:
+            done = spark.read.parquet(answers_path).where(
+                (F.col("wave") == w) & (F.col("waves") == n_waves) & F.col("error").isNull()).select(*ANSWER_KEY)
+            todo = todo.join(done, ANSWER_KEY, "left_anti")
+        EN.enrich(todo, client, max_concurrency, passthrough=("wave", "waves"), **kw) \
+            .write.mode("append").parquet(answers_path)
     lap("enrich")
     all_answers = spark.read.parquet(answers_path)
     # an answer without error beats a failed one; among equals the later call wins
