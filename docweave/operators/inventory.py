@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions import paths as P
 
 BROADCAST_RULES_MAX = 100_000
+BROADCAST_RULE_DIRS_MAX = 20_000_000   # rule directories broadcast as 64-bit hashes
 
 
 def drop_hidden(df: DataFrame, path_col: str = "path", show_all: bool = False) -> DataFrame:
@@ -42,6 +43,12 @@ def _rule_matches(nodes: DataFrame, rules: DataFrame, by_project: bool) -> DataF
                         F.explode(P.ancestors("path", include_root=True)).alias("rule_dir"))
     if by_project:
         r = rules.where(F.col("project").isNotNull())
+        # most (node, ancestor) candidates have no rules: drop them map-side with the rule
+        # directories' key hashes (counted, then broadcast), so only real candidates reach the join
+        dir_hashes = r.select(F.xxhash64("project", "rule_dir").alias("_h")).distinct()
+        if dir_hashes.count() <= BROADCAST_RULE_DIRS_MAX:
+            cand = cand.withColumn("_h", F.xxhash64("project", "rule_dir")) \
+                .join(F.broadcast(dir_hashes), "_h", "left_semi").drop("_h")
         j = cand.join(r, ["project", "rule_dir"], "inner")
     else:
         r = rules.where(F.col("project").isNull()).drop("project")
