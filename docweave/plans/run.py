@@ -144,16 +144,28 @@ def _n_waves(n_rows: int, wave_rows: int) -> int:
     return max(1, -(-int(n_rows) // max(1, wave_rows)))
 
 
-MAX_PROMPT_FILES = 10_000
+MAX_PROMPT_TASKS = 10_000
 
 
 def _write_prompts(prompts: DataFrame, n_waves: int, path: str) -> None:
-    """Prompts with their wave id, range-partitioned and sorted by (wave, key hash): every file holds
-    a contiguous range of waves, so a wave's read skips the other files by their statistics."""
-    kh = F.xxhash64("project", "path")
-    n_parts = max(1, min(MAX_PROMPT_FILES, max(n_waves, int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-    p = prompts.withColumn("wave", F.pmod(kh, F.lit(n_waves)).cast("int")).withColumn("waves", F.lit(n_waves))
-    p.repartitionByRange(n_parts, "wave", kh).sortWithinPartitions("wave").write.mode("overwrite").parquet(path)
+    """Prompts written into one folder per wave (``wave=<w>``), so a wave reads exactly its folder.
+
+    One hash shuffle on (wave, sub-bucket): when waves are few each is spread over several tasks;
+    when they are many each task holds whole waves. No sampling job, so the prompts are computed once.
+    """
+    spark = prompts.sparkSession
+    sp = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per_wave = max(1, -(-sp // n_waves))
+    p = prompts.withColumn("wave", F.pmod(F.xxhash64("project", "path"), F.lit(n_waves)).cast("int")) \
+        .withColumn("waves", F.lit(n_waves)) \
+        .withColumn("_sub", F.pmod(F.xxhash64("path", "project", F.lit("sub")), F.lit(per_wave)))
+    n_tasks = max(1, min(MAX_PROMPT_TASKS, n_waves * per_wave))
+    p.repartition(n_tasks, "wave", "_sub").drop("_sub").write.mode("overwrite").partitionBy("wave").parquet(path)
+
+
+def _read_wave(spark: SparkSession, path: str, w: int) -> DataFrame | None:
+    d = f"{path}/wave={w}"
+    return spark.read.option("basePath", path).parquet(d) if _exists(spark, d) else None
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -243,17 +255,21 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
     # Enrichment with resume (answers appended; earlier answers for the same key are reused)
     answers_path = f"{base}/answers/run_id={run_id}"
     kw = {} if sleep is None else {"sleep": sleep}
-    resuming = _exists(spark, answers_path)
     for w in range(n_waves):
-        # each wave reads only its own prompt files (min/max statistics on ``wave``) and, on resume,
-        # only its own earlier answers; each wave is one committed append
-        todo = spark.read.parquet(prompts_path).where(F.col("wave") == w)
-        if resuming:
-            done = spark.read.parquet(answers_path).where(
-                (F.col("wave") == w) & (F.col("waves") == n_waves) & F.col("error").isNull()).select(*ANSWER_KEY)
+        # each wave reads only its own prompt folder and, on resume, only its own earlier answers;
+        # each wave is one committed append into its own answers folder
+        todo = _read_wave(spark, prompts_path, w)
+        if todo is None:
+            continue
+        done = _read_wave(spark, answers_path, w)
+        if done is not None:
+            done = done.where((F.col("waves") == n_waves) & F.col("error").isNull()).select(*ANSWER_KEY)
             todo = todo.join(done, ANSWER_KEY, "left_anti")
-        EN.enrich(todo, client, max_concurrency, passthrough=("wave", "waves"), **kw) \
-            .write.mode("append").parquet(answers_path)
+        EN.enrich(todo, client, max_concurrency, passthrough=("waves",), **kw) \
+            .write.mode("append").parquet(f"{answers_path}/wave={w}")
+    if not _exists(spark, answers_path):
+        spark.createDataFrame([], EN.ANSWER_SCHEMA + ", waves int, wave int").write.mode("append") \
+            .partitionBy("wave").parquet(answers_path)
     lap("enrich")
     all_answers = spark.read.parquet(answers_path)
     # an answer without error beats a failed one; among equals the later call wins
