@@ -62,19 +62,35 @@ def _rule_matches(nodes: DataFrame, rules: DataFrame, by_project: bool) -> DataF
         .select("project", "path", "is_dir", "negated", "level", "rule_dir", "seq")
 
 
-def ignored_nodes(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Nodes whose last matching rule excludes them. Precedence: level (global < repository exclude
-    < ignore files), then deeper rule directory, then later line."""
+def rule_verdicts(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """Per matched node the last matching rule's verdict: ``negated`` true = re-included.
+    Precedence: level (global < repository exclude < ignore files), deeper rule directory, later line."""
     m = _rule_matches(nodes, rules, True).unionByName(_rule_matches(nodes, rules, False))
-    win = m.groupBy("project", "path", "is_dir").agg(
+    return m.groupBy("project", "path", "is_dir").agg(
         F.max_by("negated", F.struct("level", F.length("rule_dir"), "seq")).alias("negated"))
-    return win.where(~F.col("negated")).select("project", "path", "is_dir")
 
 
-def apply_ignore_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
+def ignored_nodes(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """Nodes whose last matching rule excludes them."""
+    return rule_verdicts(nodes, rules).where(~F.col("negated")).select("project", "path", "is_dir")
+
+
+def apply_ignore_rules(files: DataFrame, rules: DataFrame, hidden: bool = False) -> DataFrame:
     """Keep the files no ignore rule excludes; a file below an excluded directory stays excluded
-    even when a deeper rule re-includes it (an excluded directory is never entered)."""
-    ign = ignored_nodes(derive_nodes(files.select("project", "path")), rules)
+    even when a deeper rule re-includes it (an excluded directory is never entered).
+
+    ``hidden=True`` also applies the hidden filter the way the walker does: a hidden entry is
+    excluded unless a rule explicitly re-includes it.
+    """
+    nodes = derive_nodes(files.select("project", "path"))
+    if hidden:
+        v = rule_verdicts(nodes, rules)
+        st = nodes.join(v, ["project", "path", "is_dir"], "left")
+        excl = st.where((F.col("negated") == F.lit(False)) |
+                        (P.is_hidden_name(P.path_name("path")) & ~F.coalesce(F.col("negated"), F.lit(False))))
+        ign = excl.select("project", "path", "is_dir")
+    else:
+        ign = ignored_nodes(nodes, rules)
     anc = files.select("project", F.col("path").alias("file"),
                        F.explode(P.ancestors("path", include_self=True)).alias("path"))
     anc = anc.withColumn("is_dir", F.col("path") != F.col("file"))

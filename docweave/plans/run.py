@@ -49,11 +49,11 @@ def filter_inventory(corpus: DataFrame, show_hidden: bool = False, ignore_dirs:
             raise ValueError("rules must be a DataFrame, None or 'inventory'")
         rules = INV.rules_from_inventory(corpus).select("project", "rule_dir", "level", "seq", "regex", "negated",
                                                         "dir_only")
-    inv = INV.drop_hidden(corpus, show_all=show_hidden)
-    inv = INV.prune_dirs(inv, list(ignore_dirs or []))
-    if rules is not None:
-        inv = INV.apply_ignore_rules(inv, rules)
-    return inv
+    inv = INV.prune_dirs(corpus, list(ignore_dirs or []))
+    if rules is None:
+        return INV.drop_hidden(inv, show_all=show_hidden)
+    # with rules, an explicit re-include also lifts the hidden filter (as the walker does)
+    return INV.apply_ignore_rules(inv, rules, hidden=not show_hidden)
 
 
 def _key_hash():

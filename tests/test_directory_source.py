@@ -105,3 +105,19 @@ def test_split_depth_does_not_change_the_inventory(spark):
         df = spark.read.format("corpus").option("root", root).option("project", "p").option("split_depth", str(depth)).load()
         got[depth] = sorted((r["path"], r["content_hash"]) for r in df.collect())
     assert got[1] == got[2] == got[3] and len(got[1]) == len(files) + len(deep)
+
+
+def test_reinclude_lifts_the_hidden_filter(spark):
+    from docweave.plans.run import filter_inventory
+    root = tempfile.mkdtemp(prefix="dw-hid-")
+    for p, b in {".gitignore": b"!.env\n!.github/\n", ".env": b"K=V\n", ".secret": b"s", ".github/ci.yml": b"on: push\n",
+                 ".git/config": b"[core]\n", "a/.hidden_too": b"h", "a/b.txt": b"b"}.items():
+        full = os.path.join(root, p)
+        os.makedirs(os.path.dirname(full), exist_ok=True)
+        with open(full, "wb") as fh:
+            fh.write(b)
+    corpus = scan_directory(spark, root=root, project="p")
+    kept = sorted(r["path"] for r in filter_inventory(corpus, rules="inventory").collect())
+    assert kept == [".env", ".github/ci.yml", "a/b.txt"]
+    kept_all = sorted(r["path"] for r in filter_inventory(corpus, rules="inventory", show_hidden=True).collect())
+    assert ".secret" in kept_all and "a/.hidden_too" in kept_all
