@@ -184,11 +184,13 @@ IGNORE_FILE_LEVELS = {".gitignore": 2, ".ignore": 3}
 EXCLUDE_FILE = ".git/info/exclude"
 
 
-def rules_from_inventory(corpus: DataFrame) -> DataFrame:
+def rules_from_inventory(corpus: DataFrame, require_git: bool = True) -> DataFrame:
     """Rules table from the ignore files found in the inventory itself (needs ``head``).
 
     Each file's lines become rules of its directory (the exclude file's rules belong to the
-    repository root above ``.git``); lines are numbered so later lines win.
+    repository root above ``.git``); lines are numbered so later lines win. With ``require_git``
+    the version-control files count only inside a repository (a ``.git`` directory at or above
+    them); generic ignore files always count.
     """
     from .chunking import decode_lossy
 
@@ -199,6 +201,16 @@ def rules_from_inventory(corpus: DataFrame) -> DataFrame:
     for n, lv in IGNORE_FILE_LEVELS.items():
         level = level.when(name == n, F.lit(lv))
     rule_dir = F.when(is_excl, F.regexp_extract("path", r"^(.*?)/?\.git/info/exclude$", 1)).otherwise(P.parent_path("path"))
-    f = corpus.where(is_ign | is_excl).select("project", rule_dir.alias("rule_dir"), level.alias("level"),
-                                              F.posexplode(F.split(decode_lossy("head"), r"\r?\n")).alias("seq", "line"))
+    files = corpus.where(is_ign | is_excl).select("project", "path", rule_dir.alias("rule_dir"), level.alias("level"),
+                                                  is_excl.alias("is_excl"), (name == ".gitignore").alias("is_vcs"), "head")
+    if require_git:
+        # repository roots: directories holding a .git directory (seen through the files inside it)
+        repos = corpus.where(F.col("path").rlike(r"(^|/)\.git/")) \
+            .select("project", F.regexp_extract("path", r"^(.*?)/?\.git/.*$", 1).alias("repo")).distinct()
+        anc = files.where("is_vcs").select("project", "path", F.explode(P.ancestors("rule_dir", include_self=True,
+                                                                                       include_root=True)).alias("repo"))
+        inside = anc.join(repos, ["project", "repo"], "left_semi").select("project", "path").distinct()
+        files = files.where(~F.col("is_vcs")).unionByName(files.where("is_vcs").join(inside, ["project", "path"], "left_semi"))
+    f = files.select("project", "rule_dir", "level",
+                     F.posexplode(F.split(decode_lossy("head"), r"\r?\n")).alias("seq", "line"))
     return compile_ignore_patterns(f.withColumn("seq", F.col("seq").cast("long")))

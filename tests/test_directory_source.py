@@ -46,7 +46,7 @@ def test_nested_states_from_scan(spark):
 def test_ignore_files_in_the_tree(spark):
     from docweave.plans.run import filter_inventory
     root, files = make_tree()
-    extra = {".gitignore": b"*.dat\n# comment\nbuild/\n!keep.dat\n", "a/.gitignore": b"x.py\n",
+    extra = {".git/HEAD": b"ref: refs/heads/main\n", ".gitignore": b"*.dat\n# comment\nbuild/\n!keep.dat\n", "a/.gitignore": b"x.py\n",
              "build/out.txt": b"o", "a/b/keep.dat": b"k", "a/y.py": b"y", "c/build": b"file named build"}
     for p, b in extra.items():
         full = os.path.join(root, p)
@@ -121,3 +121,14 @@ def test_reinclude_lifts_the_hidden_filter(spark):
     assert kept == [".env", ".github/ci.yml", "a/b.txt"]
     kept_all = sorted(r["path"] for r in filter_inventory(corpus, rules="inventory", show_hidden=True).collect())
     assert ".secret" in kept_all and "a/.hidden_too" in kept_all
+
+
+def test_gitignore_needs_a_repository(spark):
+    from docweave.plans.run import filter_inventory
+    root = tempfile.mkdtemp(prefix="dw-nogit-")
+    for p, b in {".gitignore": b"*.log\n", ".ignore": b"*.tmp\n", "a.log": b"l", "b.tmp": b"t", "c.txt": b"c"}.items():
+        with open(os.path.join(root, p), "wb") as fh:
+            fh.write(b)
+    corpus = scan_directory(spark, root=root, project="p")
+    kept = sorted(r["path"] for r in filter_inventory(corpus, rules="inventory").collect())
+    assert kept == ["a.log", "c.txt"]                    # no repository: only the generic ignore file counts
