@@ -38,17 +38,20 @@ BROADCAST_CONTEXT_MAX = 2_000       # projects whose README fields (~6 KB each)
 
 
 def filter_inventory(corpus: DataFrame, show_hidden: bool = False, ignore_dirs: list[str] | None = None,
-                     rules: DataFrame | str | None = None) -> DataFrame:
+                     rules: DataFrame | str | None = None, extra_rules: DataFrame | None = None) -> DataFrame:
     """J1 filters: hidden entries, pruned directory names, ignore rules.
 
     ``rules="inventory"`` takes the rules from the ignore files in the corpus itself (directory
     scans); a DataFrame of rules (e.g. user-global ones, project null) is applied as given.
+    ``extra_rules`` are added to the inventory's own (user-global rules, ignore files above the root).
     """
     if isinstance(rules, str):
         if rules != "inventory":
             raise ValueError("rules must be a DataFrame, None or 'inventory'")
         rules = INV.rules_from_inventory(corpus).select("project", "rule_dir", "level", "seq", "regex", "negated",
                                                         "dir_only")
+        if extra_rules is not None:
+            rules = rules.unionByName(extra_rules.select(*rules.columns))
     inv = INV.prune_dirs(corpus, list(ignore_dirs or []))
     if rules is None:
         return INV.drop_hidden(inv, show_all=show_hidden)
@@ -176,7 +179,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir: str,
         client: Callable[[dict], str], *, force: bool = False, ignore_dirs: list[str] | None = None,
-        rules: DataFrame | str | None = None, show_hidden: bool = False, nested: DataFrame | str | None = None,
+        rules: DataFrame | str | None = None, extra_rules: DataFrame | None = None, show_hidden: bool = False,
+        nested: DataFrame | str | None = None,
         chunk_mode: str = "packed", n_words: int = CH.DEFAULT_WINDOW_WORDS,
         max_tokens: int = CH.DEFAULT_MAX_TOKENS, sizer: Callable[[str], int] = CH.approx_tokens,
         context_words: int = TX.CONTEXT_WORDS, run_ts: str | None = None, max_concurrency: int = 8,
@@ -206,7 +210,7 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
     base = out_dir.rstrip("/")
 
     # J1 + J3: inventory, merged previous state, change plan (narrow), written
-    inv = filter_inventory(corpus, show_hidden, ignore_dirs, rules)
+    inv = filter_inventory(corpus, show_hidden, ignore_dirs, rules, extra_rules)
     first_run = state is None and nested is None
     if state is None:
         state = spark.createDataFrame([], "project string, path string, name string, content_hash string, "

@@ -132,3 +132,16 @@ def test_gitignore_needs_a_repository(spark):
     corpus = scan_directory(spark, root=root, project="p")
     kept = sorted(r["path"] for r in filter_inventory(corpus, rules="inventory").collect())
     assert kept == ["a.log", "c.txt"]                    # no repository: only the generic ignore file counts
+
+
+def test_user_global_rules_with_inventory_rules(spark):
+    from docweave.plans.run import filter_inventory
+    root = tempfile.mkdtemp(prefix="dw-global-")
+    for p, b in {".ignore": b"*.tmp\n", "a.log": b"l", "b.tmp": b"t", "c.txt": b"c"}.items():
+        with open(os.path.join(root, p), "wb") as fh:
+            fh.write(b)
+    corpus = scan_directory(spark, root=root, project="p")
+    glob = spark.createDataFrame([(None, "", 0, 1, "(?:.*/)?[^/]*\\.log", False, False)],
+                                 "project string, rule_dir string, level int, seq long, regex string, negated boolean, dir_only boolean")
+    kept = sorted(r["path"] for r in filter_inventory(corpus, rules="inventory", extra_rules=glob).collect())
+    assert kept == ["c.txt"]
