@@ -57,6 +57,8 @@ def index_within(df: DataFrame, group: list[str], order: list[Column], method: s
         return df.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
     keys = [F.col(g) for g in group] + order
     n = n_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the range partitioner samples its input: read it from a written table, not recomputed
+    df = materialize(df, "index-input")
     s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys) \
         .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     stats = s.groupBy(*group, "_pid").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
