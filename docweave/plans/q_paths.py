@@ -108,7 +108,27 @@ def apply_ignore_rules(spark, sf):
     return INV.apply_ignore_rules(FX.corpus_v(spark, sf).select("project", "path"), FX.rules_v(spark))
 
 
-@register("compile_ignore_patterns")
+_LINES_SQL = """
+with c as (select doc_id, project, path, regexp_extract(path, '[^/]*$', 0) as name from corpus_v),
+lines as (
+  select distinct project, line from (
+    select project, '*.' || regexp_extract(name, '^.+\\.([^.]*)$', 1) as line from c
+      where regexp_matches(name, '^.+\\.([^.]*)$') and regexp_extract(name, '^.+\\.([^.]*)$', 1) <> ''
+    union all select project, '/' || split_part(path, '/', 1) || '/' from c where contains(path, '/')
+    union all select project, '!' || path from c where doc_id % 7 = 0
+    union all select project, '# comment' from c) u),
+parsed as (
+  select project, line, starts_with(line, '!') as negated,
+    case when starts_with(line, '!') then substring(line, 2) else line end as s1 from lines where not starts_with(line, '#')),
+p2 as (select *, ends_with(s1, '/') as dir_only, rtrim(s1, '/') as s2 from parsed),
+p3 as (select *, contains(s2, '/') as anchored, ltrim(s2, '/') as s3 from p2)
+select project, '' as rule_dir, 2 as level, line,
+  case when anchored then '' else '(?:.*/)?' end || replace(replace(s3, '.', '\\.'), '*', '[^/]*') as regex,
+  negated, dir_only, anchored
+from p3"""
+
+
+@register("compile_ignore_patterns", _LINES_SQL, ("corpus_v",))
 def compile_ignore_patterns(spark, sf):
     """Ignore lines derived from the corpus (extension globs, anchored directories, re-includes,
     comments) compiled by the Arrow UDF."""
@@ -121,4 +141,5 @@ def compile_ignore_patterns(spark, sf):
              .unionByName(c.select("project", F.lit("# comment").alias("line")))).distinct()
     lines = lines.select("project", F.lit("").alias("rule_dir"), F.lit(2).alias("level"),
                          F.xxhash64("line").alias("seq"), "line")
-    return INV.compile_ignore_patterns(lines)
+    return INV.compile_ignore_patterns(lines).select("project", "rule_dir", "level", "line", "regex", "negated",
+                                                     "dir_only", "anchored")
