@@ -293,9 +293,13 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
     new_state = ST.replace_state(reused, records)
     if partial:
         new_state = ST.as_state(prev).join(inv.select(*KEY), KEY, "left_anti").unionByName(new_state)
-    state_path = f"{base}/state/{run_id}"
+    # a fresh folder per attempt: a resumed run may be reading the current state from its own
+    # earlier attempt, which must not be overwritten under it; the pointer swap makes it current
+    state_path = f"{base}/state/{run_id}-{uuid.uuid4().hex[:8]}"
     new_state.write.mode("overwrite").partitionBy("project").parquet(state_path)
-    spark.createDataFrame([(run_id,)], "run_id string").coalesce(1).write.mode("overwrite").text(f"{base}/state/CURRENT")
+    # swap: append a new pointer (never delete the old one first), named so the newest sorts last
+    pointer = f"{base}/state/_pointers/{int(_time.time() * 1e6):020d}-{run_id}"
+    spark.createDataFrame([(state_path.rsplit("/", 1)[1],)], "state string").coalesce(1).write.text(pointer)
     state_out = spark.read.parquet(state_path)
     lap("state")
 
@@ -307,8 +311,16 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
 
 
 def read_current_state(spark: SparkSession, out_dir: str) -> DataFrame | None:
+    """The state written by the latest completed run (newest complete pointer), or None."""
     base = out_dir.rstrip("/")
-    if not _exists(spark, f"{base}/state/CURRENT"):
+    jvm = spark.sparkContext._jvm
+    d = jvm.org.apache.hadoop.fs.Path(f"{base}/state/_pointers")
+    fs = d.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(d):
         return None
-    run_id = spark.read.text(f"{base}/state/CURRENT").first()[0]
-    return spark.read.parquet(f"{base}/state/{run_id}")
+    names = sorted(st.getPath().getName() for st in fs.listStatus(d) if st.isDirectory())
+    for name in reversed(names):
+        if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/state/_pointers/{name}/_SUCCESS")):
+            folder = spark.read.text(f"{base}/state/_pointers/{name}").first()[0]
+            return spark.read.parquet(f"{base}/state/{folder}")
+    return None

@@ -21,23 +21,28 @@ from ..plans.run import read_current_state, run
 from ..sources.corpus import corpus_from_table
 
 
-def document_stream(stream: DataFrame, out_dir: str, client: Callable[[dict], str], checkpoint: str,
-                    trigger_seconds: int | None = None, **run_options):
-    """Start the streaming query; returns the ``StreamingQuery``.
+def document_batch(batch: DataFrame, batch_id: int, out_dir: str, client: Callable[[dict], str], **run_options):
+    """One micro-batch as a partial run resumed by its batch id (a replay asks nothing again).
 
     Within a batch the latest version per ``(project, path)`` wins (by ``mtime`` when present).
     """
+    spark = batch.sparkSession
+    cols = batch.columns
+    latest = batch
+    if "mtime" in cols:
+        latest = batch.groupBy("project", "path").agg(F.max_by(F.struct(*[c for c in cols if c not in ("project", "path")]),
+                                                               F.col("mtime")).alias("r")).select("project", "path", "r.*")
+    corpus = corpus_from_table(latest, mtime="mtime" if "mtime" in cols else None)
+    return run(spark, corpus, read_current_state(spark, out_dir), out_dir, client,
+               resume_run_id=f"batch-{batch_id:012d}", partial=True, **run_options)
+
+
+def document_stream(stream: DataFrame, out_dir: str, client: Callable[[dict], str], checkpoint: str,
+                    trigger_seconds: int | None = None, **run_options):
+    """Start the streaming query (``foreachBatch`` over ``document_batch``); returns the ``StreamingQuery``."""
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        cols = batch.columns
-        latest = batch
-        if "mtime" in cols:
-            latest = batch.groupBy("project", "path").agg(F.max_by(F.struct(*[c for c in cols if c not in ("project", "path")]),
-                                                                   F.col("mtime")).alias("r")).select("project", "path", "r.*")
-        corpus = corpus_from_table(latest, mtime="mtime" if "mtime" in cols else None)
-        run(spark, corpus, read_current_state(spark, out_dir), out_dir, client,
-            resume_run_id=f"batch-{batch_id:012d}", partial=True, **run_options)
+        document_batch(batch, batch_id, out_dir, client, **run_options)
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     if trigger_seconds:

@@ -31,3 +31,26 @@ def test_stream_batches_merge_into_state(spark):
     assert n1 == first.count()
     assert st.count() == rows.count()                       # the second batch is merged, the first kept
     assert st.select("project", "path").distinct().count() == rows.count()
+
+
+def test_replayed_batch_asks_nothing_again(spark):
+    from docweave.streaming.incremental import document_batch
+    base = tempfile.mkdtemp(prefix="dw-replay-")
+    out = os.path.join(base, "out")
+    rows = FX.corpus_v(spark, SF_SMALL).where(~F.col("path").startswith(".")) \
+        .select("project", "path", "content", F.current_timestamp().alias("mtime"))
+    calls = []
+
+    class Spy(DeterministicClient):
+        def __call__(self, request):
+            calls.append(1)
+            return super().__call__(request)
+
+    document_batch(rows, 7, out, Spy(), chunk_mode="window")
+    first = len(calls)
+    # the driver (unlike the Python workers) never sees the calls, so count the answers instead
+    answers = spark.read.parquet(os.path.join(out, "answers", "run_id=batch-000000000007")).count()
+    document_batch(rows, 7, out, Spy(), chunk_mode="window")        # replay after a failure
+    again = spark.read.parquet(os.path.join(out, "answers", "run_id=batch-000000000007")).count()
+    assert first == 0 and answers > 0
+    assert again == answers        # no new answers: every prompt of the batch was already answered
