@@ -19,6 +19,24 @@ LOCAL_CONF = {
     "spark.driver.memory": "16g",
     # model calls are not repeatable: never run a task twice on purpose
     "spark.speculation": "false",
+    # rows carry up to 2 MB of text: bound the rows per columnar and per Arrow batch
+    "spark.sql.parquet.columnarReaderBatchSize": "1024",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+}
+
+# Settings a cluster session should carry for ~100 TB of content (documented, not applied here):
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.shuffle.partitions": "20000",              # initial; AQE coalesces by measured size
+    "spark.sql.files.maxPartitionBytes": "256m",          # ~400 k scan tasks for 100 TB
+    "spark.sql.parquet.columnarReaderBatchSize": "1024",  # <= 2 GB of text per reader batch
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.speculation": "false",
+    "spark.task.maxFailures": "8",                        # executors may be lost at any time
 }
 
 
