@@ -48,3 +48,30 @@ def test_tree_and_listing_from_a_start_directory(spark):
     empty = spark.createDataFrame([], "project string, path string, description string, personality string, joy string")
     rows = R.list_rows(nodes, empty, F.current_timestamp(), start="a/b", index_method="window").collect()
     assert sorted((r["dir"], r["idx"], r["name"]) for r in rows) == [("a/b", 0, "x.md"), ("a/b", 1, "c"), ("a/b/c", 0, "y.md")]
+
+
+def test_export_refuses_oversized_directories(spark, monkeypatch):
+    import pytest
+
+    from docweave.operators import hierarchy as H
+    from docweave.operators.state import as_state
+    monkeypatch.setattr(H, "MAX_EXPORT_CHILDREN", 1)
+    state = as_state(FX.state_v(spark, "/root/testdata/sf0.001"))
+    with pytest.raises(ValueError, match="export refused"):
+        H.nest_export(state, F.lit(FX.RUN_TS))
+
+
+def test_auto_index_switches_to_the_range_route(spark, monkeypatch):
+    files = skewed_files(spark)
+    nodes = R.listing_nodes(files, F.lit(FX.RUN_TS))
+    ann = spark.createDataFrame([], "project string, path string, description string, personality string, joy string")
+    calls = []
+    real = R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, name: calls.append(name) or real(df, name))
+    rows = R.list_rows(nodes, ann, F.lit(FX.RUN_TS), index_method="window").drop("idx")
+    order = [F.when(F.col("type") == "file", 0).otherwise(1), F.lower("name"), F.col("name")]
+    auto = R.index_within(rows, ["project", "dir"], order, method="auto", skew_children=100)
+    assert "index-input" in calls                            # the range route was taken
+    w = R.list_rows(nodes, ann, F.lit(FX.RUN_TS), index_method="window")
+    key = ["project", "dir", "name", "idx"]
+    assert sorted(w.select(*key).collect()) == sorted(auto.select(*key).collect())
