@@ -115,11 +115,30 @@ def nested_states_from_inventory(corpus: DataFrame, names: list[str] | None = No
     return read_state_trees(pick.select("project", F.col("dir").alias("base"), "json"))
 
 
+def _read_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for project, path in zip(pdf["project"], pdf["file"]):
+            try:
+                with open(path, "rb") as fh:
+                    out.append((project, fh.read().decode("utf-8", "replace")))
+            except OSError:
+                continue  # unreadable state file: no records, never a failure
+        yield pd.DataFrame(out, columns=["project", "json"])
+
+
 def read_state_files(spark, paths: list[str], project_from_path: str = r"([^/]+)/[^/]+$") -> DataFrame:
-    """Read nested state files whole (one row per file); the project is taken from the path."""
-    t = spark.read.text(paths, wholetext=True).withColumn("file", F.input_file_name())
-    return read_state_trees(t.select(F.regexp_extract("file", project_from_path, 1).alias("project"),
-                                     F.col("value").alias("json")))
+    """Read nested state files whole, one task row per file; the project is taken from the path.
+
+    State files have names starting with a dot, which Spark's file sources skip, so the files are
+    opened by the tasks themselves (shared storage); the path list is spread over the partitions.
+    """
+    import re
+
+    rows = [(m.group(1) if (m := re.search(project_from_path, p)) else "", p) for p in paths]
+    files = spark.createDataFrame(rows, "project string, file string")
+    files = files.repartition(max(1, min(len(rows), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    return read_state_trees(files.mapInPandas(_read_whole, "project string, json string"))
 
 
 def write_state(state: DataFrame, path: str) -> None:

@@ -145,3 +145,31 @@ def test_user_global_rules_with_inventory_rules(spark):
                                  "project string, rule_dir string, level int, seq long, regex string, negated boolean, dir_only boolean")
     kept = sorted(r["path"] for r in filter_inventory(corpus, rules="inventory", extra_rules=glob).collect())
     assert kept == ["c.txt"]
+
+
+def test_read_state_files_whole_text(spark):
+    import json
+
+    from docweave.sources.state_io import read_state_files
+    root = tempfile.mkdtemp(prefix="dw-statefiles-")
+    trees = {
+        "alpha": {"root": ".", "updated_at": "2024-01-01T00:00:00Z", "entries": [
+            {"kind": "dir", "name": "src", "path": "src", "updated_at": "2024-01-01T00:00:00Z", "entries": [
+                {"kind": "file", "name": "a.rs", "path": "src/a.rs", "hash": "h1", "updated_at": "2024-01-01T00:00:00Z",
+                 "doc": {"fileDescription": "Parses input", "joyThisFileBrings": 6, "personalityEmoji": "x"}},
+                {"kind": "file", "name": "b.rs", "path": "src/b.rs", "hash": "h2", "updated_at": "2024-01-01T00:00:00Z",
+                 "doc": {"fileDescription": "Bad", "personalityEmoji": "y"}}]},       # missing joy: rejected alone
+            {"kind": "file", "name": "c.md", "path": "c.md", "hash": "h3", "updated_at": "2024-01-02T00:00:00Z"}]},
+        "beta": "not json at all",
+    }
+    paths = []
+    for proj, tree in trees.items():
+        os.makedirs(os.path.join(root, proj))
+        p = os.path.join(root, proj, ".dirdocs.nuon")
+        with open(p, "w") as fh:
+            fh.write(tree if isinstance(tree, str) else json.dumps(tree, indent=2))
+        paths.append(p)
+    rows = {(r["project"], r["path"]): r for r in read_state_files(spark, paths).collect()}
+    assert set(rows) == {("alpha", "src/a.rs"), ("alpha", "c.md")}      # unreadable tree: no rows, no failure
+    assert rows[("alpha", "src/a.rs")]["doc"]["joy"] == "6"
+    assert rows[("alpha", "c.md")]["doc"]["description"] == ""          # absent doc defaults to the empty doc
