@@ -64,3 +64,69 @@ def op7_sharding(spark, sf_dir):
 def op10_bpe(spark, sf_dir):
     from .bpe import op10
     return op10(table(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op5_toxicity(spark, sf_dir):
+    from .toxicity import op5
+    return op5(table(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_near_dup(spark, sf_dir):
+    from .near_dup import op8
+    return op8(table(spark, sf_dir))
+
+
+@query
+def op9_decontaminate(spark, sf_dir):
+    from .decontaminate import op9
+    return op9(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_repeats(spark, sf_dir):
+    from .repeats import op1
+    return op1(table(spark, sf_dir))
+
+
+@query
+def op2_pii(spark, sf_dir):
+    from .pii import op2
+    return op2(table(spark, sf_dir))
+
+
+@query
+def op3_quality(spark, sf_dir):
+    from .quality import op3
+    return op3(table(spark, sf_dir))
+
+
+SQL["op3_quality"] = r"""
+with t as (
+  select doc_id, coalesce(text, '') as text from documents),
+w as (
+  select doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') as words,
+    list_filter(string_split(text, chr(10)), x -> trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') as lines from t),
+g as (
+  select doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as gram
+  from (select doc_id, words, unnest(range(1, len(words) - 1)) as i from w)),
+r as (
+  select doc_id, i from g qualify count(*) over (partition by doc_id, gram) > 1),
+c as (
+  select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from r) group by doc_id),
+m as (
+  select w.doc_id, text, words, len(lines) as n_lines, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+    coalesce(c.n, 0) as n_repeat_words
+  from w left join c on w.doc_id = c.doc_id),
+b as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
+  cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
+  not (base_failed or word_chars < 2 * n_words or word_chars > 15 * n_words or 10 * n_symbols > 3 * n_words
+    or 10 * n_dup_lines > 6 * n_lines or 2 * len(regexp_extract_all(text, '\p{L}+')) < n_words
+    or 20 * len(list_distinct(words)) < n_words or 5 * length(regexp_replace(text, '[^0-9]+', '', 'g')) > 2 * word_chars
+    or regexp_matches(text, '[^\x20\x09-\x0D]{1000}')) as kept
+from b
+"""
