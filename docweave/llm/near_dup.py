@@ -185,6 +185,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = keyed.join(found.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(found["_id"]) & keyed["_tk"].eqNullSafe(found["_rk"])) \
         .drop("_id", "_rk")
 
+    columns = docs.columns
+
     def first_rows(batches):
         """Equal rows stand in one partition, as they have one key."""
         seen = set()
@@ -194,6 +196,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
                 keep.append(n == 1 or (doc, tk) not in seen)
                 if n > 1:
                     seen.add((doc, tk))
-            yield b.filter(pa.array(keep, pa.bool_())).select(docs.columns)
+            yield b.filter(pa.array(keep, pa.bool_())).select(columns)
 
     return kept.mapInArrow(first_rows, docs.schema)

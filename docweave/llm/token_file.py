@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .bpe import byte_alphabet
 from .common import PieceCache, partitions, slices, unique_words
 
 MAX_BITS = 18
@@ -56,35 +57,18 @@ class ByteBpe:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.newline = self.ids("\n")
+        self.letters = dict(enumerate(byte_alphabet()))
         self.cache = PieceCache(CACHE_ENTRIES)
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct pieces. Pieces that hold no white space but a leading blank are encoded as lines
-        of one text: a line end is a piece of its own there, with an id of its own."""
-        if len(self.newline) != 1:
-            return self._one_by_one(pieces)
-        plain = [not any(map(str.isspace, p[1:])) and p != " " and not p.isspace() for p in pieces]
-        lines = [p for p, x in zip(pieces, plain) if x]
-        got: dict[str, np.ndarray] = {}
-        for at in range(0, len(lines), 50_000):
-            some = lines[at:at + 50_000]
-            ids = np.array(self.ids("\n".join(some)), np.uint32)
-            ends = np.flatnonzero(ids == self.newline[0])
-            parts = np.split(ids, ends)
-            if len(parts) != len(some):
-                got.update((p, np.array(self.ids(p), np.uint32)) for p in some)
-            else:
-                got.update(zip(some, [parts[0], *(x[1:] for x in parts[1:])]))
-        values = [got[p] if x else np.array(self.ids(p), np.uint32) for p, x in zip(pieces, plain)]
-        return np.concatenate(values), np.fromiter(map(len, values), np.int64, len(values))
-
-    def _one_by_one(self, pieces):
-        values = [np.array(self.ids(p), np.uint32) for p in pieces]
-        return np.concatenate(values), np.fromiter(map(len, values), np.int64, len(values))
+        """Ids of distinct pieces: the library's model on their byte letters, as its first steps leave a piece whole."""
+        model, letters = self.tokenizer.model, self.letters
+        values = [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))] for p in pieces]
+        sizes = np.fromiter(map(len, values), np.int64, len(values))
+        return np.fromiter((i for v in values for i in v), np.uint32, int(sizes.sum())), sizes
 
     @staticmethod
     def pieces(part: str) -> list[str]:
