@@ -106,8 +106,8 @@ SQL["op3_quality"] = r"""
 with t as (
   select doc_id, coalesce(text, '') as text from documents),
 w as (
-  select doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') as words,
-    list_filter(string_split(text, chr(10)), x -> trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') as lines from t),
+  select doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
+    list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') as lines from t),
 g as (
   select doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as gram
   from (select doc_id, words, unnest(range(1, len(words) - 1)) as i from w)),
