@@ -52,25 +52,30 @@ def decimal_size_label(b, is_file=None) -> Column:
     """Base-1000 size label for listings: ``0 B`` for zero and for non-files; else at most two
     decimals with trailing zeros dropped, rounded half to even in exact integer arithmetic."""
     b = col_or_lit(b).cast("long")
-    expr = F.when(b.isNull() | (b <= 0), F.lit("0 B"))
-    if is_file is not None:
-        expr = F.when(~col_or_lit(is_file) | b.isNull() | (b <= 0), F.lit("0 B"))
-    expr = expr.when(b < 1000, F.concat(b.cast("string"), F.lit(" B")))
-    for k in range(1, len(DECIMAL_UNITS)):
-        d = 1000 ** k
-        num = (b.cast("decimal(38,0)") * 100)
-        qq = F.floor(num / F.lit(d)).cast("long")
-        r = (num - qq.cast("decimal(38,0)") * F.lit(d)).cast("decimal(38,0)")
-        up = (r * 2 > F.lit(d)) | ((r * 2 == F.lit(d)) & (qq % 2 == 1))
-        h = qq + F.when(up, 1).otherwise(0)
-        ip, fp = F.floor(h / 100).cast("long"), (h % 100)
-        num_txt = (F.when(fp == 0, ip.cast("string"))
-                   .when(fp % 10 == 0, F.concat(ip.cast("string"), F.lit("."), (fp / 10).cast("long").cast("string")))
-                   .otherwise(F.concat(ip.cast("string"), F.lit("."), F.lpad(fp.cast("string"), 2, "0"))))
-        label = F.concat(num_txt, F.lit(" " + DECIMAL_UNITS[k]))
-        cond = b < F.lit(d * 1000) if k < len(DECIMAL_UNITS) - 1 else F.lit(True)
-        expr = expr.when(cond, label)
-    return expr
+    none = b.isNull() | (b <= 0) if is_file is None else ~col_or_lit(is_file) | b.isNull() | (b <= 0)
+    # the unit once, as its exponent; everything after it is computed once, from that unit's divisor
+    k = sum((F.when(b >= F.lit(1000 ** i), 1).otherwise(0) for i in range(1, len(DECIMAL_UNITS))), F.lit(0))
+    divisor = F.get(F.array(*[F.lit(1000 ** i) for i in range(len(DECIMAL_UNITS))]), k)
+    hundredths = F.struct(F.get(F.array(*map(F.lit, DECIMAL_UNITS)), k).alias("unit"), divisor.alias("d"),
+                          F.pmod(b, divisor).alias("rest"), b.alias("b"))
+
+    def rounded(x):
+        whole = ((x["b"] - x["rest"]).cast("decimal(20,0)") / x["d"].cast("decimal(20,0)")).cast("long")
+        num = x["rest"].cast("decimal(22,0)") * F.lit(100)
+        q = F.floor(num / x["d"].cast("decimal(22,0)")).cast("long")
+        return F.struct(x["unit"].alias("unit"), (whole * 100 + q).alias("h"), (num - q.cast("decimal(22,0)") * x["d"].cast("decimal(22,0)")).cast("decimal(24,0)").alias("r"),
+                        x["d"].alias("d"))
+
+    def text(x):
+        up = (x["r"] * 2 > x["d"]) | ((x["r"] * 2 == x["d"]) & (x["h"] % 2 == 1))
+        return F.struct(x["unit"].alias("unit"), (x["h"] + F.when(up, 1).otherwise(0)).alias("h"))
+
+    def shown(x):
+        whole = F.floor(x["h"] / 100).cast("string")
+        part = F.rtrim(F.lpad(F.pmod(x["h"], F.lit(100)).cast("string"), 2, "0"), F.lit("0"))
+        return F.concat(whole, F.when(part == "", F.lit("")).otherwise(F.concat(F.lit("."), part)), F.lit(" "), x["unit"])
+
+    return F.when(none, F.lit("0 B")).otherwise(let(let(let(hundredths, rounded), text), shown))
 
 
 # Rough past-tense age wording; thresholds in seconds (fixed values of the humanizing library the
@@ -179,13 +184,13 @@ def content_type(head, ext=None) -> Column:
     ``application/xml`` by their openings); without content the extension table, then generic binary."""
     h = col_or_lit(head)
     hx = F.hex(F.substring(h, 1, 8))
-    sample = latin1(h, 256)
+    sample = latin1(h, TEXT_SAMPLE_BYTES)  # the same bytes as the text test
     expr = F.when(h.isNull(), F.lit(None).cast("string"))
     for sig, mime in SIGNATURES:
         expr = expr.when(hx.startswith(sig), F.lit(mime))
     expr = expr.when(sample.rlike(HTML_PREFIX), F.lit("text/html")) \
         .when(sample.rlike(XML_PREFIX), F.lit("application/xml")) \
-        .when(F.instr(latin1(h, 512), "\u0000") == 0, F.lit("text/plain")) \
+        .when(F.instr(sample, "\u0000") == 0, F.lit("text/plain")) \
         .otherwise(F.lit("application/octet-stream"))
     if ext is None:
         return F.coalesce(expr, F.lit("application/octet-stream"))

@@ -76,16 +76,18 @@ def decode_lossy(head) -> Column:
     return F.make_valid_utf8(col_or_lit(head).cast("string"))
 
 
-@F.pandas_udf(T.StringType())
-def decode_lossy_arrow(b: pd.Series) -> pd.Series:
-    """Reference-style lossy decoding in Python (used to cross-check ``decode_lossy``)."""
-    return b.map(lambda x: None if x is None else bytes(x).decode("utf-8", "replace"))
+# ---------------------------------------------------------------- window mode (pure expressions)
 
+MAX_WORD = 64
 
-# ---------------------------------------------------------------- window mode (pure expressions)
 
 def _words(text) -> Column:
-    return F.filter(F.split(col_or_lit(text), r"(?U)\s+"), lambda x: x != "")
+    """White-space separated words; a longer run counts as words of ``MAX_WORD`` characters, so that a window
+    is bounded for text without spaces too."""
+    words = F.filter(F.split(col_or_lit(text), r"(?U)\s+"), lambda x: x != "")
+    pieces = F.transform(words, lambda x: F.when(F.length(x) <= MAX_WORD, F.array(x)).otherwise(
+        F.regexp_extract_all(x, F.lit("(?s).{1,%d}" % MAX_WORD), F.lit(0))))
+    return F.when(col_or_lit(text).rlike(r"(?U)\S{%d}" % (MAX_WORD + 1)), F.flatten(pieces)).otherwise(words)
 
 
 def window_chunk_count(text, n_words: int = DEFAULT_WINDOW_WORDS) -> Column:
@@ -126,12 +128,10 @@ def pick_three_window(text, n_words: int = DEFAULT_WINDOW_WORDS) -> Column:
 
 # ---------------------------------------------------------------- packed mode (Arrow UDF)
 
-_TOKEN_RE = re.compile(r"\w+|[^\w\s]", re.UNICODE)
-
-
 def approx_tokens(s: str) -> int:
-    """Default sizer: word pieces and punctuation marks (a stand-in for a byte-pair count)."""
-    return len(_TOKEN_RE.findall(s))
+    """Default sizer: a token per four bytes of UTF-8, counting two bytes for a separator. A chunk of at most
+    n tokens so has at most 4 n bytes, whatever its script and with or without spaces."""
+    return (len(s.encode()) + 5) // 4
 
 
 _LEVELS = [
@@ -143,34 +143,41 @@ _LEVELS = [
 
 
 def _cut_word(word: str, max_tokens: int, sizer: Callable[[str], int]) -> list[str]:
-    """A single piece too large on its own: cut by characters."""
-    out, cur = [], ""
-    for ch in word:
-        if cur and sizer(cur + ch) > max_tokens:
-            out.append(cur)
-            cur = ""
-        cur += ch
-    return out + ([cur] if cur else [])
+    """A single piece too large on its own, cut into the longest prefixes that fit (one character at least).
+
+    The length is found by doubling, then by bisection, so a piece costs a few sizings per chunk."""
+    out, at = [], 0
+    while at < len(word):
+        good, n = 1, 2
+        while at + good < len(word) and sizer(word[at:at + n]) <= max_tokens:
+            good, n = min(n, len(word) - at), n * 2
+        low, high = good, min(n, len(word) - at)
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if sizer(word[at:at + mid]) <= max_tokens else (low, mid - 1)
+        out.append(word[at:at + low])
+        at += low
+    return out
 
 
 def pack_text(text: str, max_tokens: int, sizer: Callable[[str], int] = approx_tokens, level: int = 0) -> list[str]:
     """Greedy packing: split at the coarsest level, merge neighbours while they fit, descend into any
     piece that is too large on its own. Every chunk fits, order is kept, no word is lost.
 
-    Pieces are sized once each and sizes are summed (the sizer counts tokens that never span
-    whitespace), so a text is not sized again as a whole.
+    Pieces are sized once each and sizes are summed; a sizer's sizes must add up to at least the size
+    of the pieces joined.
     """
     text = text.strip()
     if not text:
         return []
+    if sizer(text) <= max_tokens:
+        return [text]
     if level >= len(_LEVELS):
-        return [text] if sizer(text) <= max_tokens else _cut_word(text, max_tokens, sizer)
+        return _cut_word(text, max_tokens, sizer)
     pieces = [p.strip() for p in _LEVELS[level].split(text) if p.strip()]
     if len(pieces) <= 1:
         return pack_text(text, max_tokens, sizer, level + 1)
     sizes = [sizer(p) for p in pieces]
-    if sum(sizes) <= max_tokens:
-        return [text]
     sep = "\n\n" if level == 0 else ("\n" if level == 1 else " ")
     chunks: list[str] = []
     cur: list[str] = []

@@ -31,7 +31,7 @@ BACKOFF_CAP_MS = 8000
 JITTER_MS = 250
 
 ANSWER_SCHEMA = ("project string, path string, content_hash string, prompt_hash string, answer string, "
-                 "attempts int, elapsed_ms long, backoff_ms long, error string")
+                 "attempts int, elapsed_ms long, backoff_ms long, error string, asked_at double")
 
 
 def backoff_ms(attempt: int) -> int:
@@ -152,12 +152,12 @@ def enrich(prompts: DataFrame, client: Callable[[dict], str], max_concurrency: i
                 row = r._asdict()
                 req = {"system": row["system"], "user": row["user"],
                        "fields": {k: row.get(k) for k in REQUEST_FIELDS}}
-                t0 = time.monotonic()
+                t0, asked_at = time.monotonic(), time.time()
                 ans, attempts, waited, err = call_with_retry(lambda: client(req), max_attempts, sleep)
                 out.append((row["project"], row["path"], row["content_hash"], row["prompt_hash"], ans, attempts,
-                            int((time.monotonic() - t0) * 1000), waited, err, *[row[c] for c in extra]))
+                            int((time.monotonic() - t0) * 1000), waited, err, asked_at, *[row[c] for c in extra]))
             yield pd.DataFrame(out, columns=["project", "path", "content_hash", "prompt_hash", "answer", "attempts",
-                                             "elapsed_ms", "backoff_ms", "error", *extra])
+                                             "elapsed_ms", "backoff_ms", "error", "asked_at", *extra])
 
     cols = ["project", "path", "content_hash", "prompt_hash", "system", "user", "size", "filetype", "filesize", "mimetype"]
     return prompts.select(*cols, *extra).repartition(max_concurrency).mapInPandas(run, schema)

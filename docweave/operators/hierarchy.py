@@ -10,11 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..session import materialize
 
 KEY = ["project", "path"]
-MAX_EXPORT_CHILDREN = 100_000
-MAX_EXPORT_FILES = 1_000_000   # one project's document is one row: keep it well below 2 GB
 
 
 def derive_nodes(files: DataFrame) -> DataFrame:
@@ -72,45 +69,44 @@ def file_node_json(state: DataFrame) -> DataFrame:
                         P.path_name("path").alias("name"), F.lit(1).alias("kind_order"), js.alias("json"))
 
 
-def nest_export(state: DataFrame, run_ts, root_label: Column | None = None, checkpoint_every: int = 4) -> DataFrame:
-    """Nested tree per project as JSON text: ``project, json``.
+LAST = "\U0010ffff"  # sorts behind every name
 
-    Built bottom-up by depth: the children of each directory are grouped by parent, sorted by
-    name, and spliced into the directory's object; one round per depth level (a handful). A guard
-    refuses directories or projects above a size limit: the nested document is an export, the
-    flat state table is the store.
+
+def _order_key(path: Column, is_dir: Column) -> Column:
+    """Pre-order of the export: per level the name, then directories before files."""
+    parts = F.split(path, "/")
+    n = F.size(parts)
+    return F.array_join(F.transform(parts, lambda c, i: F.concat(
+        c, F.lit("\u0001"), F.when((i < n - 1) | is_dir, F.lit("0")).otherwise(F.lit("1")), F.lit("\u0002"))), "")
+
+
+def nest_export(state: DataFrame, run_ts, root_label: Column | None = None) -> DataFrame:
+    """Nested JSON of every project in ordered fragments: ``project, ord, part, text``.
+
+    Each node gives its own opening text (with a comma unless it is its parent's first entry) and a
+    directory its closing text; sorted by ``ord`` the fragments of a project are its document, whatever its
+    size or depth. No node's text is held by its parent. First entries are one row per directory,
+    joined on their own full path, so a directory with very many entries is no hot key.
     """
-    spark = state.sparkSession
     s = state.select("project", "path", "content_hash", "updated_at", "doc")
-    big = s.groupBy("project", P.parent_path("path").alias("parent")).count().agg(F.max("count")).first()[0] or 0
-    if big > MAX_EXPORT_CHILDREN:
-        raise ValueError(f"a directory has {big} entries; export refused, use the flat state table")
-    per_project = s.groupBy("project").count().agg(F.max("count")).first()[0] or 0
-    if per_project > MAX_EXPORT_FILES:
-        raise ValueError(f"a project has {per_project} files; export refused, use the flat state table")
-    files = file_node_json(s)
-    max_depth = files.agg(F.max("depth")).first()[0] or 0
+    files = file_node_json(s).select("project", "path", F.lit(False).alias("is_dir"), "json")
     ts = _ts_json(F.lit(run_ts).cast("timestamp"))
-    level = None  # JSON of the nodes at depth d+1, keyed by parent
-    for d in range(max_depth, 0, -1):
-        nodes_d = files.where(F.col("depth") == d).select("project", "path", "parent_path", "name", "kind_order", "json")
-        if level is not None:
-            grouped = level.groupBy("project", F.col("parent_path").alias("path")).agg(
-                F.array_sort(F.collect_list(F.struct("name", "kind_order", "json"))).alias("kids"))
-            dirs = grouped.select(
-                "project", "path", P.parent_path("path").alias("parent_path"), P.path_name("path").alias("name"),
-                F.lit(0).alias("kind_order"),
-                F.concat(F.lit('{"kind":"dir","name":'), _jstr(P.path_name("path")), F.lit(',"path":'), _jstr(F.col("path")),
-                         F.lit(',"updated_at":'), ts, F.lit(',"entries":['),
-                         F.array_join(F.transform("kids", lambda k: k["json"]), ","), F.lit("]}")).alias("json"))
-            nodes_d = nodes_d.unionByName(dirs)
-        level = nodes_d
-        if checkpoint_every and (max_depth - d + 1) % checkpoint_every == 0:
-            level = materialize(level, "nest-level")
-    if level is None:
-        return spark.createDataFrame([], "project string, json string")
+    dirs = s.select("project", F.explode(P.ancestors("path")).alias("path")).distinct()
+    opened = F.concat(F.lit('{"kind":"dir","name":'), _jstr(P.path_name("path")), F.lit(',"path":'), _jstr(F.col("path")),
+                      F.lit(',"updated_at":'), ts, F.lit(',"entries":['))
+    nodes = files.unionByName(dirs.select("project", "path", F.lit(True).alias("is_dir"), opened.alias("json")))
+    entry = F.struct(P.path_name("path").alias("name"), (~F.col("is_dir")).alias("file"), "path")
+    first = nodes.groupBy("project", P.parent_path("path").alias("parent")).agg(F.min(entry).alias("e")) \
+        .select("project", F.col("e.path").alias("path"), (~F.col("e.file")).alias("is_dir"), F.lit(True).alias("is_first"))
+    marked = nodes.join(first, ["project", "path", "is_dir"], "left")
+    comma = F.when(F.col("is_first"), F.lit("")).otherwise(F.lit(","))
+    out = marked.select("project", _order_key(F.col("path"), F.col("is_dir")).alias("ord"),
+                        F.when(F.col("is_dir"), F.lit("open")).otherwise(F.lit("file")).alias("part"), F.concat(comma, "json").alias("text"))
+    closed = dirs.select("project", F.concat(_order_key(F.col("path"), F.lit(True)), F.lit(LAST)).alias("ord"),
+                         F.lit("close").alias("part"), F.lit("]}").alias("text"))
     label = root_label if root_label is not None else F.col("project")
-    top = level.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("name", "kind_order", "json"))).alias("kids"))
-    return top.select("project", F.concat(
-        F.lit('{"root":'), _jstr(label), F.lit(',"updated_at":'), ts, F.lit(',"entries":['),
-        F.array_join(F.transform("kids", lambda k: k["json"]), ","), F.lit("]}")).alias("json"))
+    top = s.select("project").distinct()
+    root = top.select("project", F.lit("").alias("ord"), F.lit("open").alias("part"), F.concat(
+        F.lit('{"root":'), _jstr(label), F.lit(',"updated_at":'), ts, F.lit(',"entries":[')).alias("text"))
+    end = top.select("project", F.lit(LAST).alias("ord"), F.lit("close").alias("part"), F.lit("]}").alias("text"))
+    return root.unionByName(out).unionByName(closed).unionByName(end)

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from ..functions import paths as P
 
-BROADCAST_RULES_MAX = 100_000
-BROADCAST_RULE_DIRS_MAX = 20_000_000   # rule directories broadcast as 64-bit hashes
+BROADCAST_RULE_BYTES = 32 << 20
+SALTS = 64
 
 
 def drop_hidden(df: DataFrame, path_col: str = "path", show_all: bool = False) -> DataFrame:
@@ -38,36 +38,42 @@ def derive_nodes(files: DataFrame) -> DataFrame:
     return files.select("project", "path", F.lit(False).alias("is_dir")).unionByName(dirs)
 
 
+def _bounded(df: DataFrame, limit: int) -> bool:
+    """Whether a rules table's text, as it would be broadcast, has at most ``limit`` bytes."""
+    size = sum((F.octet_length(F.to_json(F.struct(c))) for c in df.columns), F.lit(0))
+    return (df.agg(F.sum(size)).first()[0] or 0) <= limit
+
+
 def _rule_matches(nodes: DataFrame, rules: DataFrame, by_project: bool) -> DataFrame:
+    """Per node and rule directory at or above it, the last rule of that directory that matches the node.
+
+    Rules are one row per directory, with its lines in an array, so a node meets a directory once and not
+    once per line. Small tables (by their bytes) are broadcast; beyond that the directory's row is copied
+    to ``SALTS`` keys, so the nodes below one hot root directory are spread over as many tasks.
+    """
+    key = ["project", "rule_dir"] if by_project else ["rule_dir"]
+    r = rules.where(F.col("project").isNotNull() if by_project else F.col("project").isNull())
+    r = r.groupBy(*key).agg(F.collect_list(F.struct("level", "seq", "regex", "negated", "dir_only")).alias("lines"))
     cand = nodes.select("project", "path", "is_dir",
                         F.explode(P.ancestors("path", include_root=True)).alias("rule_dir"))
-    if by_project:
-        r = rules.where(F.col("project").isNotNull())
-        # most (node, ancestor) candidates have no rules: drop them map-side with the rule
-        # directories' key hashes (counted, then broadcast), so only real candidates reach the join
-        dir_hashes = r.select(F.xxhash64("project", "rule_dir").alias("_h")).distinct()
-        if dir_hashes.count() <= BROADCAST_RULE_DIRS_MAX:
-            cand = cand.withColumn("_h", F.xxhash64("project", "rule_dir")) \
-                .join(F.broadcast(dir_hashes), "_h", "left_semi").drop("_h")
-        j = cand.join(r, ["project", "rule_dir"], "inner")
+    if _bounded(r, BROADCAST_RULE_BYTES):
+        j = cand.join(F.broadcast(r), key, "inner")
     else:
-        r = rules.where(F.col("project").isNull()).drop("project")
-        n_global = r.count()  # a user's global rules: checked before broadcasting
-        r = F.broadcast(r) if n_global <= BROADCAST_RULES_MAX else r
-        j = cand.join(r, ["rule_dir"], "inner")
+        salted = r.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        j = cand.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(salted, [*key, "_salt"], "inner")
     rel = F.when(F.col("rule_dir") == "", F.col("path")).otherwise(
         F.expr("substring(path, length(rule_dir) + 2)"))
-    full = F.concat(F.lit("^(?:"), F.col("regex"), F.lit(")$"))
-    return j.where(F.regexp_like(rel, full) & (~F.col("dir_only") | F.col("is_dir"))) \
-        .select("project", "path", "is_dir", "negated", "level", "rule_dir", "seq")
+    hit = F.filter("lines", lambda x: F.regexp_like(rel, F.concat(F.lit("^(?:"), x["regex"], F.lit(")$"))) & (~x["dir_only"] | F.col("is_dir")))
+    last = F.array_max(F.transform(hit, lambda x: F.struct(x["level"].alias("level"), F.length("rule_dir").alias("depth"),
+                                                          x["seq"].alias("seq"), x["negated"].alias("negated"))))
+    return j.select("project", "path", "is_dir", last.alias("last")).where(F.col("last").isNotNull())
 
 
 def rule_verdicts(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """Per matched node the last matching rule's verdict: ``negated`` true = re-included.
     Precedence: level (global < repository exclude < ignore files), deeper rule directory, later line."""
     m = _rule_matches(nodes, rules, True).unionByName(_rule_matches(nodes, rules, False))
-    return m.groupBy("project", "path", "is_dir").agg(
-        F.max_by("negated", F.struct("level", F.length("rule_dir"), "seq")).alias("negated"))
+    return m.groupBy("project", "path", "is_dir").agg(F.max("last").alias("last")).select("project", "path", "is_dir", "last.negated")
 
 
 def ignored_nodes(nodes: DataFrame, rules: DataFrame) -> DataFrame:
@@ -100,8 +106,38 @@ def apply_ignore_rules(files: DataFrame, rules: DataFrame, hidden: bool = False)
 
 # ---------------------------------------------------------------- P8: ignore-file lines -> regex
 
+NOTHING = r"[^\s\S]"
+
+
+def _class(body: str, negated_class: bool) -> str:
+    """A bracket expression: ranges in order (reversed ones hold nothing), never a path separator, every sign
+    but letters and digits escaped, as engines differ in what else is special inside brackets."""
+    members, i = [], 0
+    while i < len(body):
+        if body[i] == "\\" and i + 1 < len(body):
+            i += 1
+        low = high = body[i]
+        if body[i + 1:i + 2] == "-" and i + 2 < len(body):
+            i += 2
+            if body[i] == "\\" and i + 1 < len(body):
+                i += 1
+            high = body[i]
+        i += 1
+        members.append((low, high))
+    if negated_class:
+        members.insert(0, ("/", "/"))
+    else:
+        members = [m for low, high in members for m in ([(low, "."), ("0", high)] if low <= "/" <= high else [(low, high)])]
+    members = [(low, high) for low, high in members if low <= high]
+    if not members:
+        return NOTHING
+    sign = lambda c: c if c.isalnum() or ord(c) > 127 else "\\" + c
+    return "[" + "^" * negated_class + "".join(sign(a) if a == b else f"{sign(a)}-{sign(b)}" for a, b in members) + "]"
+
+
 def glob_to_regex(line: str) -> dict | None:
-    """One ignore-file line to ``{regex, negated, dir_only, anchored}``; None for blanks/comments.
+    """One ignore-file line to ``{regex, negated, dir_only, anchored}``; None for blanks/comments, and a
+    null regex for a line that is no valid pattern.
 
     Matching is against the path relative to the ignore file's directory, as a full match.
     """
@@ -139,15 +175,13 @@ def glob_to_regex(line: str) -> dict | None:
             out.append("[^/]")
             i += 1
         elif s[i] == "[":
-            j = s.find("]", i + 2)
+            first = i + 2 if s[i + 1:i + 2] in ("!", "^") else i + 1  # a ] right there is a member
+            j = s.find("]", first + 1)
             if j < 0:
                 out.append(re.escape(s[i]))
                 i += 1
             else:
-                body = s[i + 1:j]
-                if body.startswith("!"):
-                    body = "^" + body[1:]
-                out.append("[" + body.replace("\\", "\\\\") + "]")
+                out.append(_class(s[first:j], negated_class=first == i + 2))
                 i = j + 1
         elif s[i] == "\\" and i + 1 < len(s):
             out.append(re.escape(s[i + 1]))
@@ -157,6 +191,10 @@ def glob_to_regex(line: str) -> dict | None:
             i += 1
     body = "".join(out)
     regex = body if anchored else "(?:.*/)?" + body
+    try:
+        re.compile(regex)
+    except re.error:
+        regex = None  # reported by rejected_patterns
     return {"regex": regex, "negated": negated, "dir_only": dir_only, "anchored": anchored}
 
 
@@ -178,6 +216,12 @@ def compile_ignore_patterns(lines: DataFrame) -> DataFrame:
         "project", "rule_dir", "level", "seq", "line", "_c.regex", "_c.negated", "_c.dir_only", "_c.anchored")
 
 
+def rejected_patterns(lines: DataFrame) -> DataFrame:
+    """The lines that are neither blank nor a comment and still give no rule; they never fail a job."""
+    c = lines.withColumn("_c", compile_ignore_line(F.col("line")))
+    return c.where(F.col("_c.regex").isNull() & F.col("_c.negated").isNotNull()).select("project", "rule_dir", "level", "seq", "line")
+
+
 # Ignore files honoured inside a tree and their precedence level (higher wins):
 # repository exclude file 1, version-control ignore files 2, generic ignore files 3.
 IGNORE_FILE_LEVELS = {".gitignore": 2, ".ignore": 3}

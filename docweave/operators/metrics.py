@@ -9,9 +9,12 @@ ACTIONS = ["new", "changed", "reuse", "forced"]
 
 
 def run_summary(plan: DataFrame, prev_state: DataFrame, stale: DataFrame, nested: DataFrame | None = None,
-                new_state: DataFrame | None = None) -> DataFrame:
+                new_state: DataFrame | None = None, unreadable: DataFrame | None = None,
+                rejected: DataFrame | None = None) -> DataFrame:
     """Per project: files walked, previous records, counts per action, stale records; with
-    ``nested`` the number of nested states and their rows, with ``new_state`` the records written.
+    ``nested`` the number of nested states and their rows, with ``new_state`` the records written, with
+    ``unreadable`` (rows of the scan) the entries that could not be read, with ``rejected`` the records
+    and trees that state files lost.
 
     Each input is reduced by a partial aggregation before the (small, per-project) joins.
     """
@@ -33,6 +36,14 @@ def run_summary(plan: DataFrame, prev_state: DataFrame, stale: DataFrame, nested
         u = new_state.groupBy("project").agg(F.count(F.lit(1)).alias("updated"))
         out = out.join(u, "project", "left")
         cols += [F.coalesce("updated", F.lit(0)).cast("long").alias("updated")]
+    if unreadable is not None:
+        x = unreadable.groupBy("project").agg(F.count(F.lit(1)).alias("unreadable"))
+        out = out.join(x, "project", "left")
+        cols.append(F.coalesce("unreadable", F.lit(0)).cast("long").alias("unreadable"))
+    if rejected is not None:
+        b = rejected.groupBy("project").agg(F.sum("bad_records").alias("bad_records"), F.count_if("unreadable").alias("bad_trees"))
+        out = out.join(b, "project", "left")
+        cols += [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("bad_records", "bad_trees")]
     return out.select(*cols)
 
 

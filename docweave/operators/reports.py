@@ -3,8 +3,7 @@ tree view (L5) and its styles (L6).
 
 Ordering never relies on a window over one huge partition: the tree's pre-order is a string sort
 key built per row from its own path, ``is_last`` comes from a per-parent ``max`` (partial
-aggregation) joined back, and listing indexes use either a window (small directories) or a range
-sort with per-partition offsets (directories above a child-count limit).
+aggregation) joined back, and listing indexes come from a range sort with per-partition offsets.
 """
 
 from __future__ import annotations
@@ -16,9 +15,9 @@ from ..functions import paths as P
 from ..functions import text as TX
 from ..functions.answer import emoji_presentation
 from ..session import materialize
+from .state import load_annotations, nearest_root, rebase_state
 
 KEY = ["project", "path"]
-SKEW_CHILDREN = 1_000_000
 SEP = "\u0001"  # lowest separator: a shorter name sorts first, a parent before its children
 
 # Connector styles (connector for a non-last / last child, continuation below a
@@ -40,33 +39,29 @@ def annotate(nodes: DataFrame, annotations: DataFrame) -> DataFrame:
     return j
 
 
-def index_within(df: DataFrame, group: list[str], order: list[Column], method: str = "auto",
-                 skew_children: int = SKEW_CHILDREN, n_partitions: int | None = None) -> DataFrame:
-    """Adds ``idx`` (0-based position within ``group`` by ``order``).
+def index_within(df: DataFrame, group: list[str], order: list[Column], n_partitions: int | None = None) -> DataFrame:
+    """Adds ``idx`` (0-based position within ``group`` by ``order``), whatever the size of a group.
 
-    ``window``: ``row_number`` per group. ``range``: range-partition by (group, order) so a huge
-    group is spread over many tasks, number rows inside each sorted partition, and add the count of
-    the group's rows in earlier partitions (a small per-(group, partition) table). ``auto`` picks
-    ``range`` only when some group exceeds ``skew_children`` (one cheap aggregate).
+    Rows are range partitioned by (group, order), so a huge group is spread over many tasks, and written
+    with their place (partition, row) as stored columns. The count of a group's rows in earlier
+    partitions comes from a small per-(group, partition) table of what was written: both sides of the
+    join see one and the same partitioning.
     """
-    if method == "auto":
-        biggest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-        method = "range" if biggest > skew_children else "window"
-    if method == "window":
-        w = Window.partitionBy(*group).orderBy(*order)
-        return df.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
     keys = [F.col(g) for g in group] + order
     n = n_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the range partitioner samples its input: read it from a written table, not recomputed
     df = materialize(df, "index-input")
-    s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys) \
-        .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    stats = s.groupBy(*group, "_pid").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
+    s = materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                    .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()), "index-sorted")
     w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    j = s.join(stats, [*group, "_pid"], "inner")
-    return j.withColumn("idx", (F.col("_off") + F.col("_mid") - F.col("_first")).cast("long")) \
-        .drop("_pid", "_mid", "_first", "_cnt", "_off")
+    per = s.groupBy(*group, "_pid").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt")) \
+        .withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
+    per = per.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_pid").alias("_p"), "_first", "_off")
+    same = F.col("_pid") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return s.join(per, same).withColumn("idx", (F.col("_off") + F.col("_mid") - F.col("_first")).cast("long")) \
+        .select(*df.columns, "idx")
 
 
 def listing_nodes(files: DataFrame, run_ts) -> DataFrame:
@@ -81,7 +76,7 @@ def listing_nodes(files: DataFrame, run_ts) -> DataFrame:
 
 
 def list_rows(nodes: DataFrame, annotations: DataFrame, run_ts, show_all: bool = False, fun: bool = False,
-              directory: str | None = None, index_method: str = "auto", start: str | None = None) -> DataFrame:
+              directory: str | None = None, start: str | None = None) -> DataFrame:
     """Listing rows ``project, dir, idx, name, type, size, modified, description[, personality, joy]``.
 
     One directory (``directory``) or every directory at once (``None``: the recursive listing, where
@@ -99,7 +94,23 @@ def list_rows(nodes: DataFrame, annotations: DataFrame, run_ts, show_all: bool =
                  TX.age_label("mtime", F.lit(run_ts).cast("timestamp")).alias("modified"), "description",
                  *([emoji_presentation("personality").alias("personality"), "joy"] if fun else []))
     order = [F.when(F.col("type") == "file", 0).otherwise(1), F.lower("name"), F.col("name")]
-    return index_within(n, ["project", "dir"], order, method=index_method)
+    return index_within(n, ["project", "dir"], order)
+
+
+def list_from(files: DataFrame, states: DataFrame, starts: DataFrame, run_ts, show_all: bool = False, fun: bool = False) -> DataFrame:
+    """Listings of start folders, as a user asks for them: the nearest documented root at or above each
+    start, that root's annotations re-keyed to the project, then the rows of the start folder.
+
+    ``files``: ``project, path, size, mtime``; ``states``: flat records with ``project, root, path, doc``, paths
+    relative to their ``root``; ``starts``: ``project, start``. A start without a root is listed without
+    annotations."""
+    roots = states.select("project", F.col("root").alias("dir")).distinct()
+    near = nearest_root(starts, roots)
+    used = states.join(near.select("project", "root").distinct(), ["project", "root"], "left_semi")
+    ann = load_annotations(rebase_state(used.select("project", F.col("root").alias("base"), "path", "doc")))
+    nodes = listing_nodes(files, run_ts)
+    asked = starts.select("project", F.col("start").alias("parent_path")).distinct()
+    return list_rows(nodes.join(asked, ["project", "parent_path"], "left_semi"), ann, run_ts, show_all, fun)
 
 
 def _sort_key(path: Column, is_dir: Column) -> Column:

@@ -16,10 +16,10 @@ from ..functions.answer import emoji_presentation, joy_text
 from ..functions.text import trim_ws
 
 KEY = ["project", "path"]
-# Fixed values (file names existing state trees carry): the names of nested states searched below
+# Default file names, all of them parameters: the names of nested states searched below
 # a root (ASCII case-insensitive) and the name that marks a documented root for list and tree views.
-NESTED_STATE_NAMES = [".dirdocs.nu", ".dir.nuon"]
-ROOT_STATE_NAME = ".dirdocs.nuon"
+NESTED_STATE_NAMES = [".docstate.nu", ".docs.nuon"]
+ROOT_STATE_NAME = ".docstate.nuon"
 ALL_STATE_NAMES = [ROOT_STATE_NAME, *NESTED_STATE_NAMES]
 DOC_SCHEMA = "struct<description:string,joy:string,emoji:string>"
 
@@ -130,7 +130,7 @@ def fun_columns(ann: DataFrame) -> DataFrame:
 
 def find_nested_states(inventory: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Directories holding a nested state file; nothing below such a directory is searched, so only
-    the top-most ones are kept. Result sorted by ``(project, dir)``."""
+    the top-most ones are kept."""
     names = [n.lower() for n in (names or NESTED_STATE_NAMES)]
     marked = inventory.where(F.lower(P.path_name("path")).isin(*names)) \
         .select("project", P.parent_path("path").alias("dir")).distinct()
@@ -138,7 +138,7 @@ def find_nested_states(inventory: DataFrame, names: list[str] | None = None) ->
     anc = anc.where(F.col("anc") != F.col("dir"))
     blocked = anc.join(marked.select("project", F.col("dir").alias("anc")), ["project", "anc"], "left_semi") \
         .select("project", "dir").distinct()
-    return marked.join(blocked, ["project", "dir"], "left_anti").orderBy("project", "dir")
+    return marked.join(blocked, ["project", "dir"], "left_anti")
 
 
 def nearest_root(starts: DataFrame, roots: DataFrame, start_col: str = "start") -> DataFrame:

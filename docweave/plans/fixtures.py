@@ -57,12 +57,11 @@ def prev_v(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = None) ->
 
 
 def nested_v(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = None) -> DataFrame:
-    """A nested state below ``en`` whose paths are relative to its own root."""
+    """Nested states of every project: one below each top directory, with paths relative to it."""
     c = corpus if corpus is not None else corpus_v(spark, sf_dir)
-    return c.where(F.col("path").startswith("en/") & (F.col("doc_id") % 3 == 0)
-                   & F.col("project").isin("src0", "src1")).select(
-        "project", F.lit("en").alias("base"), F.expr("substring(path, 4)").alias("path"), "content_hash",
-        F.concat(F.lit("Nested "), F.col("doc_id").cast("string")).alias("description"))
+    return c.where(F.instr("path", "/") > 0).select(
+        "project", F.substring_index("path", "/", 1).alias("base"), F.expr("substring(path, instr(path, '/') + 1)").alias("path"),
+        "content_hash", F.concat(F.lit("Nested "), F.col("doc_id").cast("string")).alias("description"))
 
 
 ANSWER_KINDS = 8
@@ -103,7 +102,7 @@ def state_v(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = None) -
                     F.struct(desc.alias("description"), joy.alias("joy"), emoji.alias("emoji")).alias("doc"))
 
 
-STATE_NAME_VARIANTS = [".dirdocs.nu", ".DIR.NUON", ".dirdocs.nuon", ".Dirdocs.Nu"]
+STATE_NAME_VARIANTS = [".docstate.nu", ".DOCS.NUON", ".docstate.nuon", ".Docstate.Nu"]
 
 
 def markers_v(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = None) -> DataFrame:
@@ -119,21 +118,34 @@ def markers_v(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = None)
     return near.unionByName(deep)
 
 
-# Ignore rules: project, rule_dir, level, seq, regex (full match on the path relative to rule_dir),
-# negated, dir_only. level 0 = user-global (project null), 1 = repository exclude, 2 = ignore files.
-RULES = [
-    ("src0", "", 2, 1, r"(.*/)?[^/]*\.json", False, False),
-    ("src0", "en", 2, 1, r"(.*/)?d[0-9]*1\.json", True, False),
-    ("src0", "", 2, 2, r"target", False, True),
-    ("src0", "target/en", 2, 1, r".*", True, False),
-    ("src1", "", 1, 1, r"(.*/)?[^/]*\.MD", False, False),
-    ("src1", "fr", 2, 1, r"d[0-9]*5\.MD", True, False),
-    ("src2", "", 2, 1, r"es", False, True),
-    (None, "", 0, 1, r"(.*/)?[^/]*\.tar\.gz", False, False),
+# Ignore lines of every project: rule_dir, level, seq, line. Level 1 = repository exclude, 2 = ignore files.
+RULE_LINES = [
+    ("", 2, 1, "*.json"),
+    ("en", 2, 1, "!d[0-9]*1.json"),
+    ("", 2, 2, "target/"),
+    ("target/en", 2, 1, "!*"),
+    ("", 1, 1, "*.M[!a]"),
+    ("fr", 2, 1, "!d[0-9]*5.MD"),
+    ("", 2, 3, "[z-a]*"),
+    ("", 2, 4, "[[]x"),
+    ("", 2, 5, "d2*.[p-r][!a&&x]"),
+    ("", 2, 6, "es/d*7.py"),
+    ("", 2, 7, "# a comment"),
 ]
-RULES_SCHEMA = "project string, rule_dir string, level int, seq int, regex string, negated boolean, dir_only boolean"
+GLOBAL_LINES = [("", 0, 1, "*.tar.gz")]
 
 
-def rules_v(spark: SparkSession) -> DataFrame:
-    """Ignore-rule parameters (a rules table, applied to the whole corpus)."""
-    return spark.createDataFrame(RULES, RULES_SCHEMA)
+def rules_v(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = None) -> DataFrame:
+    """Compiled ignore rules of all projects of the corpus, and the user-global ones (project null)."""
+    from ..operators.inventory import compile_ignore_patterns
+
+    c = corpus if corpus is not None else corpus_v(spark, sf_dir)
+
+    def with_lines(df, lines):
+        rows = F.array(*[F.struct(F.lit(d).alias("rule_dir"), F.lit(lv).alias("level"), F.lit(s).alias("seq"), F.lit(x).alias("line"))
+                         for d, lv, s, x in lines])
+        return df.select("project", F.explode(rows).alias("r")).select("project", "r.*")
+
+    lines = with_lines(c.select("project").distinct(), RULE_LINES).unionByName(
+        with_lines(spark.range(1).select(F.lit(None).cast("string").alias("project")), GLOBAL_LINES))
+    return compile_ignore_patterns(lines).select("project", "rule_dir", "level", "seq", "regex", "negated", "dir_only")

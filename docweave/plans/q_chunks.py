@@ -50,13 +50,18 @@ def token_chunks(spark, sf):
     return CH.window_chunks(d, "text", WORDS, keys=["doc_id"])
 
 
-@register("token_chunks_packed")
+@register("token_chunks_packed", f"""
+select doc_id, sha256(array_to_string(w, ' ')) as words_sha256, cast(0 as bigint) as n_oversize, len(w) > 0 as has_chunks,
+  cast(len(w) as bigint) as n_words
+from (select doc_id, {_WORDS_SQL} as w from documents) a""")
 def token_chunks_packed(spark, sf):
-    """Packed chunks (max 1000 tokens by the default sizer) with their token counts."""
+    """Per document what packing must keep: all words in order, and no chunk over the bound in bytes."""
     d = FX.table(spark, sf, "documents")
     ch = d.select("doc_id", CH.packed_chunks_udf(1000)(F.col("text")).alias("chunks"))
-    return ch.select("doc_id", F.posexplode("chunks").alias("chunk_no", "text")) \
-        .withColumn("n_words", F.size(F.split(F.trim("text"), r"\s+")))
+    words = F.filter(F.split(F.array_join("chunks", " "), r"(?U)\s+"), lambda x: x != "")
+    return ch.select("doc_id", F.sha2(F.array_join(words, " "), 256).alias("words_sha256"),
+                     F.size(F.filter("chunks", lambda c: F.octet_length(c) > 4 * 1000)).cast("long").alias("n_oversize"),
+                     (F.size("chunks") > 0).alias("has_chunks"), F.size(words).cast("long").alias("n_words"))
 
 
 def _pick_sql(words: str = "w", n: str = "n") -> str:

@@ -9,7 +9,7 @@ from .queries import register
 from ..functions import paths as P
 from ..functions import text as TX
 from ..operators import content as CO
-from ..operators.chunking import decode_lossy, decode_lossy_arrow
+from ..operators.chunking import decode_lossy
 from ..sources.corpus import corpus_from_table
 
 # ---------------------------------------------------------------- sizes derived from the data
@@ -29,9 +29,9 @@ def _bytes_col():
 
 def _human_sql(b: str) -> str:
     parts = [f"when {b} < 1024 then cast({b} as varchar) || ' B'"]
-    for k, u in enumerate(TX.BINARY_UNITS[1:], start=1):
+    for k, u in enumerate(["KB", "MB", "GB", "TB"], start=1):
         lo = 1024 ** k
-        cond = f"{b} < {lo * 1024}" if k < len(TX.BINARY_UNITS) - 1 else "true"
+        cond = f"{b} < {lo * 1024}" if k < 4 else "true"
         parts.append(f"when {cond} then printf('%.1f', round_even({b} / {float(lo)}, 1)) || ' {u}'")
     return "case " + " ".join(parts) + " end"
 
@@ -45,7 +45,7 @@ def human_bytes(spark, sf):
 
 def _decimal_sql(b: str) -> str:
     parts = [f"when {b} <= 0 then '0 B'", f"when {b} < 1000 then cast({b} as varchar) || ' B'"]
-    for k, u in enumerate(TX.DECIMAL_UNITS[1:], start=1):
+    for k, u in enumerate(["kB", "MB", "GB", "TB", "PB", "EB"], start=1):
         d = 1000 ** k
         q = f"(({b})::hugeint * 100 // {d})"
         r = f"(({b})::hugeint * 100 % {d})"
@@ -53,7 +53,7 @@ def _decimal_sql(b: str) -> str:
         txt = (f"case when {h} % 100 = 0 then cast({h} // 100 as varchar) "
                f"when {h} % 10 = 0 then cast({h} // 100 as varchar) || '.' || cast(({h} % 100) // 10 as varchar) "
                f"else cast({h} // 100 as varchar) || '.' || lpad(cast({h} % 100 as varchar), 2, '0') end")
-        cond = f"{b} < {d * 1000}" if k < len(TX.DECIMAL_UNITS) - 1 else "true"
+        cond = f"{b} < {d * 1000}" if k < 6 else "true"
         parts.append(f"when {cond} then {txt} || ' {u}'")
     return "case " + " ".join(parts) + " end"
 
@@ -70,16 +70,15 @@ _AGE_SQL_SECS = """case doc_id % 4 when 0 then doc_id % 120 when 1 then n_chars
 
 
 def _age_sql(s: str) -> str:
-    parts = []
-    for lo, unit, single, plural in TX.AGE_RULES:
-        if unit is None:
-            t = f"'{single} ago'"
-        elif unit == 1:
-            t = f"cast({s} as varchar) || ' seconds ago'"
-        else:
-            t = f"cast(greatest({s} // {unit}, 2) as varchar) || ' {plural} ago'"
-        parts.append(f"when {s} > {lo} then {t}")
-    return "case " + " ".join(parts) + " else 'now' end"
+    """The wording by its own numbers, not the engine's table."""
+    year, month, week, day = 31556952, 2629746, 604800, 86400
+    return f"""case when {s} > {547 * day} then cast(greatest({s} // {year}, 2) as varchar) || ' years ago'
+  when {s} > {345 * day} then 'a year ago' when {s} > {45 * day} then cast(greatest({s} // {month}, 2) as varchar) || ' months ago'
+  when {s} > {29 * day} then 'a month ago' when {s} > 907200 then cast(greatest({s} // {week}, 2) as varchar) || ' weeks ago'
+  when {s} > 561600 then 'a week ago' when {s} > 129600 then cast(greatest({s} // {day}, 2) as varchar) || ' days ago'
+  when {s} > 79200 then 'a day ago' when {s} > 5400 then cast(greatest({s} // 3600, 2) as varchar) || ' hours ago'
+  when {s} > 2700 then 'an hour ago' when {s} > 90 then cast(greatest({s} // 60, 2) as varchar) || ' minutes ago'
+  when {s} > 45 then 'a minute ago' when {s} > 10 then cast({s} as varchar) || ' seconds ago' else 'now' end"""
 
 
 @register("age_label", f"""
@@ -118,11 +117,11 @@ _HEADS_SQL = """select doc_id, text, case doc_id % 9 when 0 then unhex('89504E47
 
 
 def _ctype_sql() -> str:
-    sig = " ".join(f"when starts_with(hx, '{s}') then '{m}'" for s, m in TX.SIGNATURES)
-    return f"""case {sig}
+    return """case when starts_with(hx, '89504E470D0A1A0A') then 'image/png' when starts_with(hx, '1F8B') then 'application/gzip'
+  when starts_with(hx, '25504446') then 'application/pdf'
   when regexp_matches(text, '^\\s*(<![dD][oO][cC][tT][yY][pP][eE]\\s+[hH][tT][mM][lL]|<[hH][tT][mM][lL])') and doc_id % 9 > 3 then 'text/html'
   when regexp_matches(text, '^\\s*<\\?xml') and doc_id % 9 > 3 then 'application/xml'
-  when regexp_matches(left(hx, 1024), '^(..)*00') then 'application/octet-stream'
+  when regexp_matches(left(hx, 8192), '^(..)*00') then 'application/octet-stream'
   else 'text/plain' end"""
 
 
@@ -150,18 +149,17 @@ def is_probably_text(spark, sf):
     return _heads(spark, sf).select("doc_id", TX.is_probably_text("head").alias("is_text"))
 
 
-@register("decode_limited")
+@register("decode_limited", """
+select doc_id, text, case when text = '' then '' when strlen(right(text, 1)) = 1 then left(text, length(text) - 1)
+  else left(text, length(text) - 1) || chr(65533) end as text_cut
+from documents""")
 def decode_limited(spark, sf):
-    """Whole texts decoded with the real 2,000,000-byte limit, and the same bytes cut one byte short
-    of the end (a split character for texts ending in non-ASCII), JVM-side, with the Python decoding
-    beside it; ``agrees`` must be true on every row."""
-    b = F.encode("text", "UTF-8")
+    """Whole texts decoded with the 2,000,000-byte limit, and the same bytes cut one byte short of the
+    end: a character split by the cut becomes one replacement sign."""
     d = FX.table(spark, sf, "documents").select(
-        "doc_id", F.substring(b, 1, TX.MAX_TEXT_BYTES).alias("b"),
+        "doc_id", F.substring(F.encode("text", "UTF-8"), 1, TX.MAX_TEXT_BYTES).alias("b"),
         F.expr("substring(encode(text, 'UTF-8'), 1, octet_length(text) - 1)").alias("c"))
-    j, k = decode_lossy("b"), decode_lossy("c")
-    return d.select("doc_id", j.alias("text"), k.alias("text_cut"),
-                    ((j == decode_lossy_arrow("b")) & (k == decode_lossy_arrow("c"))).alias("agrees"))
+    return d.select("doc_id", decode_lossy("b").alias("text"), decode_lossy("c").alias("text_cut"))
 
 
 @register("first_n_words", """

@@ -66,9 +66,26 @@ def _state(spark, sf):
     return as_state(FX.state_v(spark, sf))
 
 
-@register("nest_export")
+@register("nest_export", f"""
+with f as (select project, path, content_hash, updated_at, description, joy, emoji from state_v),
+d as ({PREFIXES_SQL.format(src='f')}),
+ts as (select '"' || replace('{FX.RUN_TS}', ' ', 'T') || 'Z"' as t),
+n as (
+  select project, path, false as is_dir, '{{"kind":"file","name":' || to_json(regexp_extract(path, '[^/]*$', 0)) || ',"path":' || to_json(path)
+    || ',"hash":' || to_json(content_hash) || ',"updated_at":"' || strftime(updated_at, '%Y-%m-%dT%H:%M:%SZ') || '","doc":{{"fileDescription":'
+    || to_json(description) || ',"joyThisFileBrings":' || coalesce(joy, 'null') || ',"personalityEmoji":' || to_json(emoji) || '}}}}' as json from f
+  union all select project, path, true, '{{"kind":"dir","name":' || to_json(regexp_extract(path, '[^/]*$', 0)) || ',"path":' || to_json(path)
+    || ',"updated_at":' || t || ',"entries":[' from d, ts),
+k as (
+  select *, array_to_string(list_transform(string_split(path, '/'), lambda c, i: c || chr(1)
+      || (case when i < len(string_split(path, '/')) or is_dir then '0' else '1' end) || chr(2)), '') as ord,
+    row_number() over (partition by project, regexp_extract(path, '^(.*)/[^/]*$', 1) order by regexp_extract(path, '[^/]*$', 0), not is_dir) as rn from n)
+select project, ord, case when is_dir then 'open' else 'file' end as part, case when rn = 1 then '' else ',' end || json as text from k
+union all select project, ord || chr(1114111), 'close', ']}}' from k where is_dir
+union all select distinct project, '', 'open', '{{"root":' || to_json(project) || ',"updated_at":' || t || ',"entries":[' from f, ts
+union all select distinct project, chr(1114111), 'close', ']}}' from f""", ("state_v",))
 def nest_export(spark, sf):
-    """Nested JSON tree per project (one row per project, the document as text)."""
+    """Nested JSON tree of every project in ordered fragments."""
     return H.nest_export(_state(spark, sf), F.lit(FX.RUN_TS))
 
 
@@ -76,9 +93,8 @@ def nest_export(spark, sf):
 select project, path, content_hash, strftime(updated_at, '%Y-%m-%dT%H:%M:%SZ') as updated_at, description, joy, emoji
 from state_v""", ("state_v",))
 def read_state(spark, sf):
-    """Round trip: export the state as nested trees, read the trees back and flatten them."""
-    trees = H.nest_export(_state(spark, sf), F.lit(FX.RUN_TS))
-    s = SIO.read_state_trees(trees)
+    """Round trip: export the state as ordered fragments, read their lines back and flatten them."""
+    s = SIO.read_state_fragments(H.nest_export(_state(spark, sf), F.lit(FX.RUN_TS)))
     return s.select("project", "path", "content_hash", ts_text(F.col("updated_at")).alias("updated_at"),
                     F.col("doc.description").alias("description"), F.col("doc.joy").alias("joy"),
                     F.col("doc.emoji").alias("emoji"))

@@ -105,7 +105,8 @@ where not exists (select 1 from ign i where i.project = f.project and
   ((not i.is_dir and i.path = f.path) or (i.is_dir and starts_with(f.path, i.path || '/'))))""",
           ("corpus_v", "rules_v"))
 def apply_ignore_rules(spark, sf):
-    return INV.apply_ignore_rules(FX.corpus_v(spark, sf).select("project", "path"), FX.rules_v(spark))
+    c = FX.corpus_v(spark, sf).select("project", "path")
+    return INV.apply_ignore_rules(c, FX.rules_v(spark, sf, c))
 
 
 _LINES_SQL = """
@@ -116,14 +117,17 @@ lines as (
       where regexp_matches(name, '^.+\\.([^.]*)$') and regexp_extract(name, '^.+\\.([^.]*)$', 1) <> ''
     union all select project, '/' || split_part(path, '/', 1) || '/' from c where contains(path, '/')
     union all select project, '!' || path from c where doc_id % 7 = 0
-    union all select project, '# comment' from c) u),
+    union all select project, '# comment' from c
+    union all select project, unnest(['[z-a]', '[[]x', '[!a]*', 'a[+--]b', '[a&&b]']) from c) u),
 parsed as (
   select project, line, starts_with(line, '!') as negated,
     case when starts_with(line, '!') then substring(line, 2) else line end as s1 from lines where not starts_with(line, '#')),
 p2 as (select *, ends_with(s1, '/') as dir_only, rtrim(s1, '/') as s2 from parsed),
 p3 as (select *, contains(s2, '/') as anchored, ltrim(s2, '/') as s3 from p2)
 select project, '' as rule_dir, 2 as level, line,
-  case when anchored then '' else '(?:.*/)?' end || replace(replace(s3, '.', '\\.'), '*', '[^/]*') as regex,
+  case line when '[z-a]' then '(?:.*/)?[^\\s\\S]' when '[[]x' then '(?:.*/)?[\\[]x' when '[!a]*' then '(?:.*/)?[^\\/a][^/]*'
+    when 'a[+--]b' then '(?:.*/)?a[\\+-\\-]b' when '[a&&b]' then '(?:.*/)?[a\\&\\&b]'
+    else case when anchored then '' else '(?:.*/)?' end || replace(replace(s3, '.', '\\.'), '*', '[^/]*') end as regex,
   negated, dir_only, anchored
 from p3"""
 
@@ -138,7 +142,7 @@ def compile_ignore_patterns(spark, sf):
     lines = (c.where(ext.isNotNull() & (ext != "")).select("project", F.concat(F.lit("*."), ext).alias("line"))
              .unionByName(c.where(F.instr("path", "/") > 0).select("project", F.concat(F.lit("/"), top, F.lit("/")).alias("line")))
              .unionByName(c.where(F.col("doc_id") % 7 == 0).select("project", F.concat(F.lit("!"), "path").alias("line")))
-             .unionByName(c.select("project", F.lit("# comment").alias("line")))).distinct()
+             .unionByName(c.select("project", F.explode(F.array(*map(F.lit, ["# comment", "[z-a]", "[[]x", "[!a]*", "a[+--]b", "[a&&b]"]))).alias("line")))).distinct()
     lines = lines.select("project", F.lit("").alias("rule_dir"), F.lit(2).alias("level"),
                          F.xxhash64("line").alias("seq"), "line")
     return INV.compile_ignore_patterns(lines).select("project", "rule_dir", "level", "line", "regex", "negated",

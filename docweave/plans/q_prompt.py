@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from . import fixtures as FX
@@ -17,20 +19,20 @@ from ..operators import content as CO
 from ..operators import enrich as EN
 from ..operators import prompt as PR
 from ..operators import state as ST
+from ..session import materialize
 from ..sources.corpus import corpus_from_table
 
 ROOT_PREFIX = "/data/"
 
 
 def _dirty_inputs(spark, sf):
-    cv = FX.corpus_v(spark, sf)
+    """The engine's own way: written corpus, plan and context, dirty rows through prompt_inputs_for_dirty."""
+    cv = materialize(FX.corpus_v(spark, sf), "corpus")
     c = corpus_from_table(cv)
     prev = ST.as_state(FX.prev_v(spark, sf, cv))
-    plan = ST.plan_changes(c, prev)
-    ctx = CO.project_context(c, c.select("project"))
-    content = RUN.dirty_content(c, plan)
-    inputs = RUN.prompt_inputs(content, ctx, "window", WORDS)
-    return c, prev, plan, inputs
+    plan = materialize(ST.plan_changes(c, prev), "plan")
+    ctx = materialize(CO.project_context(c, c.select("project")), "context")
+    return c, prev, plan, RUN.prompt_inputs_for_dirty(c, plan, ctx, "window", WORDS)
 
 
 def _prompts(spark, sf):
@@ -56,7 +58,7 @@ feat as (select *, {sql_ext('name')} as extension, coalesce({sql_ext('name')}, '
            left(hex(encode(content)), 8192) as hx, {_WORDS_C} as w from base),
 feat2 as (select *, length(hx) // 2 as n, cast(ceil(len(w) / {WORDS}) as bigint) as nc from feat),
 feat3 as (select *, {_IS_TEXT_SQL} as is_text,
-            case when regexp_matches(left(hx, 1024), '^(..)*00') then 'application/octet-stream' else 'text/plain' end as content_type,
+            case when regexp_matches(left(hx, 8192), '^(..)*00') then 'application/octet-stream' else 'text/plain' end as content_type,
             case when {sql_ext('name', True)} in ('md', 'markdown', 'mdx') then 'markdown'
                  when {_lang_case_sql(sql_ext('name', True))} is not null then 'code' else 'text' end as splitter,
             {_pick_sql('w', 'nc')} from feat2),
@@ -82,12 +84,13 @@ def prompt_fields(spark, sf):
 
 
 def _render_sql(text: str) -> str:
+    """The template taken apart here, not by the engine: every second piece is a field's name."""
     parts = []
-    for kind, v in PR.compile_template(text):
-        if kind == "lit":
-            parts.append("'" + v.replace("'", "''") + "'")
-        else:
-            parts.append(sql_html_escape(f"coalesce({v}, '')"))
+    for i, piece in enumerate(re.split(r"\{\{(\w+)\}\}", text)):
+        if i % 2:
+            parts.append(sql_html_escape(f"coalesce({piece}, '')"))
+        elif piece:
+            parts.append("'" + piece.replace("'", "''") + "'")
     return " || ".join(parts) if parts else "''"
 
 

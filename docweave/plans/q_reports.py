@@ -74,17 +74,17 @@ def list_dir(spark, sf):
     c, files = _listing_files(spark, sf)
     nodes = R.listing_nodes(files, F.lit(FX.RUN_TS))
     ann = ST.load_annotations(FX.state_v(spark, sf, c))
-    return R.list_rows(nodes, ann, F.lit(FX.RUN_TS), directory="en", index_method="window") \
+    return R.list_rows(nodes, ann, F.lit(FX.RUN_TS), directory="en") \
         .select("project", "dir", "idx", "name", "type", "size", "modified", "description")
 
 
 @register("list_recursive", LIST_SQL.replace("{fun}", ", personality, joy").replace("{where}", ""), ("state_v", "corpus_v"))
 def list_recursive(spark, sf):
-    """Every directory's listing with the fun columns; index by the range route (skew-safe)."""
+    """Every directory's listing with the fun columns; index by a range sort."""
     c, files = _listing_files(spark, sf)
     nodes = R.listing_nodes(files, F.lit(FX.RUN_TS))
     ann = ST.load_annotations(FX.state_v(spark, sf, c))
-    return R.list_rows(nodes, ann, F.lit(FX.RUN_TS), fun=True, index_method="range") \
+    return R.list_rows(nodes, ann, F.lit(FX.RUN_TS), fun=True) \
         .select("project", "dir", "idx", "name", "type", "size", "modified", "description", "personality", "joy")
 
 

@@ -119,7 +119,7 @@ def load_annotations_tree(spark, sf):
 @register("find_nested_states", """
 with inv as (select project, path from corpus_v union all select project, path from markers_v),
 marked as (select distinct project, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir from inv
-           where lower(regexp_extract(path, '[^/]*$', 0)) in ('.dirdocs.nu', '.dir.nuon'))
+           where lower(regexp_extract(path, '[^/]*$', 0)) in ('.docstate.nu', '.docs.nuon'))
 select m.project, m.dir from marked m
 where not exists (select 1 from marked a where a.project = m.project and a.dir <> m.dir
                   and (a.dir = '' or starts_with(m.dir, a.dir || '/')))""", ("corpus_v", "markers_v"))
@@ -132,7 +132,7 @@ def find_nested_states(spark, sf):
 @register("nearest_root", """
 with inv as (select project, path from corpus_v union all select project, path from markers_v),
 roots as (select distinct project, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir from inv
-          where regexp_extract(path, '[^/]*$', 0) = '.dirdocs.nuon'),
+          where regexp_extract(path, '[^/]*$', 0) = '.docstate.nuon'),
 starts as (select distinct project, regexp_extract(path, '^(.*)/[^/]*$', 1) as start from inv)
 select s.project, s.start,
   (select arg_max(r.dir, length(r.dir)) from roots r where r.project = s.project

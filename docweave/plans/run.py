@@ -1,7 +1,8 @@
 """The whole documentation run as Spark jobs.
 
-    inventory -> filters -> fingerprint (hash in the scan, content dropped)
-      -> change plan: narrow key join with the merged previous state       [written table]
+    one scan -> narrow inventory: hashes, and text of ignore files, state files and READMEs only
+                                                                             [written table]
+      -> filters, context, change plan: narrow key join with the previous state  [written tables]
       -> dirty rows only: fingerprint + three chunks + project context -> prompts
       -> enrichment, bounded concurrency, resumable                          [answers table, append]
       -> parse + clean -> records; reused rows carried forward -> new state [state table]
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
 from ..functions import text as TX
 from ..operators import chunking as CH
 from ..operators import content as CO
@@ -29,12 +31,22 @@ from ..operators import metrics as M
 from ..operators import prompt as PR
 from ..operators import state as ST
 from ..sources.corpus import fingerprint
+from ..sources.state_io import nested_trees_from_inventory, read_state_trees, rejected_records, write_state
 
 KEY = ["project", "path"]
+METRIC_COLUMNS = [*KEY, "filesize", "filetype", "mimetype", "splitter_used", "chunk1_bytes", "chunk2_bytes", "chunk3_bytes"]
 ANSWER_KEY = ["project", "path", "content_hash", "prompt_hash"]
-BROADCAST_KEYS_MAX = 2_000_000      # dirty keys broadcast to filter the content scan map-side
-BROADCAST_HASHES_MAX = 20_000_000   # 64-bit key hashes broadcast as the map-side filter
-BROADCAST_CONTEXT_MAX = 2_000       # projects whose README fields (~6 KB each) are broadcast
+BROADCAST_BYTES = 64 << 20   # key or context tables of at most this much text are broadcast
+MAX_WAVES = 64               # enrichment steps of a run, whatever its size
+ROWS_PER_STATE_FILE = 1_000_000
+
+
+def scan_inventory(corpus: DataFrame) -> DataFrame:
+    """The corpus without its text, but for READMEs at a root, ignore files and state files (``head``)."""
+    name = P.path_name("path")
+    small = (F.col("path").isin(*CO.README_NAMES) | name.isin(*INV.IGNORE_FILE_LEVELS) | F.col("path").endswith(INV.EXCLUDE_FILE)
+             | F.lower(name).isin(*[n.lower() for n in ST.ALL_STATE_NAMES]))
+    return corpus.withColumn("head", F.when(small, F.col("head")))
 
 
 def filter_inventory(corpus: DataFrame, show_hidden: bool = False, ignore_dirs: list[str] | None = None,
@@ -59,50 +71,31 @@ def filter_inventory(corpus: DataFrame, show_hidden: bool = False, ignore_dirs:
     return INV.apply_ignore_rules(inv, rules, hidden=not show_hidden)
 
 
-def _key_hash():
-    return F.xxhash64("project", "path").alias("_kh")
+def text_bytes(df: DataFrame) -> int:
+    """Bytes of text in a (written) table: what a broadcast of it would hold."""
+    return df.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8 for c in df.columns), F.lit(0)))).first()[0] or 0
 
 
-def prompt_inputs_for_dirty(corpus: DataFrame, plan: DataFrame, context: DataFrame, n_dirty: int | None,
-                            chunk_mode: str = "packed", n_words: int = CH.DEFAULT_WINDOW_WORDS,
-                            max_tokens: int = CH.DEFAULT_MAX_TOKENS, sizer: Callable[[str], int] = CH.approx_tokens,
-                            n_projects: int | None = None, text_rule: str = "bytes") -> DataFrame:
-    """Prompt inputs of new/changed/forced files, choosing how content meets the dirty keys by their
-    count (taken on the written plan):
+def prompt_inputs_for_dirty(corpus: DataFrame, plan: DataFrame, context: DataFrame, chunk_mode: str = "packed",
+                            n_words: int = CH.DEFAULT_WINDOW_WORDS, max_tokens: int = CH.DEFAULT_MAX_TOKENS,
+                            sizer: Callable[[str], int] = CH.approx_tokens, text_rule: str = "bytes") -> DataFrame:
+    """Prompt inputs of new/changed/forced files (``plan`` and ``context`` are written tables).
 
-    * up to ``BROADCAST_KEYS_MAX`` keys: broadcast the exact keys; the scan is filtered map-side;
-    * up to ``BROADCAST_HASHES_MAX`` keys: broadcast 64-bit key hashes as a map-side filter, chunk the
-      survivors, then check the exact keys with a join of the small chunk rows;
-    * more: chunk every row map-side (content dropped), then join the small rows with the keys.
-
-    In no tier does file content cross a shuffle.
+    While the dirty keys' measured bytes allow it they are broadcast and filter the scan map-side; beyond
+    that every row is chunked map-side and only the small chunk rows are joined with the keys. In neither
+    way does file content cross a shuffle.
     """
     dirty = plan.where(F.col("action") != "reuse").select(*KEY)
-    n = n_dirty if n_dirty is not None else BROADCAST_HASHES_MAX + 1
-    if n <= BROADCAST_KEYS_MAX:
+    if text_bytes(dirty) <= BROADCAST_BYTES:
         content = corpus.join(F.broadcast(dirty), KEY, "left_semi")
-        return prompt_inputs(content, context, chunk_mode, n_words, max_tokens, sizer, n_projects, text_rule)
-    if n <= BROADCAST_HASHES_MAX:
-        hashes = F.broadcast(dirty.select(_key_hash()).distinct())
-        content = corpus.withColumn("_kh", F.xxhash64("project", "path")).join(hashes, "_kh", "left_semi").drop("_kh")
-        inputs = prompt_inputs(content, context, chunk_mode, n_words, max_tokens, sizer, n_projects, text_rule)
-        return inputs.join(dirty, KEY, "left_semi")
-    inputs = prompt_inputs(corpus, context, chunk_mode, n_words, max_tokens, sizer, n_projects, text_rule)
+        return prompt_inputs(content, context, chunk_mode, n_words, max_tokens, sizer, text_rule)
+    inputs = prompt_inputs(corpus, context, chunk_mode, n_words, max_tokens, sizer, text_rule)
     return inputs.join(dirty, KEY, "left_semi")
 
 
-def dirty_content(corpus: DataFrame, plan: DataFrame, n_dirty: int | None = None) -> DataFrame:
-    """Content rows of dirty files for small plans (exact keys broadcast when counted and small)."""
-    dirty = plan.where(F.col("action") != "reuse").select(*KEY)
-    if n_dirty is not None and n_dirty <= BROADCAST_KEYS_MAX:
-        return corpus.join(F.broadcast(dirty), KEY, "left_semi")
-    return corpus.join(dirty, KEY, "left_semi")
-
-
 def prompt_inputs(content: DataFrame, context: DataFrame, chunk_mode: str = "packed",
                   n_words: int = CH.DEFAULT_WINDOW_WORDS, max_tokens: int = CH.DEFAULT_MAX_TOKENS,
-                  sizer: Callable[[str], int] = CH.approx_tokens, n_projects: int | None = None,
-                  text_rule: str = "bytes") -> DataFrame:
+                  sizer: Callable[[str], int] = CH.approx_tokens, text_rule: str = "bytes") -> DataFrame:
     """Fingerprint and chunk triple in one projection over the content (no join), then the README
     context by project."""
     fp = fingerprint(content, keep_head=True, text_rule=text_rule)
@@ -112,7 +105,7 @@ def prompt_inputs(content: DataFrame, context: DataFrame, chunk_mode: str = "pac
     # the README field is prepared once per project, not once per file
     context = context.withColumn("project_documentation",
                                  TX.indent_lines(TX.sanitize_yaml_text(F.col("snippet")), 2))
-    ctx = F.broadcast(context) if n_projects is not None and n_projects <= BROADCAST_CONTEXT_MAX else context
+    ctx = F.broadcast(context) if text_bytes(context) <= BROADCAST_BYTES else context
     j = fp.join(ctx, "project", "left")
     return j.withColumn("documented", F.coalesce("documented", F.lit("false"))) \
         .withColumn("snippet", F.coalesce("snippet", F.lit(""))) \
@@ -127,6 +120,7 @@ class RunResult:
     state: DataFrame
     summary: DataFrame
     state_path: str
+    file_metrics: DataFrame | None = None
 
 
 def build_prompts(inputs: DataFrame, template: dict | None = None, escape_html: bool = True,
@@ -138,16 +132,14 @@ def build_prompts(inputs: DataFrame, template: dict | None = None, escape_html:
     system = PR.render(PR.compile_template(t.get("system", "")), avail, escape_html)
     user = F.concat(PR.render(PR.compile_template(t.get("user_before", "")), avail, escape_html),
                     PR.render(PR.compile_template(t.get("user_after", "")), avail, escape_html))
+    lengths = [F.octet_length(F.col("chunks")[c]).cast("long").alias(f"chunk{i}_bytes") for i, c in enumerate(("first", "mid", "last"), 1)]
     out = with_fields.select(*KEY, "content_hash", "size", "filetype", "filesize", "mimetype",
-                             system.alias("system"), user.alias("user"))
+                             F.col("chunks")["used"].alias("splitter_used"), *lengths, system.alias("system"), user.alias("user"))
     return out.withColumn("prompt_hash", F.sha2(F.concat_ws("\n", "system", "user"), 256))
 
 
 def _n_waves(n_rows: int, wave_rows: int) -> int:
-    return max(1, -(-int(n_rows) // max(1, wave_rows)))
-
-
-MAX_PROMPT_TASKS = 10_000
+    return min(MAX_WAVES, max(1, -(-int(n_rows) // max(1, wave_rows))))
 
 
 def _write_prompts(prompts: DataFrame, n_waves: int, path: str) -> None:
@@ -162,7 +154,7 @@ def _write_prompts(prompts: DataFrame, n_waves: int, path: str) -> None:
     p = prompts.withColumn("wave", F.pmod(F.xxhash64("project", "path"), F.lit(n_waves)).cast("int")) \
         .withColumn("waves", F.lit(n_waves)) \
         .withColumn("_sub", F.pmod(F.xxhash64("path", "project", F.lit("sub")), F.lit(per_wave)))
-    n_tasks = max(1, min(MAX_PROMPT_TASKS, n_waves * per_wave))
+    n_tasks = n_waves * per_wave
     p.repartition(n_tasks, "wave", "_sub").drop("_sub").write.mode("overwrite").partitionBy("wave").parquet(path)
 
 
@@ -209,52 +201,46 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
     run_ts = run_ts or _time.strftime("%Y-%m-%d %H:%M:%S", _time.gmtime())
     base = out_dir.rstrip("/")
 
-    # J1 + J3: inventory, merged previous state, change plan (narrow), written
-    inv = filter_inventory(corpus, show_hidden, ignore_dirs, rules, extra_rules)
-    first_run = state is None and nested is None
+    # The one pass over all content; text is kept only of the small files that later steps read
+    scan_path = f"{base}/runs/{run_id}/scan"
+    scan_inventory(corpus).write.mode("overwrite").parquet(scan_path)
+    scan = spark.read.parquet(scan_path)
+    unreadable = rejected = None
+    if "error" in scan.columns:
+        unreadable = scan.where(F.col("error").isNotNull())
+        scan = scan.where(F.col("error").isNull())
+    inv = filter_inventory(scan, show_hidden, ignore_dirs, rules, extra_rules)
     if state is None:
         state = spark.createDataFrame([], "project string, path string, name string, content_hash string, "
                                           "hash_algo string, updated_at timestamp, doc " + ST.DOC_SCHEMA)
     if isinstance(nested, str):
         if nested != "inventory":
             raise ValueError("nested must be a DataFrame, None or 'inventory'")
-        from ..sources.state_io import nested_states_from_inventory
-        nested = nested_states_from_inventory(corpus)
+        trees = nested_trees_from_inventory(scan)
+        nested, rejected = read_state_trees(trees), rejected_records(trees)
     prev = ST.merge_states(state, nested) if nested is not None else state
+    lap("scan")
+
+    # Change plan (narrow), written; everything below follows from it
+    plan_path = f"{base}/runs/{run_id}/plan"
+    prompts_path = f"{base}/runs/{run_id}/prompts"
+    ST.plan_changes(inv, prev, force).write.mode("overwrite").parquet(plan_path)
+    plan = spark.read.parquet(plan_path)
+    lap("plan")
 
     # Project context (one row per project), written
     ctx_path = f"{base}/runs/{run_id}/context"
-    CO.project_context(inv, inv.select("project"), context_words).write.mode("overwrite").parquet(ctx_path)
+    readmes = scan.join(plan.where(F.col("path").isin(*CO.README_NAMES)).select(*KEY), KEY, "left_semi")
+    CO.project_context(readmes, plan.select("project"), context_words).write.mode("overwrite").parquet(ctx_path)
     context = spark.read.parquet(ctx_path)
-    n_projects = context.count()
     lap("context")
 
-    plan_path = f"{base}/runs/{run_id}/plan"
-    prompts_path = f"{base}/runs/{run_id}/prompts"
-    if first_run:
-        # no previous state: every file is new, so the prompts come straight from the scan (content
-        # read once) and the plan follows from the written prompts
-        n_waves = _n_waves(inv.count(), wave_rows)
-        inputs = prompt_inputs(inv, context, chunk_mode, n_words, max_tokens, sizer, n_projects, text_rule)
-        _write_prompts(build_prompts(inputs, template, escape_html, root_prefix, operating_system), n_waves, prompts_path)
-        prompts = spark.read.parquet(prompts_path)
-        prompts.select(*KEY, "content_hash", F.lit("new").alias("action"), F.lit(None).cast("string").alias("prev_hash"),
-                       F.lit(None).cast("string").alias("prev_description")).write.mode("overwrite").parquet(plan_path)
-        plan = spark.read.parquet(plan_path)
-        lap("prompts")
-    else:
-        ST.plan_changes(inv, prev, force).write.mode("overwrite").parquet(plan_path)
-        plan = spark.read.parquet(plan_path)
-        counts = {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
-        n_dirty = sum(v for k, v in counts.items() if k != "reuse")
-        lap("plan")
-        # J4 + J6: prompts for dirty rows only
-        n_waves = _n_waves(n_dirty, wave_rows)
-        inputs = prompt_inputs_for_dirty(inv, plan, context, n_dirty, chunk_mode, n_words, max_tokens, sizer,
-                                         n_projects, text_rule)
-        _write_prompts(build_prompts(inputs, template, escape_html, root_prefix, operating_system), n_waves, prompts_path)
-        prompts = spark.read.parquet(prompts_path)
-        lap("prompts")
+    # J4 + J6: prompts, with a second read of content for dirty rows only
+    n_waves = _n_waves(plan.where(F.col("action") != "reuse").count(), wave_rows)
+    inputs = prompt_inputs_for_dirty(corpus, plan, context, chunk_mode, n_words, max_tokens, sizer, text_rule)
+    _write_prompts(build_prompts(inputs, template, escape_html, root_prefix, operating_system), n_waves, prompts_path)
+    prompts = spark.read.parquet(prompts_path)
+    lap("prompts")
 
     # Enrichment with resume (answers appended; earlier answers for the same key are reused)
     answers_path = f"{base}/answers/run_id={run_id}"
@@ -269,8 +255,9 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
         if done is not None:
             done = done.where((F.col("waves") == n_waves) & F.col("error").isNull()).select(*ANSWER_KEY)
             todo = todo.join(done, ANSWER_KEY, "left_anti")
-        EN.enrich(todo, client, max_concurrency, passthrough=("waves",), **kw) \
-            .write.mode("append").parquet(f"{answers_path}/wave={w}")
+        # the answers of a finished task are in place as soon as it commits, not only when the wave ends
+        EN.enrich(todo, client, max_concurrency, passthrough=("waves",), **kw).write.mode("append") \
+            .option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(f"{answers_path}/wave={w}")
     if not _exists(spark, answers_path):
         spark.createDataFrame([], EN.ANSWER_SCHEMA + ", waves int, wave int").write.mode("append") \
             .partitionBy("wave").parquet(answers_path)
@@ -278,8 +265,8 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
     all_answers = spark.read.parquet(answers_path)
     # an answer without error beats a failed one; among equals the later call wins
     latest = all_answers.groupBy(*ANSWER_KEY).agg(F.max_by(
-        F.struct("answer", "attempts", "elapsed_ms", "error"),
-        F.struct(F.col("error").isNull(), F.col("elapsed_ms"))).alias("a"))
+        F.struct("answer", "attempts", "elapsed_ms", "error", "asked_at"),
+        F.struct(F.col("error").isNull(), F.col("asked_at"))).alias("a"))
     answers = prompts.select(*ANSWER_KEY).join(latest, ANSWER_KEY, "inner").select(*ANSWER_KEY, "a.*")
 
     # J8 + J9: records for enriched rows, carried-forward rows, new state
@@ -292,11 +279,11 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
     reused = ST.carry_forward(plan, prev)
     new_state = ST.replace_state(reused, records)
     if partial:
-        new_state = ST.as_state(prev).join(inv.select(*KEY), KEY, "left_anti").unionByName(new_state)
+        new_state = ST.as_state(prev).join(plan.select(*KEY), KEY, "left_anti").unionByName(new_state)
     # a fresh folder per attempt: a resumed run may be reading the current state from its own
     # earlier attempt, which must not be overwritten under it; the pointer swap makes it current
     state_path = f"{base}/state/{run_id}-{uuid.uuid4().hex[:8]}"
-    new_state.write.mode("overwrite").partitionBy("project").parquet(state_path)
+    write_state(new_state, state_path)
     # swap: append a new pointer (never delete the old one first), named so the newest sorts last
     pointer = f"{base}/state/_pointers/{int(_time.time() * 1e6):020d}-{run_id}"
     spark.createDataFrame([(state_path.rsplit("/", 1)[1],)], "state string").coalesce(1).write.text(pointer)
@@ -304,10 +291,11 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
     lap("state")
 
     # summary
-    stale = ST.stale_keys(prev, inv) if not partial else prev.select(*KEY).limit(0)
+    stale = ST.stale_keys(prev, plan) if not partial else prev.select(*KEY).where(F.lit(False))
     summary = M.run_summary(plan, prev, stale, nested=nested if isinstance(nested, DataFrame) else None,
-                            new_state=state_out)
-    return RunResult(run_id, plan, answers, state_out, summary, state_path)
+                            new_state=state_out, unreadable=unreadable, rejected=rejected)
+    metrics = prompts.select(*METRIC_COLUMNS).join(answers.select(*KEY, "elapsed_ms", "attempts"), KEY, "left")
+    return RunResult(run_id, plan, answers, state_out, summary, state_path, metrics)
 
 
 def read_current_state(spark: SparkSession, out_dir: str) -> DataFrame | None:

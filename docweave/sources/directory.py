@@ -6,7 +6,9 @@ inventory needs its own source. Partitions are directories: the files directly i
 so a large tree is walked by many tasks.
 Each task walks its subtree without following symlinks, hashes every regular file in 1 MiB blocks
 (a file larger than a cell still works) and, unless ``with_content=false``, keeps the first
-2,000,000 bytes as ``head`` (state files, named by ``whole_names``, are kept whole). Unreadable entries are skipped, never a failure.
+2,000,000 bytes as ``head`` (state files, named by ``whole_names``, are kept whole). A file that can't be read and a directory that
+can't be listed give a row with ``error``, never a failure. The tasks open files themselves, so the folder
+must be mounted on every worker.
 
     spark.dataSource.register(CorpusDataSource)
     spark.read.format("corpus").option("root", "/repo").option("project", "repo").load()
@@ -25,7 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 MAX_HEAD = 2_000_000
 BLOCK = 1 << 20
 SCHEMA = ("project string, path string, size long, mtime timestamp, head binary, content_hash string, "
-          "hash_algo string")
+          "hash_algo string, error string")
 
 
 class _Part(InputPartition):
@@ -48,11 +50,17 @@ def _file_row(project: str, root: str, full: str, st: os.stat_result, with_conte
                 h.update(b)
                 if with_content and (cap is None or len(head) < cap):
                     head.extend(b if cap is None else b[: cap - len(head)])
-    except OSError:
-        return None
+    except OSError as e:
+        return _error_row(project, root, full, e, st)
     rel = os.path.relpath(full, root).replace(os.sep, "/")
     return (project, rel, int(st.st_size), datetime.fromtimestamp(st.st_mtime, tz=timezone.utc),
-            bytes(head) if with_content else None, h.hexdigest(), "sha256")
+            bytes(head) if with_content else None, h.hexdigest(), "sha256", None)
+
+
+def _error_row(project: str, root: str, full: str, e: OSError, st: os.stat_result | None = None):
+    rel = os.path.relpath(full, root).replace(os.sep, "/")
+    mtime = datetime.fromtimestamp(st.st_mtime, tz=timezone.utc) if st else None
+    return (project, "" if rel == "." else rel, int(st.st_size) if st else None, mtime, None, None, None, f"{type(e).__name__}: {e.strerror}")
 
 
 class CorpusReader(DataSourceReader):
@@ -100,37 +108,37 @@ class CorpusReader(DataSourceReader):
         if partition.files_only:
             try:
                 entries = list(os.scandir(start))
-            except OSError:
+            except OSError as err:
+                yield _error_row(partition.project, root, start, err)
                 return
             for e in entries:
                 try:
                     st = e.stat(follow_symlinks=False)
-                except OSError:
+                except OSError as err:
+                    yield _error_row(partition.project, root, e.path, err)
                     continue
                 if stat.S_ISREG(st.st_mode):
-                    row = _file_row(partition.project, root, e.path, st, self.with_content, self.whole)
-                    if row:
-                        yield row
+                    yield _file_row(partition.project, root, e.path, st, self.with_content, self.whole)
             return
         stack = [start]
         while stack:
             d = stack.pop()
             try:
                 entries = list(os.scandir(d))
-            except OSError:
-                continue  # walk error: skipped
+            except OSError as err:
+                yield _error_row(partition.project, root, d, err)
+                continue
             for e in entries:
                 try:
                     st = e.stat(follow_symlinks=False)
-                except OSError:
+                except OSError as err:
+                    yield _error_row(partition.project, root, e.path, err)
                     continue
                 if stat.S_ISDIR(st.st_mode):
                     if e.name not in self.prune:
                         stack.append(e.path)
                 elif stat.S_ISREG(st.st_mode):
-                    row = _file_row(partition.project, root, e.path, st, self.with_content, self.whole)
-                    if row:
-                        yield row
+                    yield _file_row(partition.project, root, e.path, st, self.with_content, self.whole)
 
 
 class CorpusDataSource(DataSource):

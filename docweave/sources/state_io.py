@@ -79,9 +79,33 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                          "joy", "emoji", "ord", "bad_records"])
 
 
-def read_state_trees(trees: DataFrame) -> DataFrame:
+def rejected_records(trees: DataFrame) -> DataFrame:
+    """Per tree: ``project[, base], bad_records, unreadable`` (the tree itself is no JSON object)."""
+    has_base = "base" in trees.columns
+
+    def count(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                try:
+                    tree = json.loads(r.json)
+                except (TypeError, ValueError):
+                    tree = None
+                bad = [0]
+                if isinstance(tree, dict):
+                    _walk(tree.get("entries"), r.project, [], bad)
+                out.append((r.project, getattr(r, "base", ""), bad[0], not isinstance(tree, dict)))
+            yield pd.DataFrame(out, columns=["project", "base", "bad_records", "unreadable"])
+
+    out = trees.select("project", "json", *(["base"] if has_base else [])).mapInPandas(
+        count, "project string, base string, bad_records long, unreadable boolean")
+    return out if has_base else out.drop("base")
+
+
+def read_state_trees(trees: DataFrame, hash_algo: str | None = None) -> DataFrame:
     """``(project, json[, base])`` nested trees -> flat state rows (``base`` kept when given); a
-    duplicate path within one tree keeps the later record."""
+    duplicate path within one tree keeps the later record. ``hash_algo`` names the digest that the trees
+    hold, null when it isn't known; what is left out is in ``rejected_records``."""
     has_base = "base" in trees.columns
     flat = trees.select("project", "json", *(["base"] if has_base else [])).mapInPandas(_parse, FLAT_SCHEMA)
     flat = flat.drop("bad_records")
@@ -91,13 +115,13 @@ def read_state_trees(trees: DataFrame) -> DataFrame:
     # last record wins per (tree, path)
     other = [c for c in flat.columns if c not in keys + ["path", "ord"]]
     s = flat.groupBy(*keys, "path").agg(F.max_by(F.struct(*other), "ord").alias("r")).select(*keys, "path", "r.*")
-    return s.select(*keys, "path", "name", "content_hash", F.lit("sha256").alias("hash_algo"),
+    return s.select(*keys, "path", "name", "content_hash", F.lit(hash_algo).cast("string").alias("hash_algo"),
                     F.to_timestamp("updated_at").alias("updated_at"),
                     F.struct("description", "joy", "emoji").cast(DOC_SCHEMA).alias("doc"))
 
 
-def nested_states_from_inventory(corpus: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Nested states found in a scanned tree, ready for ``merge_states``: ``base`` is the nested
+def nested_trees_from_inventory(corpus: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """``project, base, json`` of the nested state files of a scanned tree: ``base`` is the nested
     root's directory. Top-most roots only; per root the first existing name in list order; the
     files' text comes from the scan (state files are read whole). Fully distributed."""
     from ..functions import paths as P
@@ -112,7 +136,12 @@ def nested_states_from_inventory(corpus: DataFrame, names: list[str] | None = No
         decode_lossy("head").alias("json"))
     pick = files.join(roots, ["project", "dir"], "left_semi").groupBy("project", "dir") \
         .agg(F.min_by("json", "pos").alias("json"))
-    return read_state_trees(pick.select("project", F.col("dir").alias("base"), "json"))
+    return pick.select("project", F.col("dir").alias("base"), "json")
+
+
+def nested_states_from_inventory(corpus: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """The records of the nested state files of a scanned tree, ready for ``merge_states``."""
+    return read_state_trees(nested_trees_from_inventory(corpus, names))
 
 
 def _read_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,12 +170,38 @@ def read_state_files(spark, paths: list[str], project_from_path: str = r"([^/]+)
     return read_state_trees(files.mapInPandas(_read_whole, "project string, json string"))
 
 
-def write_state(state: DataFrame, path: str) -> None:
-    """Flat state table, partitioned by project."""
-    state.write.mode("overwrite").partitionBy("project").parquet(path)
-
-
-def write_nested(trees: DataFrame, path: str) -> None:
-    """One pretty JSON text per project under ``path/project=.../`` (export only)."""
-    trees.select("project", F.concat("json", F.lit("\n")).alias("value")).write.mode("overwrite") \
-        .partitionBy("project").text(path)
+def write_state(state: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """Flat state table, partitioned by project.
+
+    Each project's rows go to as many tasks as it has files' worth of rows, and to no other, so the number
+    of files follows the rows and not tasks times projects."""
+    spark = state.sparkSession
+    sizes = state.groupBy("project").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).cast("int").alias("_files"))
+    salted = state.join(sizes.withColumnRenamed("project", "_p"), F.col("project").eqNullSafe(F.col("_p")), "left").drop("_p")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64("path"), F.col("_files")))
+    salted.repartition(n, "project", "_salt").drop("_salt", "_files").write.mode("overwrite").partitionBy("project").parquet(path)
+
+
+def read_state_fragments(fragments: DataFrame) -> DataFrame:
+    """Flat state rows from the export's lines, each parsed on its own; duplicates keep the later line.
+
+    Every row of a file stands on one line, so a tree of any size is read by as many tasks as it has parts."""
+    v = F.try_parse_json(F.regexp_replace("text", "^,", ""))
+    get = lambda p: F.try_variant_get(F.col("v"), p, "string")
+    rows = fragments.where(F.col("part") == "file").select("project", "ord", v.alias("v")).select(
+        "project", "ord", get("$.path").alias("path"), get("$.name").alias("name"), get("$.hash").alias("content_hash"),
+        get("$.hash_algo").alias("hash_algo"), get("$.updated_at").alias("updated_at"), get("$.doc.fileDescription").alias("description"),
+        F.to_json(F.try_variant_get(F.col("v"), "$.doc.joyThisFileBrings", "variant")).alias("joy"), get("$.doc.personalityEmoji").alias("emoji"))
+    other = ["name", "content_hash", "hash_algo", "updated_at", "description", "joy", "emoji"]
+    last = rows.where(F.col("path").isNotNull()).groupBy("project", "path").agg(F.max_by(F.struct(*other), "ord").alias("r")).select("project", "path", "r.*")
+    return last.select("project", "path", "name", "content_hash", "hash_algo", F.to_timestamp("updated_at").alias("updated_at"),
+                       F.struct("description", F.nullif("joy", F.lit("null")).alias("joy"), "emoji").cast(DOC_SCHEMA).alias("doc"))
+
+
+def write_nested(fragments: DataFrame, path: str) -> None:
+    """The export as text under ``path/project=.../``: the parts of a project, in name order, are its document."""
+    spark = fragments.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fragments.repartitionByRange(n, "project", "ord").sortWithinPartitions("project", "ord").select("project", F.col("text").alias("value")) \
+        .write.mode("overwrite").partitionBy("project").text(path)

@@ -24,14 +24,14 @@ from ..sources.corpus import corpus_from_table
 def document_batch(batch: DataFrame, batch_id: int, out_dir: str, client: Callable[[dict], str], **run_options):
     """One micro-batch as a partial run resumed by its batch id (a replay asks nothing again).
 
-    Within a batch the latest version per ``(project, path)`` wins (by ``mtime`` when present).
+    Within a batch the latest version per ``(project, path)`` wins, by ``mtime`` (without it, the greatest content).
     """
     spark = batch.sparkSession
     cols = batch.columns
-    latest = batch
-    if "mtime" in cols:
-        latest = batch.groupBy("project", "path").agg(F.max_by(F.struct(*[c for c in cols if c not in ("project", "path")]),
-                                                               F.col("mtime")).alias("r")).select("project", "path", "r.*")
+    rest = F.struct(*[c for c in cols if c not in ("project", "path")])
+    # one row per key in either case; without times the greatest content stands for the key
+    latest = batch.groupBy("project", "path").agg(F.max_by(rest, F.struct("mtime", rest) if "mtime" in cols else rest).alias("r")) \
+        .select("project", "path", "r.*")
     corpus = corpus_from_table(latest, mtime="mtime" if "mtime" in cols else None)
     return run(spark, corpus, read_current_state(spark, out_dir), out_dir, client,
                resume_run_id=f"batch-{batch_id:012d}", partial=True, **run_options)

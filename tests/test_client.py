@@ -47,3 +47,16 @@ def test_transport_errors_are_retried(monkeypatch):
     c = ChatCompletionsClient("http://model.invalid/v1", "m1")
     ans, attempts, waited, err = call_with_retry(lambda: c({"system": "", "user": "", "fields": {}}), sleep=lambda s: None)
     assert (ans, attempts, len(calls)) == ("", 5, 5) and "connection refused" in err
+
+
+def test_retry_schedule_over_a_failing_endpoint(spark):
+    """The fake client fails size % 7 times: attempts, waits and the error follow the schedule."""
+    from docweave.operators import enrich as EN
+    rows = [("p", f"f{i}", "h", "q", "s", "u", i, "txt", "1 B", "text/plain") for i in range(14)]
+    prompts = spark.createDataFrame(rows, "project string, path string, content_hash string, prompt_hash string, system string, user string, "
+                                          "size long, filetype string, filesize string, mimetype string")
+    for r in EN.enrich(prompts, EN.FlakyClient(), max_concurrency=2, sleep=lambda s: None).collect():
+        fails = int(r["path"][1:]) % 7
+        assert r["attempts"] == min(fails + 1, EN.MAX_ATTEMPTS)
+        assert r["backoff_ms"] == sum(min(300 * 2 ** a, 8000) for a in range(r["attempts"] - 1))
+        assert (r["error"] is not None) == (fails >= EN.MAX_ATTEMPTS) == (r["answer"] == "")

@@ -7,7 +7,7 @@ from docweave.sources.directory import scan_directory
 def make_tree():
     root = tempfile.mkdtemp(prefix="dw-tree-")
     files = {"a/__init__.py": b"", "a/x.py": b"print(1)\n", ".hid/y": b"y", ".env": b"K=V\n", "_und/z.md": b"# z\n",
-             "a/b/empty.txt": b"", "a/b/bin.dat": b"ab\x00cd", "n/.dirdocs.nu": b"{}", "n/deep/.DIR.NUON": b"{}"}
+             "a/b/empty.txt": b"", "a/b/bin.dat": b"ab\x00cd", "n/.docstate.nu": b"{}", "n/deep/.DOCS.NUON": b"{}"}
     for p, b in files.items():
         full = os.path.join(root, p)
         os.makedirs(os.path.dirname(full), exist_ok=True)
@@ -79,7 +79,7 @@ def test_nested_state_in_the_tree_is_merged(spark):
         {"kind": "file", "name": "x.md", "path": "x.md", "hash": hashlib.sha256(body).hexdigest(),
          "updated_at": "2024-05-01T00:00:00Z",
          "doc": {"fileDescription": "Nested doc", "howMuchJoyDoesThisFileBringYou": 5, "personalityEmoji": "e"}}]}
-    with open(os.path.join(root, "n", ".dirdocs.nu"), "w") as fh:
+    with open(os.path.join(root, "n", ".docstate.nu"), "w") as fh:
         json.dump(tree, fh)
     corpus = scan_directory(spark, root=root, project="p")
     out = tempfile.mkdtemp(prefix="dw-nested-out-")
@@ -165,7 +165,7 @@ def test_read_state_files_whole_text(spark):
     paths = []
     for proj, tree in trees.items():
         os.makedirs(os.path.join(root, proj))
-        p = os.path.join(root, proj, ".dirdocs.nuon")
+        p = os.path.join(root, proj, ".docstate.nuon")
         with open(p, "w") as fh:
             fh.write(tree if isinstance(tree, str) else json.dumps(tree, indent=2))
         paths.append(p)
@@ -173,3 +173,25 @@ def test_read_state_files_whole_text(spark):
     assert set(rows) == {("alpha", "src/a.rs"), ("alpha", "c.md")}      # unreadable tree: no rows, no failure
     assert rows[("alpha", "src/a.rs")]["doc"]["joy"] == "6"
     assert rows[("alpha", "c.md")]["doc"]["description"] == ""          # absent doc defaults to the empty doc
+
+
+def test_unreadable_entries_and_bad_records_are_reported(spark, tmp_path):
+    import json
+
+    from docweave.operators.enrich import DeterministicClient
+    from docweave.plans.run import run
+    from docweave.sources.directory import CorpusReader
+    root = tmp_path / "p"
+    os.makedirs(root / "n")
+    (root / "a.md").write_text("some text here")
+    os.symlink("nowhere", root / "gone.md")  # not a regular file: no row
+    (root / "n" / ".docstate.nu").write_text(json.dumps({"entries": [{"kind": "file", "path": "x", "hash": "h", "doc": {}}, {"kind": "odd"}]}))
+    reader = CorpusReader({"root": str(root), "project": "p"}, None)
+    part = reader.partitions()[0]
+    part.rel = "missing"
+    assert [r[1:] for r in reader.read(part)] == [("missing", None, None, None, None, None, "FileNotFoundError: No such file or directory")]
+    corpus = scan_directory(spark, root=str(root), project="p")
+    lost = spark.createDataFrame([("p", "secret", None, None, None, None, None, "PermissionError: Permission denied")], corpus.schema)
+    r = run(spark, corpus.unionByName(lost), None, str(tmp_path / "out"), DeterministicClient(), nested="inventory")
+    s = r.summary.first()
+    assert (s["walked"], s["unreadable"], s["bad_records"], s["bad_trees"]) == (1, 1, 2, 0)

@@ -27,7 +27,7 @@ def _exchange_inputs(df):
     return out
 
 
-def test_content_never_crosses_an_exchange(spark, tmp_path):
+def test_content_never_crosses_an_exchange(spark, tmp_path, monkeypatch):
     from docweave.operators import content as CO
     from docweave.operators import state as ST
     from docweave.plans import fixtures as FX
@@ -42,9 +42,9 @@ def test_content_never_crosses_an_exchange(spark, tmp_path):
         plan = ST.plan_changes(corpus, state)
         ctx = CO.project_context(corpus, corpus.select("project"))
         checks = {"plan": plan,
-                  "dirty_keys": RUN.prompt_inputs_for_dirty(corpus, plan, ctx, 10, "window", n_projects=10),
-                  "dirty_hashes": RUN.prompt_inputs_for_dirty(corpus, plan, ctx, RUN.BROADCAST_KEYS_MAX + 1, "window",
-                                                              n_projects=10)}
+                  "dirty_keys": RUN.prompt_inputs_for_dirty(corpus, plan, ctx, "window")}
+        monkeypatch.setattr(RUN, "BROADCAST_BYTES", 0)
+        checks["dirty_chunks"] = RUN.prompt_inputs_for_dirty(corpus, plan, ctx, "window")
         # the detector itself: a naive join of the corpus with the state does move the content
         naive = corpus.join(state.select("project", "path"), ["project", "path"])
         assert any("head#" in x for x in _exchange_inputs(naive))
@@ -55,3 +55,13 @@ def test_content_never_crosses_an_exchange(spark, tmp_path):
             assert not heavy, (name, heavy)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["prompt_fields", "render_prompt", "enrich", "finalize_record", "replace_state"])
+def test_prompt_queries_move_no_file_heads(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = E.queries()[name](spark, SF_SMALL)
+        assert not [x for x in _exchange_inputs(df) if "content#" in x or "head#" in x]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

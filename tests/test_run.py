@@ -54,28 +54,63 @@ def test_force_and_changed_content(spark):
     assert acts == {"forced"}
 
 
-def test_dirty_fetch_tiers_agree(spark, monkeypatch):
-    """Exact-key broadcast, hash broadcast and chunk-first give the same prompt inputs."""
+def test_dirty_fetch_ways_agree(spark, monkeypatch):
+    """Broadcast keys and chunk-first give the same prompt inputs."""
     from docweave.operators import content as CO
     from docweave.operators import state as ST
     from docweave.plans import run as RUN
+    from docweave.session import materialize
     cv = FX.corpus_v(spark, SF_SMALL)
     corpus = corpus_from_table(cv)
-    prev = ST.as_state(FX.prev_v(spark, SF_SMALL, cv))
-    plan = ST.plan_changes(corpus, prev)
-    n_dirty = plan.where("action != 'reuse'").count()
-    ctx = CO.project_context(corpus, corpus.select("project"))
+    plan = materialize(ST.plan_changes(corpus, ST.as_state(FX.prev_v(spark, SF_SMALL, cv))), "plan")
+    ctx = materialize(CO.project_context(corpus, corpus.select("project")), "ctx")
 
     def collect():
-        df = RUN.prompt_inputs_for_dirty(corpus, plan, ctx, n_dirty, "window", n_projects=100)
+        df = RUN.prompt_inputs_for_dirty(corpus, plan, ctx, "window")
         return sorted((r["project"], r["path"], r["chunks"]["first"], r["snippet"]) for r in df.collect())
 
     keys = collect()
-    monkeypatch.setattr(RUN, "BROADCAST_KEYS_MAX", 0)
-    hashes = collect()
-    monkeypatch.setattr(RUN, "BROADCAST_HASHES_MAX", 0)
-    chunk_first = collect()
-    assert len(keys) == n_dirty and keys == hashes == chunk_first
+    monkeypatch.setattr(RUN, "BROADCAST_BYTES", 0)
+    assert len(keys) == plan.where("action != 'reuse'").count() and keys == collect()
+
+
+def test_content_is_read_twice_at_most(spark, tmp_path):
+    """One pass for the inventory, one for the dirty rows' text, with rules, nested states and the summary."""
+    log = str(tmp_path / "reads")
+    cv = corpus_from_table(FX.corpus_v(spark, SF_SMALL)).withColumn("mtime", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+
+    def seen(batches):
+        for pdf in batches:
+            with open(log, "a") as fh:
+                fh.write("".join("x\n" for _ in range(len(pdf))))
+            yield pdf
+
+    corpus = cv.mapInPandas(seen, cv.schema)
+    out = str(tmp_path / "out")
+    r = run(spark, corpus, None, out, DeterministicClient(), chunk_mode="window", rules="inventory", nested="inventory")
+    r.summary.collect()
+    r.file_metrics.collect()
+    assert len(open(log).readlines()) <= 2 * cv.count()
+    assert r.file_metrics.count() == r.plan.count() and r.file_metrics.where("elapsed_ms is null").count() == 0
+
+
+def test_state_files_follow_the_rows(spark, tmp_path):
+    import glob
+
+    from docweave.operators.state import as_state
+    from docweave.sources.state_io import write_state
+    state = as_state(spark.range(20_000).select(F.concat(F.lit("p"), F.col("id") % 500).alias("project"),
+                                                F.concat(F.lit("f"), "id").alias("path"), F.lit("h").alias("content_hash"), F.lit("d").alias("description")))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        write_state(state.repartition(50), str(tmp_path / "s"))
+        assert len(glob.glob(str(tmp_path / "s" / "*" / "*.parquet"))) == 500
+        write_state(state, str(tmp_path / "t"), rows_per_file=10)
+        assert len(glob.glob(str(tmp_path / "t" / "*" / "*.parquet"))) <= 500 * 4
+        assert spark.read.parquet(str(tmp_path / "t")).count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_waves_and_resume(spark):
