@@ -6,8 +6,9 @@ is the class prior. A linear model over hashed words and word beginnings (presen
     prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)])
 
 with the logistic loss; when the second part falls below zero the step goes uphill on it instead, so
-the model can't win by calling the positives in the unlabelled part negative. The model is fitted with
-numpy on bounded samples (``max_positive``, ``max_unlabelled`` documents, the smallest hashes of the id);
+the model can't win by calling the positives in the unlabelled part negative. Only features clearly
+more frequent among the positives than in the unlabelled part take part, so a long text of common words
+gathers no weight. The model is fitted with numpy on bounded samples (``max_positive``, ``max_unlabelled`` documents, the smallest hashes of the id);
 everything is scored in the scan tasks.
 """
 
@@ -81,7 +82,7 @@ class Rows:
 
     def __init__(self, rows: list[np.ndarray]):
         self.counts = np.fromiter(map(len, rows), np.int64, len(rows))
-        self.feats = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.feats = np.concatenate(rows).astype(np.int64)
         self.row = np.repeat(np.arange(len(rows)), self.counts)
 
     def score(self, weights, bias):
@@ -91,16 +92,26 @@ class Rows:
         return np.bincount(self.feats, weights=each[self.row], minlength=1 << BITS)
 
 
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], evidence: float = 24.0, least: int = 4) -> np.ndarray:
+    """Features that at least ``least`` positives hold, and more of them than of the unlabelled rows, by a
+    likelihood ratio of ``evidence`` (about one in a million by chance)."""
+    a, b = (np.bincount(np.concatenate(x), minlength=1 << BITS).astype(float) for x in (positive, unlabelled))
+    share = len(positive) / (len(positive) + len(unlabelled))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (np.where(a > 0, a * np.log(a / ((a + b) * share)), 0) + np.where(b > 0, b * np.log(b / ((a + b) * (1 - share))), 0))
+    return (ratio > evidence) & (a >= least) & (a / len(positive) > b / len(unlabelled))
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.1,
-          decay: float = 2e-4, least: int = 3) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the non-negative risk. Features of fewer than ``least`` sample rows stay at 0.
+          decay: float = 5e-5) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the non-negative risk, over the telling features.
 
     Without positives or unlabelled rows the model is the prior alone."""
     weights, bias = np.zeros(1 << BITS), float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return weights, bias
-    p, u = Rows(positive), Rows(unlabelled)
-    seen = np.bincount(p.feats, minlength=1 << BITS) + np.bincount(u.feats, minlength=1 << BITS) >= least
+    seen = telling(positive, unlabelled)
+    p, u = (Rows([x[seen[x]] for x in rows]) for rows in (positive, unlabelled))
     m, v = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for step in range(1, steps + 1):
         sp, su = sigmoid(p.score(weights, bias)), sigmoid(u.score(weights, bias))
@@ -118,7 +129,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return weights * seen, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6_000, max_unlabelled: int = 12_000,
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4_000, max_unlabelled: int = 8_000,
         id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
     """The model from the labels outside fold 0 and the texts of two bounded samples."""
     known = labels.select(F.col("doc_id").alias("id"), "toxic", fold("doc_id").alias("fold")).where("fold <> 0 and toxic is not null")
@@ -138,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6_000, max_unlab
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id").select("toxic", "text") \
         .mapInArrow(extract, "toxic int, feats binary").collect()
     rows = sorted(((r.toxic, r.feats) for r in rows))
-    parts = [[np.frombuffer(f, "<i4").astype(np.int64) for t, f in rows if t == k] for k in (1, 0)]
+    parts = [[np.frombuffer(f, "<i4") for t, f in rows if t == k] for k in (1, 0)]
     return train(*parts, prior)
 
 

@@ -64,7 +64,7 @@ def test_the_risk_stays_non_negative():
     pos = [np.unique(np.append(rnd.integers(0, 1000, 20), 5000)) for _ in range(40)]
     unl = [np.unique(np.append(rnd.integers(0, 1000, 20), 5000 if k < 30 else 6000)) for k in range(100)]
     w, b = train(pos, unl, 0.3)
-    assert w[5000] > 0 > w[6000] and w.shape == (1 << BITS,)
+    assert w[5000] > 0 >= w[6000] and w.shape == (1 << BITS,)
 
 
 def test_features_against_plain():
@@ -94,4 +94,4 @@ def test_registered(spark):
     got = {r.doc_id: r for r in QUERIES["op5_toxicity"](spark, d).collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     assert len(got) == spark.read.parquet(f"{d}/documents.parquet").count()
-    assert np.mean([got[i].predicted == t for i, t in labels.items() if i in got and got[i].held_out]) > 0.85
+    assert np.mean([got[i].predicted == t for i, t in labels.items() if i in got and got[i].held_out]) > 0.9
