@@ -8,8 +8,9 @@ as soon as its next arrival is later than the latest first arrival of its text.
 Equal texts are one vertex. Bands of ``BAND`` slots are keys; a key's smallest vertex (found with partial
 sums, so a hot key costs a row per task) leads it, and each other vertex gets one edge to it, never all
 pairs. The joins on the key can be split by Spark where a key is hot. Edges are checked on the shingle sets of the whole texts; the checked ones make components. As a leader can differ from two
-texts that are alike, a second round checks, in the bands that still hold several components, every pair
-of different components. After it no candidate pair across components is unchecked.
+texts that are alike, a second round goes through the bands that still hold several components and checks
+every pair of different components whose sizes and slots allow the similarity. After it no candidate pair
+across components is unchecked.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, M2, cut, mix, slices, text_key
+from .common import M1, M2, cut, mix, partitions, slices, text_key
 from .shingles import shingles
 
 SLOTS, BAND = 160, 5
@@ -62,7 +63,7 @@ def band_keys(signature: np.ndarray, band: int = BAND) -> np.ndarray:
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, _tk, v (128-bit hash of the text; null without words), n (distinct shingles), keys."""
+    """id, _tk, v (128-bit hash of the text; null without words), n (distinct shingles), keys, sig (a byte per slot)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -70,13 +71,16 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             texts = b.column(2)
             doc, item, times = shingles(texts, SIZE)
             n = np.bincount(doc, minlength=len(texts))
-            keys = band_keys(prob_minhash(doc, item, times.astype(np.float64), len(texts)))
+            first = prob_minhash(doc, item, times.astype(np.float64), len(texts))
+            keys = band_keys(first)
+            sig = (mix(first) >> np.uint64(56)).astype(np.uint8)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)))
             v = [xxhash.xxh3_128_digest(t.encode()) if k else None for t, k in zip(texts.to_pylist(), n)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(v, pa.binary()), pa.array(n), keys], ["id", "_tk", "v", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(v, pa.binary()), pa.array(n), keys,
+                                              pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "_tk", "v", "n", "keys", "sig"])
 
     return docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("_tk"), F.col(text_col)).mapInArrow(
-        run, f"id {kind}, _tk long, v binary, n long, keys array<long>")
+        run, f"id {kind}, _tk long, v binary, n long, keys array<long>, sig binary")
 
 
 def band_members(vertices: DataFrame) -> DataFrame:
@@ -86,6 +90,38 @@ def band_members(vertices: DataFrame) -> DataFrame:
     return rows.join(shared, "key")
 
 
+def _cross_pairs(batches):
+    """Rows sorted by key and n: pairs of different components under one key whose sizes allow the similarity
+    and whose slots agree often enough (six standard deviations below it; a byte stands for a slot).
+
+    Of a key only the rows that a later, larger one can still pair with are held."""
+    key, sizes, labels, ids, sigs = None, None, None, None, None
+    least = SLOTS * ALIKE - 6 * (SLOTS * ALIKE * (1 - ALIKE)) ** 0.5
+    for b in batches:
+        keys = b.column(0).to_numpy()
+        if not len(keys):
+            continue
+        ns = b.column(2).to_numpy()
+        vs, ls = np.array(b.column(1).to_pylist(), object), np.array(b.column(3).to_pylist(), object)
+        ss = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(len(keys), SLOTS)
+        borders = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        left, right = [], []
+        for x, y in zip(borders, borders[1:]):
+            if key != keys[x]:
+                key, sizes, labels, ids, sigs = keys[x], ns[x:x], ls[x:x], vs[x:x], ss[x:x]
+            old = len(sizes)
+            sizes, labels, ids, sigs = (np.concatenate(p) for p in ((sizes, ns[x:y]), (labels, ls[x:y]), (ids, vs[x:y]), (sigs, ss[x:y])))
+            for i in range(old, len(sizes)):
+                start = int(np.searchsorted(sizes, ALIKE * sizes[i]))
+                other = start + np.flatnonzero(labels[start:i] != labels[i])
+                other = other[(sigs[other] == sigs[i]).sum(1) >= least] if len(other) else other
+                left += ids[other].tolist()
+                right += [ids[i]] * len(other)
+            keep = int(np.searchsorted(sizes, ALIKE * sizes[-1]))
+            sizes, labels, ids, sigs = sizes[keep:], labels[keep:], ids[keep:], sigs[keep:]
+        yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in zip(left, right)], pa.binary()), pa.array([max(p) for p in zip(left, right)], pa.binary())], ["a", "b"])
+
+
 def text_pairs(edges: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b of the edges whose texts' shingle sets have Jaccard ``ALIKE`` or more."""
     ta = texts.select(F.col("v").alias("a"), F.col("text").alias("ta"))
@@ -142,7 +178,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     firsts = signed.where("v is not null").groupBy("v").agg(F.min(F.struct("id", "_tk")).alias("row"))
     own = firsts.select(F.col("v").alias("fv"), "row")
     vertices = cut(signed.join(own, (F.col("v") == F.col("fv")) & F.struct("id", "_tk").eqNullSafe(F.col("row")))
-                   .dropDuplicates(["v"]).select("v", "row", "n", "keys"), "vertices")
+                   .dropDuplicates(["v"]).select("v", "row", "n", "keys", "sig"), "vertices")
     members = cut(band_members(vertices), "members")
     edges = cut(members.where("v <> leader").select(F.col("leader").alias("a"), F.col("v").alias("b")).distinct(), "candidates")
 
@@ -155,12 +191,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     linked = cut(text_pairs(edges, texts), "links")
     labels = components(linked)
     # second round: bands that still hold several components
-    named = members.join(labels, "v", "left").join(vertices.select("v", "n"), "v").select("key", "v", "n", F.coalesce("label", "v").alias("label"))
+    named = members.join(labels, "v", "left").select("key", "v", F.coalesce("label", "v").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    named = cut(named.join(mixed, "key", "left_semi"), "mixed")
-    left, right = (named.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("v", "n", "label"))) for s in "ab")
-    pairs = left.join(right, "key").where("a_label < b_label").where(
-        F.least("a_n", "b_n") >= ALIKE * F.greatest("a_n", "b_n")).select(F.col("a_v").alias("a"), F.col("b_v").alias("b")).distinct()
+    named = named.join(mixed, "key", "left_semi").join(vertices.select("v", "n", "sig"), "v").select("key", "v", "n", "label", "sig")
+    pairs = named.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "n") \
+        .mapInArrow(_cross_pairs, "a binary, b binary").distinct()
     late = cut(text_pairs(pairs, texts), "late-links")
     if not late.isEmpty():
         labels = components(linked.unionByName(late))
