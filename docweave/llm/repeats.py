@@ -32,7 +32,7 @@ from .common import M1, M2, M3, cut, flat, mix, partitions, ranges, slices, span
 
 WINDOW, GRAM = 100, 24
 SPAN = WINDOW - GRAM + 1
-SEGMENT = 1 << 23
+SEGMENT = 1 << 21
 POS = np.uint64((1 << 24) - 1)
 BUNDLE = 1 << 20
 HOT_SAMPLE = 64  # different contexts of one anchor in the sample
