@@ -30,7 +30,7 @@ EVERY = 512
 BLOCK_SYMBOLS = 1 << 20
 MAGIC = b"HUF1"
 CACHE_ENTRIES = 500_000
-SLICE = 16 << 20
+SLICE = 8 << 20
 
 # fixed value: the pattern by which byte-level BPE splits text
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
