@@ -12,6 +12,8 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions._util import let
+
 WHITE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -29,16 +31,24 @@ def repeated_words(words: Column) -> Column:
     order, cover min(3, distance to the next) words each. Windows are compared by a 64-bit hash."""
     n = F.size(words)
     later = lambda k: F.slice(words, k + 1, F.greatest(n - 2, F.lit(0)))
-    hashes = F.transform(F.arrays_zip(later(0), later(1), later(2)), lambda z: F.xxhash64(z["0"], z["1"], z["2"]))
-    order = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    m = F.size(hashes)
+    windows = F.transform(F.arrays_zip(later(0), later(1), later(2)), lambda z: F.xxhash64(z["0"], z["1"], z["2"]))
     none = F.array(F.lit(None).cast("struct<h: bigint, i: int>"))
-    beside = F.arrays_zip(order, F.concat(none, F.slice(order, 1, F.greatest(m - 1, F.lit(0)))), F.concat(F.slice(order, 2, m), none))
-    hit = F.filter(beside, lambda z: F.coalesce(z["0"]["h"] == z["1"]["h"], F.lit(False)) | F.coalesce(z["0"]["h"] == z["2"]["h"], F.lit(False)))
-    places = F.sort_array(F.transform(hit, lambda z: z["0"]["i"]))
-    steps = F.zip_with(places, F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), lambda a, b: F.coalesce(F.least(F.lit(3), b - a), F.lit(3)))
-    count = F.aggregate(steps, F.lit(0), lambda s, x: s + x)
-    return F.when((n < 4) | (F.size(F.array_distinct(hashes)) == m), 0).otherwise(count).cast("long")
+
+    def hits(order):
+        m = F.size(order)
+        beside = F.arrays_zip(order.alias("x"), F.concat(none, F.slice(order, 1, m - 1)).alias("p"), F.concat(F.slice(order, 2, m), none).alias("q"))
+        same = F.filter(beside, lambda z: F.coalesce(z["x"]["h"] == z["p"]["h"], F.lit(False)) | F.coalesce(z["x"]["h"] == z["q"]["h"], F.lit(False)))
+        return F.sort_array(F.transform(same, lambda z: z["x"]["i"]))
+
+    def covered(places):
+        steps = F.zip_with(places, F.slice(places, 2, F.size(places)), lambda a, b: F.coalesce(F.least(F.lit(3), b - a), F.lit(3)))
+        return F.aggregate(steps, F.lit(0), lambda s, x: s + x)
+
+    def count(hashes):
+        order = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(let(let(order, hits), covered))
+
+    return F.when(n < 4, 0).otherwise(let(windows, count)).cast("long")
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
