@@ -238,8 +238,11 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
     # J4 + J6: prompts, with a second read of content for dirty rows only
     n_waves = _n_waves(plan.where(F.col("action") != "reuse").count(), wave_rows)
     inputs = prompt_inputs_for_dirty(corpus, plan, context, chunk_mode, n_words, max_tokens, sizer, text_rule)
-    _write_prompts(build_prompts(inputs, template, escape_html, root_prefix, operating_system), n_waves, prompts_path)
-    prompts = spark.read.parquet(prompts_path)
+    built = build_prompts(inputs, template, escape_html, root_prefix, operating_system)
+    _write_prompts(built, n_waves, prompts_path)
+    # with its schema: an unchanged corpus has no prompt, and so no file to take one from
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in built.schema)
+    prompts = spark.read.schema(f"{kinds}, waves int, wave int").parquet(prompts_path)
     lap("prompts")
 
     # Enrichment with resume (answers appended; earlier answers for the same key are reused)
@@ -262,7 +265,7 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
         spark.createDataFrame([], EN.ANSWER_SCHEMA + ", waves int, wave int").write.mode("append") \
             .partitionBy("wave").parquet(answers_path)
     lap("enrich")
-    all_answers = spark.read.parquet(answers_path)
+    all_answers = spark.read.schema(EN.ANSWER_SCHEMA + ", waves int, wave int").parquet(answers_path)
     # an answer without error beats a failed one; among equals the later call wins
     latest = all_answers.groupBy(*ANSWER_KEY).agg(F.max_by(
         F.struct("answer", "attempts", "elapsed_ms", "error", "asked_at"),

@@ -74,6 +74,20 @@ def test_dirty_fetch_ways_agree(spark, monkeypatch):
     assert len(keys) == plan.where("action != 'reuse'").count() and keys == collect()
 
 
+def test_an_unchanged_documented_corpus_asks_nothing(spark, tmp_path):
+    import json
+
+    class Always(DeterministicClient):
+        def __call__(self, request):
+            return json.dumps({"fileDescription": "Holds text", "joyThisFileBrings": 5, "personalityEmoji": "x"})
+
+    corpus = corpus_from_table(FX.corpus_v(spark, SF_SMALL))
+    first = run(spark, corpus, None, str(tmp_path), Always(), chunk_mode="window")
+    again = run(spark, corpus, read_current_state(spark, str(tmp_path)), str(tmp_path), Always(), chunk_mode="window")
+    assert again.answers.count() == 0 and again.plan.where("action <> 'reuse'").count() == 0
+    assert again.state.count() == first.state.count() == again.summary.agg(F.sum("n_reuse")).first()[0]
+
+
 def test_content_is_read_twice_at_most(spark, tmp_path):
     """One pass for the inventory, one for the dirty rows' text, with rules, nested states and the summary."""
     log = str(tmp_path / "reads")
