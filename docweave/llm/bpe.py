@@ -25,7 +25,7 @@ from .common import PieceCache, flat, ranges, slices, unique_words
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 BLANKS = "\t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 SHORT = 48
 NEVER = 1 << 40
 

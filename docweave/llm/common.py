@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 EMPTY = np.zeros(0, np.int64)
@@ -58,6 +58,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # the worker lives on, and other workers share its executor
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ MAX_BITS = 18
 EVERY = 512
 BLOCK_SYMBOLS = 1 << 20
 MAGIC = b"HUF1"
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 SLICE = 8 << 20
 
 # fixed value: the pattern by which byte-level BPE splits text
