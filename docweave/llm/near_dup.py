@@ -1,9 +1,13 @@
 """Near duplicates by ProbMinHash, banding and exact verification.
 
-Every distinct shingle of a text, weighted by how often it occurs, is a Poisson process whose arrivals
-fall into ``SLOTS`` slots; a slot keeps the shingle that arrives first. Two texts agree in a slot with the
-probability Jaccard of their weighted shingles. All texts of a slice go round by round; a shingle stops
-as soon as its next arrival is later than the latest first arrival of its text.
+Every distinct shingle of a text is a Poisson process whose arrivals fall into ``SLOTS`` slots; a slot keeps
+the shingle that arrives first. Two texts agree in a slot with the probability Jaccard of their weighted
+shingles. All texts of a slice go round by round; a shingle stops as soon as its next arrival is later than
+the latest first arrival of its text.
+
+Links are decided on the sets of shingles, so every text is signed with weight 1 per distinct shingle: two
+texts agree in a slot with the Jaccard of their sets, however often a line is repeated in one of them. A text
+that repeats a shingle is also signed with the weights, for more candidates (without repeats both are the same).
 
 Equal texts are one vertex. Bands of ``BAND`` slots are keys; a key's smallest vertex (found with partial
 sums, so a hot key costs a row per task) leads it, and each other vertex gets one edge to it, never all
@@ -63,7 +67,8 @@ def band_keys(signature: np.ndarray, band: int = BAND) -> np.ndarray:
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, _tk, v (128-bit hash of the text; null without words), n (distinct shingles), keys, sig (a byte per slot)."""
+    """id, _tk, v (128-bit hash of the text; null without words), n (distinct shingles), keys (of both signatures),
+    sig (a byte per slot of the signature of the set)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -71,10 +76,16 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             texts = b.column(2)
             doc, item, times = shingles(texts, SIZE)
             n = np.bincount(doc, minlength=len(texts))
-            first = prob_minhash(doc, item, times.astype(np.float64), len(texts))
-            keys = band_keys(first)
+            first = prob_minhash(doc, item, np.ones(len(doc)), len(texts))
             sig = (mix(first) >> np.uint64(56)).astype(np.uint8)
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)))
+            keys = band_keys(first)
+            again = np.unique(doc[times > 1])
+            rows = np.isin(doc, again)
+            weighted = band_keys(prob_minhash(np.searchsorted(again, doc[rows]), item[rows], times[rows].astype(np.float64), len(again)))
+            both, new = np.concatenate([keys, keys], 1), np.concatenate([np.ones(keys.shape, bool), np.zeros(keys.shape, bool)], 1)
+            both[again, keys.shape[1]:], new[again, keys.shape[1]:] = weighted, weighted != keys[again]
+            ends = np.concatenate([[0], np.cumsum(new.sum(1))]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(both[new]))
             v = [xxhash.xxh3_128_digest(t.encode()) if k else None for t, k in zip(texts.to_pylist(), n)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(v, pa.binary()), pa.array(n), keys,
                                               pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "_tk", "v", "n", "keys", "sig"])
@@ -92,7 +103,7 @@ def band_members(vertices: DataFrame) -> DataFrame:
 
 def _cross_pairs(batches):
     """Rows sorted by key and n: pairs of different components under one key whose sizes allow the similarity
-    and whose slots agree often enough (six standard deviations below it; a byte stands for a slot).
+    and whose slots of the sets agree often enough (six standard deviations below it; a byte stands for a slot).
 
     Of a key only the rows that a later, larger one can still pair with are held."""
     key, sizes, labels, ids, sigs = None, None, None, None, None

@@ -79,6 +79,29 @@ def test_a_chain_is_one_class(frame):
     assert {r.class_id for r in op8(frame(rows)).collect()} == {0}
 
 
+@pytest.mark.parametrize("times", [20, 50])
+def test_a_repeated_line_hides_no_link(frame, times):
+    """Nearly the same set of shingles, one line many times in one of the two."""
+    rows = []
+    for k in range(12):
+        w = [f"d{k}w{i}" for i in range(204)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, "\n".join([" ".join(w)] + [" ".join(w[50:64])] * times))]
+    assert brute(rows) == sorted(((i, i - i % 2) for i, _ in rows), key=str)
+    assert sorted(map(tuple, op8(frame(rows)).collect()), key=str) == brute(rows)
+
+
+def test_second_round_compares_sets(frame):
+    """The smallest text leads neither of the two others, which are alike only as sets."""
+    rnd, rows = random.Random(8), []
+    for k in range(12):
+        w = [f"e{k}w{i}" for i in range(204)]
+        lead = [f"x{k}w{i}" for i in range(45)] + w[:159]
+        full = w + [f"y{k}w{i}" for i in range(8)]
+        rows += [" ".join(lead), " ".join(full), "\n".join([" ".join(full)] + [" ".join(full[-14:])] * rnd.choice([20, 50]))]
+    rows = list(enumerate(rows))
+    assert sorted(map(tuple, op8(frame(rows)).collect()), key=str) == brute(rows)
+
+
 def test_one_stays(frame, odd_rows):
     docs = frame(odd_rows)
     kept = keep_one(docs)
