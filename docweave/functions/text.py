@@ -16,7 +16,7 @@ TEXT_SAMPLE_BYTES = 4096          # caller's sample for the text test
 TEXT_SAMPLE_CAP = 8192            # the test never looks at more than this
 PRINTABLE_PERCENT = 85            # integer percentage threshold
 BINARY_PLACEHOLDER = "[[binary content suppressed]]"
-MAX_TEXT_BYTES = 2_000_000        # text read for chunks and the README snippet
+MAX_TEXT_BYTES = 2_000_000        # text read by decode_limited and for the README snippet
 CONTEXT_WORDS = 500               # README words in the prompt
 PREVIEW_BYTES = 400               # answer preview in error rows
 PREVIEW_ELLIPSIS = "…"

@@ -19,7 +19,7 @@ def project_context(corpus: DataFrame, projects: DataFrame, n_words: int = TX.CO
     names = F.array(*[F.lit(n) for n in README_NAMES])
     cand = corpus.where(F.col("path").isin(*README_NAMES)).select(
         "project", F.array_position(names, F.col("path")).alias("pos"),
-        TX.first_n_words(decode_lossy("head"), n_words).alias("snippet"))
+        TX.first_n_words(decode_lossy(F.substring("head", 1, TX.MAX_TEXT_BYTES)), n_words).alias("snippet"))
     best = cand.groupBy("project").agg(F.min_by("snippet", "pos").alias("snippet"))
     out = projects.select("project").distinct().join(best, "project", "left")
     return out.select("project", F.when(F.col("snippet").isNull(), F.lit("false")).otherwise(F.lit("true")).alias("documented"),

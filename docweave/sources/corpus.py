@@ -1,8 +1,8 @@
 """Corpus from a table (S1 on table input) and the fingerprint/profile step.
 
 Canonical corpus columns: ``project, path, size, mtime, head, content_hash, hash_algo``.
-``head`` holds at most the first 2,000,000 bytes, the most any later step reads; it is produced
-lazily, so Catalyst prunes it from every plan that does not use it.
+``head`` holds the whole content, or its first ``head_bytes`` bytes where a caller asks for that; it is
+produced lazily, so Catalyst prunes it from every plan that does not use it.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ HASH_ALGO = "sha256"
 
 
 def corpus_from_table(df: DataFrame, project: str = "project", path: str = "path", content: str = "content",
-                      mtime: str | None = None, content_is_binary: bool = False) -> DataFrame:
+                      mtime: str | None = None, content_is_binary: bool = False, head_bytes: int | None = None) -> DataFrame:
     """Accept any table with ``(project, path, content)`` as the inventory.
 
-    The hash covers the whole content; ``head`` keeps only the bounded prefix.
+    The hash covers the whole content; ``head`` too, unless ``head_bytes`` limits it.
     """
     c = F.col(content)
     data = c if content_is_binary else F.encode(c, "UTF-8")
@@ -29,7 +29,7 @@ def corpus_from_table(df: DataFrame, project: str = "project", path: str = "path
         F.col(path).alias("path"),
         F.octet_length(c).cast("long").alias("size"),
         (F.col(mtime).cast("timestamp") if mtime else F.lit(None).cast("timestamp")).alias("mtime"),
-        F.substring(data, 1, T.MAX_TEXT_BYTES).alias("head"),
+        (data if head_bytes is None else F.substring(data, 1, head_bytes)).alias("head"),
         F.sha2(data, 256).alias("content_hash"),
         F.lit(HASH_ALGO).alias("hash_algo"),
     )

@@ -5,9 +5,10 @@ inventory needs its own source. Partitions are directories: the files directly i
 ``split_depth`` form one partition, and each directory at ``split_depth`` is walked as one subtree,
 so a large tree is walked by many tasks.
 Each task walks its subtree without following symlinks, hashes every regular file in 1 MiB blocks
-(a file larger than a cell still works) and, unless ``with_content=false``, keeps the first
-2,000,000 bytes as ``head`` (state files, named by ``whole_names``, are kept whole). A file that can't be read and a directory that
-can't be listed give a row with ``error``, never a failure. The tasks open files themselves, so the folder
+and, unless ``with_content=false``, keeps the content as ``head``: whole, or the first ``head_bytes`` bytes where
+that option is given (state files, named by ``whole_names``, are kept whole). A file that can't be read or is larger
+than a cell and a directory that can't be listed give a row with ``error``, never a failure; with ``head_bytes`` or
+``with_content=false`` a file of any size is read. The tasks open files themselves, so the folder
 must be mounted on every worker.
 
     spark.dataSource.register(CorpusDataSource)
@@ -17,6 +18,7 @@ must be mounted on every worker.
 
 from __future__ import annotations
 
+import errno
 import hashlib
 import os
 import stat
@@ -24,7 +26,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-MAX_HEAD = 2_000_000
+MAX_CELL = (1 << 31) - 64
 BLOCK = 1 << 20
 SCHEMA = ("project string, path string, size long, mtime timestamp, head binary, content_hash string, "
           "hash_algo string, error string")
@@ -37,10 +39,12 @@ class _Part(InputPartition):
 
 
 def _file_row(project: str, root: str, full: str, st: os.stat_result, with_content: bool,
-              whole: frozenset = frozenset()):
+              whole: frozenset = frozenset(), head_bytes: int | None = None):
     h = hashlib.sha256()
     head = bytearray()
-    cap = None if os.path.basename(full).lower() in whole else MAX_HEAD
+    cap = None if os.path.basename(full).lower() in whole else head_bytes
+    if with_content and cap is None and st.st_size > MAX_CELL:
+        return _error_row(project, root, full, OSError(errno.EFBIG, "larger than a cell, needs head_bytes"), st)
     try:
         with open(full, "rb") as fh:
             while True:
@@ -68,6 +72,7 @@ class CorpusReader(DataSourceReader):
         self.options = options
         self.with_content = str(options.get("with_content", "true")).lower() != "false"
         self.prune = {x for x in str(options.get("prune", "")).split(",") if x}
+        self.head_bytes = int(options["head_bytes"]) if "head_bytes" in options else None
         # state files are read whole (they are parsed as one document each)
         self.split_depth = max(1, int(options.get("split_depth", "2")))
         from ..operators.state import ALL_STATE_NAMES
@@ -118,7 +123,7 @@ class CorpusReader(DataSourceReader):
                     yield _error_row(partition.project, root, e.path, err)
                     continue
                 if stat.S_ISREG(st.st_mode):
-                    yield _file_row(partition.project, root, e.path, st, self.with_content, self.whole)
+                    yield _file_row(partition.project, root, e.path, st, self.with_content, self.whole, self.head_bytes)
             return
         stack = [start]
         while stack:
@@ -138,7 +143,7 @@ class CorpusReader(DataSourceReader):
                     if e.name not in self.prune:
                         stack.append(e.path)
                 elif stat.S_ISREG(st.st_mode):
-                    yield _file_row(partition.project, root, e.path, st, self.with_content, self.whole)
+                    yield _file_row(partition.project, root, e.path, st, self.with_content, self.whole, self.head_bytes)
 
 
 class CorpusDataSource(DataSource):
@@ -154,12 +159,14 @@ class CorpusDataSource(DataSource):
 
 
 def scan_directory(spark, root: str | None = None, project: str | None = None, parent: str | None = None,
-                   with_content: bool = True, prune: list[str] | None = None):
+                   with_content: bool = True, prune: list[str] | None = None, head_bytes: int | None = None):
     """Register the source and read one project root (or every child of ``parent``)."""
     spark.dataSource.register(CorpusDataSource)
     r = spark.read.format("corpus").option("with_content", str(with_content).lower())
     if prune:
         r = r.option("prune", ",".join(prune))
+    if head_bytes is not None:
+        r = r.option("head_bytes", str(head_bytes))
     if parent:
         r = r.option("parent", parent)
     else:

@@ -30,6 +30,21 @@ def test_decode_limited_agrees_with_python(spark):
         assert all(r.t == bytes(r.b).decode("utf-8", "replace") for r in d.select("b", CH.decode_lossy("b").alias("t")).collect())
 
 
+def test_chunks_are_of_the_whole_text(spark, tmp_path):
+    """A text of over 2,000,000 bytes: its middle and last chunk in the registered queries."""
+    from docweave.plans.queries import REGISTRY
+    from docweave.plans.q_chunks import WORDS
+    words = [f"w{i}" for i in range(350_000)]
+    n = -(-len(words) // WORDS)
+    want = [" ".join(words[i * WORDS:(i + 1) * WORDS]) for i in (0, n // 2, n - 1)]
+    rows = [(i, "web", "en", t) for i, t in enumerate(["readme", "other", *[" ".join(words)] * 9])]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    r = [x for x in REGISTRY["file_metrics"][0](spark, str(tmp_path)).collect() if x["chunk1_bytes"] > 100]
+    assert [(x["chunk1_bytes"], x["chunk2_bytes"], x["chunk3_bytes"]) for x in r] == [tuple(len(c) for c in want)] * 9
+    f = [x for x in REGISTRY["prompt_fields"][0](spark, str(tmp_path)).collect() if "w1 " in x["chunk_one"]]
+    assert {(x["chunk_two"].strip(), x["chunk_three"].strip()) for x in f} == {tuple(want[1:])}
+
+
 def test_edge_cases(spark):
     df = spark.createDataFrame([("   \n", True), ("", True), ("words here", False)], "t string, x boolean")
     rows = df.select(CH.chunk_triple(F.col("t"), F.col("x"), F.lit("text")).alias("c")).collect()

@@ -28,6 +28,22 @@ def test_scan_returns_every_regular_file(spark):
     assert bytes(got["a/b/bin.dat"]["head"]) == b"ab\x00cd"
 
 
+def test_scan_keeps_whole_files(spark, tmp_path):
+    body = b"line of text\n" * 200_000
+    (tmp_path / "long.txt").write_bytes(body)
+    assert bytes(scan_directory(spark, root=str(tmp_path), project="p").first()["head"]) == body
+    assert bytes(scan_directory(spark, root=str(tmp_path), project="p", head_bytes=1000).first()["head"]) == body[:1000]
+
+
+def test_a_file_over_a_cell_is_reported(spark, tmp_path):
+    with open(tmp_path / "sparse.bin", "wb") as fh:
+        fh.truncate((1 << 31) + 5)
+    row = scan_directory(spark, root=str(tmp_path), project="p").first()
+    assert row["size"] == (1 << 31) + 5 and "head_bytes" in row["error"]
+    row = scan_directory(spark, root=str(tmp_path), project="p", head_bytes=10).first()
+    assert row["error"] is None and len(row["head"]) == 10
+
+
 def test_scan_prune_and_no_content(spark):
     root, files = make_tree()
     df = scan_directory(spark, root=root, project="p", with_content=False, prune=["a"])
