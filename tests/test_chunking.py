@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from docweave.operators import chunking as CH
 from docweave.plans import fixtures as FX
 
-from conftest import SF_SMALL
+from locations import SF_SMALL
 
 
 def test_pack_text_invariants():

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 
-from conftest import SF_SMALL
+from locations import SF_SMALL
 
 TABLES = ["documents", "pages", "conversations", "labels", "benchmark"]
 

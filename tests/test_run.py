@@ -8,7 +8,7 @@ from docweave.plans import fixtures as FX
 from docweave.plans.run import read_current_state, run
 from docweave.sources.corpus import corpus_from_table
 
-from conftest import SF_SMALL
+from locations import SF_SMALL
 
 
 class CountingClient(DeterministicClient):

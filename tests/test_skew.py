@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from docweave.operators import reports as R
 from docweave.plans import fixtures as FX
 
-from conftest import SF_MID
+from locations import SF_MID
 
 
 def skewed_files(spark):

@@ -8,7 +8,7 @@ from docweave.plans import fixtures as FX
 from docweave.plans.run import read_current_state
 from docweave.streaming.incremental import document_stream
 
-from conftest import SF_SMALL
+from locations import SF_SMALL
 
 
 def test_stream_batches_merge_into_state(spark):
