@@ -130,3 +130,9 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
     or regexp_matches(text, '[^\x20\x09-\x0D]{1000}')) as kept
 from b
 """
+
+
+@query
+def op11_mixing(spark, sf_dir):
+    from .mixing import op11
+    return op11(table(spark, sf_dir))
