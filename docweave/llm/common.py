@@ -38,6 +38,29 @@ def same_row(left: DataFrame, right: DataFrame, id_col: str = "doc_id") -> F.Col
     return left[id_col].eqNullSafe(right[id_col]) & (left["_tk"] == right["_tk"])
 
 
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """``df`` with a gapless ``rank`` from 0 in the given order: a range sort and one offset per task."""
+    spark = df.sparkSession
+
+    def number(batches):
+        from pyspark import TaskContext
+        pid, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, pid, np.int32)), pa.array(np.arange(n, n + b.num_rows))],
+                                             [*b.schema.names, "_pid", "_i"])
+            n += b.num_rows
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    rows = cut(df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(
+        number, f"{fields}, _pid int, _i long"), "numbered")
+    total, starts = 0, []
+    for r in sorted(rows.groupBy("_pid").count().collect()):  # one number per task
+        starts.append((r["_pid"], total))
+        total += r["count"]
+    return rows.join(F.broadcast(spark.createDataFrame(starts, "_pid int, _start long")), "_pid") \
+        .select(*df.columns, (F.col("_start") + F.col("_i")).alias("rank"))
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, one after the other, and the n + 1 offsets; a null is an empty text."""
     if len(texts) == 0:

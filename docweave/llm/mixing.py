@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import M1, M2, cut, flat, mix, partitions, slices, text_key
+from .common import M1, M2, cut, flat, mix, numbered, partitions, slices, text_key
 
 BLOCK_WORDS = 512
 SHARD_BLOCKS = 16_384
@@ -89,34 +89,11 @@ def n_slots(size: int, quota: int, block_words: int, seed: int, rank: int) -> in
 
 # ------------------------------------------------------------------ sources
 
-def _numbered(df: DataFrame, *order) -> DataFrame:
-    """``df`` with a gapless ``rank`` from 0 in the given order: a range sort and offsets per task."""
-    spark = df.sparkSession
-
-    def number(batches):
-        from pyspark import TaskContext
-        pid, n = TaskContext.get().partitionId(), 0
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, pid, np.int32)), pa.array(np.arange(n, n + b.num_rows))],
-                                             [*b.schema.names, "_pid", "_i"])
-            n += b.num_rows
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    rows = cut(df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(
-        number, f"{fields}, _pid int, _i long"), "mix-sources")
-    total, starts = 0, []
-    for r in sorted(rows.groupBy("_pid").count().collect()):  # one number per task
-        starts.append((r["_pid"], total))
-        total += r["count"]
-    return rows.join(F.broadcast(spark.createDataFrame(starts, "_pid int, _start long")), "_pid") \
-        .select(*df.columns, (F.col("_start") + F.col("_i")).alias("rank"))
-
-
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """``source, size`` -> ``source, size, rank, target``. Sources in code point order, null last, weigh ``weights``
     in turn. A target above ``max_epochs`` sizes stops there; the others share what is left by weight, until none is above."""
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    found = cut(_numbered(sizes, F.asc_nulls_last("source")).withColumn("weight", w), "mix-weights")
+    found = cut(numbered(sizes, F.asc_nulls_last("source")).withColumn("weight", w), "mix-weights")
     most = F.col("size") * F.lit(max_epochs)
     share, n_capped = 0.0, -1
     while True:

@@ -136,3 +136,43 @@ from b
 def op11_mixing(spark, sf_dir):
     from .mixing import op11
     return op11(table(spark, sf_dir))
+
+
+@query
+def op13_phrases(spark, sf_dir):
+    from .phrases import op13
+    return op13(table(spark, sf_dir))
+
+
+SQL["op13_phrases"] = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (
+  select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as words from pieces),
+totals as (
+  select lang, sum(len(words)) as n from w group by lang),
+starts as (
+  select lang, words, unnest(range(1, len(words) + 1)) as i from w),
+f as (
+  select lang, k, array_to_string(words[i:i + k - 1], ' ') as phrase, count(*) as a
+  from starts, (select unnest([1, 2, 3, 4, 5]) as k) where i + k - 1 <= len(words) group by all having count(*) >= 100),
+cand as (
+  select lang, phrase, k, a, string_split(phrase, ' ') as words from f where k >= 2),
+parts as (
+  select distinct lang, array_to_string(words[i:i + m - 1], ' ') as part, a
+  from (select *, unnest(range(1, k)) as i from cand where k > 2), (select unnest([2, 3, 4]) as m) where i + m - 1 <= k and m < k),
+kept as (
+  select c.* from cand c left join (select lang, part, max(a) as most from parts group by all) p on p.lang = c.lang and p.part = c.phrase
+  where most is null or most < a),
+cuts as (
+  select *, array_to_string(words[:j], ' ') as lp, array_to_string(words[j + 1:], ' ') as rp from (select *, unnest(range(1, k)) as j from kept)),
+scored as (
+  select c.lang, c.phrase, c.a, x.a as l, y.a as r, t.n, j, (1000::hugeint * c.a * t.n) // (x.a::hugeint * y.a) as score
+  from cuts c join totals t on t.lang = c.lang join f x on x.lang = c.lang and x.phrase = lp join f y on y.lang = c.lang and y.phrase = rp),
+best as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from ranked where rank <= 2000
+"""
