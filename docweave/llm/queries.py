@@ -176,3 +176,9 @@ ranked as (
   select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best)
 select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from ranked where rank <= 2000
 """
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    from .whitening import op12
+    return op12(table(spark, sf_dir, "embeddings"))
