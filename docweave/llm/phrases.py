@@ -29,7 +29,7 @@ BUCKET_BITS = 26            # a bitmap of 8 MB, whatever the corpus
 CHUNK_BITS = 22
 BLOCK_PHRASES = 1 << 18     # a trie of at most about 30 MB
 BLOCKS_A_PASS = 4
-SLICE = 8 << 20
+SLICE = 2 << 20
 ROW_SYMBOLS = 1 << 17
 READ_SYMBOLS = 1 << 20
 
@@ -63,14 +63,14 @@ def symbols(texts: pa.Array, langs: list[str], seed: int) -> tuple[np.ndarray, n
     first[begins], last[ends - 1] = inside[begins], inside[ends - 1]
     start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
     # one 0 after each text and each piece: borders counted before a word shift it
-    border = np.cumsum(kind == BORDER)
+    borders = np.flatnonzero(kind == BORDER)
     doc = np.searchsorted(off, start, "right") - 1
-    place = np.arange(len(start)) + (border[start] if len(start) else 0) + doc
+    place = np.arange(len(start)) + np.searchsorted(borders, start) + doc
     buf = np.concatenate([data, np.zeros(16, np.uint8)])
     lang = np.array([xxhash.xxh3_64_intdigest(x, seed) for x in langs], np.uint64)
     sym = mix((span_hashes(words64(buf), start, stop - start) ^ np.uint64(seed * 0x9E37 & 0xFFFFFFFF)) * M1 + (lang[doc] if len(doc) else np.uint64(0)))
     sym[sym == 0] = 1
-    out = np.zeros(len(start) + (int(border[-1]) if len(border) else 0) + len(texts), np.uint64)
+    out = np.zeros(len(start) + len(borders) + len(texts), np.uint64)
     out[place] = sym
     return out, sym, start, stop - start, doc
 
