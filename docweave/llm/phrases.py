@@ -115,8 +115,8 @@ def encode(docs: DataFrame, seed: int, text_col: str, lang_col: str) -> DataFram
 def _arrays(batches):
     """The symbols of an Arrow stream, about READ_SYMBOLS at a time; each array ends with a 0."""
     for b in batches:
-        col = b.column(0).cast(pa.large_binary())
-        off = np.frombuffer(col.buffers()[1], np.int64)[col.offset:col.offset + len(col) + 1] // 8
+        col = b.column(0)
+        off = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1].astype(np.int64) // 8
         if len(col) == 0 or off[-1] == off[0]:
             continue
         data = np.frombuffer(col.buffers()[2], np.uint8)[:off[-1] * 8].view("<u8")
@@ -230,12 +230,13 @@ def build_trie(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     by = np.argsort(parent, kind="stable")
     inner, begin, size = np.unique(parent[by], return_index=True, return_counts=True)
     width_all = len(alphabet) + 1
-    length = 2 * width_all + 2 * n_nodes
-    used = np.zeros(length, bool)
+    # room for twice the nodes; the largest families first, each at a random place where all its children fit
+    end = width_all + 2 * n_nodes + 4 * width_all
+    used = np.zeros(end + width_all, bool)
+    used[:width_all] = True               # the root's children stand here alone, so every other base is 0 or more
     at = np.zeros(n_nodes, np.int64)      # slot of each node
     base_of = np.zeros(n_nodes, np.int64)
-    used[:width_all] = True               # the root's children stand here alone, so every other base is 0 or more
-    low, end = width_all, width_all
+    rnd = np.random.default_rng(0)
     for i in np.argsort(-size, kind="stable"):
         kids, c = by[begin[i]:begin[i] + size[i]] + 1, edge[by[begin[i]:begin[i] + size[i]]]
         if inner[i] == 0:
@@ -243,24 +244,20 @@ def build_trie(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
             continue
         if size[i] == 1:
             break
-        rel = c - c[0]
-        while end + 2 * width_all + 1024 > len(used):
-            used = np.concatenate([used, np.zeros(len(used), bool)])
-        while used[low]:
-            low += 1
-        tries, slot = low, end
-        for _ in range(8):
-            free = tries + np.flatnonzero(~used[tries:tries + 256])
-            fits = free[~used[free[:, None] + rel].any(1)] if len(free) * len(rel) < 1 << 22 else free[:0]
+        rel, slot = c - c[0], -1
+        for _ in range(64):
+            tries = rnd.integers(width_all, end, min(256, (1 << 20) // len(rel) + 1))
+            tries = tries[tries + rel[-1] < len(used)]
+            fits = tries[~used[tries[:, None] + rel].any(1)]
             if len(fits):
                 slot = int(fits[0])
                 break
-            tries += 256
-            if tries >= end:
-                break
+        if slot < 0:
+            slot = len(used)
+            used = np.concatenate([used, np.zeros(int(rel[-1]) + 1, bool)])
         used[slot + rel] = True
         at[kids], base_of[inner[i]] = slot + rel, slot - c[0]
-        end = max(end, slot + int(rel[-1]) + 1)
+    end = len(used)
     single = np.flatnonzero((size == 1) & (inner != 0))
     free = np.flatnonzero(~used[:end])
     free = np.concatenate([free, np.arange(end, end + len(single))])[:len(single)]
@@ -310,7 +307,7 @@ def _tries(candidates: DataFrame, block_phrases: int, max_words: int) -> DataFra
                          "check": pa.array([check.tobytes()], pa.binary()), "keys": pa.array([raw], pa.list_(pa.binary())),
                          "states": pa.array([state.tolist()], pa.list_(pa.int64()))})
 
-    blocks = numbered(candidates, "key").select("key", F.floor(F.col("rank") / block_phrases).cast("long").alias("block"))
+    blocks = numbered(cut(candidates, "phrase-candidates"), "key").select("key", F.floor(F.col("rank") / block_phrases).cast("long").alias("block"))
     return cut(blocks.groupBy("block").applyInArrow(lay, "block long, alphabet binary, base binary, check binary, keys array<binary>, states array<long>"), "phrase-tries")
 
 

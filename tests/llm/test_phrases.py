@@ -63,7 +63,7 @@ def test_equals_brute_force(spark, rows, min_count, max_words):
 
 
 def test_many_blocks_and_crowded_buckets(spark, rows):
-    got = mined(spark, rows[:120], 5, block_phrases=40, bucket_bits=5)
+    got = mined(spark, rows[:120], 5, block_phrases=400, bucket_bits=5)
     assert got == brute(rows[:120], 5, 5)
 
 
