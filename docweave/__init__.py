@@ -2,7 +2,7 @@
 
 DataFrame in, DataFrame out. Main entry points:
 
-* sources: ``corpus_from_table``, ``scan_directory`` (Python Data Source), ``read_state_trees``
+* sources: ``corpus_from_table``, ``scan_directory`` (rounds of listing tasks), ``read_state_trees``
 * the run: ``run`` / ``read_current_state`` (inventory -> change plan -> prompts -> enrichment -> state)
 * operators: ``plan_changes``, ``merge_states``, ``apply_ignore_rules``, ``chunk_triple``,
   ``render_prompt``, ``enrich``, ``rollup_dirs``, ``nest_export``, ``list_rows``, ``tree_lines``

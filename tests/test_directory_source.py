@@ -35,13 +35,96 @@ def test_scan_keeps_whole_files(spark, tmp_path):
     assert bytes(scan_directory(spark, root=str(tmp_path), project="p", head_bytes=1000).first()["head"]) == body[:1000]
 
 
-def test_a_file_over_a_cell_is_reported(spark, tmp_path):
+def test_a_file_over_a_cell_has_hash_and_head(spark, tmp_path):
+    import hashlib
+    size, split = 3 << 30, 256 << 20
     with open(tmp_path / "sparse.bin", "wb") as fh:
-        fh.truncate((1 << 31) + 5)
+        fh.write(b"start")
+        fh.truncate(size)
+        fh.seek(size - 3)
+        fh.write(b"end")
+    (tmp_path / "small.txt").write_bytes(b"small")
+    rows = {r["path"]: r for r in scan_directory(spark, root=str(tmp_path), project="p", max_head=1000, split_bytes=split).collect()}
+    row, zeros = rows["sparse.bin"], bytes(split)
+    digests = [hashlib.sha256(b"start" + zeros[5:]).digest(), *[hashlib.sha256(zeros).digest()] * 10, hashlib.sha256(zeros[:-3] + b"end").digest()]
+    assert (row["size"], row["error"], row["hash_algo"], row["head_cut"]) == (size, None, f"sha256-tree-{split}", True)
+    assert row["content_hash"] == hashlib.sha256(b"".join(digests)).hexdigest()
+    assert bytes(row["head"]) == b"start" + bytes(995)
+    small = rows["small.txt"]
+    assert (small["hash_algo"], small["head_cut"], bytes(small["head"])) == ("sha256", False, b"small")
+
+
+def test_ranges_of_one_file_are_hashed_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from docweave.sources.directory import tree_digests
+    (tmp_path / "f").write_bytes(bytes(range(256)) * 400)
+    large = spark.createDataFrame([("p", str(tmp_path), bytearray(b"f"), 102_400)], "project string, root string, raw binary, size long")
+    plan = tree_digests(large, 1024)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "start" in plan.split("hashpartitioning(")[-1]
+    assert tree_digests(large, 1024).where(F.col("failed").isNull()).count() == 1
+    assert [r["digest"] for r in tree_digests(large, 1024).collect()] != [r["digest"] for r in tree_digests(large, 2048).collect()]
+
+
+def test_a_file_that_shrinks_or_goes_is_an_error_row(spark, tmp_path):
+    for name in ("gone", "short"):
+        (tmp_path / name).write_bytes(b"x" * 5000)
+    df = scan_directory(spark, root=str(tmp_path), project="p")
+    os.remove(tmp_path / "gone")
+    rows = {r["path"]: r for r in df.collect()}
+    assert rows["gone"]["error"].startswith("FileNotFoundError") and rows["gone"]["content_hash"] is None
+    assert rows["short"]["error"] is None
+
+
+def test_flat_directories_and_deep_chains_fill_the_partitions(spark, tmp_path):
+    from pyspark.sql import functions as F
+    flat, chain = tmp_path / "flat", tmp_path / "chain"
+    flat.mkdir()
+    for i in range(20_000):
+        (flat / f"f{i:05d}").write_bytes(b"x" * (i % 7))
+    d = chain
+    for i in range(60):
+        d.mkdir()
+        (d / "file.txt").write_bytes(b"y" * 100)
+        d = d / "n"
+    n = spark.sparkContext.defaultParallelism
+    for root, files, per_task in ((flat, 20_000, 20_000), (chain, 60, 7)):
+        df = scan_directory(spark, root=str(root), project="p", entries_per_task=per_task)
+        got = df.groupBy(F.spark_partition_id().alias("t")).count().collect()
+        assert len(got) >= n and sum(r["count"] for r in got) == files
+        assert max(r["count"] for r in got) <= 1.2 * files / len(got) + 1
+
+
+def test_partitions_follow_bytes(spark, tmp_path):
+    from pyspark.sql import functions as F
+    for i in range(40):
+        (tmp_path / f"big{i:02d}").write_bytes(b"x" * (1 << 20))
+        (tmp_path / f"small{i:02d}").write_bytes(b"x")
+    df = scan_directory(spark, root=str(tmp_path), project="p", part_bytes=2 << 20)
+    sizes = [r["s"] for r in df.groupBy(F.spark_partition_id().alias("t")).agg(F.sum("size").alias("s")).collect()]
+    assert len(sizes) >= 20 and max(sizes) <= 4 << 20
+
+
+def test_batches_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from docweave.sources import directory as D
+    path = tempfile.mkdtemp(prefix="dw-batch-")
+    for i in range(6):
+        with open(os.path.join(path, f"f{i}"), "wb") as fh:
+            fh.truncate(20 << 20)
+    rows = [("p", path, f"f{i}".encode(), 20 << 20, 0, None, None, None) for i in range(6)]
+    names = ["project", "root", "raw", "size", "mtime_us", "error", "digest", "failed"]
+    kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    out = list(D._reader(True, None, frozenset(), D.MAX_HEAD, D.SPLIT_BYTES)(iter([D._batch(rows, kinds, names)])))
+    assert [b.num_rows for b in out] == [2, 2, 2, 0]
+
+
+def test_names_that_are_no_utf8(spark, tmp_path):
+    with open(os.path.join(os.fsencode(tmp_path), b"bad\xff.txt"), "wb") as fh:
+        fh.write(b"z")
     row = scan_directory(spark, root=str(tmp_path), project="p").first()
-    assert row["size"] == (1 << 31) + 5 and "head_bytes" in row["error"]
-    row = scan_directory(spark, root=str(tmp_path), project="p", head_bytes=10).first()
-    assert row["error"] is None and len(row["head"]) == 10
+    assert (row["path"], row["size"], row["error"]) == ("bad\ufffd.txt", 1, None)
 
 
 def test_scan_prune_and_no_content(spark):
@@ -106,7 +189,7 @@ def test_nested_state_in_the_tree_is_merged(spark):
     assert (got[0], got[1]) == ("Nested doc", "5")
 
 
-def test_split_depth_does_not_change_the_inventory(spark):
+def test_rounds_do_not_change_the_inventory(spark):
     root, files = make_tree()
     deep = {f"big/d{i}/f{j}.txt": b"x" * j for i in range(5) for j in range(3)}
     for p, b in deep.items():
@@ -114,13 +197,19 @@ def test_split_depth_does_not_change_the_inventory(spark):
         os.makedirs(os.path.dirname(full), exist_ok=True)
         with open(full, "wb") as fh:
             fh.write(b)
-    from docweave.sources.directory import CorpusDataSource
-    spark.dataSource.register(CorpusDataSource)
-    got = {}
-    for depth in (1, 2, 3):
-        df = spark.read.format("corpus").option("root", root).option("project", "p").option("split_depth", str(depth)).load()
-        got[depth] = sorted((r["path"], r["content_hash"]) for r in df.collect())
-    assert got[1] == got[2] == got[3] and len(got[1]) == len(files) + len(deep)
+    got = []
+    for budget in (1, 5, 20_000):
+        df = scan_directory(spark, root=root, project="p", entries_per_task=budget)
+        got.append(sorted((r["path"], r["content_hash"]) for r in df.collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(files) + len(deep)
+
+
+def test_children_of_a_parent_are_projects(spark, tmp_path):
+    for p in ("one/a.txt", "two/b/c.txt", "loose.txt"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(b"x")
+    got = sorted((r["project"], r["path"]) for r in scan_directory(spark, parent=str(tmp_path)).collect())
+    assert got == [("one", "a.txt"), ("two", "b/c.txt")]
 
 
 def test_reinclude_lifts_the_hidden_filter(spark):
@@ -196,18 +285,15 @@ def test_unreadable_entries_and_bad_records_are_reported(spark, tmp_path):
 
     from docweave.operators.enrich import DeterministicClient
     from docweave.plans.run import run
-    from docweave.sources.directory import CorpusReader
     root = tmp_path / "p"
     os.makedirs(root / "n")
     (root / "a.md").write_text("some text here")
     os.symlink("nowhere", root / "gone.md")  # not a regular file: no row
     (root / "n" / ".docstate.nu").write_text(json.dumps({"entries": [{"kind": "file", "path": "x", "hash": "h", "doc": {}}, {"kind": "odd"}]}))
-    reader = CorpusReader({"root": str(root), "project": "p"}, None)
-    part = reader.partitions()[0]
-    part.rel = "missing"
-    assert [r[1:] for r in reader.read(part)] == [("missing", None, None, None, None, None, "FileNotFoundError: No such file or directory")]
+    missing = scan_directory(spark, root=str(root / "missing"), project="p").collect()
+    assert [tuple(r) for r in missing] == [("p", "", None, None, None, None, None, "FileNotFoundError: No such file or directory", None)]
     corpus = scan_directory(spark, root=str(root), project="p")
-    lost = spark.createDataFrame([("p", "secret", None, None, None, None, None, "PermissionError: Permission denied")], corpus.schema)
+    lost = spark.createDataFrame([("p", "secret", None, None, None, None, None, "PermissionError: Permission denied", None)], corpus.schema)
     r = run(spark, corpus.unionByName(lost), None, str(tmp_path / "out"), DeterministicClient(), nested="inventory")
     s = r.summary.first()
     assert (s["walked"], s["unreadable"], s["bad_records"], s["bad_trees"]) == (1, 1, 2, 0)
