@@ -4,9 +4,9 @@ Two modes:
 
 * ``window``: fixed N-word windows in pure Spark expressions. Only the three chunks that the prompt
   needs are sliced (first, middle, last); the full chunk table is produced only on request.
-* ``packed``: greedy packing at the coarsest boundary that fits (paragraph, line, sentence, word),
-  measured by an injectable sizer, in an Arrow-batched pandas UDF. Boundaries are ours; the
-  reference's external splitter and tokenizer are not available.
+* ``packed``: greedy packing up to the coarsest boundary that fits (paragraph, line, sentence, word). With the default
+  sizer one pattern does it, JVM side; a sizer of the caller's runs in an Arrow-batched pandas UDF. Boundaries are
+  ours; the reference's external splitter and tokenizer are not available.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as TX
-from ..functions._util import col_or_lit
+from ..functions._util import col_or_lit, let
 
 DEFAULT_MAX_TOKENS = 1000
 DEFAULT_WINDOW_WORDS = 700
@@ -83,11 +83,8 @@ MAX_WORD = 64
 
 def _words(text) -> Column:
     """White-space separated words; a longer run counts as words of ``MAX_WORD`` characters, so that a window
-    is bounded for text without spaces too."""
-    words = F.filter(F.split(col_or_lit(text), r"(?U)\s+"), lambda x: x != "")
-    pieces = F.transform(words, lambda x: F.when(F.length(x) <= MAX_WORD, F.array(x)).otherwise(
-        F.regexp_extract_all(x, F.lit("(?s).{1,%d}" % MAX_WORD), F.lit(0))))
-    return F.when(col_or_lit(text).rlike(r"(?U)\S{%d}" % (MAX_WORD + 1)), F.flatten(pieces)).otherwise(words)
+    is bounded for text without spaces too. One pass over the text."""
+    return F.regexp_extract_all(col_or_lit(text), F.lit(r"(?U)\S{1,%d}" % MAX_WORD), F.lit(0))
 
 
 def window_chunk_count(text, n_words: int = DEFAULT_WINDOW_WORDS) -> Column:
@@ -98,14 +95,18 @@ def window_chunks(df: DataFrame, text_col: str, n_words: int = DEFAULT_WINDOW_WO
                   keys: list[str] | None = None) -> DataFrame:
     """The full chunk table ``(keys..., chunk_no, n_chunks, text, n_words)`` in window mode."""
     keys = keys or ["project", "path"]
-    w = _words(F.col(text_col))
-    base = df.select(*keys, w.alias("_w"))
-    base = base.withColumn("n_chunks", F.ceil(F.size("_w") / F.lit(n_words)).cast("int"))
-    ex = base.where(F.col("n_chunks") > 0).select(
-        *keys, "n_chunks", "_w", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk_no"))
-    sl = F.slice(F.col("_w"), F.col("chunk_no") * n_words + 1, F.lit(n_words))
-    return ex.select(*keys, "chunk_no", "n_chunks", F.array_join(sl, " ").alias("text"),
-                     F.size(sl).cast("int").alias("n_words"))
+
+    def chunks(w):
+        n = F.ceil(F.size(w) / F.lit(n_words)).cast("int")
+
+        def one(i):
+            part = F.slice(w, i * n_words + 1, F.lit(n_words))
+            return F.struct(i.alias("chunk_no"), n.alias("n_chunks"), F.array_join(part, " ").alias("text"),
+                            F.least(F.lit(n_words), F.size(w) - i * n_words).cast("int").alias("n_words"))
+
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one))
+
+    return df.select(*keys, F.explode(let(_words(F.col(text_col)), chunks)).alias("c")).select(*keys, "c.*")
 
 
 def pick_three_window(text, n_words: int = DEFAULT_WINDOW_WORDS) -> Column:
@@ -123,10 +124,52 @@ def pick_three_window(text, n_words: int = DEFAULT_WINDOW_WORDS) -> Column:
         return F.struct(chunk(F.lit(0)).alias("first"), chunk(F.floor(n / 2).cast("int")).alias("mid"),
                         chunk(n - 1).alias("last"), n.alias("n_chunks"))
 
-    return F.element_at(F.transform(F.array(_words(text)), pick), 1)
+    return let(_words(text), pick)
+
+
+# ---------------------------------------------------------------- packed mode
+
+# White space as UTF-8 bytes, one character per byte (fixed values: the Unicode property White_Space).
+WHITE_BYTES = (r"(?:[\t-\r ]|\xC2[\x85\xA0]|\xE1\x9A\x80|\xE2\x80[\x80-\x8A\xA8\xA9\xAF]|\xE2\x81\x9F|\xE3\x80\x80)")
+WHITE_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def packing_pattern(max_bytes: int) -> str:
+    """A chunk from the next word on: all that is left if it fits, else up to the last paragraph end that fits, else the last line
+    end, sentence end, word end, and last the largest whole character."""
+    some = "(?!%s).{1,%d}" % (WHITE_BYTES, max_bytes)
+    ends = [some + "+" + WHITE_BYTES + r"*+\z",
+            some + r"(?=\n[ \t\x0B-\r]*\n)",
+            some + r"(?=\n)",
+            "(?!%s).{0,%d}[.!?](?=%s)" % (WHITE_BYTES, max_bytes - 1, WHITE_BYTES),
+            some + "(?=%s)" % WHITE_BYTES,
+            some + r"(?![\x80-\xBF])"]
+    return r"(?s)(?:%s)*+(%s)" % (WHITE_BYTES, "|".join(ends))
+
+
+def packed_chunks(text, max_tokens: int = DEFAULT_MAX_TOKENS) -> Column:
+    """Chunks of at most ``max_tokens`` by ``approx_tokens`` (a token per four bytes), cut at the largest boundary that fits; JVM
+    side, one pass of one pattern over the text's bytes. No word is lost and order is kept; an empty or blank text has none."""
+    t = F.coalesce(col_or_lit(text), F.lit(""))
+    pattern = F.lit(packing_pattern(4 * max_tokens - 2))
+    plain = F.transform(F.regexp_extract_all(t, pattern, F.lit(1)), lambda c: F.rtrim(c, F.lit(WHITE_CHARS)))
+    # one character per byte, so that the bound is one of bytes
+    wide = F.transform(F.regexp_extract_all(F.decode(F.encode(t, "UTF-8"), "ISO-8859-1"), pattern, F.lit(1)),
+                       lambda c: F.rtrim(F.decode(F.encode(c, "ISO-8859-1"), "UTF-8"), F.lit(WHITE_CHARS)))
+    return F.when(F.octet_length(t) == F.char_length(t), plain).otherwise(wide)
+
+
+def pick_three_packed(text, max_tokens: int = DEFAULT_MAX_TOKENS) -> Column:
+    """``struct<first, mid, last, n_chunks>``: the first, middle (index n/2) and last packed chunk."""
+    def pick(c):
+        n = F.size(c)
+        return F.struct(F.get(c, F.lit(0)).alias("first"), F.get(c, F.floor(n / 2).cast("int")).alias("mid"),
+                        F.get(c, n - 1).alias("last"), n.alias("n_chunks"))
+
+    return let(packed_chunks(text, max_tokens), pick)
 
 
-# ---------------------------------------------------------------- packed mode (Arrow UDF)
+# ------------------------------------- packed mode with a sizer of the caller's (Arrow UDF)
 
 def approx_tokens(s: str) -> int:
     """Default sizer: a token per four bytes of UTF-8, counting two bytes for a separator. A chunk of at most
@@ -243,9 +286,12 @@ def chunk_triple(text, is_text, splitter, mode: str = "window", n_words: int = D
     t = col_or_lit(text)
     txt = col_or_lit(is_text)
     blank = TX.is_blank(t)
-    # the Arrow UDF runs as its own operator over every row: hand it null for binary and blank rows
-    picked = pick_three_window(t, n_words) if mode == "window" else \
-        packed_pick_three_udf(max_tokens, sizer)(F.when(txt & ~blank, t))
+    if mode == "window":
+        picked = pick_three_window(t, n_words)
+    elif sizer is approx_tokens:
+        picked = pick_three_packed(t, max_tokens)
+    else:  # the Arrow UDF runs as its own operator over every row: hand it null for binary and blank rows
+        picked = packed_pick_three_udf(max_tokens, sizer)(F.when(txt & ~blank, t))
     ph = F.lit(TX.BINARY_PLACEHOLDER)
 
     def build(p):

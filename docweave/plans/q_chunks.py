@@ -57,7 +57,7 @@ from (select doc_id, {_WORDS_SQL} as w from documents) a""")
 def token_chunks_packed(spark, sf):
     """Per document what packing must keep: all words in order, and no chunk over the bound in bytes."""
     d = FX.table(spark, sf, "documents")
-    ch = d.select("doc_id", CH.packed_chunks_udf(1000)(F.col("text")).alias("chunks"))
+    ch = d.select("doc_id", CH.packed_chunks("text", 1000).alias("chunks"))
     words = F.filter(F.split(F.array_join("chunks", " "), r"(?U)\s+"), lambda x: x != "")
     return ch.select("doc_id", F.sha2(F.array_join(words, " "), 256).alias("words_sha256"),
                      F.size(F.filter("chunks", lambda c: F.octet_length(c) > 4 * 1000)).cast("long").alias("n_oversize"),
@@ -75,9 +75,7 @@ select doc_id, {_pick_sql()}, cast(n as int) as n_chunks
 from (select doc_id, w, cast(ceil(len(w) / {WORDS}) as bigint) as n from (select doc_id, {_WORDS_SQL} as w from documents) a) b""")
 def pick_three(spark, sf):
     d = FX.table(spark, sf, "documents")
-    p = CH.pick_three_window(F.col("text"), WORDS)
-    return d.select("doc_id", p["first"].alias("first"), p["mid"].alias("mid"), p["last"].alias("last"),
-                    p["n_chunks"].alias("n_chunks"))
+    return d.select("doc_id", CH.pick_three_window(F.col("text"), WORDS).alias("p")).select("doc_id", "p.*")
 
 
 def _triple_sql(text: str, is_text: str, splitter: str) -> str:
@@ -104,8 +102,7 @@ def chunk_edge_cases(spark, sf):
     bench = FX.table(spark, sf, "benchmark").select(F.lit("bench").alias("kind"), F.col("item_id").alias("id"), "text")
     u = conv.unionByName(bench)
     t = CH.chunk_triple(F.col("text"), F.lit(True), F.lit("text"), mode="window", n_words=WORDS)
-    return u.select("kind", "id", t["first"].alias("first"), t["mid"].alias("mid"), t["last"].alias("last"),
-                    t["used"].alias("used"))
+    return u.select("kind", "id", t.alias("t")).select("kind", "id", "t.first", "t.mid", "t.last", "t.used")
 
 
 _HEADS2_SQL = """select doc_id, text, case doc_id % 9 when 2 then unhex('00') || encode(text) else encode(text) end as head from documents"""
@@ -125,7 +122,7 @@ def suppress_binary(spark, sf):
         .otherwise(F.encode("text", "UTF-8"))
     h = d.select("doc_id", head.alias("head"))
     t = CH.chunk_triple(CH.decode_lossy("head"), TX.is_probably_text("head"), F.lit("text"), mode="window", n_words=WORDS)
-    return h.select("doc_id", t["first"].alias("first"), t["mid"].alias("mid"), t["last"].alias("last"), t["used"].alias("used"))
+    return h.select("doc_id", t.alias("t")).select("doc_id", "t.first", "t.mid", "t.last", "t.used")
 
 
 @register("file_metrics", f"""

@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -72,3 +73,39 @@ def test_a_slow_sizer_is_asked_little():
         return len(s)
 
     assert "".join(CH.pack_text("x" * 20_000, 100, sizer)) == "x" * 20_000 and len(calls) < 200 * 20
+
+
+def test_packed_in_the_engine(spark):
+    """Every chunk fits, all words stay in order, and each cut is at the coarsest boundary that fits."""
+    rnd = random.Random(4)
+    words = ["alpha", "b", "été", "日本語", "end.", "what?", "x" * 30, "\u3000", "\x0c"]
+    texts = ["".join(rnd.choice(words) + rnd.choice([" ", " ", "  ", "\n", "\n \n", "\t"]) for _ in range(n)) for n in (0, 1, 5, 200, 3000)]
+    texts += ["QUJD" * 3000, "日本語の文章" * 900, "a\u3000b " * 2000, "   \n", "é" * 9, "z" * 98, "z" * 99, "one\n\n" + "word " * 300, None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", CH.packed_chunks("t", 25).alias("c")).collect()
+    for r in got:
+        t, c = texts[r["i"]] or "", r["c"]
+        assert all(0 < len(x.encode()) <= 98 and x == x.strip() for x in c)
+        if max(map(len, t.encode().split()), default=0) <= 90 and "日本語の" not in t:
+            assert " ".join(c).split() == t.split()
+        assert re.sub(r"\s+", "", "".join(c)) == re.sub(r"\s+", "", t)
+        at = 0
+        for x in c[:-1]:
+            at = t.index(x, at)
+            after, at = t[at + len(x):], at + len(x)
+            room, gap = (x + after).encode()[:98].decode("utf-8", "ignore")[1:], re.match(r"\s*", after).group()
+            if re.search(r"\n[ \t\x0b-\r]*\n", room):
+                assert re.search(r"\n[ \t\x0b-\r]*\n", gap)
+            elif "\n" in room:
+                assert "\n" in gap
+            elif re.search(r"[.!?]\s", room):
+                assert x[-1] in ".!?" and gap
+    assert [r["c"] for r in got if texts[r["i"]] == "z" * 98] == [["z" * 98]]
+    assert got[-2]["c"][0] == "one" and got[-1]["c"] == []
+
+
+def test_packed_picks_run_without_python(spark):
+    df = spark.createDataFrame([("a b. " * 5000,)], "t string")
+    picked = df.select(CH.chunk_triple("t", F.lit(True), F.lit("text"), mode="packed").alias("c"))
+    assert "Python" not in picked._jdf.queryExecution().executedPlan().toString()
+    r, chunks = picked.first()["c"], df.select(CH.packed_chunks("t").alias("c")).first()["c"]
+    assert (r["first"], r["mid"], r["last"], r["n_chunks"]) == (chunks[0], chunks[len(chunks) // 2], chunks[-1], len(chunks))
