@@ -14,6 +14,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,7 +33,9 @@ BLOCK_PHRASES = 1 << 18     # a trie of at most about 30 MB
 BLOCKS_A_PASS = 4
 SLICE = 2 << 20
 ROW_SYMBOLS = 1 << 17
-READ_SYMBOLS = 1 << 20
+READ_SYMBOLS = 1 << 18
+HELD_BUCKETS = 1 << 20
+SUM_PHRASES = 1 << 10      # counts of so many phrases travel together
 
 WORD, BLANK, BORDER = 0, 1, 2
 KIND = np.zeros(256, np.uint8)
@@ -173,11 +177,20 @@ def _bitmap(heavy: DataFrame, bits: int) -> np.ndarray:
 
 
 def _bucket_counts(codes: DataFrame, maps, k: int, bits: int) -> DataFrame:
+    def counted(held):
+        bucket, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(n.astype(np.int64))], ["bucket", "n"])
+
     def run(batches):
+        held = []
         for sym in _arrays(batches):
             _, h = safe(sym, maps.value, k)
-            bucket, n = np.unique(_bucket(h, bits), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n.astype(np.int64))], ["bucket", "n"])
+            held.append(_bucket(h, bits).astype(np.int32))
+            if sum(map(len, held)) >= HELD_BUCKETS:
+                yield counted(held)
+                held = []
+        if held:
+            yield counted(held)
 
     return codes.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
@@ -295,33 +308,57 @@ def advance(sym: np.ndarray, trie, max_words: int, counts: np.ndarray) -> None:
 
 
 def _tries(candidates: DataFrame, block_phrases: int, max_words: int) -> DataFrame:
-    """``block, alphabet, base, check`` and, per phrase, ``keys, states``."""
+    """``block, alphabet, base, check, states, keys``: a trie, and the accepting state of each phrase of the block."""
     def lay(key, table):
-        keys = table.column("key").combine_chunks()
-        raw = keys.to_pylist()
+        raw = table.column("key").combine_chunks().to_pylist()
         rows = np.zeros((len(raw), max_words), np.uint64)
         sizes = np.array([len(x) // 8 for x in raw])
         rows[np.arange(max_words) < sizes[:, None]] = np.frombuffer(b"".join(raw), "<u8")
         alphabet, base, check, state = build_trie(rows)
-        return pa.table({"block": [key[0].as_py()], "alphabet": pa.array([alphabet.tobytes()], pa.binary()), "base": pa.array([base.tobytes()], pa.binary()),
-                         "check": pa.array([check.tobytes()], pa.binary()), "keys": pa.array([raw], pa.list_(pa.binary())),
-                         "states": pa.array([state.tolist()], pa.list_(pa.int64()))})
+        packed = [pa.array([x.tobytes()], pa.binary()) for x in (alphabet, base, check, state.astype(np.int32))]
+        return pa.table([pa.array([key[0].as_py()]), *packed, pa.array([raw], pa.list_(pa.binary()))],
+                        names=["block", "alphabet", "base", "check", "states", "keys"])
 
     blocks = numbered(cut(candidates, "phrase-candidates"), "key").select("key", F.floor(F.col("rank") / block_phrases).cast("long").alias("block"))
-    return cut(blocks.groupBy("block").applyInArrow(lay, "block long, alphabet binary, base binary, check binary, keys array<binary>, states array<long>"), "phrase-tries")
+    return cut(blocks.groupBy("block").applyInArrow(lay, "block long, alphabet binary, base binary, check binary, states binary, keys array<binary>"), "phrase-tries")
 
 
-def _states(codes: DataFrame, tries, max_words: int) -> DataFrame:
+def _state_sums(codes: DataFrame, tries, max_words: int) -> DataFrame:
+    """``block, place, a``: the count of the phrase at each place of a block. Tasks send arrays of ``SUM_PHRASES`` counts."""
     def run(batches):
-        counts = [np.zeros(len(check), np.int64) for _, _, _, check in tries.value]
+        counts = [np.zeros(len(check), np.int64) for _, _, _, check, _ in tries.value]
         for sym in _arrays(batches):
-            for (_, *trie), n in zip(tries.value, counts):
-                advance(sym, trie, max_words, n)
-        for (block, *_), n in zip(tries.value, counts):
-            full = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), block)), pa.array(full), pa.array(n[full])], ["block", "state", "n"])
-
-    return codes.mapInArrow(run, "block long, state long, n long").groupBy("block", "state").agg(F.sum("n").alias("a"))
+            for (_, alphabet, base, check, _), n in zip(tries.value, counts):
+                advance(sym, (alphabet, base, check), max_words, n)
+        for (block, *_, states), n in zip(tries.value, counts):
+            n = n[states]
+            parts = [(i, n[i:i + SUM_PHRASES]) for i in range(0, len(n), SUM_PHRASES)]
+            parts = [(i, zlib.compress(x.tobytes(), 1)) for i, x in parts if x.any()]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(parts), pa.int64()), pa.array([i for i, _ in parts], pa.int64()),
+                                              pa.array([x for _, x in parts], pa.binary())], ["block", "first", "counts"])
+
+    def add_all(batches):
+        """Rows sorted by block and first: the arrays of one stretch follow each other."""
+        now, total = None, None
+        for b in batches:
+            for block, first, x in zip(*(c.to_pylist() for c in b.columns)):
+                n = np.frombuffer(zlib.decompress(x), np.int64)
+                if now == (block, first):
+                    total = total + n
+                    continue
+                if now is not None:
+                    yield summed(now, total)
+                now, total = (block, first), n
+        if now is not None:
+            yield summed(now, total)
+
+    def summed(now, total):
+        return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(total), pa.int64()), pa.array(now[1] + np.arange(len(total))), pa.array(total)],
+                                          ["block", "place", "a"])
+
+    n = partitions(codes.sparkSession)
+    return codes.mapInArrow(run, "block long, first long, counts binary").repartition(n, "block", "first") \
+        .sortWithinPartitions("block", "first").mapInArrow(add_all, "block long, place long, a long")
 
 
 def exact_counts(spark: SparkSession, codes: DataFrame, candidates: DataFrame, max_words: int, block_phrases: int) -> DataFrame:
@@ -331,10 +368,10 @@ def exact_counts(spark: SparkSession, codes: DataFrame, candidates: DataFrame, m
     found = spark.createDataFrame([], "key binary, a long")
     for i in range(0, len(ids), BLOCKS_A_PASS):
         now = tries.where(F.col("block").isin(ids[i:i + BLOCKS_A_PASS]))
-        shared = spark.sparkContext.broadcast([(r.block, np.frombuffer(r.alphabet, np.uint64), np.frombuffer(r.base, np.int32), np.frombuffer(r.check, np.int32))
-                                               for r in now.select("block", "alphabet", "base", "check").toLocalIterator()])
-        states = now.select("block", F.explode(F.arrays_zip("keys", "states")).alias("x")).select("block", F.col("x.keys").alias("key"), F.col("x.states").alias("state"))
-        found = found.unionByName(cut(states.join(_states(codes, shared, max_words), ["block", "state"]).select("key", "a"), "phrase-counts"))
+        shared = spark.sparkContext.broadcast([(r.block, np.frombuffer(r.alphabet, np.uint64), *(np.frombuffer(x, np.int32) for x in (r.base, r.check, r.states)))
+                                               for r in now.select("block", "alphabet", "base", "check", "states").toLocalIterator()])
+        places = now.select("block", F.posexplode("keys").alias("place", "key"))
+        found = found.unionByName(cut(places.join(_state_sums(codes, shared, max_words), ["block", "place"]).select("key", "a"), "phrase-counts"))
         shared.unpersist()
     return found
 
