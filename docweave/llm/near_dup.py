@@ -30,6 +30,7 @@ from .shingles import shingles
 
 SLOTS, BAND = 160, 5
 SIZE, ALIKE = 5, 0.8
+TILE_ROWS, TILE_BYTES = 512, 4 << 20
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -101,36 +102,103 @@ def band_members(vertices: DataFrame) -> DataFrame:
     return rows.join(shared, "key")
 
 
-def _cross_pairs(batches):
-    """Rows sorted by key and n: pairs of different components under one key whose sizes allow the similarity
-    and whose slots of the sets agree often enough (six standard deviations below it; a byte stands for a slot).
-
-    Of a key only the rows that a later, larger one can still pair with are held."""
-    key, sizes, labels, ids, sigs = None, None, None, None, None
-    least = SLOTS * ALIKE - 6 * (SLOTS * ALIKE * (1 - ALIKE)) ** 0.5
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """v, set: the 48 upper bits of each distinct shingle's hash, ascending."""
+    def run(batches):
+        for b in slices(batches):
+            doc, h, _ = shingles(b.column(1), SIZE)
+            body = np.ascontiguousarray((h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b.num_rows))]) * 6
+            sets = pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(body)])
+            yield pa.RecordBatch.from_arrays([b.column(0), sets.cast(pa.binary())], ["v", "set"])
+
+    return texts.select("v", "text").mapInArrow(run, "v binary, set binary")
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
+class _Tile:
+    """Rows of one key and pair of tiles, by size: each new row meets the rows before it that are of another component (and of the
+    other tile), whose sizes allow the similarity and whose slots agree often enough (six standard deviations below it; a byte
+    stands for a slot). What is left is compared set by set. A link joins the two components at once, so only
+    links that join something leave the task, and rows of one component never meet again."""
+
+    LEAST = SLOTS * ALIKE - 6 * (SLOTS * ALIKE * (1 - ALIKE)) ** 0.5
+
+    def __init__(self, within: bool):
+        self.within = within
+        self.n, self.tile, self.home = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.sig = np.zeros((0, SLOTS), np.uint8)
+        self.ids, self.sets, self.numbers = [], [], {}
+
+    def add(self, ids: list, n: np.ndarray, labels: list, tile: np.ndarray, sig: np.ndarray, packed: list):
+        old = len(self.n)
+        home = np.array([self.numbers.setdefault(x, len(self.numbers)) for x in labels], np.int64)
+        self.n, self.tile = np.concatenate([self.n, n]), np.concatenate([self.tile, tile])
+        self.home, self.sig = np.concatenate([self.home, home]), np.concatenate([self.sig, sig])
+        self.ids += ids
+        self.sets += packed
+        for i in range(old, len(self.n)):
+            start = int(np.searchsorted(self.n, ALIKE * self.n[i]))
+            near = self.home[start:i] != self.home[i]
+            if not self.within:
+                near &= self.tile[start:i] != self.tile[i]
+            other = start + np.flatnonzero(near)
+            other = other[(self.sig[other] == self.sig[i]).sum(1) >= self.LEAST] if len(other) else other
+            for j in self._alike(i, other) if len(other) else ():
+                if self.home[j] != self.home[i]:
+                    yield min(self.ids[i], self.ids[j]), max(self.ids[i], self.ids[j])
+                    gone, stays = self.home[j], self.home[i]
+                    self.home[self.home == gone] = stays
+                    self.numbers = {x: stays if k == gone else k for x, k in self.numbers.items()}
+
+    def _alike(self, i: int, other: np.ndarray) -> list[int]:
+        mine = _unpacked(self.sets[i])
+        sizes = self.n[other]
+        theirs = _unpacked(b"".join(self.sets[j] for j in other))
+        hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+        common = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+        return other[common >= ALIKE * (self.n[i] + sizes - common)].tolist()
+
+
+def _tile_links(batches):
+    """Rows sorted by key, pair of tiles and size to links between different components."""
+    now, tile = None, None
     for b in batches:
-        keys = b.column(0).to_numpy()
-        if not len(keys):
+        if not b.num_rows:
             continue
-        ns = b.column(2).to_numpy()
-        vs, ls = np.array(b.column(1).to_pylist(), object), np.array(b.column(3).to_pylist(), object)
-        ss = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(len(keys), SLOTS)
-        borders = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        left, right = [], []
+        key = np.stack([b.column(i).to_numpy() for i in range(3)], 1)
+        borders = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+        n, own = b.column(3).to_numpy(), b.column(4).to_numpy()
+        ids, labels, sigs, sets = (b.column(i).to_pylist() for i in (5, 6, 7, 8))
+        out = []
         for x, y in zip(borders, borders[1:]):
-            if key != keys[x]:
-                key, sizes, labels, ids, sigs = keys[x], ns[x:x], ls[x:x], vs[x:x], ss[x:x]
-            old = len(sizes)
-            sizes, labels, ids, sigs = (np.concatenate(p) for p in ((sizes, ns[x:y]), (labels, ls[x:y]), (ids, vs[x:y]), (sigs, ss[x:y])))
-            for i in range(old, len(sizes)):
-                start = int(np.searchsorted(sizes, ALIKE * sizes[i]))
-                other = start + np.flatnonzero(labels[start:i] != labels[i])
-                other = other[(sigs[other] == sigs[i]).sum(1) >= least] if len(other) else other
-                left += ids[other].tolist()
-                right += [ids[i]] * len(other)
-            keep = int(np.searchsorted(sizes, ALIKE * sizes[-1]))
-            sizes, labels, ids, sigs = sizes[keep:], labels[keep:], ids[keep:], sigs[keep:]
-        yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in zip(left, right)], pa.binary()), pa.array([max(p) for p in zip(left, right)], pa.binary())], ["a", "b"])
+            if now is None or tuple(key[x]) != now:
+                now = tuple(key[x])
+                tile = _Tile(now[1] == now[2])
+            sig = np.frombuffer(b"".join(sigs[x:y]), np.uint8).reshape(y - x, SLOTS)
+            out += tile.add(ids[x:y], n[x:y], labels[x:y], own[x:y], sig, sets[x:y])
+        a, c = zip(*out) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], ["a", "b"])
+
+
+def cross_links(named: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: links between different components that share a band key, as many as join them. ``named``: key, v, n, label, sig.
+
+    A key's rows are dealt at random into tiles of about ``TILE_ROWS`` rows and ``TILE_BYTES`` of sets; every pair of a key's tiles is
+    one group, so a hot key spreads over tasks and each holds two tiles at most."""
+    tiles = F.ceil(F.greatest(F.count(F.lit(1)) / TILE_ROWS, F.sum("n") * 6 / TILE_BYTES)).cast("int")
+    sized = named.groupBy("key").agg(tiles.alias("tiles"))
+    rows = named.join(sized, "key").join(shingle_sets(texts.join(named.select("v").distinct(), "v", "left_semi")), "v")
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("v"), F.col("tiles")).cast("int"))
+    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    pair = spread.select("key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "n", "tile", "v", "label", "sig", "set")
+    return pair.repartition(partitions(named.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n") \
+        .mapInArrow(_tile_links, "a binary, b binary").distinct()
 
 
 def text_pairs(edges: DataFrame, texts: DataFrame) -> DataFrame:
@@ -205,9 +273,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     named = members.join(labels, "v", "left").select("key", "v", F.coalesce("label", "v").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     named = named.join(mixed, "key", "left_semi").join(vertices.select("v", "n", "sig"), "v").select("key", "v", "n", "label", "sig")
-    pairs = named.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "n") \
-        .mapInArrow(_cross_pairs, "a binary, b binary").distinct()
-    late = cut(text_pairs(pairs, texts), "late-links")
+    late = cut(cross_links(cut(named, "mixed"), texts), "late-links")
     if not late.isEmpty():
         labels = components(linked.unionByName(late))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_tk")).alias("first")

@@ -4,10 +4,13 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from docweave.llm import near_dup
 from docweave.llm.near_dup import components, keep_one, op8, prob_minhash
 from docweave.llm.queries import QUERIES
 from docweave.llm.shingles import shingles
 
+near_dup_links = near_dup.cross_links
+
 
 def words_of(t):
     out, word = [], b""
@@ -102,6 +105,35 @@ def test_second_round_compares_sets(frame):
     assert sorted(map(tuple, op8(frame(rows)).collect()), key=str) == brute(rows)
 
 
+def seven_tenths(n):
+    """n texts that share 80 percent of their words: every pair of them is alike by about 0.7, none is linked."""
+    rnd, base = random.Random(3), [f"c{i}" for i in range(400)]
+    rows = []
+    for k in range(n):
+        w = list(base)
+        for at in rnd.sample(range(0, 400, 5), 15):
+            w[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+def test_pairs_that_are_not_alike_never_become_rows(frame, monkeypatch):
+    counts = {}
+    for n in (150, 300):
+        seen = []
+        monkeypatch.setattr(near_dup, "cross_links", lambda named, texts, real=near_dup_links: seen.append(real(named, texts)) or seen[-1])
+        rows = seven_tenths(n) + [(1000 + i, t + " tail") for i, t in seven_tenths(3)]
+        assert sorted(map(tuple, op8(frame(rows)).collect()), key=str) == brute(rows)
+        counts[n] = seen[0].count()
+    assert counts[300] <= 2 * counts[150] + 10
+
+
+def test_tiles_lose_no_link(frame, monkeypatch):
+    monkeypatch.setattr(near_dup, "TILE_ROWS", 4)
+    rows = seven_tenths(60) + [(100 + i, " ".join(t.split()[:-3] + ["z"])) for i, t in seven_tenths(40)]
+    assert sorted(map(tuple, op8(frame(rows)).collect()), key=str) == brute(rows)
+
+
 def test_one_stays(frame, odd_rows):
     docs = frame(odd_rows)
     kept = keep_one(docs)
