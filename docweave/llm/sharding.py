@@ -1,8 +1,8 @@
 """Histogram sort: balanced, ordered shards from exact counts below iteratively refined key boundaries.
 
 Only a narrow row per document (id, size, checksum, 64-bit sort key) is sorted. The key's upper half
-comes from the text and its lower half from the id, so equal texts are neighbours and a large group of
-equal texts can still be cut. Each round, every partition counts bytes and rows per cell between
+comes from the text, the next quarter from the id and the last from the row's number in the written table of rows, so
+equal texts are neighbours, and a large group of equal texts, of equal ids or of repeated rows can still be cut. Each round, every partition counts bytes and rows per cell between
 boundaries; the driver adds the counts up and subdivides only cells that hold a splitter not yet
 within tolerance, or too many rows. When all splitters are good the rows are exchanged once, by cell;
 a row's slot is the count of rows before its cell plus its place in the cell.
@@ -23,9 +23,11 @@ LOW, HIGH = -(1 << 63), 1 << 63
 
 
 def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One narrow row per document: id, size, text_crc32, key. A null text is empty; null ids are one key."""
+    """One narrow row per document: id, size, text_crc32, key. A null text is empty. To be written before it is used: the
+    key holds the row's number."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.xxhash64(text).bitwiseAND(F.lit(-1 << 32)).bitwiseOR(F.xxhash64(F.col(id_col)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    own = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(0xFFFF))
+    key = F.xxhash64(text).bitwiseAND(F.lit(-1 << 32)).bitwiseOR(F.xxhash64(F.col(id_col)).bitwiseAND(F.lit(0xFFFF0000))).bitwiseOR(own)
     return docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
                        F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("key"))
 
@@ -82,8 +84,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, tolerance: float = 0.00
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size, text_crc32, shard, slot: shards of nearly equal bytes, slots without gaps from 0.
 
-    Extra columns are not read. Repeated rows are neighbours, each with a slot of its own. An empty
-    table gives no rows."""
+    Extra columns are not read. Repeated rows and null ids are rows like any other, each with a slot of its own,
+    and fall into several shards where they are many. An empty table gives no rows."""
     rows = cut(shard_rows(docs, id_col, text_col), "shard-rows")
     edges, number, cuts = find_splitters(rows, n_shards, tolerance, cell_rows)
     inner = np.array(edges[1:-1], np.int64)

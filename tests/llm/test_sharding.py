@@ -1,5 +1,6 @@
 import zlib
 
+import pytest
 
 from docweave.llm.queries import QUERIES
 from docweave.llm.sharding import find_splitters, op7, shard_documents, shard_rows
@@ -30,6 +31,22 @@ def test_a_third_of_all_rows_alike(frame):
     assert len({r.shard for r in got if r.text_crc32 == zlib.crc32(b"same text")}) > 1
 
 
+@pytest.mark.parametrize("doc_id", [77, None])
+def test_repeated_rows_and_null_ids_are_dealt_out(frame, doc_id):
+    rows = [(i, f"text {i} " * 20) for i in range(2000)] + [(doc_id, "one and the same row " * 9)] * 1000
+    got = shard_documents(frame(rows)).collect()
+    total, by = sum(r["size"] for r in got), {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r)
+    assert len(got) == 3000 and sorted(by) == list(range(24))
+    for part in by.values():
+        assert sorted(r.slot for r in part) == list(range(len(part)))
+        assert abs(sum(r["size"] for r in part) - total / 24) <= 2 * max(r["size"] for r in got)
+    if doc_id is None:
+        nulls = [(None, f"text {i}") for i in range(3000)]
+        assert len({r.shard for r in shard_documents(frame(nulls)).collect()}) == 24
+
+
 def test_equal_texts_are_neighbours(frame):
     rows = [(i, f"text {i % 500}") for i in range(1500)]
     got = shard_documents(frame(rows), 4).collect()
