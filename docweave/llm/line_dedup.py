@@ -163,7 +163,7 @@ def kept_text(text: str | None, keep: bytes | None) -> tuple[str, int, int]:
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, the text without its dropped lines, plus _n_lines, _n_dropped and
     _kept_sha256. A null text becomes empty."""
-    maps = keep_bitmaps(docs, min_chars, min_docs, id_col, text_col).withColumnsRenamed({"id": "_id", "_tk": "_mk"}).drop("n_lines")
+    maps = keep_bitmaps(docs, min_chars, min_docs, id_col, text_col).withColumnsRenamed({"id": "_id", "_tk": "_mk", "keep": "_keep"}).drop("n_lines")
     keyed = docs.withColumn("_tk", text_key(text_col))
     joined = keyed.join(maps.hint("shuffle_hash"), keyed[id_col].eqNullSafe(maps["_id"]) & (keyed["_tk"] == maps["_mk"]), "left") \
         .drop("_id", "_mk", "_tk")

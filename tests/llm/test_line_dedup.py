@@ -53,6 +53,14 @@ def test_bitmaps_and_columns(frame, odd_rows):
     assert out.columns == [*docs.columns, "_n_lines", "_n_dropped", "_kept_sha256"] and out.count() == len(odd_rows)
 
 
+def test_clashing_columns(spark):
+    line = "a line that is long enough to be shared"
+    docs = spark.createDataFrame([(i, line, True, [1], "x", 2) for i in range(4)],
+                                 "doc_id long, text string, keep boolean, places array<int>, label string, n_lines int")
+    out = dedup_lines(docs)
+    assert sorted((r.doc_id, r.text, r.keep, r._n_dropped) for r in out.collect()) == [(0, "", True, 1), (1, "", True, 1), (2, "", True, 1), (3, line, True, 0)]
+
+
 def test_empty(frame):
     assert op4(frame([])).collect() == []
 
