@@ -82,12 +82,11 @@ def rules() -> dict[str, Column]:
     }
 
 
-def cascade_order(measured: DataFrame, failed: dict[str, Column], rows: int = SAMPLE_ROWS, seconds: dict[str, float] | None = None) -> list[str]:
-    """Rule names by rejections per cost on a sample of about ``rows`` rows, costs as timed or as given.
+def cascade_order(sample: DataFrame, failed: dict[str, Column], seconds: dict[str, float] | None = None) -> list[str]:
+    """Rule names by rejections per cost on measured rows of a sample, costs as timed or as given.
 
     An empty sample keeps the order of the rules."""
-    total = measured.select("id").count()
-    sample = measured.sample(min(1.0, rows / max(total, 1)), seed=7).persist()
+    sample = sample.persist()
     try:
         if not sample.count():
             return list(failed)
@@ -111,11 +110,15 @@ def verdict(order: list[str], failed: dict[str, Column]) -> Column:
     return out
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seconds: dict[str, float] | None = None) -> DataFrame:
-    """id, the measures, base_failed and rejected_by, row for row."""
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seconds: dict[str, float] | None = None,
+          sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """id, the measures, base_failed and rejected_by, row for row. Null and empty texts have no words and fail the base; rows
+    with equal ids are judged each by itself; other columns are not read; an empty table gives no rows. About ``sample_rows`` rows
+    are measured beforehand to order the rules."""
     measured = measure(docs, id_col, text_col)
     failed = rules()
-    order = cascade_order(measured, failed, seconds=seconds)
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    order = cascade_order(measure(docs.sample(share, seed=7), id_col, text_col), failed, seconds)
     return measured.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
                            verdict(order, failed).alias("rejected_by"))
 
