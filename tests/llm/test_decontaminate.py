@@ -1,9 +1,12 @@
 import random
+import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from docweave.llm import decontaminate
-from docweave.llm.decontaminate import EDIT_RATE, MIN_CHARS, Q, keep_unleaked, leaks, op9
+from docweave.llm.decontaminate import EDIT_RATE, Q, Items, keep_unleaked, leaks, op9
 from docweave.llm.queries import QUERIES
 
 
@@ -35,7 +38,11 @@ def brute(rows, items):
         found = []
         for k, x in items:
             n = len(normal(x))
-            if n >= MIN_CHARS:
+            if n < Q:
+                short = normal(x).strip()
+                if short and re.search(rb"(?<![0-9A-Za-z\x80-\xff])" + re.escape(short) + rb"(?![0-9A-Za-z\x80-\xff])", normal(t)):
+                    found.append((k, 0))
+            else:
                 d = distance(normal(x), normal(t))
                 if d <= min(int(n * EDIT_RATE), (n - Q) // Q):
                     found.append((k, d))
@@ -76,9 +83,47 @@ def test_brute_force(frame, bench, seed):
     assert sorted(map(tuple, op9(frame(rows), bench(items)).collect()), key=str) == want
 
 
+def test_short_items(frame, bench):
+    items = [(1, "short benchmark item"), (2, "Q: 42"), (3, "short"), (4, "  a\n"), (5, "née"), (6, "exactly8"), (7, " \t"), (8, "."), (9, "short")]
+    rows = [(1, "see this short benchmark item here"), (2, "q:  42"), (3, "a shortcut"), (4, "ashort"), (5, "(short)"), (6, "xexactly8y"), (7, "née"), (8, "renée née"),
+            (9, "short"), (10, "the end."), (11, "sho"), (12, "rt"), (13, None), (14, "short benchmark xtem")]
+    assert sorted(map(tuple, op9(frame(rows, 1), bench(items)).collect()), key=str) == brute(rows, items)
+
+
+def test_windows_lose_nothing(frame, bench, monkeypatch):
+    rnd = random.Random(9)
+    items = [(k, "".join(rnd.choice("abcdef gh") for _ in range(60))) for k in range(6)]
+    rows = []
+    for i in range(4):
+        t = "".join(rnd.choice("abcdefgh ") for _ in range(3000))
+        for k, x in items[i:]:
+            at = rnd.randrange(len(t))
+            t = t[:at] + x[:30] + "z" + x[31:] + t[at:]
+        rows.append((i, t))
+    want = brute(rows, items)
+    assert sum(r[1] for r in want) > 12
+    monkeypatch.setattr(decontaminate, "WINDOW", 256)
+    monkeypatch.setattr(decontaminate, "HITS", 500)
+    got = Items([k for k, _ in items], [x for _, x in items]).matches(pa.array([t for _, t in rows]))
+    assert sorted(zip(got[0].tolist(), got[1].tolist(), got[2].tolist())) == sorted((i, k, d) for i, _, ks, ds in want for k, d in zip(ks, ds))
+
+
+def test_templated_items_and_a_long_text_in_bounded_memory():
+    rnd = random.Random(2)
+    head = "which of the following statements about the topic is true and why does it hold in general: "
+    items = Items(list(range(100)), [head + "".join(rnd.choice("abcdefghij ") for _ in range(120)) for _ in range(100)])
+    text = " ".join(head + "".join(rnd.choice("klmnop ") for _ in range(40)) for _ in range(600))
+    tracemalloc.start()
+    got = items.matches(pa.array([text + items.chars[17].tobytes().decode(), "nothing"]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x.tolist() for x in got] == [[0], [17], [0]] and len(text) > 75_000 and peak < 500 << 20
+
+
 def test_blocks_of_items(frame, bench, monkeypatch):
     rows, items = cases(3)
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 150)
+    monkeypatch.setattr(decontaminate, "BLOCKS_A_PASS", 3)
     assert sorted(map(tuple, op9(frame(rows), bench(items)).collect()), key=str) == brute(rows, items)
 
 
