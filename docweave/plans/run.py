@@ -5,7 +5,8 @@
       -> filters, context, change plan: narrow key join with the previous state  [written tables]
       -> dirty rows only: fingerprint + three chunks + project context -> prompts
       -> enrichment, bounded concurrency, resumable                          [answers table, append]
-      -> parse + clean -> records; reused rows carried forward -> new state [state table]
+      -> parse + clean -> records -> the state's next generation: changed records and dropped keys only
+                                                                             [bucketed state table]
       -> run summary
 
 Every cut point is a table written under the output folder (shared storage), so a lost executor
@@ -31,14 +32,14 @@ from ..operators import metrics as M
 from ..operators import prompt as PR
 from ..operators import state as ST
 from ..sources.corpus import fingerprint
-from ..sources.state_io import nested_trees_from_inventory, read_state_trees, rejected_records, write_state
+from ..sources import state_table as TB
+from ..sources.state_io import nested_trees_from_inventory, read_state_trees, rejected_records
 
 KEY = ["project", "path"]
 METRIC_COLUMNS = [*KEY, "filesize", "filetype", "mimetype", "splitter_used", "chunk1_bytes", "chunk2_bytes", "chunk3_bytes"]
 ANSWER_KEY = ["project", "path", "content_hash", "prompt_hash"]
 BROADCAST_BYTES = 64 << 20   # key or context tables of at most this much text are broadcast
 MAX_WAVES = 64               # enrichment steps of a run, whatever its size
-ROWS_PER_STATE_FILE = 1_000_000
 
 
 def scan_inventory(corpus: DataFrame) -> DataFrame:
@@ -280,17 +281,24 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
             "doc", F.when((F.col("doc.description") == "") & F.col("prev_doc").isNotNull(), F.col("prev_doc"))
             .otherwise(F.col("doc"))).drop("prev_doc")
     reused = ST.carry_forward(plan, prev)
-    new_state = ST.replace_state(reused, records)
-    if partial:
-        new_state = ST.as_state(prev).join(plan.select(*KEY), KEY, "left_anti").unionByName(new_state)
-    # a fresh folder per attempt: a resumed run may be reading the current state from its own
-    # earlier attempt, which must not be overwritten under it; the pointer swap makes it current
-    state_path = f"{base}/state/{run_id}-{uuid.uuid4().hex[:8]}"
-    write_state(new_state, state_path)
-    # swap: append a new pointer (never delete the old one first), named so the newest sorts last
-    pointer = f"{base}/state/_pointers/{int(_time.time() * 1e6):020d}-{run_id}"
-    spark.createDataFrame([(state_path.rsplit("/", 1)[1],)], "state string").coalesce(1).write.text(pointer)
-    state_out = spark.read.parquet(state_path)
+    version = getattr(state, "state_version", None)
+    version = version if isinstance(version, TB.Version) else None
+    if version is not None and version.out_dir == base and not version.full:
+        # the state that is being replaced stands in this folder: only what differs from it is written
+        changed = ST.as_state(records)
+        if nested is not None:  # reused records that came with a nested state are new to this one
+            changed = changed.unionByName(reused.join(ST.rebase_state(nested).select(*KEY).distinct(), KEY, "left_semi"))
+        kept = plan.where(F.col("action") == "reuse").select(*KEY).unionByName(records.select(*KEY))
+        gone = state.select(*KEY).where(F.lit(False)) if partial else state.select(*KEY).join(kept, KEY, "left_anti")
+        written = TB.write_changes(spark, version, changed, gone, run_id)
+    else:
+        new_state = ST.replace_state(reused, records)
+        if partial:
+            new_state = ST.as_state(prev).join(plan.select(*KEY), KEY, "left_anti").unionByName(new_state)
+        written = TB.write_base(spark, new_state, base, run_id, plan.count() + (prev.count() if partial else 0))
+    TB.publish(spark, written, run_id)
+    state_out = TB.read_version(spark, written)
+    TB.drop_other_tables(spark, [written] if version is None else [written, version])
     lap("state")
 
     # summary
@@ -298,20 +306,10 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
     summary = M.run_summary(plan, prev, stale, nested=nested if isinstance(nested, DataFrame) else None,
                             new_state=state_out, unreadable=unreadable, rejected=rejected)
     metrics = prompts.select(*METRIC_COLUMNS).join(answers.select(*KEY, "elapsed_ms", "attempts"), KEY, "left")
-    return RunResult(run_id, plan, answers, state_out, summary, state_path, metrics)
+    return RunResult(run_id, plan, answers, state_out, summary, written.location, metrics)
 
 
 def read_current_state(spark: SparkSession, out_dir: str) -> DataFrame | None:
     """The state written by the latest completed run (newest complete pointer), or None."""
-    base = out_dir.rstrip("/")
-    jvm = spark.sparkContext._jvm
-    d = jvm.org.apache.hadoop.fs.Path(f"{base}/state/_pointers")
-    fs = d.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(d):
-        return None
-    names = sorted(st.getPath().getName() for st in fs.listStatus(d) if st.isDirectory())
-    for name in reversed(names):
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/state/_pointers/{name}/_SUCCESS")):
-            folder = spark.read.text(f"{base}/state/_pointers/{name}").first()[0]
-            return spark.read.parquet(f"{base}/state/{folder}")
-    return None
+    version = TB.current_version(spark, out_dir)
+    return None if version is None else TB.read_version(spark, version)
