@@ -4,6 +4,7 @@ unique words of a batch and the rule for scratch tables."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -153,10 +154,10 @@ class PieceCache:
         into (values, sizes)."""
         if len(self.at) > self.limit:
             self.clear()
-        if new := [p for p in {p for part in parts for p in part} if p not in self.at]:
+        if new := list(set(chain.from_iterable(parts)).difference(self.at)):
             self.add(new, *encode(new))
         n_pieces = np.fromiter(map(len, parts), np.int64, len(parts))
-        piece = np.fromiter((self.at[p] for part in parts for p in part), np.int64, int(n_pieces.sum()))
+        piece = np.fromiter(map(self.at.__getitem__, chain.from_iterable(parts)), np.int64, int(n_pieces.sum()))
         sizes = self.size[piece]
         total = np.concatenate([[0], np.cumsum(sizes)])
         border = np.concatenate([[0], np.cumsum(n_pieces)])

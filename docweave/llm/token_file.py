@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ MAX_BITS = 18
 EVERY = 512
 BLOCK_SYMBOLS = 1 << 20
 MAGIC = b"HUF1"
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 SLICE = 8 << 20
 
 # fixed value: the pattern by which byte-level BPE splits text
@@ -65,10 +66,11 @@ class ByteBpe:
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pieces: the library's model on their byte letters, as its first steps leave a piece whole."""
-        model, letters = self.tokenizer.model, self.letters
-        values = [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))] for p in pieces]
+        tokenize, letters, blank = self.tokenizer.model.tokenize, self.letters, self.letters[32]
+        values = [[t.id for t in tokenize(blank + p[1:] if p.isascii() and p[0] == " " and p[1:].isalpha() else
+                                          p.encode().decode("latin-1").translate(letters))] for p in pieces]
         sizes = np.fromiter(map(len, values), np.int64, len(values))
-        return np.fromiter((i for v in values for i in v), np.uint32, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(values), np.uint32, int(sizes.sum())), sizes
 
     @staticmethod
     def pieces(part: str) -> list[str]:
@@ -90,7 +92,8 @@ class ByteBpe:
         words, index, counts = unique_words(pc.if_else(odd, "", texts))
         first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
         starts = {}
-        parts = [self.pieces(" " + w) for w in words]
+        plain = pc.utf8_is_alpha(pa.array(words, pa.large_string())).to_pylist()
+        parts = [[" " + w] if whole else self.pieces(" " + w) for w, whole in zip(words, plain)]
         index = index.astype(np.int64)
         for at in first.tolist():
             w = words[index[at]]
