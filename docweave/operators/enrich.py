@@ -3,22 +3,24 @@
 Model calls are not repeatable and cost money, so:
 
 * only non-reused rows reach this step (the caller filters on the change plan);
-* concurrency is the number of partitions (``repartition(max_concurrency)``), one call at a time
-  per task;
+* calls wait for the network, not for a core: each task keeps a pool of threads, and all pools together hold at most
+  ``max_concurrency`` calls, whatever the number of cores; a task's calls start no faster than its share of ``rate``;
 * a per-row failure gives an ``error`` value, never a failed task;
 * the run writes the answers table (append) keyed by path, content hash and prompt hash, and a
-  rerun anti-joins on it, so a lost executor loses at most its in-flight rows.
+  rerun anti-joins on it; a finished task's answers stay, so partitions are what is lost or resumed.
 """
 
 from __future__ import annotations
 
 import json
 import random
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answer import clean_description, parse_answer
@@ -34,11 +36,25 @@ ANSWER_SCHEMA = ("project string, path string, content_hash string, prompt_hash
                  "attempts int, elapsed_ms long, backoff_ms long, error string, asked_at double")
 
 
+ANSWER_TYPES = {"project": pa.string(), "path": pa.string(), "content_hash": pa.string(), "prompt_hash": pa.string(), "answer": pa.string(),
+                "attempts": pa.int32(), "elapsed_ms": pa.int64(), "backoff_ms": pa.int64(), "error": pa.string(), "asked_at": pa.float64()}
+UNIT_ROWS = 1_000   # prompts of a partition, which is what a failure loses
+OUT_ROWS = 256
+
+
 def backoff_ms(attempt: int) -> int:
     """Base wait before attempt ``attempt + 1`` (without jitter): min(300 * 2^(attempt-1), 8000)."""
     return min(BACKOFF_BASE_MS * (2 ** min(attempt - 1, 16)), BACKOFF_CAP_MS)
 
 
+def backoff_total_ms(attempts) -> Column:
+    """Base waits of a call that took so many attempts, added up: the schedule as an expression."""
+    a = F.greatest(F.col(attempts) if isinstance(attempts, str) else attempts, F.lit(1)).cast("int")
+    waits = F.transform(F.sequence(F.lit(0), a - 1), lambda k: F.when(k > 0, F.least(F.lit(BACKOFF_BASE_MS) * F.pow(F.lit(2.0), k - 1), F.lit(BACKOFF_CAP_MS)))
+                        .otherwise(0.0).cast("long"))
+    return F.aggregate(waits, F.lit(0).cast("long"), lambda total, w: total + w)
+
+
 def call_with_retry(call: Callable[[], str], max_attempts: int = MAX_ATTEMPTS,
                     sleep: Callable[[float], None] = time.sleep,
                     jitter: Callable[[], float] = lambda: random.uniform(0, JITTER_MS)) -> tuple[str, int, int, str | None]:
@@ -83,23 +99,6 @@ class DeterministicClient:
                            "emojiThatExpressesThisFilesPersonality": "🗂"}, ensure_ascii=False, separators=(",", ":"))
 
 
-class FlakyClient:
-    """Test describer that fails the first ``size % 7`` calls for a file, then answers."""
-
-    def __init__(self, inner: Callable[[dict], str] | None = None):
-        self.inner = inner or DeterministicClient()
-        self.calls: dict[str, int] = {}
-
-    def __call__(self, request: dict) -> str:
-        f = request["fields"]
-        key = f["project"] + "/" + f["path"]
-        n = self.calls.get(key, 0) + 1
-        self.calls[key] = n
-        if n <= int(f["size"]) % 7:
-            raise ConnectionError("temporary failure")
-        return self.inner(request)
-
-
 class ChatCompletionsClient:
     """Describer for an OpenAI-compatible chat-completions endpoint (standard library HTTP).
 
@@ -134,33 +133,88 @@ class ChatCompletionsClient:
 REQUEST_FIELDS = ["project", "path", "size", "filetype", "filesize", "mimetype"]
 
 
+class Pace:
+    """Lets calls start no faster than ``rate`` a second, over all threads of a task."""
+
+    def __init__(self, rate: float | None, sleep: Callable[[float], None] = time.sleep):
+        self.step, self.sleep = (1.0 / rate if rate else 0.0), sleep
+        self.lock, self.next = threading.Lock(), 0.0
+
+    def wait(self) -> None:
+        if not self.step:
+            return
+        with self.lock:
+            now = time.monotonic()
+            start = max(now, self.next)
+            self.next = start + self.step
+        if start > now:
+            self.sleep(start - now)
+
+
+def share_calls(n_rows: int | None, max_concurrency: int, slots: int, unit_rows: int) -> tuple[int, int]:
+    """Partitions and threads per task, so that running tasks hold at most ``max_concurrency`` calls. ``slots``: tasks that run at
+    a time. With fewer calls than slots each partition makes one call at a time and there are no more partitions than calls."""
+    if max_concurrency < slots:
+        return max(1, max_concurrency), 1
+    parts = max(slots, -(-n_rows // unit_rows)) if n_rows else slots
+    return parts, max_concurrency // slots
+
+
 def enrich(prompts: DataFrame, client: Callable[[dict], str], max_concurrency: int = 8,
            max_attempts: int = MAX_ATTEMPTS, sleep: Callable[[float], None] = time.sleep,
-           passthrough: tuple[str, ...] = ()) -> DataFrame:
-    """One call per prompt row through ``mapInPandas``; returns the answers rows.
+           passthrough: tuple[str, ...] = (), rate: float | None = None, n_rows: int | None = None,
+           unit_rows: int = UNIT_ROWS, slots: int | None = None) -> DataFrame:
+    """One call per prompt row; returns the answers rows, in the order in which they come.
 
     ``prompts`` needs ``project, path, content_hash, prompt_hash, system, user`` and the request
-    fields ``size, filetype, filesize, mimetype``; ``passthrough`` columns are copied to the answers.
-    """
+    fields ``size, filetype, filesize, mimetype``; ``passthrough`` columns are copied to the answers. ``rate`` bounds the calls
+    that start in a second, over the whole job; ``n_rows``, if known, sets partitions of about ``unit_rows`` prompts;
+    ``slots`` is the number of tasks that run at a time where the session's default parallelism doesn't tell. The client
+    is called from several threads of a worker."""
     extra = list(passthrough)
     schema = ANSWER_SCHEMA + "".join(f", {c} {prompts.schema[c].dataType.simpleString()}" for c in extra)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                row = r._asdict()
-                req = {"system": row["system"], "user": row["user"],
-                       "fields": {k: row.get(k) for k in REQUEST_FIELDS}}
-                t0, asked_at = time.monotonic(), time.time()
-                ans, attempts, waited, err = call_with_retry(lambda: client(req), max_attempts, sleep)
-                out.append((row["project"], row["path"], row["content_hash"], row["prompt_hash"], ans, attempts,
-                            int((time.monotonic() - t0) * 1000), waited, err, asked_at, *[row[c] for c in extra]))
-            yield pd.DataFrame(out, columns=["project", "path", "content_hash", "prompt_hash", "answer", "attempts",
-                                             "elapsed_ms", "backoff_ms", "error", "asked_at", *extra])
+    slots = slots or prompts.sparkSession.sparkContext.defaultParallelism
+    parts, threads = share_calls(n_rows, max_concurrency, slots, unit_rows)
+    task_rate = rate / min(parts, slots) if rate else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pace = Pace(task_rate)
+
+        def call(request: dict) -> str:
+            pace.wait()
+            return client(request)
+
+        def ask(row: dict) -> tuple:
+            req = {"system": row["system"], "user": row["user"], "fields": {k: row.get(k) for k in REQUEST_FIELDS}}
+            t0, asked_at = time.monotonic(), time.time()
+            ans, attempts, waited, err = call_with_retry(lambda: call(req), max_attempts, sleep)
+            return (*(row[c] for c in ("project", "path", "content_hash", "prompt_hash")), ans, attempts,
+                    int((time.monotonic() - t0) * 1000), waited, err, asked_at, *(row[c] for c in extra))
+
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], list(types))
+
+        types = dict(ANSWER_TYPES)
+        with ThreadPoolExecutor(threads) as pool:
+            pending, out = set(), []
+            for b in batches:
+                types |= {c: b.schema.field(c).type for c in extra}
+                for row in b.to_pylist():
+                    pending.add(pool.submit(ask, row))
+                    while len(pending) >= 2 * threads:
+                        done, pending = wait(pending, return_when=FIRST_COMPLETED)
+                        out += [f.result() for f in done]
+                    if len(out) >= OUT_ROWS:
+                        yield packed(out)
+                        out = []
+            out += [f.result() for f in pending]
+            if out:
+                yield packed(out)
 
     cols = ["project", "path", "content_hash", "prompt_hash", "system", "user", "size", "filetype", "filesize", "mimetype"]
-    return prompts.select(*cols, *extra).repartition(max_concurrency).mapInPandas(run, schema)
+    # by hash, so that a lost task meets the same prompts again
+    return prompts.select(*cols, *extra).repartition(parts, F.xxhash64("project", "path")).mapInArrow(run, schema)
 
 
 def finalize_records(answers: DataFrame, run_ts) -> DataFrame:

@@ -130,16 +130,17 @@ def enrich(spark, sf):
     return a.select("project", "path", "content_hash", "answer", "attempts", F.coalesce("error", F.lit("")).alias("error"))
 
 
-@register("retry_backoff", RENDER_SQL + f"""
-select project, path, attempts,
-  cast(coalesce(list_sum(list_transform(range(1, attempts), lambda a: least({EN.BACKOFF_BASE_MS} * (2 ** (a - 1)), {EN.BACKOFF_CAP_MS}))), 0) as bigint) as backoff_ms,
-  case when size % 7 >= {EN.MAX_ATTEMPTS} then 'ConnectionError: temporary failure' else '' end as error,
-  case when size % 7 >= {EN.MAX_ATTEMPTS} then '' else {_CLIENT_SQL} end as answer
-from (select *, cast(least(size % 7 + 1, {EN.MAX_ATTEMPTS}) as int) as attempts from prompts) p""", ("corpus_v", "prev_v"))
+@register("retry_backoff", """
+select doc_id, cast(least(n_chars % 7 + 1, 5) as int) as attempts,
+  cast(case least(n_chars % 7 + 1, 5) when 1 then 0 when 2 then 300 when 3 then 900 when 4 then 2100 else 4500 end as bigint) as backoff_ms,
+  cast(least(300 * (2 ** (n_chars % 7)), 8000) as bigint) as next_wait_ms
+from documents""")
 def retry_backoff(spark, sf):
-    _, _, p = _prompts(spark, sf)
-    a = EN.enrich(p, EN.FlakyClient(), max_concurrency=8, sleep=lambda s: None)
-    return a.select("project", "path", "attempts", "backoff_ms", F.coalesce("error", F.lit("")).alias("error"), "answer")
+    """The schedule by attempts that calls took (the retries themselves are tested against a failing client)."""
+    d = FX.table(spark, sf, "documents").select("doc_id", F.least(F.col("n_chars") % 7 + 1, F.lit(EN.MAX_ATTEMPTS)).cast("int").alias("attempts"),
+                                                (F.col("n_chars") % 7 + 1).cast("int").alias("after"))
+    following = EN.backoff_total_ms(F.col("after") + 1) - EN.backoff_total_ms("after")
+    return d.select("doc_id", "attempts", EN.backoff_total_ms("attempts").alias("backoff_ms"), following.alias("next_wait_ms"))
 
 
 _PA = sql_parse_fields("answer")

@@ -139,24 +139,21 @@ def build_prompts(inputs: DataFrame, template: dict | None = None, escape_html:
     return out.withColumn("prompt_hash", F.sha2(F.concat_ws("\n", "system", "user"), 256))
 
 
-def _n_waves(n_rows: int, wave_rows: int) -> int:
-    return min(MAX_WAVES, max(1, -(-int(n_rows) // max(1, wave_rows))))
+def _n_waves(n_rows: int, wave_rows: int, max_concurrency: int, slots: int) -> int:
+    """One job, unless fewer calls are allowed than tasks run at a time: its few partitions then hold ``wave_rows`` prompts in all."""
+    return 1 if max_concurrency >= slots else min(MAX_WAVES, max(1, -(-int(n_rows) // max(1, wave_rows))))
 
 
 def _write_prompts(prompts: DataFrame, n_waves: int, path: str) -> None:
-    """Prompts written into one folder per wave (``wave=<w>``), so a wave reads exactly its folder.
-
-    One hash shuffle on (wave, sub-bucket): when waves are few each is spread over several tasks;
-    when they are many each task holds whole waves. No sampling job, so the prompts are computed once.
-    """
-    spark = prompts.sparkSession
-    sp = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    per_wave = max(1, -(-sp // n_waves))
-    p = prompts.withColumn("wave", F.pmod(F.xxhash64("project", "path"), F.lit(n_waves)).cast("int")) \
-        .withColumn("waves", F.lit(n_waves)) \
-        .withColumn("_sub", F.pmod(F.xxhash64("path", "project", F.lit("sub")), F.lit(per_wave)))
-    n_tasks = n_waves * per_wave
-    p.repartition(n_tasks, "wave", "_sub").drop("_sub").write.mode("overwrite").partitionBy("wave").parquet(path)
+    """Prompts in one folder per wave (``wave=<w>``), so a wave reads exactly its folder. A single wave is written as it comes."""
+    p = prompts.withColumn("waves", F.lit(n_waves)) \
+        .withColumn("wave", F.pmod(F.xxhash64("project", "path"), F.lit(n_waves)).cast("int"))
+    if n_waves > 1:
+        spark = prompts.sparkSession
+        per_wave = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // n_waves))
+        sub = F.pmod(F.xxhash64("path", "project", F.lit("sub")), F.lit(per_wave))
+        p = p.withColumn("_sub", sub).repartition(n_waves * per_wave, "wave", "_sub").drop("_sub")
+    p.write.mode("overwrite").partitionBy("wave").parquet(path)
 
 
 def _read_wave(spark: SparkSession, path: str, w: int) -> DataFrame | None:
@@ -180,14 +177,16 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
         template: dict | None = None, escape_html: bool = True, keep_previous_on_error: bool = False,
         operating_system: str = "linux", root_prefix: str = "/", sleep=None,
         resume_run_id: str | None = None, partial: bool = False, text_rule: str = "bytes",
-        wave_rows: int = 50_000, timings: dict | None = None) -> RunResult:
+        wave_rows: int = 50_000, unit_rows: int = EN.UNIT_ROWS, rate: float | None = None, slots: int | None = None,
+        timings: dict | None = None) -> RunResult:
     """One incremental documentation run; returns the written plan, answers, state and summary.
 
     ``resume_run_id`` re-enters an interrupted run: its answers without error are kept and only
     the remaining prompts are sent. A new run asks again for every new or changed file.
     ``partial``: the corpus holds only some keys (a stream batch); records of other keys are kept
-    instead of being dropped as stale. ``wave_rows``: prompts per enrichment wave; each wave is its
-    own committed append, so a failure loses at most one wave's unanswered calls.
+    instead of being dropped as stale. ``max_concurrency`` calls are made at a time and ``rate`` begin in a second at most, in one
+    job whose partitions of ``unit_rows`` prompts are kept as they end. Only where fewer calls are allowed than tasks
+    run at a time (``slots``), the job has as many partitions as calls, and a wave of ``wave_rows`` prompts is what is kept.
     """
     import time as _time
 
@@ -237,7 +236,8 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
     lap("context")
 
     # J4 + J6: prompts, with a second read of content for dirty rows only
-    n_waves = _n_waves(plan.where(F.col("action") != "reuse").count(), wave_rows)
+    n_dirty = plan.where(F.col("action") != "reuse").count()
+    n_waves = _n_waves(n_dirty, wave_rows, max_concurrency, slots or spark.sparkContext.defaultParallelism)
     inputs = prompt_inputs_for_dirty(corpus, plan, context, chunk_mode, n_words, max_tokens, sizer, text_rule)
     built = build_prompts(inputs, template, escape_html, root_prefix, operating_system)
     _write_prompts(built, n_waves, prompts_path)
@@ -260,7 +260,8 @@ def run(spark: SparkSession, corpus: DataFrame, state: DataFrame | None, out_dir
             done = done.where((F.col("waves") == n_waves) & F.col("error").isNull()).select(*ANSWER_KEY)
             todo = todo.join(done, ANSWER_KEY, "left_anti")
         # the answers of a finished task are in place as soon as it commits, not only when the wave ends
-        EN.enrich(todo, client, max_concurrency, passthrough=("waves",), **kw).write.mode("append") \
+        EN.enrich(todo, client, max_concurrency, passthrough=("waves",), rate=rate, n_rows=-(-n_dirty // n_waves), unit_rows=unit_rows,
+                  slots=slots, **kw).write.mode("append") \
             .option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(f"{answers_path}/wave={w}")
     if not _exists(spark, answers_path):
         spark.createDataFrame([], EN.ANSWER_SCHEMA + ", waves int, wave int").write.mode("append") \

@@ -52,11 +52,75 @@ def test_transport_errors_are_retried(monkeypatch):
 def test_retry_schedule_over_a_failing_endpoint(spark):
     """The fake client fails size % 7 times: attempts, waits and the error follow the schedule."""
     from docweave.operators import enrich as EN
+
+    class FlakyClient:
+        """Fails the first ``size % 7`` calls for a file, then answers."""
+
+        def __init__(self):
+            self.calls = {}
+
+        def __call__(self, request):
+            f = request["fields"]
+            n = self.calls[f["path"]] = self.calls.get(f["path"], 0) + 1
+            if n <= int(f["size"]) % 7:
+                raise ConnectionError("temporary failure")
+            return EN.DeterministicClient()(request)
+
     rows = [("p", f"f{i}", "h", "q", "s", "u", i, "txt", "1 B", "text/plain") for i in range(14)]
     prompts = spark.createDataFrame(rows, "project string, path string, content_hash string, prompt_hash string, system string, user string, "
                                           "size long, filetype string, filesize string, mimetype string")
-    for r in EN.enrich(prompts, EN.FlakyClient(), max_concurrency=2, sleep=lambda s: None).collect():
+    for r in EN.enrich(prompts, FlakyClient(), max_concurrency=2, sleep=lambda s: None).collect():
         fails = int(r["path"][1:]) % 7
         assert r["attempts"] == min(fails + 1, EN.MAX_ATTEMPTS)
         assert r["backoff_ms"] == sum(min(300 * 2 ** a, 8000) for a in range(r["attempts"] - 1))
         assert (r["error"] is not None) == (fails >= EN.MAX_ATTEMPTS) == (r["answer"] == "")
+
+
+def _prompts(spark, n):
+    from pyspark.sql import functions as F
+    return spark.range(n).select(F.lit("p").alias("project"), F.concat(F.lit("f"), "id").alias("path"), F.lit("h").alias("content_hash"),
+                                 F.lit("q").alias("prompt_hash"), F.lit("s").alias("system"), F.lit("u").alias("user"), F.col("id").alias("size"),
+                                 F.lit("txt").alias("filetype"), F.lit("1 B").alias("filesize"), F.lit("text/plain").alias("mimetype"))
+
+
+def _noting(folder, pause):
+    """A client that notes when each call begins and ends."""
+    def client(request):
+        import time
+        import uuid
+        began = time.time()
+        time.sleep(pause)
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as fh:
+            fh.write(f"{began} {time.time()}")
+        return "{}"
+
+    return client
+
+
+def _times(folder):
+    return sorted(tuple(map(float, p.read_text().split())) for p in folder.iterdir())
+
+
+def test_calls_are_bounded_not_by_cores(spark, tmp_path):
+    """64 calls at a time on 4 task slots, and never more."""
+    from docweave.operators import enrich as EN
+    slots = spark.sparkContext.defaultParallelism
+    got = EN.enrich(_prompts(spark, 640), _noting(str(tmp_path), 0.5), max_concurrency=8 * slots, slots=slots).collect()
+    times = _times(tmp_path)
+    most = max(sum(a <= t < b for a, b in times) for t, _ in times)
+    assert len({r["path"] for r in got}) == 640 and 4 * slots < most <= 8 * slots
+    assert EN.share_calls(10**6, 64, 4, 1000) == (1000, 16) and EN.share_calls(10**6, 8, 4000, 1000) == (8, 1)
+
+
+def test_the_rate_is_never_passed(spark, tmp_path):
+    from docweave.operators import enrich as EN
+    slots = spark.sparkContext.defaultParallelism
+    EN.enrich(_prompts(spark, 160), _noting(str(tmp_path), 0.0), max_concurrency=4 * slots, rate=40.0).collect()
+    starts = [a for a, _ in _times(tmp_path)]
+    assert len(starts) == 160 and all(sum(t <= x < t + 1 for x in starts) <= 40 + slots for t in starts)
+
+
+def test_the_schedule_as_an_expression(spark):
+    from docweave.operators import enrich as EN
+    got = spark.range(0, 9).select("id", EN.backoff_total_ms("id").alias("w")).collect()
+    assert [r["w"] for r in got] == [sum(EN.backoff_ms(a) for a in range(1, max(1, r["id"]))) for r in got]

@@ -131,7 +131,7 @@ def test_waves_and_resume(spark):
     """Enrichment in several waves gives the same state; resuming the run asks nothing again."""
     out = tempfile.mkdtemp(prefix="dw-run-")
     corpus = corpus_from_table(FX.corpus_v(spark, SF_SMALL))
-    r1 = run(spark, corpus, None, out, DeterministicClient(), chunk_mode="window", wave_rows=37,
+    r1 = run(spark, corpus, None, out, DeterministicClient(), chunk_mode="window", wave_rows=37, max_concurrency=2,
              run_ts="2025-01-01 00:00:00")
     n = r1.answers.count()
     before = sorted(r1.state.select("path", "doc.description").collect())   # the resumed run rewrites this run's folder
@@ -142,7 +142,8 @@ def test_waves_and_resume(spark):
             calls.append(1)
             return super().__call__(request)
 
-    r2 = run(spark, corpus, None, out, Spy(), chunk_mode="window", resume_run_id=r1.run_id, run_ts="2025-01-01 00:00:00")
+    r2 = run(spark, corpus, None, out, Spy(), chunk_mode="window", wave_rows=37, max_concurrency=2, resume_run_id=r1.run_id,
+             run_ts="2025-01-01 00:00:00")
     assert r2.answers.count() == n and not calls           # every answer of the run is reused
     assert before == sorted(r2.state.select("path", "doc.description").collect())
 
@@ -165,3 +166,32 @@ def test_keep_previous_on_error(spark):
                  keep_previous_on_error=keep)
         got = r2.state.where(F.col("doc.description") != "").count()
         assert got == (documented if expect_docs is None else expect_docs)
+
+
+def test_a_killed_job_keeps_what_its_tasks_ended(spark, tmp_path):
+    """A worker dies in one partition; the resumed run asks for nothing that another partition answered."""
+    import pytest
+    corpus = corpus_from_table(FX.corpus_v(spark, SF_SMALL))
+    out, log, broken = str(tmp_path / "out"), str(tmp_path / "log"), str(tmp_path / "broken")
+
+    def client(request):
+        import os
+        import time
+        path = request["fields"]["path"]
+        if os.path.exists(broken) and open(broken).read() == path:
+            time.sleep(10)
+            os._exit(1)
+        with open(log, "a") as fh:
+            fh.write(request["fields"]["project"] + "/" + path + "\n")
+        return DeterministicClient()(request)
+
+    keep = dict(chunk_mode="window", unit_rows=10, resume_run_id="k", run_ts="2025-01-01 00:00:00")
+    (tmp_path / "broken").write_text(corpus.where(~F.col("path").rlike(r"(^|/)\.")).agg(F.max("path")).first()[0])
+    with pytest.raises(Exception):
+        run(spark, corpus, None, out, client, **keep)
+    (tmp_path / "broken").unlink()
+    kept = {f"{r['project']}/{r['path']}" for r in spark.read.parquet(f"{out}/answers/run_id=k/wave=0").collect()}
+    asked = len(open(log).read().split("\n")) - 1
+    r = run(spark, corpus, None, out, client, **keep)
+    again = open(log).read().split("\n")[asked:-1]
+    assert kept and again and not kept & set(again) and r.answers.count() == r.plan.count()
