@@ -131,7 +131,10 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4_000, max_unlabelled: int = 8_000,
         id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
-    """The model from the labels outside fold 0 and the texts of two bounded samples."""
+    """The model from the labels outside fold 0 and the texts of two bounded samples.
+
+    Null labels and null ids take no part; a document labelled twice counts once as a positive; rows that share an id all
+    stand for it; other columns are not read; without documents or labels the model is a prior."""
     known = labels.select(F.col("doc_id").alias("id"), "toxic", fold("doc_id").alias("fold")).where("fold <> 0 and toxic is not null")
     n, n_toxic = known.agg(F.count("*"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0))).first()
     prior = min(0.5, max(0.01, (n_toxic or 0) / n)) if n else 0.1
