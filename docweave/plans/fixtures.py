@@ -102,6 +102,33 @@ def state_v(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = None) -
                     F.struct(desc.alias("description"), joy.alias("joy"), emoji.alias("emoji")).alias("doc"))
 
 
+def state_trees_v(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = None) -> DataFrame:
+    """Nested JSON trees, one per project and 50 documents: files two directories deep and at the root, by ``doc_id % 13`` with
+    older keys (3), a missing field (5), a wrong kind (7), a null doc (9) or an earlier record of the same path (11); every
+    seventh tree is cut off."""
+    from ..operators.hierarchy import file_node_json
+
+    s = state_v(spark, sf_dir, corpus)
+    i = F.col("doc_id") % 13
+    js = file_node_json(s.select("project", "path", "content_hash", "updated_at", "doc")).select("project", "path", "json")
+    older = F.regexp_replace(F.regexp_replace("json", '"joyThisFileBrings":', '"howMuchJoyDoesThisFileBringYou":'),
+                             '"personalityEmoji":', '"emojiThatExpressesThisFilesPersonality":')
+    node = (F.when(i == 3, older).when(i == 5, F.regexp_replace("json", ',"personalityEmoji":"[^"]*"', ""))
+            .when(i == 7, F.regexp_replace("json", '^\\{"kind":"file"', '{"kind":"link"'))
+            .when(i == 9, F.regexp_replace("json", '"doc":.*$', '"doc":null}'))
+            .when(i == 11, F.concat(F.regexp_replace("json", '"hash":"[^"]*"', '"hash":"old"'), F.lit(","), "json")).otherwise(F.col("json")))
+    tree = F.floor(F.col("doc_id") / 50)
+    rows = s.join(js, ["project", "path"]).select("project", tree.alias("tree"), F.struct("doc_id", node.alias("node")).alias("n"))
+    folded = rows.groupBy("project", "tree").agg(F.array_sort(F.collect_list("n")).alias("n"))  # 50 records at most
+    part = lambda odd: F.array_join(F.transform(F.filter("n", lambda x: x["doc_id"] % 2 == odd), lambda x: x["node"]), ",")
+    deep = F.concat(F.lit('{"kind":"dir","name":"a","path":"a","updated_at":"2025-01-01T00:00:00Z","entries":[{"kind":"dir","name":"b","path":"a/b","entries":['),
+                    part(0), F.lit("]}]}"))
+    rest = part(1)
+    whole = F.concat(F.lit('{"root":".","updated_at":"2025-01-01T00:00:00Z","entries":['), deep, F.when(rest == "", "").otherwise(F.concat(F.lit(","), rest)), F.lit("]}"))
+    return folded.select("project", F.concat(F.lit("t"), F.col("tree").cast("string")).alias("base"),
+                         F.when(F.col("tree") % 7 == 4, F.substring(whole, F.lit(1), F.length(whole) - 4)).otherwise(whole).alias("json"))
+
+
 STATE_NAME_VARIANTS = [".docstate.nu", ".DOCS.NUON", ".docstate.nuon", ".Docstate.Nu"]
 
 

@@ -90,12 +90,14 @@ def nest_export(spark, sf):
 
 
 @register("read_state", """
-select project, path, content_hash, strftime(updated_at, '%Y-%m-%dT%H:%M:%SZ') as updated_at, description, joy, emoji
-from state_v""", ("state_v",))
+select project, 't' || cast(doc_id // 50 as varchar) as base, path, regexp_extract(path, '[^/]*$', 0) as name, content_hash,
+  strftime(updated_at, '%Y-%m-%dT%H:%M:%SZ') as updated_at, case when doc_id % 13 = 9 then '' else description end as description,
+  case when doc_id % 13 = 9 then null else joy end as joy, case when doc_id % 13 = 9 then '' else emoji end as emoji
+from state_v where doc_id // 50 % 7 <> 4 and doc_id % 13 not in (5, 7)""", ("state_v",))
 def read_state(spark, sf):
-    """Round trip: export the state as ordered fragments, read their lines back and flatten them."""
-    s = SIO.read_state_fragments(H.nest_export(_state(spark, sf), F.lit(FX.RUN_TS)))
-    return s.select("project", "path", "content_hash", ts_text(F.col("updated_at")).alias("updated_at"),
+    """Nested trees flattened: directories of any depth, older keys, bad records left out alone, duplicates, trees cut off."""
+    s = SIO.read_state_trees(FX.state_trees_v(spark, sf))
+    return s.select("project", "base", "path", "name", "content_hash", ts_text(F.col("updated_at")).alias("updated_at"),
                     F.col("doc.description").alias("description"), F.col("doc.joy").alias("joy"),
                     F.col("doc.emoji").alias("emoji"))
 

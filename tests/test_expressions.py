@@ -140,3 +140,15 @@ def test_render_escapes_html_by_default(spark):
     esc = df.select(render(parts, ["filename"]).alias("r")).first()["r"]
     raw = df.select(render(parts, ["filename"], escape_html=False).alias("r")).first()["r"]
     assert esc == "[&lt;a href&#x3D;&#x27;x&#x27;&gt;&amp;&lt;/a&gt;]" and raw == "[<a href='x'>&</a>]"
+
+
+def test_state_fragments_round_trip(spark):
+    """The export's fragments, read line by line, give the state they were made of."""
+    from docweave.operators.hierarchy import nest_export
+    from docweave.operators.state import as_state
+    from docweave.plans import fixtures as FX
+    from docweave.sources.state_io import read_state_fragments
+    state = as_state(FX.state_v(spark, "/root/testdata/sf0.001"))
+    keys = ["project", "path", "content_hash", "updated_at", "doc"]
+    got = read_state_fragments(nest_export(state, F.lit(FX.RUN_TS))).select(*keys).collect()
+    assert sorted(map(str, got)) == sorted(map(str, state.select(*keys).collect())) and got
