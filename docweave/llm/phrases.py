@@ -35,6 +35,7 @@ SLICE = 2 << 20
 ROW_SYMBOLS = 1 << 17
 READ_SYMBOLS = 1 << 18
 HELD_BUCKETS = 1 << 20
+HELD_PHRASES = 1 << 18
 SUM_PHRASES = 1 << 10      # counts of so many phrases travel together
 
 WORD, BLANK, BORDER = 0, 1, 2
@@ -195,23 +196,62 @@ def _bucket_counts(codes: DataFrame, maps, k: int, bits: int) -> DataFrame:
     return codes.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Distinct rows of symbols."""
+    if len(rows) < 2:
+        return rows
+    order = np.lexsort(rows.T[::-1])
+    rows = rows[order]
+    return rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])]
+
+
 def _phrases(codes: DataFrame, maps, max_words: int) -> DataFrame:
-    """Distinct phrases of 2 words and more in heavy buckets, as their symbols."""
+    """Distinct phrases of 2 words and more in heavy buckets, as their symbols.
+
+    Tasks send the phrases that they hold in packs, one per length and group of hashes, and each group is merged once."""
+    n = partitions(codes.sparkSession)
+
+    def packs(k, rows):
+        h = rows[:, 0]
+        for j in range(1, k):
+            h = _longer(h, rows[:, j])
+        group = (h % np.uint64(n)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        rows, group = rows[order], group[order]
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else group
+        parts = [p.tobytes() for p in np.split(rows, first[1:])] if len(group) else []
+        return pa.RecordBatch.from_arrays([pa.array(group[first], pa.int64()), pa.array([k] * len(parts), pa.int32()), pa.array(parts, pa.binary())],
+                                          ["group", "words", "pack"])
+
     def run(batches):
+        held: dict[int, np.ndarray] = {}
         for sym in _arrays(batches):
             for k in range(2, max_words + 1):
                 at, h = safe(sym, maps.value, k)
-                good = _heavy(maps.value[k - 1], h)
-                at, h = at[good], h[good]
-                _, first, group = np.unique(h, return_index=True, return_inverse=True)
-                rows = sym[at[:, None] + np.arange(k)]
-                if len(rows) and (rows[first][group] != rows).any():  # two phrases, one hash
-                    found = np.unique(rows, axis=0)
-                else:
-                    found = rows[first]
-                yield pa.RecordBatch.from_arrays([_binary(found.reshape(-1, k))], ["key"])
-
-    return codes.mapInArrow(run, "key binary").distinct()
+                rows = sym[at[_heavy(maps.value[k - 1], h)][:, None] + np.arange(k)]
+                held[k] = _distinct(np.concatenate([held[k], _distinct(rows)])) if k in held else _distinct(rows)
+                if len(held[k]) > HELD_PHRASES:
+                    yield packs(k, held.pop(k))
+        for k, rows in held.items():
+            yield packs(k, rows)
+
+    def merge(batches):
+        """Packs sorted by group and length."""
+        now, rows = None, None
+        for b in batches:
+            for group, k, pack in zip(*(c.to_pylist() for c in b.columns)):
+                new = np.frombuffer(pack, "<u8").reshape(-1, k)
+                if now == (group, k):
+                    rows = _distinct(np.concatenate([rows, new]))
+                    continue
+                if now is not None:
+                    yield pa.RecordBatch.from_arrays([_binary(rows)], ["key"])
+                now, rows = (group, k), new
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([_binary(rows)], ["key"])
+
+    return codes.mapInArrow(run, "group long, words int, pack binary").repartition(n, "group").sortWithinPartitions("group", "words") \
+        .mapInArrow(merge, "key binary")
 
 
 # ------------------------------------------------------------------ tries

@@ -94,6 +94,14 @@ def test_trie_states_are_phrase_counts():
     assert len(set(state.tolist())) == len(found) and base.min() >= 0
 
 
+def test_packs_hold_each_phrase_once():
+    rnd = np.random.default_rng(7)
+    rows = rnd.integers(1, 4, (500, 3)).astype(np.uint64)
+    got = phrases._distinct(rows)
+    assert sorted(map(tuple, got.tolist())) == sorted({tuple(x) for x in rows.tolist()})
+    assert len(phrases._distinct(rows[:0])) == 0 and len(phrases._distinct(rows[:1])) == 1
+
+
 def test_empty(spark):
     assert op13(frame_of(spark, [])).collect() == []
     assert op13(frame_of(spark, [(None, None), ("", "en")])).collect() == []
