@@ -99,6 +99,20 @@ class DeterministicClient:
                            "emojiThatExpressesThisFilesPersonality": "🗂"}, ensure_ascii=False, separators=(",", ":"))
 
 
+class FlakyClient:
+    """Test describer that fails the first ``size % 7`` calls of a request, then answers. The request itself carries
+    its number of calls, so that repeated rows and threads don't share one, and a task holds none of them."""
+
+    def __init__(self, inner: Callable[[dict], str] | None = None):
+        self.inner = inner or DeterministicClient()
+
+    def __call__(self, request: dict) -> str:
+        request["calls"] = request.get("calls", 0) + 1
+        if request["calls"] <= int(request["fields"]["size"]) % 7:
+            raise ConnectionError("temporary failure")
+        return self.inner(request)
+
+
 class ChatCompletionsClient:
     """Describer for an OpenAI-compatible chat-completions endpoint (standard library HTTP).
 

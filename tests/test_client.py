@@ -124,3 +124,29 @@ def test_the_schedule_as_an_expression(spark):
     from docweave.operators import enrich as EN
     got = spark.range(0, 9).select("id", EN.backoff_total_ms("id").alias("w")).collect()
     assert [r["w"] for r in got] == [sum(EN.backoff_ms(a) for a in range(1, max(1, r["id"]))) for r in got]
+
+
+def test_retry_backoff_asks_for_every_prompt(spark, tmp_path):
+    """Every dirty file is rendered and asked for again until its client answers or gives up."""
+    import __spark_entry__ as entry
+    from docweave.operators import enrich as EN
+    ids = range(1, 81)
+    spark.createDataFrame([(i, "web", "en", "w" * i) for i in ids], "doc_id long, source string, lang string, text string") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["retry_backoff"](spark, str(tmp_path)).collect()
+    dirty = [i for i in ids if i % 5 == 0 or i % 7 == 0 or i % 11 == 0]
+    attempts = [min(i % 7 + 1, EN.MAX_ATTEMPTS) for i in dirty]
+    waits = [sum(EN.backoff_ms(a) for a in range(1, n)) for n in attempts]
+    assert sorted((r["attempts"], r["backoff_ms"]) for r in got) == sorted(zip(attempts, waits))
+    failed = [r for r in got if r["error"]]
+    assert len(failed) == sum(i % 7 >= EN.MAX_ATTEMPTS for i in dirty) and all(r["answer"] == "" for r in failed)
+    assert all(r["answer"] for r in got if not r["error"])
+
+
+def test_repeated_rows_fail_as_often_each(spark):
+    """Two equal requests don't share a count of calls."""
+    from docweave.operators import enrich as EN
+    row = ("p", "f", "h", "q", "s", "u", 3, "txt", "1 B", "text/plain")
+    prompts = spark.createDataFrame([row, row], "project string, path string, content_hash string, prompt_hash string, system string, "
+                                                "user string, size long, filetype string, filesize string, mimetype string")
+    assert [r["attempts"] for r in EN.enrich(prompts, EN.FlakyClient(), sleep=lambda s: None).collect()] == [4, 4]
