@@ -40,6 +40,7 @@ ANSWER_TYPES = {"project": pa.string(), "path": pa.string(), "content_hash": pa.
                 "attempts": pa.int32(), "elapsed_ms": pa.int64(), "backoff_ms": pa.int64(), "error": pa.string(), "asked_at": pa.float64()}
 UNIT_ROWS = 1_000   # prompts of a partition, which is what a failure loses
 OUT_ROWS = 256
+IN_ROWS = 64        # prompts that a task holds as Python objects besides those in flight
 
 
 def backoff_ms(attempt: int) -> int:
@@ -209,12 +210,16 @@ def enrich(prompts: DataFrame, client: Callable[[dict], str], max_concurrency: i
             columns = list(zip(*out)) or [()] * len(types)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], list(types))
 
+        def rows(b: pa.RecordBatch) -> Iterator[dict]:
+            for at in range(0, b.num_rows, IN_ROWS):
+                yield from b.slice(at, IN_ROWS).to_pylist()
+
         types = dict(ANSWER_TYPES)
         with ThreadPoolExecutor(threads) as pool:
             pending, out = set(), []
             for b in batches:
                 types |= {c: b.schema.field(c).type for c in extra}
-                for row in b.to_pylist():
+                for row in rows(b):
                     pending.add(pool.submit(ask, row))
                     while len(pending) >= 2 * threads:
                         done, pending = wait(pending, return_when=FIRST_COMPLETED)

@@ -150,3 +150,24 @@ def test_repeated_rows_fail_as_often_each(spark):
     prompts = spark.createDataFrame([row, row], "project string, path string, content_hash string, prompt_hash string, system string, "
                                                 "user string, size long, filetype string, filesize string, mimetype string")
     assert [r["attempts"] for r in EN.enrich(prompts, EN.FlakyClient(), sleep=lambda s: None).collect()] == [4, 4]
+
+
+def test_a_task_holds_few_prompts_at_a_time(spark):
+    """The objects of a worker don't grow with the rows of an Arrow batch."""
+    from pyspark.sql import functions as F
+    from docweave.operators import enrich as EN
+
+    def client(request):
+        import sys
+        return str(sys.getallocatedblocks())
+
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    try:
+        most = []
+        for n in (100, 20_000):
+            prompts = _prompts(spark, n).withColumn("system", F.concat(F.lit("system "), "path")).withColumn("user", F.concat(F.lit("user "), "path"))
+            most.append(max(int(r["answer"]) for r in EN.enrich(prompts, client, max_concurrency=1, slots=2).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    assert most[1] - most[0] < 20_000, most
