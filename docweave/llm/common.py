@@ -127,7 +127,11 @@ def unique_words(texts: pa.Array, pattern: str = " ") -> tuple[list[str], np.nda
     parts = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), pattern)
     coded = parts.flatten().dictionary_encode()
     counts = np.diff(np.asarray(parts.offsets))
-    return coded.dictionary.to_pylist(), np.asarray(coded.indices), counts
+    words = coded.dictionary
+    if len(pattern) == 1 and len(words):  # no part holds the pattern: one text to decode in place of many
+        whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        return pc.binary_join(whole, pa.scalar(pattern, pa.large_string()))[0].as_py().split(pattern), np.asarray(coded.indices), counts
+    return words.to_pylist(), np.asarray(coded.indices), counts
 
 
 class PieceCache:
@@ -148,19 +152,25 @@ class PieceCache:
         self.size = np.concatenate([self.size, sizes])
         self.store = np.concatenate([self.store, values.astype(np.uint32)])
 
-    def lay_out(self, parts: list[list[str]], index: np.ndarray, counts: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+    def lay_out(self, parts: list[list[str] | str], index: np.ndarray, counts: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
         """Values of all texts in order, and how many each text has. ``parts``: the pieces of each distinct
-        part; ``index``: the part at each place; ``counts``: places per text. ``encode`` turns new pieces
-        into (values, sizes)."""
+        part (a text: it is its only piece); ``index``: the part at each place; ``counts``: places per text.
+        ``encode`` turns new pieces into (values, sizes)."""
         if len(self.at) > self.limit:
             self.clear()
-        if new := list(set(chain.from_iterable(parts)).difference(self.at)):
+        whole = np.fromiter((type(p) is str for p in parts), bool, len(parts))
+        single, several = [p for p in parts if type(p) is str], [p for p in parts if type(p) is not str]
+        split = list(chain.from_iterable(several))
+        if new := list(set(single).union(split).difference(self.at)):
             self.add(new, *encode(new))
-        n_pieces = np.fromiter(map(len, parts), np.int64, len(parts))
-        piece = np.fromiter(map(self.at.__getitem__, chain.from_iterable(parts)), np.int64, int(n_pieces.sum()))
+        n_pieces = np.ones(len(parts), np.int64)
+        n_pieces[~whole] = np.fromiter(map(len, several), np.int64, len(several))
+        border = np.concatenate([[0], np.cumsum(n_pieces)])
+        piece, at = np.empty(border[-1], np.int64), self.at.__getitem__
+        piece[border[:-1][whole]] = np.fromiter(map(at, single), np.int64, len(single))
+        piece[ranges(border[:-1][~whole], n_pieces[~whole])] = np.fromiter(map(at, split), np.int64, len(split))
         sizes = self.size[piece]
         total = np.concatenate([[0], np.cumsum(sizes)])
-        border = np.concatenate([[0], np.cumsum(n_pieces)])
         start, size = total[border[:-1]], np.diff(total[border])
         store = self.store[ranges(self.start[piece], sizes)]
         index = index.astype(np.int64)

@@ -32,6 +32,7 @@ BLOCK_SYMBOLS = 1 << 20
 MAGIC = b"HUF1"
 CACHE_ENTRIES = 1_500_000  # about 200 MB of a worker
 SLICE = 8 << 20
+COUNTED_ROWS = 256
 
 # fixed value: the pattern by which byte-level BPE splits text
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -92,8 +93,7 @@ class ByteBpe:
         words, index, counts = unique_words(pc.if_else(odd, "", texts))
         first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
         starts = {}
-        plain = pc.utf8_is_alpha(pa.array(words, pa.large_string())).to_pylist()
-        parts = [[" " + w] if whole else self.pieces(" " + w) for w, whole in zip(words, plain)]
+        parts: list = [" " + w if w.isalpha() else self.pieces(" " + w) for w in words]
         index = index.astype(np.int64)
         for at in first.tolist():
             w = words[index[at]]
@@ -244,11 +244,13 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for data, wide in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n = np.bincount(as_ids(data, wide))
-                if len(n) > len(total):
-                    total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-                total[:len(n)] += n
+            for at in range(0, b.num_rows, COUNTED_ROWS):
+                data, wide = b.column(0).slice(at, COUNTED_ROWS).to_pylist(), b.column(1).slice(at, COUNTED_ROWS).to_pylist()
+                for kind in set(wide):
+                    n = np.bincount(as_ids(b"".join([d for d, w in zip(data, wide) if w == kind]), kind))
+                    if len(n) > len(total):
+                        total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
+                    total[:len(n)] += n
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 

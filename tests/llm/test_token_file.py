@@ -78,3 +78,16 @@ def test_registered(spark):
     d = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     assert sorted(map(tuple, QUERIES["op6_token_file"](spark, d).collect())) == brute(rows)
+
+
+def test_words_and_pieces_are_laid_out_in_order():
+    """Parts that are one piece stand beside parts of several pieces or none."""
+    from docweave.llm import common
+    words, index, counts = common.unique_words(pa.array(["b a  b", None, "", "é日 x\n", "a"]))
+    assert [words[i] for i in index] == ["b", "a", "", "b", "", "", "é日", "x\n", "a"] and counts.tolist() == [4, 1, 1, 2, 1]
+    assert len(set(words)) == len(words)
+
+    cache = common.PieceCache(10)
+    encode = lambda pieces: (np.array([ord(c) for p in pieces for c in p], np.uint32), np.array([len(p) for p in pieces]))
+    got, sizes = cache.lay_out(["ab", ["c", "de"], [], "f"], np.array([1, 0, 3, 2, 1]), np.array([2, 0, 3]), encode)
+    assert "".join(map(chr, got)) == "cdeabfcde" and sizes.tolist() == [5, 0, 4]
