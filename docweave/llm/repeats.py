@@ -32,9 +32,9 @@ from .common import M1, M2, M3, cut, flat, mix, partitions, ranges, slices, span
 
 WINDOW, GRAM = 100, 24
 SPAN = WINDOW - GRAM + 1
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19  # bytes whose hashes a task holds at a time: about 50 times as much memory
 POS = np.uint64((1 << 24) - 1)
-BUNDLE = 1 << 20
+BUNDLE = 1 << 18   # bytes of a suffix array, which takes over 100 times as much
 HOT_SAMPLE = 64  # different contexts of one anchor in the sample
 NULL_ID = np.iinfo(np.int64).min
 COVERED, CHECK, SPREAD = 0, 1, 2

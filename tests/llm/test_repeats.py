@@ -127,3 +127,26 @@ def test_registered(spark):
     d = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     assert rows_of(QUERIES["op1_repeats"](spark, d)) == brute(rows)
+
+
+def test_memory_of_a_task_is_bounded():
+    """Hashes of 4 MB of text, and the settling of 1 MB of contexts, hold less than 64 MB at a time."""
+    import tracemalloc
+
+    import numpy as np
+
+    from docweave.llm.repeats import MARK, contexts, settle
+    rnd = np.random.default_rng(1)
+    buf = rnd.integers(97, 123, 4 << 20).astype(np.uint8)
+    rows = np.zeros(8_000, np.dtype([*MARK.descr, ("at", "<i8")]))
+    rows["doc"], rows["len"], rows["anchor"], rows["at"] = np.arange(8_000), 130, np.arange(8_000) // 2, np.arange(8_000) * 130
+    tracemalloc.start()
+    try:
+        contexts(buf, np.array([0, len(buf)]))
+        first = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        settle(rows, buf)
+        second = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert first < 64 << 20 and second < 64 << 20, (first >> 20, second >> 20)
