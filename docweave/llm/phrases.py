@@ -3,9 +3,9 @@
 1. Texts become arrays of 64-bit symbols, one per (language, word), 0 between pieces; the words of each slice leave with
    their counts. Two words with one symbol are looked for, and another seed is taken if there are any, so symbols are exact.
 2. Level by level (2 to ``max_words``), a position is safe when the shorter phrases that start there and one word later
-   fall into buckets that reach ``min_count``. Safe phrases are counted by bucket of their hash, so only
-   (bucket, count) is shuffled and only the bitmap of heavy buckets (``BUCKET_BITS`` bits) is broadcast. Collisions
-   make a bucket heavier, never lighter: no frequent phrase is lost.
+   fall into buckets that reach ``min_count``. Safe phrases are counted by bucket of their hash: tasks send their counts
+   in packs of ``CHUNK_BITS``, the packs are added up and only the bitmap of heavy buckets (``BUCKET_BITS`` bits) is
+   broadcast. Collisions make a bucket heavier, never lighter: no frequent phrase is lost.
 3. Phrases in heavy buckets are the candidates. They are cut into blocks of ``block_phrases`` in symbol order; a task
    lays each block out as a double-array trie, and each block is broadcast. Tasks move the states of all positions one
    word on at a time and add up accepting states with bincount; the sums over all tasks are the exact counts.
@@ -28,14 +28,14 @@ MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2000
 BUCKET_BITS = 26            # a bitmap of 8 MB, whatever the corpus
-CHUNK_BITS = 22
+CHUNK_BITS = 16             # buckets whose counts travel together: 1,024 packs at most for each HELD_BUCKETS
 BLOCK_PHRASES = 1 << 18     # a trie of at most about 30 MB
 BLOCKS_A_PASS = 4
-SLICE = 2 << 20
-ROW_SYMBOLS = 1 << 17
-READ_SYMBOLS = 1 << 18
-HELD_BUCKETS = 1 << 20
-HELD_PHRASES = 1 << 18
+SLICE = 1 << 20
+ROW_SYMBOLS = 1 << 7        # 1 KB: Parquet's pages and reader batches and Arrow's batches hold thousands of rows at once
+READ_SYMBOLS = 1 << 16
+HELD_BUCKETS = 1 << 19
+HELD_PHRASES = 1 << 17
 SUM_PHRASES = 1 << 10      # counts of so many phrases travel together
 
 WORD, BLANK, BORDER = 0, 1, 2
@@ -44,6 +44,7 @@ KIND[[32, 9]] = BLANK
 KIND[[*b".,;:!?", *range(10, 14)]] = BORDER
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+COUNT = np.dtype([("low", "<u2"), ("n", "<i4")])  # of a bucket in a pack
 
 
 # ------------------------------------------------------------------ symbols
@@ -103,11 +104,13 @@ def encode(docs: DataFrame, seed: int, text_col: str, lang_col: str) -> DataFram
             gaps = np.flatnonzero(sym == 0) + 1  # rows end after a 0
             wanted = np.arange(ROW_SYMBOLS, len(sym), ROW_SYMBOLS)
             cuts = np.unique(gaps[np.minimum(np.searchsorted(gaps, wanted), len(gaps) - 1)]) if len(gaps) and len(wanted) else np.zeros(0, int)
-            parts = [p.tobytes() for p in np.split(sym, cuts) if len(p)]
+            ends = np.unique(np.append(cuts, len(sym)))
+            ends = ends[ends > 0]
+            parts = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends * 8).astype(np.int32)), pa.py_buffer(sym)])
             keys, at, n = np.unique(each, return_index=True, return_counts=True)
             data, _ = flat(b.column(1))
             blank = pa.nulls(len(parts))
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), blank.cast(pa.binary()), blank.cast(pa.string()), blank.cast(pa.string()),
+            yield pa.RecordBatch.from_arrays([parts, blank.cast(pa.binary()), blank.cast(pa.string()), blank.cast(pa.string()),
                                               blank.cast(pa.int64())], names)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), _binary(keys), pa.array(langs, pa.string()).take(pa.array(doc[at])),
                                               _word_texts(data, start[at], length[at]), pa.array(n.astype(np.int64))], names)
@@ -130,6 +133,7 @@ def _arrays(batches):
             to = max(at + 1, int(np.searchsorted(off, off[at] + READ_SYMBOLS, "right")) - 1)
             yield np.concatenate([data[off[at]:off[to]], np.zeros(1, np.uint64)])
             at = to
+    pa.default_memory_pool().release_unused()  # the worker lives on, and other workers share its executor
 
 
 # ------------------------------------------------------------------ safe positions
@@ -162,38 +166,62 @@ def safe(sym: np.ndarray, bitmaps: list[np.ndarray], k: int) -> tuple[np.ndarray
     return at, h
 
 
-def _bitmap(heavy: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap of distinct bucket numbers, laid out in tasks by chunk."""
-    def lay(key, table):
-        chunk = np.zeros(1 << CHUNK_BITS, np.uint8)
-        chunk[table.column("bucket").to_numpy() & (1 << CHUNK_BITS) - 1] = 1
-        return pa.table({"chunk": [key[0].as_py()], "bits": pa.array([np.packbits(chunk, bitorder="little").tobytes()], pa.binary())})
+def _packs(bucket: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``chunk, pack``: the counts of sorted distinct buckets, one pack for each chunk."""
+    chunk = bucket >> CHUNK_BITS
+    first = np.flatnonzero(np.diff(chunk, prepend=-1))
+    counts = np.empty(len(bucket), COUNT)
+    counts["low"], counts["n"] = bucket & (1 << CHUNK_BITS) - 1, n
+    offsets = np.append(first, len(bucket)) * COUNT.itemsize
+    packs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(counts)])
+    return pa.RecordBatch.from_arrays([pa.array(chunk[first].astype(np.int32)), packs], ["chunk", "pack"])
+
+
+def _bitmap(packs: DataFrame, least: int, bits: int) -> np.ndarray:
+    """The bitmap of the buckets whose counts in all packs come to ``least`` or more."""
+    def laid(chunk, total):
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())],
+                                          ["chunk", "bits"])
+
+    def add_all(batches):
+        """Packs sorted by chunk."""
+        now, total = None, np.zeros(1 << CHUNK_BITS, np.int64)
+        for b in batches:
+            for chunk, pack in zip(*(c.to_pylist() for c in b.columns)):
+                if now != chunk:
+                    if now is not None:
+                        yield laid(now, total)
+                    now = chunk
+                    total[:] = 0
+                counts = np.frombuffer(pack, COUNT)
+                total[counts["low"]] += counts["n"]  # a pack has each bucket once
+        if now is not None:
+            yield laid(now, total)
 
+    n = min(partitions(packs.sparkSession), max(1, 1 << max(0, bits - CHUNK_BITS)))
+    rows = packs.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(add_all, "chunk int, bits binary")
     out = np.zeros(1 << (bits - 3), np.uint8)
-    rows = heavy.select("bucket", F.shiftright("bucket", CHUNK_BITS).alias("chunk")).groupBy("chunk").applyInArrow(lay, "chunk long, bits binary")
-    for r in rows.toLocalIterator():  # 2 ** bits bits at most
-        step = 1 << (CHUNK_BITS - 3)
+    step = 1 << (CHUNK_BITS - 3)
+    for r in rows.collect():  # 2 ** bits bits at most
         out[r.chunk * step:][:step] = np.frombuffer(r.bits, np.uint8)[:len(out)]
     return out
 
 
 def _bucket_counts(codes: DataFrame, maps, k: int, bits: int) -> DataFrame:
-    def counted(held):
-        bucket, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(n.astype(np.int64))], ["bucket", "n"])
-
+    """Packs of the counts of the safe phrases of ``k`` words."""
     def run(batches):
-        held = []
+        held, size = [], 0
         for sym in _arrays(batches):
             _, h = safe(sym, maps.value, k)
             held.append(_bucket(h, bits).astype(np.int32))
-            if sum(map(len, held)) >= HELD_BUCKETS:
-                yield counted(held)
-                held = []
-        if held:
-            yield counted(held)
+            size += len(h)
+            if size >= HELD_BUCKETS:
+                yield _packs(*np.unique(np.concatenate(held), return_counts=True))
+                held, size = [], 0
+        if size:
+            yield _packs(*np.unique(np.concatenate(held), return_counts=True))
 
-    return codes.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return codes.mapInArrow(run, "chunk int, pack binary")
 
 
 def _distinct(rows: np.ndarray) -> np.ndarray:
@@ -224,16 +252,18 @@ def _phrases(codes: DataFrame, maps, max_words: int) -> DataFrame:
                                           ["group", "words", "pack"])
 
     def run(batches):
-        held: dict[int, np.ndarray] = {}
+        held: dict[int, list[np.ndarray]] = {k: [] for k in range(2, max_words + 1)}
         for sym in _arrays(batches):
-            for k in range(2, max_words + 1):
+            for k in held:
                 at, h = safe(sym, maps.value, k)
-                rows = sym[at[_heavy(maps.value[k - 1], h)][:, None] + np.arange(k)]
-                held[k] = _distinct(np.concatenate([held[k], _distinct(rows)])) if k in held else _distinct(rows)
-                if len(held[k]) > HELD_PHRASES:
-                    yield packs(k, held.pop(k))
+                held[k].append(_distinct(sym[at[_heavy(maps.value[k - 1], h)][:, None] + np.arange(k)]))
+                if sum(map(len, held[k])) > HELD_PHRASES:
+                    held[k] = [_distinct(np.concatenate(held[k]))]
+                    if len(held[k][0]) > HELD_PHRASES // 2:
+                        yield packs(k, held[k].pop())
         for k, rows in held.items():
-            yield packs(k, rows)
+            if rows:
+                yield packs(k, _distinct(np.concatenate(rows)))
 
     def merge(batches):
         """Packs sorted by group and length."""
@@ -334,6 +364,7 @@ def advance(sym: np.ndarray, trie, max_words: int, counts: np.ndarray) -> None:
     code = np.where(alphabet[code] == sym, code + 1, 0) if len(alphabet) else np.zeros(len(sym), np.int64)
     at = np.flatnonzero(code)
     state = np.zeros(len(at), np.int64)
+    reached = [state[:0]]
     for depth in range(max_words):
         inside = at + depth < len(code)
         at, state = at[inside], state[inside]
@@ -344,7 +375,8 @@ def advance(sym: np.ndarray, trie, max_words: int, counts: np.ndarray) -> None:
             good &= to != 0
         at, state = at[good], to[good].astype(np.int64)
         if depth:
-            counts += np.bincount(state, minlength=len(counts))
+            reached.append(state)
+    counts += np.bincount(np.concatenate(reached), minlength=len(counts))
 
 
 def _tries(candidates: DataFrame, block_phrases: int, max_words: int) -> DataFrame:
@@ -443,12 +475,12 @@ def mine_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
     def word_buckets(batches):
         for b in batches:
             sym = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u8")
-            yield pa.RecordBatch.from_arrays([pa.array(_bucket(mix(sym), bucket_bits))], ["bucket"])
+            yield _packs(*np.unique(_bucket(mix(sym), bucket_bits), return_counts=True))
 
-    bitmaps = [_bitmap(frequent.select("sym").mapInArrow(word_buckets, "bucket long").distinct(), bucket_bits)]
+    bitmaps = [_bitmap(frequent.select("sym").mapInArrow(word_buckets, "chunk int, pack binary"), 1, bucket_bits)]
     for k in range(2, max_words + 1):
         maps = spark.sparkContext.broadcast(bitmaps)
-        bitmaps = [*bitmaps, _bitmap(_bucket_counts(codes, maps, k, bucket_bits).where(F.col("n") >= min_count), bucket_bits)]
+        bitmaps = [*bitmaps, _bitmap(_bucket_counts(codes, maps, k, bucket_bits), min_count, bucket_bits)]
         maps.unpersist()
     maps = spark.sparkContext.broadcast(bitmaps)
     counted = exact_counts(spark, codes, _phrases(codes, maps, max_words), max_words, block_phrases)

@@ -102,6 +102,29 @@ def test_packs_hold_each_phrase_once():
     assert len(phrases._distinct(rows[:0])) == 0 and len(phrases._distinct(rows[:1])) == 1
 
 
+def test_rows_of_symbols_are_small_and_whole(spark):
+    text = "one two three four. " * 20_000
+    coded = phrases.encode(frame_of(spark, [(text, "en"), ("x " * 9_000, "en")], 1), 1, "text", "lang").where("codes is not null")
+    found = [np.frombuffer(r.codes, "<u8") for r in coded.select("codes").collect()]
+    assert sum((x != 0).sum() for x in found) == 89_000 and all(x[-1] == 0 for x in found)
+    # a row of words that nothing parts stays whole, others are of about 1 KB: hundreds of them made a page of Parquet
+    sizes = sorted(map(len, found))
+    assert sizes[-1] >= 9_001 and sizes[-2] < 2 * phrases.ROW_SYMBOLS <= 256 and len(sizes) > 500
+
+
+@pytest.mark.parametrize("bits", [5, 20])
+def test_heavy_buckets_are_those_of_all_packs(spark, monkeypatch, bits):
+    monkeypatch.setattr(phrases, "HELD_BUCKETS", 100)
+    monkeypatch.setattr(phrases, "READ_SYMBOLS", 50)
+    rnd = np.random.default_rng(3)
+    rows = [np.append(rnd.zipf(1.3, 40) % 500 + 1, 0).astype("<u8") for _ in range(60)]
+    codes = spark.createDataFrame([(bytearray(x.tobytes()),) for x in rows], "codes binary").repartition(4)
+    maps = spark.sparkContext.broadcast([np.full(1 << (bits - 3), 255, np.uint8)])
+    want = Counter(int(b) for x in rows for b in phrases._bucket(phrases._longer(x[:-2], x[1:-1]), bits))
+    got = np.unpackbits(phrases._bitmap(phrases._bucket_counts(codes, maps, 2, bits), 30, bits), bitorder="little")
+    assert len(got) == 1 << bits and set(np.flatnonzero(got).tolist()) == {b for b, n in want.items() if n >= 30} != set()
+
+
 def test_empty(spark):
     assert op13(frame_of(spark, [])).collect() == []
     assert op13(frame_of(spark, [(None, None), ("", "en")])).collect() == []
