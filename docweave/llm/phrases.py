@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ READ_SYMBOLS = 1 << 16
 HELD_BUCKETS = 1 << 19
 HELD_PHRASES = 1 << 17
 SUM_PHRASES = 1 << 10      # counts of so many phrases travel together
+BATCH_BYTES = 4 << 20
 
 WORD, BLANK, BORDER = 0, 1, 2
 KIND = np.zeros(256, np.uint8)
@@ -450,6 +452,18 @@ def exact_counts(spark: SparkSession, codes: DataFrame, candidates: DataFrame, m
 
 # ------------------------------------------------------------------ the operator
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of about BATCH_BYTES for what runs inside: by default one may hold 64 MB, for each task and each way."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _sub(key: str, start, words) -> F.Column:
     """``words`` words of a key from word ``start`` (0 first)."""
     return F.substring(F.col(key), start * 8 + 1, words * 8)
@@ -463,28 +477,29 @@ def mine_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
     A null text has no words, a null language is ``und``; every row counts, repeated or not; other columns are not
     read. An empty table gives no phrases."""
     spark = docs.sparkSession
-    while True:
-        coded = cut(encode(docs, seed, text_col, lang_col), "phrase-codes")
-        words = cut(coded.where("sym is not null").groupBy("sym", "lang", "word").agg(F.sum("n").alias("n")), "phrase-words")
-        if not words.groupBy("sym").count().where("count > 1").take(1):
-            break
-        seed += 1
-    codes = coded.where("codes is not null").select("codes")
-    frequent = cut(words.where(F.col("n") >= min_count), "phrase-frequent")
-
-    def word_buckets(batches):
-        for b in batches:
-            sym = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u8")
-            yield _packs(*np.unique(_bucket(mix(sym), bucket_bits), return_counts=True))
-
-    bitmaps = [_bitmap(frequent.select("sym").mapInArrow(word_buckets, "chunk int, pack binary"), 1, bucket_bits)]
-    for k in range(2, max_words + 1):
+    with small_batches(spark):
+        while True:
+            coded = cut(encode(docs, seed, text_col, lang_col), "phrase-codes")
+            words = cut(coded.where("sym is not null").groupBy("sym", "lang", "word").agg(F.sum("n").alias("n")), "phrase-words")
+            if not words.groupBy("sym").count().where("count > 1").take(1):
+                break
+            seed += 1
+        codes = coded.where("codes is not null").select("codes")
+        frequent = cut(words.where(F.col("n") >= min_count), "phrase-frequent")
+
+        def word_buckets(batches):
+            for b in batches:
+                sym = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u8")
+                yield _packs(*np.unique(_bucket(mix(sym), bucket_bits), return_counts=True))
+
+        bitmaps = [_bitmap(frequent.select("sym").mapInArrow(word_buckets, "chunk int, pack binary"), 1, bucket_bits)]
+        for k in range(2, max_words + 1):
+            maps = spark.sparkContext.broadcast(bitmaps)
+            bitmaps = [*bitmaps, _bitmap(_bucket_counts(codes, maps, k, bucket_bits), min_count, bucket_bits)]
+            maps.unpersist()
         maps = spark.sparkContext.broadcast(bitmaps)
-        bitmaps = [*bitmaps, _bitmap(_bucket_counts(codes, maps, k, bucket_bits), min_count, bucket_bits)]
-        maps.unpersist()
-    maps = spark.sparkContext.broadcast(bitmaps)
-    counted = exact_counts(spark, codes, _phrases(codes, maps, max_words), max_words, block_phrases)
-    found = cut(counted.where(F.col("a") >= min_count), "phrase-found")
+        counted = exact_counts(spark, codes, _phrases(codes, maps, max_words), max_words, block_phrases)
+        found = cut(counted.where(F.col("a") >= min_count), "phrase-found")
     return _scored(found, words, frequent)
 
 

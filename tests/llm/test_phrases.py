@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docweave.llm import phrases
@@ -125,6 +126,20 @@ def test_heavy_buckets_are_those_of_all_packs(spark, monkeypatch, bits):
     assert len(got) == 1 << bits and set(np.flatnonzero(got).tolist()) == {b for b, n in want.items() if n >= 30} != set()
 
 
+def test_batches_are_small_while_it_runs(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.range(0, 200, numPartitions=1).selectExpr("repeat('x', 100000) as t")
+    with phrases.small_batches(spark):
+        got = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) >= 20_000_000 and max(got) < 2 * phrases.BATCH_BYTES
+    mined(spark, [("a b", "en")], 1)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_empty(spark):
     assert op13(frame_of(spark, [])).collect() == []
     assert op13(frame_of(spark, [(None, None), ("", "en")])).collect() == []
