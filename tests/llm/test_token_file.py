@@ -91,3 +91,54 @@ def test_words_and_pieces_are_laid_out_in_order():
     encode = lambda pieces: (np.array([ord(c) for p in pieces for c in p], np.uint32), np.array([len(p) for p in pieces]))
     got, sizes = cache.lay_out(["ab", ["c", "de"], [], "f"], np.array([1, 0, 3, 2, 1]), np.array([2, 0, 3]), encode)
     assert "".join(map(chr, got)) == "cdeabfcde" and sizes.tolist() == [5, 0, 4]
+
+
+def test_words_are_encoded_many_in_a_call():
+    """New words take a call of the library's model per ``JOINED`` words, not one each; known ones none."""
+    codec, calls = ByteBpe(PATH), []
+    library, model = codec.tokenizer, codec.tokenizer.model
+
+    class Counted:
+        def tokenize(self, text):
+            calls.append(text)
+            return model.tokenize(text)
+
+    class Stub:
+        model, pre_tokenizer = Counted(), library.pre_tokenizer
+
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abcdeéàж") for _ in range(rnd.randrange(3, 12))) for _ in range(4000)]
+    texts = [" ".join(w + rnd.choice(["", "", ",", ".\nThe", "!!", "$$$"]) for w in words[i:i + 100]) for i in range(0, 4000, 100)]
+    codec.tokenizer = Stub()
+    for most in (1000, 0):  # those that end in à, whose last byte may merge with a blank, and the texts' first words go alone
+        calls.clear()
+        ids, _ = codec.encode_all(pa.array(texts))
+        assert len(calls) <= most
+        assert ids.tolist() == [i for e in library.encode_batch(texts, add_special_tokens=False) for i in e.ids]
+
+
+def test_texts_are_cut_at_certain_borders():
+    """Every letter of the cut alphabets, and others, beside line ends, signs, digits and apostrophes."""
+    codec, library = ByteBpe(PATH), Tokenizer.from_file(PATH)
+    some = [*range(0x500), *range(0x1F00, 0x2100), *range(0x3000, 0x3100)]
+    texts = [x for c in map(chr, some) for x in (f"a{c}.\n{c}b", f"x.{c}5{c}", f"{c}\n{c}'s{c}", f"\n{c} {c}!")]
+    rnd = random.Random(4)
+    texts += ["".join(rnd.choice(["a", "é", "×", "5", "²", "\n", " ", ".", "'s", "!'", "_", "\x0b", "　", "。", "́", "\0"]) for _ in range(12))
+              for _ in range(3000)]
+    ids, counts = codec.encode_all(pa.array(texts))
+    want = library.encode_batch(texts, add_special_tokens=False)
+    for t, got, e in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), want):
+        assert got.tolist() == e.ids, t
+
+
+def test_cache_is_emptied_when_full(monkeypatch):
+    from docweave.llm import token_file
+    codec, library = ByteBpe(PATH), Tokenizer.from_file(PATH)
+    for name, limit in (("CACHE_ENTRIES", 5), ("CACHE_CHARACTERS", 40)):
+        monkeypatch.setattr(token_file, name, limit)
+        for k in range(6):
+            text = " ".join(f"{'xyz'[k % 3] * n}{k}," for n in range(1, 9))
+            ids, _ = codec.encode_all(pa.array([text]))
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+            assert len(codec.parts.at) <= 40 and codec.held <= 200
+        monkeypatch.undo()
