@@ -68,6 +68,73 @@ def test_many_blocks_and_crowded_buckets(spark, rows):
     assert got == brute(rows[:120], 5, 5)
 
 
+def test_rare_phrases_that_share_a_bit_are_no_candidates(spark, rows, monkeypatch):
+    """The bitmap fills up as the corpus grows; candidates must not grow with what falls into its bits."""
+    seen, real = [], phrases.exact_counts
+
+    def exact_counts(spark, codes, candidates, *a):
+        seen.append(candidates.count())
+        return real(spark, codes, candidates, *a)
+
+    monkeypatch.setattr(phrases, "exact_counts", exact_counts)
+    w = [f"w{i % 40} v{i * 7 % 41}" for i in range(1640)]  # 1,640 pairs of frequent words, each in one place
+    texts = [(". ".join(w), "en")] + [("new york city", "en")] * 50
+    got = mined(spark, texts, 20, bucket_bits=5)
+    assert got == brute(texts, 20, 5) and len(got) == 1 and seen == [3]
+
+
+def test_small_families_stand_between_the_children_of_large_ones():
+    rnd = np.random.default_rng(11)
+    share = 1 / np.arange(1, 8001)
+    words = rnd.permutation(8000) + 100
+    rows = np.concatenate([np.column_stack([np.full(n, i), np.sort(words[rnd.choice(8000, n, False, share / share.sum())])])
+                           for i, n in enumerate(np.maximum(2, 4000 // np.arange(1, 1500)), 10_000)]).astype(np.uint64)
+    alphabet, base, check, state = build_trie(np.column_stack([rows, np.zeros((len(rows), 3), np.uint64)]))
+    assert len(check) < 6.5 * len(rows), len(check) / len(rows)
+    counts = np.zeros(len(check), np.int64)
+    advance(np.column_stack([rows, np.zeros(len(rows), np.uint64)]).ravel(), (alphabet, base, check), 5, counts)
+    assert (counts[state] == 1).all() and counts.sum() == len(rows)
+
+
+def test_words_of_slices_are_added_up(spark, monkeypatch):
+    """A slice is a megabyte; a word leaves a task once for many of them."""
+    text = "one two three four. " * 200_000
+    coded = phrases.encode(frame_of(spark, [(text, "en"), (text, "en"), ("one", "de")], 1), 1, "text", "lang").where("sym is not null")
+    got = sorted((r.lang, r.word, r.n) for r in coded.collect())
+    assert got == [("de", "one", 1)] + sorted(("en", w, 400_000) for w in ("one", "two", "three", "four"))
+    # words that share a symbol stay apart
+    held = [(np.array([5, 7], np.uint64), pa.array(["en", "en"]), pa.array([w, "x"]), np.array([2, 1])) for w in ("a", "a", "b")]
+    sym, lang, word, n = phrases._summed(held)
+    assert list(zip(sym.tolist(), word.to_pylist(), n.tolist())) == [(5, "a", 4), (5, "b", 2), (7, "x", 3)]
+
+
+def test_a_phrase_is_sent_once_and_none_is_held_back(monkeypatch):
+    monkeypatch.setattr(phrases, "SENT_BITS", 0)  # 4 places
+    sent, rnd, want, got = phrases.Sent(2), np.random.default_rng(4), set(), set()
+    for _ in range(50):
+        rows = rnd.integers(1, 6, (20, 2)).astype(np.uint64)
+        want |= set(map(tuple, rows.tolist()))
+        got |= set(map(tuple, sent.new(rows, phrases._hashes(rows)).tolist()))
+    assert got == want
+    again = rows[-1:]
+    assert len(sent.new(again, phrases._hashes(again))) == 0
+
+
+def test_counts_of_a_chunk_are_added_up_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "ADDED_BUCKETS", 3)
+    rnd = np.random.default_rng(8)
+    units = [np.unique(rnd.integers(0, 1 << 42, 30) // (1 << 36) * (1 << 36) + rnd.integers(0, 3, 30), return_counts=True) for _ in range(40)]
+    packs = [p for b, n in units for p in zip(*(c.to_pylist() for c in phrases._packs(b, n, 42).columns))]
+    got = phrases._heavy_buckets(spark.createDataFrame(packs, "chunk int, pack binary"), 10, 42, 26)
+    total = Counter()
+    for b, n in units:
+        total.update(dict(zip(b.tolist(), n.tolist())))
+    want = sorted(b for b, n in total.items() if n >= 10)
+    rows = got.collect()
+    assert sorted((r.chunk << 32) + int(x) for r in rows for x in np.frombuffer(r.heavy, "<u4")) == want != []
+    assert np.flatnonzero(np.unpackbits(phrases._marked(got, 26), bitorder="little")).tolist() == sorted({b >> 16 for b in want})
+
+
 def test_another_seed_when_two_words_share_a_symbol(spark, monkeypatch):
     seeds, real = [], phrases.encode
 
